@@ -5,13 +5,32 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verifold.llm import substring_dedup
+from verifold.llm import katz, quality, secrets, simhash, substring_dedup
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan_secrets(_read(spark, sf_dir, "documents"))
+
+
+def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(_read(spark, sf_dir, "documents"), distance=4, shingle=4)
+
+
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(_read(spark, sf_dir, "documents")).drop("row_key")
+
+
+def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7, F.lit(0)) == 2
+    scored, _ = katz.score(docs.select("doc_id", "text", (~held_out).alias("train")), order=2)
+    return scored.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = substring_dedup.remove_repeats(_read(spark, sf_dir, "documents"), width=50, period=31)
     return done.select("doc_id", "n_words", "n_removed", "kept_sha256")
@@ -19,6 +38,10 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     return {
+        "op1_secret_scans": op1_secret_scans,
+        "op2_simhash_near_dedup": op2_simhash_near_dedup,
+        "op3_quality_rules": op3_quality_rules,
+        "op4_lm_scoring": op4_lm_scoring,
         "op9_substring_dedup": op9_substring_dedup,
     }
 
