@@ -1,9 +1,78 @@
-"""Corpus pipeline (stages follow)."""
+"""Corpus pipeline: quality rules, near dedup, decontamination, mixing, token files.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir), works on all its predecessor kept and returns documents;
+the last returns a row for each document of the token files. The order of the mix is the row order
+of the table that the fourth stage writes, and the fifth writes ids in that order.
+"""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from verifold.llm import decontamination, mixing, quality, simhash, token_files
+from verifold.llm.storage import shared_folder, write_settings
+
+TOKENIZER = "byte_bpe_50k.json"
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules keep."""
+    return quality.keep_good(docs)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates: the one with the smallest doc_id."""
+    return simhash.keep_first(docs)
+
+
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    return decontamination.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, in rows ordered by the mix of their sources."""
+    by = mixing.order()
+    return mixing.mix(docs).repartitionByRange(*by).sortWithinPartitions(*by).select(docs.columns)
+
+
+def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token files of all documents in row order, read back: doc_id, start, n_tokens, ids_crc32."""
+    import public_tokenizers
+
+    path = f"{shared_folder(spark)}/verifold/{uuid.uuid4().hex}/tokens"
+    try:
+        placed = docs.select("*", F.col("_metadata.file_name").alias("file_of_row"), F.col("_metadata.row_index").alias("row_of_file"))
+        order = (F.col("file_of_row"), F.col("row_of_file"))
+    except AnalysisException:  # not read from files: no row order
+        placed, order = docs, ()
+    with write_settings(spark):
+        token_files.write_ids(placed, path, public_tokenizers.path(TOKENIZER), order)
+    return token_files.read_ids(spark, path)
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("near_dedup", near_dedup),
+    ("benchmark_decontamination", benchmark_decontamination),
+    ("source_mixing", source_mixing),
+    ("token_output", token_output),
+]
+#: Estimates, fingerprints and tokenizers are beyond SQL; the stages are tested against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    """All stages over documents."""
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents, each written to the shared folder and read again."""
+    base = f"{shared_folder(spark)}/verifold/{uuid.uuid4().hex}"
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for i, (name, stage) in enumerate(STAGES):
+        done = stage(spark, docs, sf_dir)
+        with write_settings(spark):
+            done.write.parquet(f"{base}/{i}_{name}")
+        docs = spark.read.schema(done.schema).parquet(f"{base}/{i}_{name}")
+    return docs

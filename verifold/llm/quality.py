@@ -211,3 +211,10 @@ def judge(docs: DataFrame, probability: float = 1 - 1e-9, share: float = 0.75, l
     counts = [c.split()[0] for c in COUNTS.split(", ")]
     return found.select("doc_id", "row_key", *counts, "base_failed", far.alias("distance"),
                         (~F.col("base_failed") & (F.coalesce(far, F.lit(0.0)) <= chi2_quantile(probability, D))).alias("kept"))
+
+
+def keep_good(docs: DataFrame, **options) -> DataFrame:
+    """Rows of ``docs`` that ``judge`` keeps; columns as they were."""
+    bad = judge(docs, **options).where("not kept").select(F.col("doc_id").alias("bad_doc_id"), F.col("row_key").alias("bad_row_key")).distinct()
+    match = F.col("doc_id").cast("long").eqNullSafe(F.col("bad_doc_id")) & F.xxhash64(F.col("text").cast("string")).eqNullSafe(F.col("bad_row_key"))
+    return docs.join(bad, match, "left_anti")

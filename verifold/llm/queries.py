@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verifold.llm import katz, quality, secrets, simhash, substring_dedup
+from verifold.llm import decontamination, katz, licenses, mixing, quality, secrets, simhash, substring_dedup, token_files, urls
+from verifold.llm.storage import shared_folder, write_settings
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,20 +35,49 @@ def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op5_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(_read(spark, sf_dir, "documents"))
+
+
+def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contaminated(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark")).drop("row_key")
+
+
+def op7_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{shared_folder(spark)}/verifold/{uuid.uuid4().hex}/tokens"
+    with write_settings(spark):
+        token_files.write_ids(_read(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"))
+    return token_files.read_ids(spark, path)
+
+
+def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.filter_urls(_read(spark, sf_dir, "pages"))
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = substring_dedup.remove_repeats(_read(spark, sf_dir, "documents"), width=50, period=31)
     return done.select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(_read(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "source", "mix_block", "mix_slot", "mix_offset")
+
+
 def queries() -> dict:
     return {
         "op1_secret_scans": op1_secret_scans,
         "op2_simhash_near_dedup": op2_simhash_near_dedup,
         "op3_quality_rules": op3_quality_rules,
         "op4_lm_scoring": op4_lm_scoring,
+        "op5_license_scans": op5_license_scans,
+        "op6_benchmark_decontamination": op6_benchmark_decontamination,
+        "op7_token_output": op7_token_output,
+        "op8_url_filters": op8_url_filters,
         "op9_substring_dedup": op9_substring_dedup,
+        "op10_source_mixing": op10_source_mixing,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op8_url_filters": urls.oracle_sql()}
