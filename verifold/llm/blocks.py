@@ -28,7 +28,7 @@ BLOCK_BYTES = 4 << 20
 RANGE_KEYS = 1_000_000
 BLOCK_SCHEMA = "block long, n_bytes long, data binary"
 REQUEST_SCHEMA = "part int, block long, n int, keys binary, vals array<binary>"
-REPLY_SCHEMA = "kind string, part int, block long, vals array<binary>, keys array<long>, counts array<long>"
+REPLY_SCHEMA = "kind string, part int, block long, vals array<binary>, keys array<long>, counts array<long>, weights array<double>"
 
 
 def packed(values: np.ndarray) -> bytes:
@@ -125,7 +125,7 @@ def merge(requests: DataFrame, dtypes: list, combine: Callable, table: Callable
 
     ``combine(starts, order, values)`` gets the sorted order of all requests and where each
     distinct key starts, and returns arrays per distinct key; each block gets these for its keys
-    in rows of kind 'reply'. ``table(keys, totals)`` may return (kind, keys, counts) rows to keep.
+    in rows of kind 'reply'. ``table(keys, totals)`` may return rows to keep: (kind, keys, counts) or also weights.
     """
 
     def run(group: pa.Table) -> pa.Table:
@@ -155,6 +155,7 @@ def merge(requests: DataFrame, dtypes: list, combine: Callable, table: Callable
             "vals": pa.array([*replies, *[None] * m], pa.list_(pa.binary())),
             "keys": pa.array([*[None] * n, *[x[1].view(np.int64) for x in extra]], pa.list_(pa.int64())),
             "counts": pa.array([*[None] * n, *[x[2] for x in extra]], pa.list_(pa.int64())),
+            "weights": pa.array([*[None] * n, *[x[3] if len(x) > 3 else None for x in extra]], pa.list_(pa.float64())),
         })
 
     return requests.groupBy("part").applyInArrow(run, REPLY_SCHEMA)

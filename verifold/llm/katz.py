@@ -88,7 +88,9 @@ class _Scores:
     def total(self, m: int) -> tuple[np.ndarray, np.ndarray]:
         """Training count of each token's gram of m + 1 tokens, and whether this block speaks for it."""
         _, back = np.unique(self.t.grams[m], return_inverse=True)
-        count, owner = B.reply_of(self.answers.get(f"count{m}", []), [np.int64, np.uint8])
+        rows = self.answers.get(f"count{m}", [])
+        count = B.reply_of(rows, [np.int64])[0]
+        owner = B.reply_of(rows, [np.int64, np.uint8])[1] if rows and len(rows[0][1]) > 1 else np.zeros(len(count), np.uint8)
         at = np.zeros(len(count), dtype=np.int64)
         at[back[::-1]] = np.arange(len(back))[::-1]
         spoken = np.zeros(len(back), dtype=bool)
@@ -109,11 +111,9 @@ class _Scores:
         lower = self.probability(m - 1)
         count, _ = self.total(m)
         _, back = np.unique(self.t.histories[m], return_inverse=True)
-        seen, kept, low = (x[back] for x in B.reply_of(self.answers.get(f"history{m}", []), [np.int64, np.float64, np.float64]))
-        whole = np.where(kept >= seen, seen + 1, seen).astype(np.float64)
-        alpha = (whole - kept) / np.maximum(whole, 1) / np.maximum(1 - low, self.stats[0]["floor"] if m == 1 else 1e-12)
+        whole, alpha = (x[back] for x in B.reply_of(self.answers.get(f"history{m}", []), [np.int64, np.float64]))
         own = discounted(count, self.stats[m]["d"]) / np.maximum(whole, 1)
-        return np.where(seen == 0, lower, np.where(count > 0, own, alpha * lower))
+        return np.where(whole == 0, lower, np.where(count > 0, own, alpha * lower))
 
 
 def _stats(merged: DataFrame) -> dict:
@@ -183,13 +183,18 @@ def score(docs: DataFrame, order: int = 2) -> tuple[DataFrame, list[Table]]:
             sums = [np.bincount(at, weights=w, minlength=len(keys)) for w in (count[spoken], discounted(count[spoken], stats[m]["d"]), s.probability(m - 1)[spoken])]
             return B.request_rows(block, keys, [sums[0].astype(np.int64), sums[1], sums[2]], parts)
 
-        def added(starts, rank, values):
-            return [np.add.reduceat(v[rank], starts) for v in values]
+        def weighed(starts, rank, values, least=stats[0]["floor"] if m == 1 else 1e-12):
+            """Denominator and backoff weight of each history; both 0 if unseen in training."""
+            seen, kept, low = (np.add.reduceat(v[rank], starts) for v in values)
+            # Where no follower is discounted, one count is set aside for the others.
+            whole = np.where((seen > 0) & (kept >= seen), seen + 1, seen)
+            return [whole, (whole - kept) / np.maximum(whole, 1) / np.maximum(1 - low, least)]
 
         def weights(keys, totals):
-            return [("table", keys[totals[0] > 0], totals[0][totals[0] > 0])]
+            seen = totals[0] > 0
+            return [("table", keys[seen], totals[0][seen], totals[1][seen])]
 
-        table = save(B.merge(B.cogroup(stored.df, replies, followers, B.REQUEST_SCHEMA), [np.int64, np.float64, np.float64], added, weights), f"history{m}", ("kind",))
+        table = save(B.merge(B.cogroup(stored.df, replies, followers, B.REQUEST_SCHEMA), [np.int64, np.float64, np.float64], weighed, weights), f"history{m}", ("kind",))
         tables.append(table)
         replies = replies.unionByName(told(table.df, f"history{m}"))
 
@@ -210,4 +215,6 @@ def score(docs: DataFrame, order: int = 2) -> tuple[DataFrame, list[Table]]:
             "score": pa.array(per_doc[2]),
         })
 
-    return B.cogroup(stored.df, replies, scored, SCHEMA), tables
+    # Scoring needs no owner flags: of the answers only the totals move again.
+    needed = replies.withColumn("vals", F.expr("slice(vals, 1, size(vals) - 1)"))
+    return B.cogroup(stored.df, needed, scored, SCHEMA), tables

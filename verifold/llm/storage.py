@@ -55,7 +55,8 @@ def save(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> Table:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/verifold/{uuid.uuid4().hex}/{name}"
     with write_settings(spark):
-        df.write.option("compression", "zstd").partitionBy(*partition_by).parquet(path)
+        # Version 2 pages store sorted keys by their differences.
+        df.write.option("compression", "zstd").option("parquet.writer.version", "v2").partitionBy(*partition_by).parquet(path)
     return Table(spark.read.schema(df.schema).parquet(path), path)
 
 
