@@ -412,6 +412,127 @@ def x16_extract_registry_lookup(spark, sf_dir):
     return got.select("doc_id", "proprietario_nome", "proprietario_doc", "renavam", "proprietario_nome_ofuscado", "modo", "debitos_total_cents", "alienacao_fiduciaria_status")
 
 
+# Further surfaces
+
+
+@query(f"WITH {INTAKE} SELECT case_id, max(value) FILTER (WHERE doc_type = 'purchase' AND file_name = p) AS purchase, max(value) FILTER (WHERE doc_type = 'signup' AND file_name = s) AS signup FROM (SELECT *, max(file_name) FILTER (WHERE doc_type = 'purchase') OVER (PARTITION BY case_id) AS p, max(file_name) FILTER (WHERE doc_type = 'signup') OVER (PARTITION BY case_id) AS s FROM intake) GROUP BY case_id")
+def k1_pivot_latest(spark, sf_dir):
+    i = intake(spark, sf_dir).withColumnRenamed("value", "data")
+    return C.pivot_latest(i, ("purchase", "signup")).select("case_id", "purchase", "signup")
+
+
+@query(f"WITH {CHECKS}, u AS (SELECT case_id, count(*) AS n FROM checks GROUP BY case_id) SELECT case_id, 2 * n AS n, 2 * n AS last_seq FROM u")
+def u1_union_checks(spark, sf_dir):
+    c = event_checks(spark, sf_dir)
+    return C.union_checks([c, c]).groupBy("case_id").agg(F.count("*").alias("n"), F.max("seq").cast("bigint").alias("last_seq"))
+
+
+@query(f"WITH v AS ({SQL['v5_field_comparison']}) SELECT status, count(*) AS n FROM v GROUP BY status")
+def g13_section_summary(spark, sf_dir):
+    return v5_field_comparison(spark, sf_dir).groupBy("status").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH t AS ({casegen.TX_SQL}) SELECT doc_id, {KIND} AS strategy, count(*) AS n_tx, cast(0 AS bigint) AS n_discarded FROM t GROUP BY doc_id")
+def g11_strategy_score(spark, sf_dir):
+    found = statements.strategy_score(statements.candidates(statements.statement_lines(statement_texts(spark, sf_dir))))
+    own = F.element_at(F.array(*(F.lit(n) for n, _ in statements.STRATEGIES)), (F.col("doc_id") % 6 + 1).cast("int"))
+    return found.where(F.col("strategy") == own).select("doc_id", "strategy", "n_tx", "n_discarded")
+
+
+def _simple(spark, sf_dir):
+    tx = casegen.transactions(spark, sf_dir)
+    line = F.concat_ws(" ", F.date_format("d", "dd/MM/yyyy"), F.lit("PIX COMPRA"), money.pt_br(F.col("cents") / 100))
+    return tx.groupBy("doc_id").agg(F.array_join(F.array_sort(F.collect_list(line)), "\n").alias("text"))
+
+
+@query(f"WITH t AS ({casegen.TX_SQL}) SELECT doc_id, strftime(d, '%d/%m/%Y') AS data, 'PIX COMPRA' AS descricao, cents FROM t")
+def x8_extract_statement_simple(spark, sf_dir):
+    got = statements.extract_statement_simple(_simple(spark, sf_dir))
+    return got.select("doc_id", "data", "descricao", F.regexp_replace("valor", "[.,]", "").cast("bigint").alias("cents"))
+
+
+@query("""SELECT doc_id, CASE WHEN regexp_matches(t, 'PROPOSTA|FINANCIADO|VALOR DA COMPRA') THEN 'proposal' WHEN regexp_matches(t, 'SENATRAN') THEN 'licence_registry' WHEN regexp_matches(t, 'HABILITA[CÇ][AÃ]O') THEN 'licence' WHEN regexp_matches(t, 'AUTORIZA[CÇ][AÃ]O PARA TRANSFER[EÊ]NCIA') THEN 'transfer' WHEN regexp_matches(t, 'CERTIFICADO DE REGISTRO E LICENCIAMENTO') THEN 'vehicle_certificate' WHEN regexp_matches(t, 'DETRAN') THEN 'registry_lookup' WHEN regexp_matches(t, 'HOLERITE|TOTAL DE VENCIMENTOS') THEN 'payslip' WHEN regexp_matches(t, 'EXTRATO') THEN 'bank_statement' END AS doc_class FROM (SELECT doc_id, upper(substr(coalesce(text, ''), 1, 8000)) AS t FROM documents)""")
+def x2_classify_for_intake(spark, sf_dir):
+    d = read(spark, sf_dir, "documents").select("doc_id", "text", F.lit("x.txt").alias("file_name"))
+    return extract.classify_for_intake(d).select("doc_id", "doc_class")
+
+
+@query("SELECT doc_id, CASE WHEN length(coalesce(text, '')) >= 800 THEN 'native' ELSE 'other' END AS chosen_from FROM documents")
+def x3_text_source_policy(spark, sf_dir):
+    d = read(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("native"), F.concat(F.lit("x"), T.text("text")).alias("other"))
+    return extract.text_source_policy(d).select("doc_id", "chosen_from")
+
+
+def _licence_texts(spark, sf_dir):
+    f = casegen.flat(spark, sf_dir).where("has_licence")
+    text = F.concat(F.lit("CARTEIRA NACIONAL DE HABILITACAO\nNOME\n"), F.col("full_name"), F.lit("\n"), F.col("p_nasc"), F.lit(", CURITIBA, PR\nCPF "), F.col("cpf"), F.lit("\nVALIDADE 31/12/2031\nFILIACAO\nJOSE DA SILVA\nMARIA DE SOUZA\nPERMISSAO\n"))
+    return f.select(F.col("k").alias("doc_id"), text.alias("text"))
+
+
+@query(f"WITH {FLAT} SELECT k AS doc_id, full_name AS nome, cpf, p_nasc AS data_nascimento, '31/12/2031' AS validade, 'CURITIBA' AS cidade_nascimento, 'JOSE DA SILVA,MARIA DE SOUZA' AS pais, true AS low_signal FROM flat WHERE has_licence")
+def x5_extract_licence(spark, sf_dir):
+    got = extract.extract_licence(_licence_texts(spark, sf_dir))
+    return got.select("doc_id", "nome", "cpf", "data_nascimento", "validade", "cidade_nascimento", F.array_join(F.array_sort("filiacao"), ",").alias("pais"), "low_signal")
+
+
+@query(f"WITH {FLAT} SELECT k AS doc_id, full_name AS titular, 'RUA DAS FLORES, 12' AS endereco, '80000-000' AS cep, 'CURITIBA' AS cidade, 'PR' AS uf, p_nasc AS vencimento FROM flat")
+def x10_extract_residence(spark, sf_dir):
+    f = casegen.flat(spark, sf_dir)
+    text = F.concat(F.lit("CLIENTE: "), F.col("full_name"), F.lit("\nENDEREÇO: RUA DAS FLORES, 12 - UNIDADE CONSUMIDORA 99\nCEP 80000-000\nCIDADE: CURITIBA - PR\nEMISSÃO 01/01/2030\nVENCIMENTO: "), F.col("p_nasc"))
+    return extract.extract_residence(f.select(F.col("k").alias("doc_id"), text.alias("text")))
+
+
+@query(f"WITH {FLAT} SELECT k AS doc_id, 'ABC1D23' AS placa, renavam_ok AS renavam, '9BWZZZ377VT004251' AS chassi, full_name AS proprietario_nome FROM flat WHERE has_vehicle")
+def x11_extract_vehicle_certificate(spark, sf_dir):
+    f = casegen.flat(spark, sf_dir).where("has_vehicle")
+    text = F.concat(F.lit("QR CODE\nPLACA\nABC1D23\nRENAVAM: "), F.col("renavam_ok"), F.lit("\nCHASSI\n9BWZZZ377VT004251\nNOME\n"), F.col("full_name"))
+    return extract.extract_vehicle_certificate(f.select(F.col("k").alias("doc_id"), text.alias("text"))).select("doc_id", "placa", "renavam", "chassi", "proprietario_nome")
+
+
+@query(f"WITH {FLAT} SELECT k AS doc_id, CASE WHEN k % 8 = 0 THEN 'new' ELSE 'legacy' END AS layout, CASE WHEN k % 8 = 0 THEN 'ABC1023' ELSE 'ABC1O23' END AS placa, CASE WHEN k % 8 = 0 THEN renavam_ok END AS renavam FROM flat WHERE has_vehicle")
+def x14_route_vehicle_document(spark, sf_dir):
+    f = casegen.flat(spark, sf_dir).where("has_vehicle")
+    text = F.when(F.col("k") % 8 == 0, F.concat(F.lit("Placa ABC1023 Renavam "), F.col("renavam_ok"))).otherwise(F.lit("PLACA: A B C 1 O 2 3"))
+    return extract.route_vehicle_document(f.select(F.col("k").alias("doc_id"), text.alias("text"))).select("doc_id", "layout", "placa", "renavam")
+
+
+@query(f"WITH {FLAT} SELECT case_id, CASE WHEN cpf_valid THEN 'ok' ELSE 'dv_mismatch' END AS cpf_reason, CASE WHEN cpf_valid THEN '' ELSE 'cpf:dv_mismatch,' END || CASE WHEN p_nome IS NULL THEN 'nome:missing,' ELSE '' END || CASE WHEN h_total IS NULL THEN 'total_vencimentos:missing,' ELSE '' END AS warnings FROM flat WHERE has_payslip")
+def v2_payslip_soft_checks(spark, sf_dir):
+    f = casegen.flat(spark, sf_dir).where("has_payslip").select("case_id", "cpf", F.col("p_nome").alias("nome"), F.col("h_total").alias("total_vencimentos"))
+    return rules.payslip_soft_checks(f).select("case_id", "cpf_reason", F.array_join(F.transform("warnings", lambda x: F.concat(x, F.lit(","))), "").alias("warnings"))
+
+
+@query(f"WITH {FLAT} SELECT case_id, {REN_OK('v_renavam')} AS dv_ok, CASE WHEN {REN_OK('v_renavam')} THEN 'ok' ELSE 'dv_mismatch' END AS reason FROM flat WHERE has_vehicle")
+def v3_certificate_soft_checks(spark, sf_dir):
+    f = casegen.flat(spark, sf_dir).where("has_vehicle").select("case_id", F.col("v_renavam").alias("renavam"))
+    return rules.certificate_soft_checks(f).select("case_id", "dv_ok", "reason")
+
+
+@query(f"WITH {FLAT}, d AS (SELECT case_id, k, CASE WHEN l_validade LIKE '____-__-__' THEN try_strptime(l_validade, '%Y-%m-%d') ELSE try_strptime(l_validade, '%d/%m/%Y') END::DATE AS v FROM flat WHERE has_licence) SELECT case_id, CASE WHEN k % 3 = 0 THEN 'unknown_state,' ELSE '' END || CASE WHEN v < DATE '{TODAY}' + 30 THEN 'expiry_soon,' ELSE '' END AS critiques FROM d")
+def v4_licence_critique(spark, sf_dir):
+    f = casegen.flat(spark, sf_dir).where("has_licence").select("case_id", "cpf", F.when(F.col("k") % 3 == 0, F.lit("XX")).otherwise(F.lit("pr")).alias("uf"), F.col("l_validade").alias("validade"), F.col("p_nasc").alias("data_nascimento"))
+    return rules.licence_critique(f, F.lit(TODAY).cast("date")).select("case_id", F.array_join(F.transform("critiques", lambda x: F.concat(x, F.lit(","))), "").alias("critiques"))
+
+
+@query(f"WITH m AS ({SQL['v13_master_report']}), {FLAT} SELECT f.case_id, coalesce(overall_status, 'WARN') AS overall_status FROM flat f LEFT JOIN m ON f.case_id = m.case_id")
+def v14_safe_master_report(spark, sf_dir):
+    cases = casegen.flat(spark, sf_dir)
+    return report.safe_master_report(cases, store(spark, sf_dir), F.lit(TODAY)).select("case_id", "overall_status")
+
+
+@query(f"WITH {FLAT} SELECT case_id, 'nome,cpf' AS shown, '***.' || substr(cpf, 8, 4) AS cpf FROM flat WHERE has_licence")
+def j3_project_whitelist(spark, sf_dir):
+    f = casegen.flat(spark, sf_dir).where("has_licence")
+    rows = f.select("case_id", F.lit("licence").alias("doc_type"), F.create_map(F.lit("other"), F.lit("x"), F.lit("cpf"), F.col("cpf"), F.lit("nome"), F.coalesce("l_nome", F.lit(""))).alias("fields"))
+    return N.project_whitelist(rows).select("case_id", F.array_join(F.map_keys("shown"), ",").alias("shown"), F.element_at("shown", F.lit("cpf")).alias("cpf"))
+
+
+@query(f"WITH {FLAT} SELECT case_id, p_compra AS valor_venda, '9BW' AS chassi FROM flat")
+def j5_canonical_keys(spark, sf_dir):
+    f = casegen.flat(spark, sf_dir).select("case_id", F.lit("").alias("chassi"), F.lit("9BW").alias("vin"), F.lit(None).cast("string").alias("valor_compra"), F.col("p_compra").alias("valor"))
+    return rules.canonical_keys(f).select("case_id", "valor_venda", "chassi")
+
+
 def queries() -> dict:
     return dict(QUERIES)
 
