@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from verifold.llm.storage import Table, free, save
-from verifold.llm.words import words_of
+from verifold.llm.words import tidy, words_of
 
 #: Transformed statistics, in order.
 STATS = ("symbols", "upper", "marks", "repeats", "dup_lines", "word_length")
@@ -88,7 +88,7 @@ def statistics(docs: DataFrame) -> DataFrame:
     """Counts and transformed statistics of each row: one pass, no shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in tidy(batches):
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
                 found = _statistics(part.column("text"))
@@ -216,5 +216,5 @@ def judge(docs: DataFrame, probability: float = 1 - 1e-9, share: float = 0.75, l
 def keep_good(docs: DataFrame, **options) -> DataFrame:
     """Rows of ``docs`` that ``judge`` keeps; columns as they were."""
     bad = judge(docs, **options).where("not kept").select(F.col("doc_id").alias("bad_doc_id"), F.col("row_key").alias("bad_row_key")).distinct()
-    match = F.col("doc_id").cast("long").eqNullSafe(F.col("bad_doc_id")) & F.xxhash64(F.col("text").cast("string")).eqNullSafe(F.col("bad_row_key"))
+    match = docs["doc_id"].cast("long").eqNullSafe(bad["bad_doc_id"]) & F.xxhash64(docs["text"].cast("string")).eqNullSafe(bad["bad_row_key"])
     return docs.join(bad, match, "left_anti")

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from verifold.llm import components
 from verifold.llm.storage import save
-from verifold.llm.words import split_words
+from verifold.llm.words import split_words, tidy
 
 SEED = 42
 #: Cells with more members than this are split over tasks.
@@ -70,7 +70,7 @@ def fingerprints(docs: DataFrame, shingle: int = 4, keys: bool = False) -> DataF
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in tidy(batches):
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
                 fps = pa.array(_fingerprints(part.column("text"), shingle).view(np.int64))
@@ -215,7 +215,7 @@ def links(distinct: DataFrame, distance: int = 4, segment: int = 2, groups: int
         raise ValueError("segment must divide 64, groups be 1 or more, and distance from 0 to 63")
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in tidy(batches):
             for at in range(0, batch.num_rows, 20_000):
                 fps = batch.column("fp").slice(at, 20_000).to_numpy(zero_copy_only=False).view(np.uint64)
                 keys, rows = cells(fps, distance, segment, groups)

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 #: finished write are removed at once, and batches for Python stay small when rows are large.
 WRITE_CONF = {
     "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
-    "spark.sql.execution.arrow.maxBytesPerBatch": str(32 << 20),
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20),
 }
 
 

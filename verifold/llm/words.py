@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -14,6 +16,20 @@ BASE = 0x9E3779B97F4A7C15
 MIX = (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53)
 
 
+def tidy(batches: Iterator) -> Iterator:
+    """The same batches; memory that a batch needed goes back to the system, so idle workers stay small."""
+    pool = pa.default_memory_pool()
+    try:
+        trim = ctypes.CDLL(None).malloc_trim
+    except (AttributeError, OSError):
+        trim = lambda _: None
+    for batch in batches:
+        yield batch
+        pool.release_unused()
+    trim(0)
+    pool.release_unused()
+
+
 class Words(NamedTuple):
     """Words of several documents, one after the other.
 
