@@ -18,6 +18,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -64,7 +65,7 @@ def pack(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
             return pa.RecordBatch.from_pydict({"block": pa.array([first + number], pa.int64()), "n_bytes": pa.array([size], pa.int64()), "data": pa.array([data], pa.binary())})
 
         for batch in batches:
-            lengths = pa.compute.fill_null(pa.compute.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False)
+            lengths = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False)
             at = 0
             for i, n in enumerate(lengths.tolist()):
                 if size and size + n > block_bytes:

@@ -66,7 +66,7 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, exponent: floa
     source, order is by a hash of doc_id and text; equal rows stand side by side.
     """
     spark = docs.sparkSession
-    made = ("mix_block", "mix_slot", "mix_offset", "mix_source", "mix_size", "mix_hash", "mix_bucket", "mix_before")
+    made = ("mix_block", "mix_slot", "mix_offset", "mix_source", "mix_size", "mix_hash", "mix_bucket", "mix_before", "mix_per", "mix_turns")
     rows = docs.drop(*made)
     rows = rows.withColumns({"mix_source": F.coalesce(F.col("source").cast("string"), F.lit("")), "mix_size": (F.coalesce(F.length("text"), F.lit(0)) + 1).cast("long"), "mix_hash": F.xxhash64(F.col("doc_id").cast("long"), F.col("text"))})
     total = rows.agg(F.sum("mix_size")).first()[0] or 0
@@ -89,10 +89,10 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, exponent: floa
     inside = Window.partitionBy("mix_source", "mix_bucket").orderBy("mix_hash", "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     placed = rows.withColumn("mix_offset", F.sum("mix_size").over(inside) - F.col("mix_size")).join(offsets, ["mix_source", "mix_bucket"])
     placed = placed.withColumn("mix_offset", F.col("mix_offset") + F.col("mix_before")).withColumn("mix_block", F.floor(F.col("mix_offset") / block_chars))
-    each = F.broadcast(plan.groupBy("mix_source").agg(F.first("per_period").alias("per_period"), F.sort_array(F.collect_list(F.struct("turn", "at"))).alias("turns")))
+    each = F.broadcast(plan.groupBy("mix_source").agg(F.first("per_period").alias("mix_per"), F.sort_array(F.collect_list(F.struct("turn", "at"))).alias("mix_turns")))
     found = placed.join(each, "mix_source", "left")
-    slot = F.floor(F.col("mix_block") / F.col("per_period")) * period + F.element_at("turns", (F.col("mix_block") % F.col("per_period") + 1).cast("int"))["at"]
-    return found.withColumn("mix_slot", slot).withColumn("mix_block", F.when(F.col("per_period").isNotNull(), F.col("mix_block"))).select(*rows.columns[: len(docs.drop(*made).columns)], "mix_block", "mix_slot", "mix_offset")
+    slot = F.floor(F.col("mix_block") / F.col("mix_per")) * period + F.element_at("mix_turns", (F.col("mix_block") % F.col("mix_per") + 1).cast("int"))["at"]
+    return found.withColumn("mix_slot", slot).withColumn("mix_block", F.when(F.col("mix_per").isNotNull(), F.col("mix_block"))).select(*rows.columns[: len(docs.drop(*made).columns)], "mix_block", "mix_slot", "mix_offset")
 
 
 
