@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from verifold.llm.storage import save
+
 #: Rules as (verdict, host, path); a rule fits its host and all subdomains, the longest one wins.
 RULES = (
     ("allow", "com", "/"),
@@ -55,7 +57,7 @@ def templates(pages: DataFrame, depth: int = DEPTH, most_children: int = 16, z:
     template's.
     """
     paths = pages.groupBy("host", "segments").agg(F.count("bad").alias("n_labelled"), F.count_if("bad").alias("n_bad"))
-    paths = paths.withColumn("template", F.lit(""))
+    paths = save(paths.withColumn("template", F.lit("")), "paths").df
     for level in range(depth + 1):
         segment = F.get("segments", F.lit(level))
         here = paths.withColumn("segment", segment)
@@ -67,7 +69,8 @@ def templates(pages: DataFrame, depth: int = DEPTH, most_children: int = 16, z:
         keep = (F.col("n_children") == 1) | F.coalesce(differs, F.lit(False)) | ((F.col("labelled") == 0) & (F.col("n_children") <= most_children))
         step = children.join(parents, ["host", "template"]).select("host", "template", "segment", F.when(keep, F.col("segment")).otherwise(F.lit("*")).alias("part"))
         paths = here.join(step, ["host", "template", "segment"], "left").withColumn("template", F.concat("template", F.coalesce(F.concat(F.lit("/"), "part"), F.lit(""))))
-        paths = paths.select("host", "segments", "n_labelled", "n_bad", "template")
+        # Each level is written: it is read twice in the next one.
+        paths = save(paths.select("host", "segments", "n_labelled", "n_bad", "template"), f"level{level}").df
     sums = paths.groupBy("host", "template").agg(F.sum("n_labelled").alias("n_labelled"), F.sum("n_bad").alias("n_bad"))
     return paths.select("host", "segments", "template").join(sums, ["host", "template"])
 
