@@ -17,27 +17,31 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from verifold.llm.words import tidy
+
 CHUNK_IDS = 1 << 20
 BLOCK_IDS = 1 << 16
 #: Bounds of the dictionary of encoded pieces that a task keeps.
-PIECES, PIECE_CHARS = 400_000, 48
+PIECES, PIECE_CHARS = 600_000, 48
+#: Marks that are never in one token with a letter or digit before them.
+MARKS = ".,;:!?"
 CHUNK_SCHEMA = "shard int, chunk int, shard_start long, n_ids long, doc_ids array<long>, lengths array<long>, block_ids int, mode string, n_planes int, planes array<binary>"
-#: White space for which pieces at single spaces would not be encoded as in the whole text.
-_UNSAFE = re.compile(r"[^\S \n]|[ \n] (?:[ \n]|\Z)")
 
 
 class Encoder:
     """Ids of whole texts by the tokenizers library, special strings read as ordinary text.
 
-    A byte-level tokenizer with the usual pattern starts a new piece at each single space after a
-    non-space, so a text is encoded piece by piece and pieces are looked up. Texts with other white
-    space, and tokenizers of another kind, are encoded whole.
+    A byte-level tokenizer with the usual pattern starts a new piece at a space that a character
+    other than white space follows. So texts are cut there, each distinct piece is encoded once, and
+    its ids are kept for the next texts. Texts where more white space follows a space, and
+    tokenizers of another kind, are encoded whole.
     """
 
     def __init__(self, path: str):
@@ -49,36 +53,88 @@ class Encoder:
         kind = re.sub(r"\s", "", str(self.tok.pre_tokenizer))
         self.by_piece = self.tok.normalizer is None and kind.startswith("ByteLevel(") and "add_prefix_space=False" in kind and "use_regex=True" in kind
         self.known: dict[str, bytes] = {}
-
-    def _batch(self, texts: list[str]) -> list[bytes]:
+        self.before: dict[str, bytes] = {}
+        self.tails: dict[str, bytes] = {}
+        vocabulary = self.tok.get_vocab(with_added_tokens=True)
+        #: Whether an id starts with the space that opens a piece.
+        self.opens = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.opens[[i for w, i in vocabulary.items() if w.startswith("\u0120")]] = True
+
+    def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tok.encode_batch(texts, add_special_tokens=False)]
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text."""
-        out: list[bytes | None] = [None] * len(texts)
-        whole = [i for i, t in enumerate(texts) if not self.by_piece or _UNSAFE.search(t)]
-        for i, ids in zip(whole, self._batch([texts[i] for i in whole]), strict=True):
-            out[i] = ids
-        rest = [i for i, x in enumerate(out) if x is None]
-        parts = [texts[i].split(" ") for i in rest]
-        firsts = self._batch([p[0] for p in parts])
-        wanted = set()
-        for p in parts:
-            del p[0]
-            wanted.update(p)
-        new = list(wanted.difference(self.known))
-        if len(self.known) + len(new) > PIECES:
-            self.known.clear()
-            new = list(wanted)
-        self.known.update(zip(new, self._batch([" " + x for x in new]), strict=True))
-        find = self.known.__getitem__
-        for i, first, p in zip(rest, firsts, parts, strict=True):
-            out[i] = first + b"".join(map(find, p))
-        for x in new:
-            if len(x) > PIECE_CHARS:
-                del self.known[x]
+    def _learn(self, pieces: list[str]) -> None:
+        """Encode pieces, each after a space, some hundred in one text; the ids that open a piece tell them apart."""
+        groups = [pieces[i : i + 500] for i in range(0, len(pieces), 500)]
+        for group, raw in zip(groups, self._whole(["".join(" " + p for p in g) for g in groups]), strict=True):
+            ids = np.frombuffer(raw, dtype="<u4")
+            cuts = np.flatnonzero(self.opens[ids])
+            if len(cuts) == len(group) and cuts[0] == 0:
+                ends = (4 * np.append(cuts, len(ids))).tolist()
+                self.known.update(zip(group, map(raw.__getitem__, map(slice, ends[:-1], ends[1:])), strict=True))
+            else:
+                self.known.update(zip(group, self._whole([" " + p for p in group]), strict=True))
+
+    def _ids_of(self, pieces: list[str]) -> list[bytes]:
+        """Ids of pieces after a space: a piece is looked up without the marks at its end."""
+        heads = [h if (h := p.rstrip(MARKS)) and h[-1].isalnum() else p for p in pieces]
+        new = []
+        for h in set(heads).difference(self.known):
+            if (x := self.before.get(h)) is None:
+                new.append(h)
+            else:
+                self.known[h] = x
+        if len(self.known) + len(new) > PIECES // 2:
+            # The pieces not used since the last turn go: rare ones, of which there is no end.
+            keep = set(heads).intersection(self.known)
+            self.before, self.known = self.known, {h: self.known[h] for h in keep}
+        self._learn(new)
+        for t in {p[len(h) :] for p, h in zip(pieces, heads, strict=True)}.difference(self.tails):
+            self.tails[t] = self._whole([t])[0]
+        out = [self.known[h] + self.tails[p[len(h) :]] if len(h) < len(p) else self.known[h] for p, h in zip(pieces, heads, strict=True)]
+        for h in new:
+            if len(h) > PIECE_CHARS:
+                del self.known[h]
+        if len(self.tails) > 10_000:
+            self.tails.clear()
         return out
 
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts one after the other, and how many each text has. No text is null."""
+        n = len(texts)
+        if not self.by_piece:
+            done = self._whole(texts.to_pylist())
+            return np.frombuffer(b"".join(done), dtype="<u4"), np.array([len(x) // 4 for x in done], dtype=np.int64)
+        lists = pc.split_pattern(texts, " ")
+        starts = lists.offsets.to_numpy().astype(np.int64)
+        starts -= starts[0]
+        coded = lists.flatten().dictionary_encode()
+        at, pieces = coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_pylist()
+        odd = np.array([not p or p[0].isspace() for p in pieces], dtype=bool)
+        first = starts[:-1]
+        rest = np.ones(len(at), dtype=bool)
+        rest[first] = False
+        owner = np.repeat(np.arange(n), np.diff(starts))
+        whole = np.zeros(n, dtype=bool)
+        whole[owner[rest & odd[at]]] = True
+        rest &= ~whole[owner]
+        used = np.zeros(len(pieces), dtype=bool)
+        used[at[rest]] = True
+        heads = self._whole([t if w else p for t, w, p in zip(texts.to_pylist(), whole.tolist(), (pieces[i] for i in at[first].tolist()), strict=True)])
+        # Ids of the used pieces, then of the heads: gathered for each place in the texts.
+        found = iter(self._ids_of([p for p, u in zip(pieces, used.tolist(), strict=True) if u]))
+        pool = [next(found) if u else b"" for u in used.tolist()] + heads
+        sizes = np.fromiter(map(len, pool), dtype=np.int64, count=len(pool)) // 4
+        begins = np.cumsum(sizes) - sizes
+        at[first] = len(pieces) + np.arange(n)
+        rest[first] = True
+        at, owner = at[rest], owner[rest]
+        length = sizes[at]
+        ends = np.cumsum(length)
+        flat = np.frombuffer(b"".join(pool), dtype="<u4")
+        ids = flat[np.repeat(begins[at] - ends + length, length) + np.arange(ends[-1] if n else 0)]
+        return ids, np.bincount(owner, weights=length, minlength=n).astype(np.int64)
+
 
 _ENCODERS: dict[str, Encoder] = {}
 
@@ -126,27 +182,28 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, order: tuple[Column, .
     order = order or (F.col("doc_id"),)
     keyed = docs.select(*(c.alias(f"o{i}") for i, c in enumerate(order)), F.xxhash64("text").alias("tie"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     by = [*(f"o{i}" for i in range(len(order))), "tie"]
-    end = np.array([end_id], dtype="<u4").tobytes()
+    end = np.array([end_id], dtype="<u4")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok, shard = encoder(tokenizer), TaskContext.get().partitionId()
         chunk, start, names, held, size = 0, 0, [], [], 0
 
         def close() -> pa.RecordBatch:
-            ids = np.frombuffer(b"".join(held), dtype="<u4")
+            ids = np.concatenate(held)
             blocks = [to_planes(ids[i : i + block_ids], mode) for i in range(0, len(ids), block_ids)]
             most = max(map(len, blocks))
             planes = [p for b in blocks for p in [*b, *[None] * (most - len(b))]]
-            one = {"shard": shard, "chunk": chunk, "shard_start": start, "n_ids": size, "doc_ids": list(names), "lengths": [len(x) // 4 for x in held], "block_ids": block_ids, "mode": mode, "n_planes": most, "planes": planes}
+            one = {"shard": shard, "chunk": chunk, "shard_start": start, "n_ids": size, "doc_ids": list(names), "lengths": list(map(len, held)), "block_ids": block_ids, "mode": mode, "n_planes": most, "planes": planes}
             return pa.RecordBatch.from_pylist([one], schema=_chunk_arrow())
 
-        for batch in batches:
-            for at in range(0, batch.num_rows, 100):
-                part = batch.slice(at, 100)
-                for doc, ids in zip(part.column("doc_id").to_pylist(), tok.encode(part.column("text").to_pylist()), strict=True):
+        for batch in tidy(batches):
+            for at in range(0, batch.num_rows, 2000):
+                part = batch.slice(at, 2000)
+                ids, sizes = tok.encode(part.column("text"))
+                for doc, own in zip(part.column("doc_id").to_pylist(), np.split(ids, np.cumsum(sizes)[:-1]), strict=True):
                     names.append(doc)
-                    held.append(ids + end)
-                    size += len(held[-1]) // 4
+                    held.append(np.append(own, end))
+                    size += len(held[-1])
                     if size >= chunk_ids:
                         yield close()
                         chunk, start, names, held, size = chunk + 1, start + size, [], [], 0
@@ -174,7 +231,7 @@ def read_ids(spark: SparkSession, path: str, ids: bool = False) -> DataFrame:
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<int>" * ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in tidy(batches):
             for i in range(batch.num_rows):
                 r = {c: batch.column(c)[i].as_py() for c in batch.schema.names}
                 k, size = r["n_planes"], r["block_ids"]
