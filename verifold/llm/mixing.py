@@ -17,8 +17,9 @@ from verifold.llm.storage import save
 
 PERIOD = 1000
 BLOCK_CHARS = 1 << 18
-#: Characters of a source that one bucket holds about.
-BUCKET_CHARS = 8 << 20
+#: Characters that one bucket of all sources holds about, and bounds of the number of buckets: the
+#: second level of the prefix sums is one row for each source and bucket.
+BUCKET_CHARS, BUCKETS = 1 << 20, (64, 1 << 16)
 
 
 def slots_of(weights: dict[str, float], period: int) -> dict[str, int]:
@@ -70,7 +71,7 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, exponent: floa
     rows = docs.drop(*made)
     rows = rows.withColumns({"mix_source": F.coalesce(F.col("source").cast("string"), F.lit("")), "mix_size": (F.coalesce(F.length("text"), F.lit(0)) + 1).cast("long"), "mix_hash": F.xxhash64(F.col("doc_id").cast("long"), F.col("text"))})
     total = rows.agg(F.sum("mix_size")).first()[0] or 0
-    buckets = max(16, -(-total // BUCKET_CHARS))
+    buckets = min(max(BUCKETS[0], -(-total // BUCKET_CHARS)), BUCKETS[1])
     rows = rows.withColumn("mix_bucket", F.pmod(F.shiftrightunsigned("mix_hash", 8), F.lit(buckets)))
     sums = save(rows.groupBy("mix_source", "mix_bucket").agg(F.sum("mix_size").alias("n")), "sums").df
     per_source = sums.groupBy("mix_source").agg(F.sum("n").alias("n")).limit(period + 1).collect() if weights is None else []
