@@ -180,12 +180,15 @@ def score(docs: DataFrame, order: int = 2) -> tuple[DataFrame, list[Table]]:
             spoken &= count > 0
             keys, back = np.unique(t.histories[m], return_inverse=True)
             at = back[spoken]
-            sums = [np.bincount(at, weights=w, minlength=len(keys)) for w in (count[spoken], discounted(count[spoken], stats[m]["d"]), s.probability(m - 1)[spoken])]
-            return B.request_rows(block, keys, [sums[0].astype(np.int64), sums[1], sums[2]], parts)
+            seen, low = (np.bincount(at, weights=w, minlength=len(keys)) for w in (count[spoken], s.probability(m - 1)[spoken]))
+            # Followers seen r times, for the counts that are discounted: small whole numbers, which pack well.
+            few = [np.bincount(at[count[spoken] == r], minlength=len(keys)).astype(np.uint32) for r in range(1, K + 1)]
+            return B.request_rows(block, keys, [seen.astype(np.int64), low, *few], parts)
 
-        def weighed(starts, rank, values, least=stats[0]["floor"] if m == 1 else 1e-12):
+        def weighed(starts, rank, values, least=stats[0]["floor"] if m == 1 else 1e-12, d=stats[m]["d"]):
             """Denominator and backoff weight of each history; both 0 if unseen in training."""
-            seen, kept, low = (np.add.reduceat(v[rank], starts) for v in values)
+            seen, low, *few = (np.add.reduceat(v[rank], starts) for v in values)
+            kept = seen - sum((1 - d[r]) * r * n for r, n in enumerate(few, 1))
             # Where no follower is discounted, one count is set aside for the others.
             whole = np.where((seen > 0) & (kept >= seen), seen + 1, seen)
             return [whole, (whole - kept) / np.maximum(whole, 1) / np.maximum(1 - low, least)]
@@ -194,7 +197,7 @@ def score(docs: DataFrame, order: int = 2) -> tuple[DataFrame, list[Table]]:
             seen = totals[0] > 0
             return [("table", keys[seen], totals[0][seen], totals[1][seen])]
 
-        table = save(B.merge(B.cogroup(stored.df, replies, followers, B.REQUEST_SCHEMA), [np.int64, np.float64, np.float64], weighed, weights), f"history{m}", ("kind",))
+        table = save(B.merge(B.cogroup(stored.df, replies, followers, B.REQUEST_SCHEMA), [np.int64, np.float64, *[np.uint32] * K], weighed, weights), f"history{m}", ("kind",))
         tables.append(table)
         replies = replies.unionByName(told(table.df, f"history{m}"))
 
