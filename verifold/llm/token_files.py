@@ -29,7 +29,7 @@ from verifold.llm.words import tidy
 CHUNK_IDS = 1 << 20
 BLOCK_IDS = 1 << 16
 #: Bounds of the dictionary of encoded pieces that a task keeps.
-PIECES, PIECE_CHARS = 600_000, 48
+PIECES, PIECE_CHARS = 1_000_000, 48
 #: Marks that are never in one token with a letter or digit before them.
 MARKS = ".,;:!?"
 CHUNK_SCHEMA = "shard int, chunk int, shard_start long, n_ids long, doc_ids array<long>, lengths array<long>, block_ids int, mode string, n_planes int, planes array<binary>"
@@ -77,21 +77,20 @@ class Encoder:
 
     def _ids_of(self, pieces: list[str]) -> list[bytes]:
         """Ids of pieces after a space: a piece is looked up without the marks at its end."""
-        heads = [h if (h := p.rstrip(MARKS)) and h[-1].isalnum() else p for p in pieces]
-        new = []
-        for h in set(heads).difference(self.known):
-            if (x := self.before.get(h)) is None:
-                new.append(h)
-            else:
-                self.known[h] = x
+        heads = [p if p[-1].isalnum() else h if (h := p.rstrip(MARKS)) and h[-1].isalnum() else p for p in pieces]
+        absent = set(heads).difference(self.known)
+        again = absent.intersection(self.before)
+        self.known.update((h, self.before[h]) for h in again)
+        new = list(absent - again)
         if len(self.known) + len(new) > PIECES // 2:
             # The pieces not used since the last turn go: rare ones, of which there is no end.
             keep = set(heads).intersection(self.known)
             self.before, self.known = self.known, {h: self.known[h] for h in keep}
         self._learn(new)
-        for t in {p[len(h) :] for p, h in zip(pieces, heads, strict=True)}.difference(self.tails):
+        for t in {p[len(h) :] for p, h in zip(pieces, heads, strict=True) if h is not p}.difference(self.tails):
             self.tails[t] = self._whole([t])[0]
-        out = [self.known[h] + self.tails[p[len(h) :]] if len(h) < len(p) else self.known[h] for p, h in zip(pieces, heads, strict=True)]
+        known, tails = self.known, self.tails
+        out = [known[p] if h is p else known[h] + tails[p[len(h) :]] for p, h in zip(pieces, heads, strict=True)]
         for h in new:
             if len(h) > PIECE_CHARS:
                 del self.known[h]
@@ -110,7 +109,8 @@ class Encoder:
         starts -= starts[0]
         coded = lists.flatten().dictionary_encode()
         at, pieces = coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_pylist()
-        odd = np.array([not p or p[0].isspace() for p in pieces], dtype=bool)
+        head = pc.utf8_slice_codeunits(coded.dictionary, 0, 1)
+        odd = pc.or_(pc.equal(head, ""), pc.utf8_is_space(head)).to_numpy(zero_copy_only=False)
         first = starts[:-1]
         rest = np.ones(len(at), dtype=bool)
         rest[first] = False
@@ -197,8 +197,8 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, order: tuple[Column, .
             return pa.RecordBatch.from_pylist([one], schema=_chunk_arrow())
 
         for batch in tidy(batches):
-            for at in range(0, batch.num_rows, 2000):
-                part = batch.slice(at, 2000)
+            for at in range(0, batch.num_rows, 3000):
+                part = batch.slice(at, 3000)
                 ids, sizes = tok.encode(part.column("text"))
                 for doc, own in zip(part.column("doc_id").to_pylist(), np.split(ids, np.cumsum(sizes)[:-1]), strict=True):
                     names.append(doc)
