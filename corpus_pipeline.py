@@ -13,7 +13,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verifold.llm import decontamination, mixing, quality, simhash, token_files
+from verifold.llm import decontamination, jaccard, mixing, quality, token_files
 from verifold.llm.storage import shared_folder, write_settings
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -25,8 +25,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: the one with the smallest doc_id."""
-    return simhash.keep_first(docs)
+    """One document of each group of near duplicates (five-word shingles, Jaccard 0.8 or more): the one with the smallest doc_id."""
+    return jaccard.keep_first(docs, similarity=0.8, shingle=5)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -61,8 +61,8 @@ def _fingerprints(texts: pa.Array, shingle: int) -> np.ndarray:
     return out
 
 
-def fingerprints(docs: DataFrame, shingle: int = 4, keys: bool = False) -> DataFrame:
-    """doc_id and the 64-bit fingerprint (signed long) of each row's whole text; keys: and two hashes of the row.
+def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
+    """doc_id and the 64-bit fingerprint (signed long) of each row's whole text.
 
     Words are runs without ASCII white space after A-Z became a-z; shingles of ``shingle`` words,
     repeats included; fewer words make one shingle, no word or null text the fingerprint zero. A
@@ -74,12 +74,10 @@ def fingerprints(docs: DataFrame, shingle: int = 4, keys: bool = False) -> DataF
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
                 fps = pa.array(_fingerprints(part.column("text"), shingle).view(np.int64))
-                yield pa.RecordBatch.from_pydict({"doc_id": part.column("doc_id"), "fp": fps} | {k: part.column(k) for k in ("key_a", "key_b") if keys})
+                yield pa.RecordBatch.from_pydict({"doc_id": part.column("doc_id"), "fp": fps})
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    if keys:
-        rows = rows.select("*", F.xxhash64("doc_id", "text").alias("key_a"), F.xxhash64("text").alias("key_b"))
-    return rows.mapInArrow(run, "doc_id long, fp long" + ", key_a long, key_b long" * keys)
+    return rows.mapInArrow(run, "doc_id long, fp long")
 
 
 def _values(words: pa.Array, step: int = 1 << 16) -> Iterator[bytes]:
@@ -246,21 +244,6 @@ def grouped_fingerprints(marked: DataFrame, distance: int = 4, segment: int = 2,
     return distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
 
 
-def keep_first(docs: DataFrame, distance: int = 4, shingle: int = 4, segment: int = 2, groups: int = 2) -> DataFrame:
-    """One row of ``docs`` for each component: of the smallest doc_id (rows without one come last), then of the smallest text hash.
-
-    Columns as they were; equal rows count once.
-    """
-    by_row = (F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")), F.xxhash64(F.col("text").cast("string")))
-    marked = save(fingerprints(docs, shingle, keys=True), "fingerprints").df
-    grouped = grouped_fingerprints(marked, distance, segment, groups)
-    rank = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "key_b", "key_a")
-    best = marked.join(grouped.select("fp", "root"), "fp").groupBy("root").agg(F.min(rank).alias("best")).select("best.key_a", "best.key_b")
-    rows = docs.withColumns({"kept_key_a": by_row[0], "kept_key_b": by_row[1]}).dropDuplicates(["kept_key_a", "kept_key_b"])
-    best = best.withColumnsRenamed({"key_a": "kept_key_a", "key_b": "kept_key_b"})
-    return rows.join(best, ["kept_key_a", "kept_key_b"], "left_semi").select(docs.columns)
-
-
 def near_duplicates(docs: DataFrame, distance: int = 4, shingle: int = 4, segment: int = 2, groups: int = 2) -> DataFrame:
     """Fingerprint and component of each row: doc_id, fingerprint (16 hex digits), component_id.
 
