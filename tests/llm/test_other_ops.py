@@ -153,6 +153,14 @@ def test_slots_must_be_consistent(spark):
     assert [r.doc_id for r in decontamination.contaminated(d, i).collect()] == [1]
 
 
+def test_items_of_one_template_with_other_repeats(spark):
+    text = "the farmer has {} goats and then he gives {} goats to his old friend"
+    i = spark.createDataFrame([(1, text.format(5, 5)), (2, text.format(5, 7)), (3, text.format(8, 9))], "item_id long, text string")
+    d = spark.createDataFrame([(1, text.format(5, 7)), (2, text.format(4, 6)), (3, text.format(2, 2))], "doc_id long, text string")
+    got = {(r.doc_id, r.item_id): r.verbatim for r in decontamination.contaminated(d, i).collect()}
+    assert got == {(1, 2): True, (2, 2): False, (3, 1): False, (3, 2): False}  # 2 and 3 are one entry
+
+
 def test_decontamination_documents(spark, sf_dir):
     base = sf_dir.replace("0.001", "0.01")
     docs, items = (spark.read.parquet(f"{base}/{t}.parquet") for t in ("documents", "benchmark"))

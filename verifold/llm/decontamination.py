@@ -13,6 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -94,6 +95,11 @@ class _Template:
         places = np.flatnonzero(self.typed[at : at + width])
         return pc.utf8_lower(cores(self.vocabulary.take(pa.array(self.ids[at + places])))).to_pylist() if len(places) else []
 
+    def pattern(self, a: int, b: int) -> list[int]:
+        """Placeholders of the words from a to b, renumbered by the first occurrence of their values."""
+        seen: dict[str, int] = {}
+        return [seen.setdefault(v, len(seen)) for v in self.slots(a, b - a)]
+
     def size(self) -> np.ndarray:
         return np.diff(self.starts)
 
@@ -103,13 +109,13 @@ HIT_SCHEMA = "doc_id long, row_key long, hash long, pos int, slots array<string>
 
 
 def item_windows(items: DataFrame, width: int) -> DataFrame:
-    """Windows of each item with its place, and the hash of its whole template."""
+    """Windows of each item with its place, and the hash of its whole template and of which slots are equal."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             t = _Template(batch.column("text"))
             at, hashed = t.windows(width)
-            whole = [int(np.bitwise_xor.reduce(window_hashes(t.words[a:b], b - a))) if b > a else 0 for a, b in zip(t.starts[:-1], t.starts[1:], strict=True)]
+            whole = [xxhash.xxh64_intdigest(f"{int(window_hashes(t.words[a:b], b - a)[0])} {t.pattern(a, b)}") if b > a else 0 for a, b in zip(t.starts[:-1].tolist(), t.starts[1:].tolist(), strict=True)]
             owner = t.owner[at]
             sizes = t.size()
             yield pa.RecordBatch.from_pydict({
@@ -167,13 +173,14 @@ def contaminated(docs: DataFrame, items: DataFrame, width: int = 5, coverage: fl
 
     docs: doc_id, text; items: item_id, text; other columns are ignored. One row for each
     (doc_id, row_key, item): row_key is a hash of the text, item_id the smallest of the items with
-    that template, n_windows and n_found the item's windows and those found at aligned places with
+    that template and the same slots equal, n_windows and n_found the item's windows and those found at aligned places with
     consistent slots, coverage their share, verbatim whether all slots are equal too. A pair is
     returned if coverage reaches ``coverage``. Null and empty texts, and items of fewer than
     ``width`` template words, match nothing. Repeated rows give equal rows once.
     """
     listed = save(item_windows(items, width), "items").df
-    # Items with one template are one entry: re-parameterised items don't multiply the matches.
+    # Items with one template and equality pattern of slots are one entry: re-parameterised items
+    # don't multiply the matches, and a document is consistent with all of them or none.
     first = listed.groupBy("template").agg(F.min("item_id").alias("item_id"))
     index = save(listed.join(first, ["template", "item_id"]).dropDuplicates(["template", "pos"]).select("item_id", "n_words", "hash", F.col("pos").alias("item_pos"), F.col("slots").alias("item_slots")), "index").df
     bits = index.select(F.shiftrightunsigned("hash", 64 - _BITS).cast("int").alias("b")).distinct().collect()  # 2**22 at most
