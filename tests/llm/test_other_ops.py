@@ -161,6 +161,15 @@ def test_items_of_one_template_with_other_repeats(spark):
     assert got == {(1, 2): True, (2, 2): False, (3, 1): False, (3, 2): False}  # 2 and 3 are one entry
 
 
+def test_names_that_open_sentences(spark):
+    text = "{0} has 5 apples. {0} eats 2 apples. {0} buys 4 apples. How many apples does {0} have?"
+    i = spark.createDataFrame([(1, text.format("Tom"))], "item_id long, text string")
+    d = [(1, text.format("Ben")), (2, text.format("Tom")), (3, "Ann has 5 apples. Bea eats 2 apples. Cat buys 4 apples. How many apples does Dan have?"),
+         (4, "Tom has 5 apples. tom eats 2 apples. tom buys 4 apples. how many apples does Tom have?"), (5, "So it is. How many boats. Now see. Why not.")]
+    got = {r.doc_id: (r.coverage, r.verbatim) for r in decontamination.contaminated(spark.createDataFrame(d, "doc_id long, text string"), i).collect()}
+    assert got[1] == (1, False) and got[2] == (1, True) and 4 in got and 3 not in got and 5 not in got
+
+
 def test_decontamination_documents(spark, sf_dir):
     base = sf_dir.replace("0.001", "0.01")
     docs, items = (spark.read.parquet(f"{base}/{t}.parquet") for t in ("documents", "benchmark"))

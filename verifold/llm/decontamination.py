@@ -4,6 +4,9 @@ Numbers, units and names become typed placeholders, so a question with other par
 same template. Windows of template words of the documents are joined by hash with those of the
 benchmark. Aligned windows then show which value of the item stands for which in the document: a
 re-parameterised question maps each value to one value, chance matches don't.
+
+A capital that opens a sentence may be a name or not, so texts have two readings: openings plain,
+and openings as names. Each is aligned for itself; windows without such a word are the same in both.
 """
 
 from __future__ import annotations
@@ -29,6 +32,8 @@ _NUM_UNIT = r"^[-+]?[$€£]?\p{Nd}[\p{Nd}.,:/]*\P{Nd}+$"
 _UNIT_OF = r"^[-+]?[$€£]?\p{Nd}[\p{Nd}.,:/]*"
 _EDGE = r"^[^\p{L}\p{N}$€£%°+-]+|[^\p{L}\p{N}%°]+$"
 _ENDS = r'[.!?:]["”]?$'
+#: Readings of a window: sentence openings plain, or as names.
+PLAIN, NAMED = 1, 2
 #: A benchmark of at most this many distinct windows is sent to every executor.
 SEND_WINDOWS = 1_000_000
 _BITS = 22
@@ -51,6 +56,12 @@ def canonical(words: pa.Array) -> tuple[pa.Array, pa.Array]:
     return pc.if_else(pc.and_(pc.equal(plain, low), name), NAME, plain), plain
 
 
+def _any_within(marks: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
+    """Which runs of ``width`` from ``at`` hold a mark."""
+    before = np.concatenate([[0], np.cumsum(marks)])
+    return before[at + width] > before[at]
+
+
 class _Template:
     """Template words of several texts: starts of texts, word hashes, and the surface of placeholders.
 
@@ -82,30 +93,38 @@ class _Template:
             at, ids, owner = at[keep], ids[keep], owner[keep]
         self.owner, self.ids, self.vocabulary = owner, ids, vocabulary
         self.starts = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=rows))])
-        self.words = hashed[at] if len(at) else np.zeros(0, np.uint64)
-        self.typed = typed[at] if len(at) else np.zeros(0, dtype=bool)
+        pick = lambda values, at: values[at] if len(at) else values[:0]
+        self.words, self.named_words = pick(hashed, at), pick(hashed, ids)
+        self.typed, self.named_typed = pick(typed, at), pick(typed, ids)
 
-    def windows(self, width: int) -> tuple[np.ndarray, np.ndarray]:
-        """Start and hash of each window inside one text."""
+    def windows(self, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Start, hash and readings of each window inside one text; windows whose readings differ come twice."""
         at = np.flatnonzero(window_starts(self.starts, width))
-        return at, window_hashes(self.words, width)[at]
+        differ = _any_within(self.words != self.named_words, at, width)
+        plain, named = window_hashes(self.words, width)[at], window_hashes(self.named_words, width)[at[differ]]
+        readings = np.concatenate([np.where(differ, PLAIN, PLAIN | NAMED), np.full(len(named), NAMED)]).astype(np.int32)
+        return np.concatenate([at, at[differ]]), np.concatenate([plain, named]), readings
+
+    def filled(self, at: np.ndarray, readings: np.ndarray, width: int) -> np.ndarray:
+        """Which windows have placeholders."""
+        return np.where(readings == NAMED, _any_within(self.named_typed, at, width), _any_within(self.typed, at, width))
 
-    def slots(self, at: int, width: int) -> list[str]:
+    def slots(self, at: int, width: int, readings: int) -> list[str]:
         """Values of the placeholders of a window, lower case without edges."""
-        places = np.flatnonzero(self.typed[at : at + width])
+        places = np.flatnonzero((self.named_typed if readings == NAMED else self.typed)[at : at + width])
         return pc.utf8_lower(cores(self.vocabulary.take(pa.array(self.ids[at + places])))).to_pylist() if len(places) else []
 
     def pattern(self, a: int, b: int) -> list[int]:
         """Placeholders of the words from a to b, renumbered by the first occurrence of their values."""
         seen: dict[str, int] = {}
-        return [seen.setdefault(v, len(seen)) for v in self.slots(a, b - a)]
+        return [seen.setdefault(v, len(seen)) for v in self.slots(a, b - a, NAMED)]
 
     def size(self) -> np.ndarray:
         return np.diff(self.starts)
 
 
-ITEM_SCHEMA = "item_id long, template long, n_words int, hash long, pos int, slots array<string>"
-HIT_SCHEMA = "doc_id long, row_key long, hash long, pos int, slots array<string>"
+ITEM_SCHEMA = "item_id long, template long, n_words int, hash long, readings int, pos int, slots array<string>"
+HIT_SCHEMA = "doc_id long, row_key long, hash long, readings int, pos int, slots array<string>"
 
 
 def item_windows(items: DataFrame, width: int) -> DataFrame:
@@ -114,7 +133,7 @@ def item_windows(items: DataFrame, width: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             t = _Template(batch.column("text"))
-            at, hashed = t.windows(width)
+            at, hashed, readings = t.windows(width)
             whole = [xxhash.xxh64_intdigest(f"{int(window_hashes(t.words[a:b], b - a)[0])} {t.pattern(a, b)}") if b > a else 0 for a, b in zip(t.starts[:-1].tolist(), t.starts[1:].tolist(), strict=True)]
             owner = t.owner[at]
             sizes = t.size()
@@ -123,8 +142,9 @@ def item_windows(items: DataFrame, width: int) -> DataFrame:
                 "template": pa.array(np.array(whole, dtype=np.uint64)[owner].view(np.int64)),
                 "n_words": pa.array(sizes[owner].astype(np.int32)),
                 "hash": pa.array(hashed.view(np.int64)),
+                "readings": pa.array(readings),
                 "pos": pa.array((at - t.starts[owner]).astype(np.int32)),
-                "slots": pa.array([t.slots(i, width) for i in at.tolist()], pa.list_(pa.string())),
+                "slots": pa.array([t.slots(i, width, r) for i, r in zip(at.tolist(), readings.tolist(), strict=True)], pa.list_(pa.string())),
             })
 
     return items.select(F.col("item_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, ITEM_SCHEMA)
@@ -139,19 +159,18 @@ def _document_windows(docs: DataFrame, width: int, passes: np.ndarray, words: li
             for start in range(0, batch.num_rows, 3000):
                 part = batch.slice(start, 3000)
                 t = _Template(part.column("text"), known)
-                at, hashed = t.windows(width)
+                at, hashed, readings = t.windows(width)
                 hit = passes[(hashed >> np.uint64(64 - _BITS)).astype(np.int32)]
-                at, hashed = at[hit], hashed[hit]
+                at, hashed, readings = at[hit], hashed[hit], readings[hit]
                 owner = t.owner[at]
-                plain = np.zeros(len(t.typed) + 1, dtype=np.int64)
-                np.cumsum(t.typed, out=plain[1:])
-                filled = (plain[at + width] - plain[at] > 0).tolist()
+                places = zip(at.tolist(), readings.tolist(), t.filled(at, readings, width).tolist(), strict=True)
                 yield pa.RecordBatch.from_pydict({
                     "doc_id": part.column("doc_id").take(pa.array(owner)),
                     "row_key": part.column("row_key").take(pa.array(owner)),
                     "hash": pa.array(hashed.view(np.int64)),
+                    "readings": pa.array(readings),
                     "pos": pa.array((at - t.starts[owner]).astype(np.int32)),
-                    "slots": pa.array([t.slots(i, width) if f else [] for i, f in zip(at.tolist(), filled, strict=True)], pa.list_(pa.string())),
+                    "slots": pa.array([t.slots(i, width, r) if f else [] for i, r, f in places], pa.list_(pa.string())),
                 })
 
     return docs.mapInArrow(run, HIT_SCHEMA)
@@ -174,15 +193,15 @@ def contaminated(docs: DataFrame, items: DataFrame, width: int = 5, coverage: fl
     docs: doc_id, text; items: item_id, text; other columns are ignored. One row for each
     (doc_id, row_key, item): row_key is a hash of the text, item_id the smallest of the items with
     that template and the same slots equal, n_windows and n_found the item's windows and those found at aligned places with
-    consistent slots, coverage their share, verbatim whether all slots are equal too. A pair is
-    returned if coverage reaches ``coverage``. Null and empty texts, and items of fewer than
+    consistent slots in the reading that has more, coverage their share, verbatim whether all slots
+    are equal too. A pair is returned if coverage reaches ``coverage``. Null and empty texts, and items of fewer than
     ``width`` template words, match nothing. Repeated rows give equal rows once.
     """
     listed = save(item_windows(items, width), "items").df
     # Items with one template and equality pattern of slots are one entry: re-parameterised items
     # don't multiply the matches, and a document is consistent with all of them or none.
     first = listed.groupBy("template").agg(F.min("item_id").alias("item_id"))
-    index = save(listed.join(first, ["template", "item_id"]).dropDuplicates(["template", "pos"]).select("item_id", "n_words", "hash", F.col("pos").alias("item_pos"), F.col("slots").alias("item_slots")), "index").df
+    index = save(listed.join(first, ["template", "item_id"]).dropDuplicates(["template", "pos", "readings"]).select("item_id", "n_words", "hash", F.col("readings").alias("item_readings"), F.col("pos").alias("item_pos"), F.col("slots").alias("item_slots")), "index").df
     bits = index.select(F.shiftrightunsigned("hash", 64 - _BITS).cast("int").alias("b")).distinct().collect()  # 2**22 at most
     passes = np.zeros(1 << _BITS, dtype=bool)
     passes[[r["b"] for r in bits]] = True
@@ -191,16 +210,19 @@ def contaminated(docs: DataFrame, items: DataFrame, width: int = 5, coverage: fl
     # A benchmark of few windows has few words: they go to every task, other words can't be in a match.
     words = [r["word"] for r in item_words(items).limit(width * SEND_WINDOWS + 1).collect()] if few else None
     hits = save(_document_windows(rows, width, passes, words if few and len(words) <= width * SEND_WINDOWS else None), "hits").df
-    found = hits.join(F.broadcast(index) if few else index, "hash")
-    # One alignment of a document and an item: windows at the same distance.
+    shared = F.col("item_readings").bitwiseAND(F.col("readings"))
+    either = F.filter(F.array(F.lit(PLAIN), F.lit(NAMED)), lambda r: shared.bitwiseAND(r) != 0)
+    found = hits.join(F.broadcast(index) if few else index, "hash").withColumn("reading", F.explode(either))
+    # One alignment of a document and an item: windows of one reading at the same distance.
     value = F.zip_with("item_slots", "slots", lambda i, d: F.struct(i.alias("i"), d.alias("d")))
     key = ["doc_id", "row_key", "item_id"]
-    aligned = found.groupBy(*key, "n_words", (F.col("pos") - F.col("item_pos")).alias("shift")).agg(
+    aligned = found.groupBy(*key, "n_words", "reading", (F.col("pos") - F.col("item_pos")).alias("shift")).agg(
         F.collect_set("item_pos").alias("places"), F.array_distinct(F.flatten(F.collect_set(value))).alias("pairs"))
     item_values = F.array_distinct(F.transform("pairs", lambda x: x["i"]))
     aligned = aligned.withColumn("consistent", F.size(item_values) == F.size("pairs")).withColumn("same", F.forall("pairs", lambda x: x["i"].eqNullSafe(x["d"])))
     n = F.col("n_words") - width + 1
-    total = aligned.where("consistent").groupBy(*key, "n_words").agg(F.size(F.array_distinct(F.flatten(F.collect_list("places")))).alias("n_found"), F.bool_and("same").alias("verbatim"))
+    total = aligned.where("consistent").groupBy(*key, "n_words", "reading").agg(F.size(F.array_distinct(F.flatten(F.collect_list("places")))).alias("n_found"), F.bool_and("same").alias("verbatim"))
+    total = total.groupBy(*key, "n_words").agg(F.max(F.struct("n_found", "verbatim")).alias("most")).select(*key, "n_words", "most.*")
     return total.select(*key, n.alias("n_windows"), "n_found", (F.col("n_found") / n).alias("coverage"), "verbatim").where(F.col("coverage") >= coverage)
 
 
