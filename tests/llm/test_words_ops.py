@@ -223,6 +223,18 @@ def test_minimum_covariance_is_robust(spark):
     assert all(abs(fit[f"c{i}"]) < 0.35 for i in range(quality.D))
 
 
+def test_quality_of_small_groups(spark):
+    rng = np.random.default_rng(2)
+    text = lambda: " ".join("".join(chr(97 + c) for c in rng.integers(0, 26, rng.integers(3, 9))) for _ in range(100)) + "."
+    junk = lambda: " ".join(w + "#|" for w in text().split())
+    rows = [(i, text(), "en", "hot") for i in range(60)]
+    for at, lang, source in ((100, "en", "rare"), (200, "xx", "rare"), (300, None, None)):  # by language, and twice by all rows
+        rows += [(at + i, text(), lang, source) for i in range(4)] + [(at + 4, junk(), lang, source)]
+    got = quality.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()
+    assert len(got) == len(rows) and all(r.distance is not None for r in got)
+    assert sorted(r.doc_id for r in got if not r.kept) == [104, 204, 304]
+
+
 def test_quality_empty(spark):
     assert quality.judge(spark.createDataFrame([], "doc_id long, text string, lang string, source string")).count() == 0
 

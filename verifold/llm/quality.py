@@ -191,21 +191,44 @@ def minimum_covariance(rows: DataFrame, share: float = 0.75, steps: int = 3) ->
     return done
 
 
+def _fits(rows: DataFrame, share: float, least_group: int) -> DataFrame:
+    """The fit of each (lang, source): its own if it has ``least_group`` rows, else its language's, else that of all rows.
+
+    Groups are left out only where all rows together are fewer.
+    """
+    cols = [f"x{i}" for i in range(D)]
+    none = F.lit(None).cast("string")
+    own = minimum_covariance(rows.select("lang", "source", *cols), share).df
+    enough, values = F.col("n_rows") >= least_group, [c for c in own.columns if c not in ("lang", "source")]
+    found, small = own.where(enough), save(own.where(~enough).select("lang", "source"), "small").df
+    if small.isEmpty():
+        return found
+    langs = F.broadcast(small.select(F.col("lang").alias("s_lang")).distinct())
+    coarse = minimum_covariance(rows.join(langs, F.col("lang").eqNullSafe(F.col("s_lang")), "left_semi").select("lang", none.alias("source"), *cols), share).df.where(enough)
+    coarse = coarse.select(F.col("lang").alias("f_lang"), *values)
+    found = found.unionByName(small.join(coarse, F.col("lang").eqNullSafe(F.col("f_lang"))).drop("f_lang"))
+    small = save(small.join(coarse, F.col("lang").eqNullSafe(F.col("f_lang")), "left_anti"), "small").df
+    if small.isEmpty():
+        return found
+    whole = minimum_covariance(rows.select(none.alias("lang"), none.alias("source"), *cols), share).df.where(enough)
+    return found.unionByName(small.crossJoin(F.broadcast(whole.select(*values))))
+
+
 def judge(docs: DataFrame, probability: float = 1 - 1e-9, share: float = 0.75, least_group: int = 30) -> DataFrame:
     """doc_id, the counts, base_failed, distance and kept of each row.
 
     Needs columns doc_id, text, lang and source; others are ignored. Null or empty text has no
     words and fails the base rules. The fit of a (lang, source) uses its rows that pass the base
-    rules; groups with fewer than ``least_group`` of them are judged by the base rules alone
-    (distance null). Repeated rows are judged alike. kept is false if base_failed, or if the scaled
+    rules; groups with fewer than ``least_group`` of them are judged by the fit of their language, or
+    of all rows if that is small too. distance is null where no row of the group passes the base
+    rules, and for all rows if fewer than ``least_group`` of all pass them. Repeated rows are judged alike. kept is false if base_failed, or if the scaled
     squared distance is beyond the chi-squared quantile of ``probability``.
     """
     cols = (F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("lang").cast("string"), F.col("source").cast("string"))
     rows = save(statistics(docs.select(*cols).withColumn("row_key", F.xxhash64("text"))), "statistics").df
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     rows = rows.withColumn("base_failed", failed)
-    fit = minimum_covariance(rows.where("not base_failed").select("lang", "source", *(f"x{i}" for i in range(D))), share)
-    fits = fit.df.where(F.col("n_rows") >= least_group).withColumnsRenamed({"lang": "f_lang", "source": "f_source", "n": "f_n"})
+    fits = _fits(rows.where("not base_failed"), share, least_group).withColumnsRenamed({"lang": "f_lang", "source": "f_source", "n": "f_n"})
     found = rows.join(fits, F.col("lang").eqNullSafe(F.col("f_lang")) & F.col("source").eqNullSafe(F.col("f_source")), "left")
     far = _distance() / F.col("scale")
     counts = [c.split()[0] for c in COUNTS.split(", ")]
