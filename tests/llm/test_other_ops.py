@@ -255,6 +255,27 @@ def test_urls_tree(spark):
     assert got[2000].template == "/*/x" and got[2000].verdict == "allow"
 
 
+def test_urls_judge_unlabelled_branches_by_what_they_resemble(spark):
+    rows = []
+    add = lambda host, path, label, n: rows.extend([(len(rows) + i, f"http://{host}/{path.format(i)}", label) for i in range(n)])
+    add("h.org", "go/{}.html", True, 60)
+    add("h.org", "win/{}.html", None, 30)  # planted: children as those of go
+    for k in range(40):
+        add("h.org", f"r{chr(97 + k // 26)}{chr(97 + k % 26)}/{{}}.html", None, 1)  # planted: many rare sections
+    planted = {r[0] for r in rows if r[2] is None}
+    add("h.org", "docs/guide/part-x/{}", None, 200)  # other children: a branch of its own
+    add("mixed.org", "go/{}.html", True, 60)
+    add("mixed.org", "news/{}.html", False, 60)
+    add("mixed.org", "about/{}.html", None, 30)
+    add("deep.org", "/".join("abcdefghij") + "/{}.html", True, 20)
+    deep = len(rows)
+    add("deep.org", "/".join("abcdefghij") + "/x{}", None, 1)
+    df = spark.createDataFrame(rows, "page_id long, url string, b boolean")
+    blocked = {r.page_id for r in urls.filter_urls(df, rules=(), label=F.col("b")).where("verdict = 'block'").collect()}
+    unlabelled = {r[0] for r in rows if r[2] is None}
+    assert planted <= blocked and blocked & unlabelled == planted | {deep}
+
+
 def rounded(rows):
     return sorted(tuple(str(x) for x in r) for r in rows)
 
@@ -266,6 +287,7 @@ def test_urls_sql(spark, sf_dir):
         con.execute(f"CREATE VIEW pages AS SELECT * FROM '{base}/pages.parquet'")
         want = con.execute(f"SELECT {', '.join(got.columns)} FROM ({urls.oracle_sql()})").fetchall()
         assert rounded(got.collect()) == rounded(want)
+    assert got.where("rule is null and verdict = 'block'").count() > 0
     plan = got._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
 
