@@ -5,6 +5,7 @@ import itertools
 import re
 import zlib
 from collections import Counter
+from fractions import Fraction
 
 import duckdb
 import numpy as np
@@ -299,43 +300,82 @@ def test_urls_empty(spark):
 # mixing
 
 
-@pytest.mark.parametrize("weights,period", [({"a": 5, "b": 3, "c": 2}, 10), ({"a": 0.7, "b": 0.299, "c": 0.001}, 1000), ({f"s{i}": i + 1 for i in range(21)}, 1000), ({"x": 1}, 7)])
-def test_schedule_deviates_less_than_one_block(weights, period):
-    n = mixing.slots_of(weights, period)
-    assert sum(n.values()) == period
-    done = Counter()
-    for t, s in enumerate(mixing.schedule(n)):
-        assert done[s] * period // n[s] <= t < -(-(done[s] + 1) * period // n[s])
-        done[s] += 1
-        assert all(abs(done[x] - (t + 1) * n[x] / period) < 1 for x in n)
-    assert done == n
+@pytest.mark.parametrize("weights,stretch,n", [
+    ({"a": 5, "b": 3, "c": 2}, 10, 12), ({"a": 0.12345, "b": 0.00004, "c": 0.87651}, 20_000, 15), ({f"s{i}": i + 1 for i in range(21)}, 100, 40),
+    ({"x": 1}, 7, 3), ({f"d{i}": (i % 97 + 1) ** 0.5 for i in range(1500)}, 6000, 4), ({"a": 1 / 3, "b": 1 / 3, "c": 1e-9}, 3000, 20),
+])
+def test_schedule_deviates_less_than_one_block(weights, stretch, n):
+    parts = mixing.exact(weights)
+    whole = sum(Fraction(w) for w in weights.values())
+    total = sum(parts.values())
+    assert all(Fraction(p, total) == Fraction(weights[s]) / whole for s, p in parts.items())
+    names = list(parts)
+    done = [0] * len(names)
+    for j in range(n):
+        assert mixing.state(list(parts.values()), total, j * stretch) == done
+        for t, (i, k) in enumerate(mixing.schedule(list(parts.values()), total, j * stretch, (j + 1) * stretch), j * stretch):
+            p = parts[names[i]]
+            assert k == done[i] and k * total // p <= t < -(-(k + 1) * total // p)
+            done[i] += 1
+            if len(names) < 100 or t % 500 == 0:
+                assert all(abs(d * total - (t + 1) * parts[s]) < total for d, s in zip(done, names, strict=True))
+    assert sum(done) == n * stretch
+
+
+def planned_slots(parts, blocks, stretch):
+    """Slots of the blocks by one pass over the stretches; then the last source at its releases."""
+    names, total = sorted(parts), sum(parts.values())
+    slots = {}
+    t = 0
+    while sum(len([b for b in range(blocks.get(s, 0)) if (s, b) not in slots]) > 0 for s in names) > 1:
+        for at, (i, k) in enumerate(mixing.schedule([parts[s] for s in names], total, t, t + stretch), t):
+            if k < blocks.get(names[i], 0):
+                slots[names[i], k] = at
+        t += stretch
+    return slots
 
 
 def test_mixing(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir.replace('0.001', '0.01')}/documents.parquet")
-    got = mixing.mix(docs, {"src0": 5, "src1": 3, "src2": 2}, block_chars=20_000, period=10)
-    assert got.columns == [*docs.columns, "mix_block", "mix_slot", "mix_offset"]
+    weights = {"src0": 0.5, "src1": 0.3, "src2": 0.2, "absent": 0.1}
+    got = mixing.mix(docs, weights, block_chars=20_000, stretch=16)
+    assert got.columns == [*docs.columns, "mix_block", "mix_slot", "mix_offset", "mix_rank"]
     rows = got.collect()
     assert len(rows) == docs.count()
-    slots = mixing.slots_of({"src0": 5, "src1": 3, "src2": 2}, 10)
-    turn = {s: [t for t, x in enumerate(mixing.schedule(slots)) if x == s] for s in slots}
-    by = {}
+    by, blocks = {}, Counter()
     for r in sorted(rows, key=lambda r: (r.source, r.mix_offset)):
         at = by.setdefault(r.source, 0)
-        assert r.mix_offset == at
+        assert r.mix_offset == at and r.mix_block == at // 20_000
         by[r.source] = at + len(r.text or "") + 1
-        if r.source in slots:
-            k = at // 20_000
-            assert r.mix_block == k and r.mix_slot == k // slots[r.source] * 10 + turn[r.source][k % slots[r.source]]
-        else:
-            assert r.mix_block is None and r.mix_slot is None
+        blocks[r.source] = max(blocks[r.source], -(-by[r.source] // 20_000))
+        assert (r.mix_slot is None) == (r.source not in weights) == (r.mix_rank is None)
+    parts = mixing.exact(weights)
+    slot = {(r.source, r.mix_block): r.mix_slot for r in rows if r.mix_slot is not None}
+    want = planned_slots(parts, blocks, 16)
+    total = sum(parts.values())
+    assert len(set(slot.values())) == len(slot)
+    for (s, k), t in slot.items():
+        assert k * total // parts[s] <= t < -(-(k + 1) * total // parts[s]) and t == want.get((s, k), t)
+    ranks = sorted((r.mix_slot, r.mix_rank) for r in rows if r.mix_slot is not None)
+    assert ranks == sorted(ranks, key=lambda x: x[1]) and 0 <= ranks[0][1] and ranks[-1][1] < 1
+    files = mixing.mix_in_order(docs, weights=weights, block_chars=20_000, stretch=16).withColumn("part", F.spark_partition_id()).collect()
+    assert len(files) == len(rows) and [r.doc_id for r in files if r.mix_slot is not None] == [r.doc_id for r in got.where("mix_slot is not null").orderBy(*mixing.order()).collect()]
+    assert all(r.mix_slot is None for r in files[len([r for r in files if r.mix_slot is not None]) :])
+
+
+def test_mixing_of_many_sources(spark):
+    df = spark.range(3000).select(F.col("id").alias("doc_id"), F.repeat(F.lit("x"), (F.col("id") % 7 * 10).cast("int")).alias("text"), F.concat(F.lit("s"), (F.col("id") % 1200).cast("string")).alias("source"))
+    rows = mixing.mix(df, block_chars=16).collect()
+    slots = {(r.source, r.mix_block): r.mix_slot for r in rows}
+    assert len(rows) == 3000 and len({r.source for r in rows}) == 1200 and None not in slots.values() and len(set(slots.values())) == len(slots)
 
 
 def test_mixing_edge(spark):
     rows = [(1, "a", "s"), (1, "a", "s"), (2, None, None), (3, "", "t"), (None, "x" * 9, "s"), (4, "y", "")]
-    df = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("mix_slot", F.lit("old")).withColumn("at", F.lit(1))
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("mix_slot", F.lit("old")).withColumn("at", F.lit(1)).withColumn("n", F.lit(1)).withColumn("part", F.lit(2))
     got = mixing.mix(df, block_chars=4)
-    assert got.count() == len(rows) and got.columns == ["doc_id", "text", "source", "at", "mix_block", "mix_slot", "mix_offset"]
+    assert got.count() == len(rows) and got.columns == ["doc_id", "text", "source", "at", "n", "part", "mix_block", "mix_slot", "mix_offset", "mix_rank"]
     assert mixing.mix(df.limit(0)).count() == 0 and mixing.mix(df, {}).where("mix_slot is null").count() == len(rows)
+    assert mixing.mix_in_order(df, weights={"t": 1.0}).first().source == "t"
     with pytest.raises(ValueError):
         mixing.mix(df, {"s": -1.0})
