@@ -36,8 +36,7 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, in rows ordered by the mix of their sources."""
-    by = mixing.order()
-    return mixing.mix(docs).repartitionByRange(*by).sortWithinPartitions(*by).select(docs.columns)
+    return mixing.mix_in_order(docs).select(docs.columns)
 
 
 def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,8 +45,9 @@ def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
     path = f"{shared_folder(spark)}/verifold/{uuid.uuid4().hex}/tokens"
     try:
-        placed = docs.select("*", F.col("_metadata.file_name").alias("file_of_row"), F.col("_metadata.row_index").alias("row_of_file"))
-        order = (F.col("file_of_row"), F.col("row_of_file"))
+        number = F.regexp_extract("_metadata.file_name", r"part-(\d+)", 1).try_cast("long")
+        placed = docs.select("doc_id", "text", number.alias("file_number"), F.col("_metadata.file_name").alias("file_of_row"), F.col("_metadata.row_index").alias("row_of_file"))
+        order = (F.col("file_number"), F.col("file_of_row"), F.col("row_of_file"))
     except AnalysisException:  # not read from files: no row order
         placed, order = docs, ()
     with write_settings(spark):
