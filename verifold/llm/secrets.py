@@ -12,6 +12,8 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from verifold.llm.storage import save
+
 #: Stands around matches while they are located; the same character in a text is read as the next one.
 MARK, SAME_WIDTH = "\x01", "\x02"
 
@@ -103,7 +105,8 @@ def scan_secrets(docs: DataFrame, patterns: tuple[Pattern, ...] = PATTERNS, scop
     """
     key = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.hex(F.xxhash64("text")))
     rows = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("row_key", key)
-    spans = _spans(rows, patterns)
+    # Written once: base spans, candidates and their partners all come from here.
+    spans = save(_spans(rows, patterns), "spans").df
     base = [p.kind for p in patterns if p.strong]
     every = spans.where(F.col("kind").isin(base)).unionByName(_linked(spans, patterns, scope))
     rank = F.coalesce(*(F.when(F.col("kind") == p.kind, F.lit(i)) for i, p in enumerate(patterns)))
