@@ -35,8 +35,10 @@ _ENDS = r'[.!?:]["”]?$'
 #: Readings of a window: sentence openings plain, or as names.
 PLAIN, NAMED = 1, 2
 #: A benchmark of at most this many distinct windows is sent to every executor.
-SEND_WINDOWS = 1_000_000
-_BITS = 22
+SEND_WINDOWS = 250_000
+#: Bounds of the bits of a window's hash that the filter of the documents looks at: at most 16 MB are
+#: sent. Beyond some ten million windows of the benchmark it lets more through, and the join decides.
+LEAST_BITS, MOST_BITS = 16, 27
 
 
 def cores(words: pa.Array) -> pa.Array:
@@ -109,6 +111,10 @@ class _Template:
         """Which windows have placeholders."""
         return np.where(readings == NAMED, _any_within(self.named_typed, at, width), _any_within(self.typed, at, width))
 
+    def telling(self, at: np.ndarray, readings: np.ndarray, width: int) -> np.ndarray:
+        """Which windows have a word that is no placeholder: the others say nothing."""
+        return np.where(readings == NAMED, _any_within(~self.named_typed, at, width), _any_within(~self.typed, at, width))
+
     def slots(self, at: int, width: int, readings: int) -> list[str]:
         """Values of the placeholders of a window, lower case without edges."""
         places = np.flatnonzero((self.named_typed if readings == NAMED else self.typed)[at : at + width])
@@ -119,11 +125,8 @@ class _Template:
         seen: dict[str, int] = {}
         return [seen.setdefault(v, len(seen)) for v in self.slots(a, b - a, NAMED)]
 
-    def size(self) -> np.ndarray:
-        return np.diff(self.starts)
-
 
-ITEM_SCHEMA = "item_id long, template long, n_words int, hash long, readings int, pos int, slots array<string>"
+ITEM_SCHEMA = "item_id long, template long, hash long, readings int, pos int, slots array<string>"
 HIT_SCHEMA = "doc_id long, row_key long, hash long, readings int, pos int, slots array<string>"
 
 
@@ -134,13 +137,13 @@ def item_windows(items: DataFrame, width: int) -> DataFrame:
         for batch in batches:
             t = _Template(batch.column("text"))
             at, hashed, readings = t.windows(width)
+            told = t.telling(at, readings, width)
+            at, hashed, readings = at[told], hashed[told], readings[told]
             whole = [xxhash.xxh64_intdigest(f"{int(window_hashes(t.words[a:b], b - a)[0])} {t.pattern(a, b)}") if b > a else 0 for a, b in zip(t.starts[:-1].tolist(), t.starts[1:].tolist(), strict=True)]
             owner = t.owner[at]
-            sizes = t.size()
             yield pa.RecordBatch.from_pydict({
                 "item_id": batch.column("item_id").take(pa.array(owner)),
                 "template": pa.array(np.array(whole, dtype=np.uint64)[owner].view(np.int64)),
-                "n_words": pa.array(sizes[owner].astype(np.int32)),
                 "hash": pa.array(hashed.view(np.int64)),
                 "readings": pa.array(readings),
                 "pos": pa.array((at - t.starts[owner]).astype(np.int32)),
@@ -150,8 +153,24 @@ def item_windows(items: DataFrame, width: int) -> DataFrame:
     return items.select(F.col("item_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, ITEM_SCHEMA)
 
 
-def _document_windows(docs: DataFrame, width: int, passes: np.ndarray, words: list[str] | None) -> DataFrame:
-    """Windows of documents that pass a bitmap of fixed size of the items' hashes. words: the items' template words, if they are few."""
+def hash_filter(index: DataFrame, n: int) -> tuple[np.ndarray, int]:
+    """Bit map of the first bits of the items' hashes, and how many bits; made in pieces on the executors."""
+    bits = min(MOST_BITS, max(LEAST_BITS, (16 * n).bit_length()))
+
+    def piece(rows: pa.Table) -> pa.Table:
+        held = np.zeros(1 << 13, dtype=bool)
+        held[rows.column("b").to_numpy() & 0x1FFF] = True
+        return pa.table({"piece": pa.array([int(rows.column("b")[0].as_py()) >> 13], pa.int32()), "held": pa.array([np.packbits(held).tobytes()], pa.binary())})
+
+    marked = index.select(F.shiftrightunsigned("hash", 64 - bits).cast("int").alias("b")).distinct()
+    out = np.zeros(1 << (bits - 3), dtype=np.uint8)
+    for r in marked.groupBy(F.shiftright("b", 13).alias("p")).applyInArrow(piece, "piece int, held binary").collect():  # 2 ** MOST_BITS bits at most
+        out[r["piece"] << 10 : (r["piece"] + 1) << 10] = np.frombuffer(r["held"], dtype=np.uint8)
+    return out, bits
+
+
+def _document_windows(docs: DataFrame, width: int, passes: np.ndarray, bits: int, words: list[str] | None) -> DataFrame:
+    """Windows of documents that pass the filter of the items' hashes. words: the items' template words, if they are few."""
     known = None if words is None else (pa.array(words, pa.string()), hashes_of(pa.array(words, pa.string())))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,7 +179,8 @@ def _document_windows(docs: DataFrame, width: int, passes: np.ndarray, words: li
                 part = batch.slice(start, 3000)
                 t = _Template(part.column("text"), known)
                 at, hashed, readings = t.windows(width)
-                hit = passes[(hashed >> np.uint64(64 - _BITS)).astype(np.int32)]
+                place = (hashed >> np.uint64(64 - bits)).astype(np.int64)
+                hit = (passes[place >> 3] >> (7 - (place & 7)).astype(np.uint8)) & 1 == 1
                 at, hashed, readings = at[hit], hashed[hit], readings[hit]
                 owner = t.owner[at]
                 places = zip(at.tolist(), readings.tolist(), t.filled(at, readings, width).tolist(), strict=True)
@@ -192,38 +212,37 @@ def contaminated(docs: DataFrame, items: DataFrame, width: int = 5, coverage: fl
 
     docs: doc_id, text; items: item_id, text; other columns are ignored. One row for each
     (doc_id, row_key, item): row_key is a hash of the text, item_id the smallest of the items with
-    that template and the same slots equal, n_windows and n_found the item's windows and those found at aligned places with
+    that template and the same slots equal, n_windows and n_found the item's windows that hold a word besides placeholders and those of them found at aligned places with
     consistent slots in the reading that has more, coverage their share, verbatim whether all slots
     are equal too. A pair is returned if coverage reaches ``coverage``. Null and empty texts, and items of fewer than
-    ``width`` template words, match nothing. Repeated rows give equal rows once.
+    ``width`` template words or of placeholders only, match nothing. Repeated rows give equal rows once.
     """
     listed = save(item_windows(items, width), "items").df
     # Items with one template and equality pattern of slots are one entry: re-parameterised items
     # don't multiply the matches, and a document is consistent with all of them or none.
     first = listed.groupBy("template").agg(F.min("item_id").alias("item_id"))
-    index = save(listed.join(first, ["template", "item_id"]).dropDuplicates(["template", "pos", "readings"]).select("item_id", "n_words", "hash", F.col("readings").alias("item_readings"), F.col("pos").alias("item_pos"), F.col("slots").alias("item_slots")), "index").df
-    bits = index.select(F.shiftrightunsigned("hash", 64 - _BITS).cast("int").alias("b")).distinct().collect()  # 2**22 at most
-    passes = np.zeros(1 << _BITS, dtype=bool)
-    passes[[r["b"] for r in bits]] = True
+    sizes = listed.groupBy("template", "item_id").agg(F.count_distinct("pos").cast("int").alias("n_windows"))
+    index = save(listed.join(first, ["template", "item_id"]).join(sizes, ["template", "item_id"]).dropDuplicates(["template", "pos", "readings"]).select("item_id", "n_windows", "hash", F.col("readings").alias("item_readings"), F.col("pos").alias("item_pos"), F.col("slots").alias("item_slots")), "index").df
+    n_index = index.count()
+    passes, bits = hash_filter(index, n_index)
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.xxhash64("text").alias("row_key"))
-    few = index.count() <= SEND_WINDOWS
+    few = n_index <= SEND_WINDOWS
     # A benchmark of few windows has few words: they go to every task, other words can't be in a match.
-    words = [r["word"] for r in item_words(items).limit(width * SEND_WINDOWS + 1).collect()] if few else None
-    hits = save(_document_windows(rows, width, passes, words if few and len(words) <= width * SEND_WINDOWS else None), "hits").df
+    words = [r["word"] for r in item_words(items).limit(SEND_WINDOWS + 1).collect()] if few else None
+    hits = save(_document_windows(rows, width, passes, bits, words if few and len(words) <= SEND_WINDOWS else None), "hits").df
     shared = F.col("item_readings").bitwiseAND(F.col("readings"))
     either = F.filter(F.array(F.lit(PLAIN), F.lit(NAMED)), lambda r: shared.bitwiseAND(r) != 0)
     found = hits.join(F.broadcast(index) if few else index, "hash").withColumn("reading", F.explode(either))
     # One alignment of a document and an item: windows of one reading at the same distance.
     value = F.zip_with("item_slots", "slots", lambda i, d: F.struct(i.alias("i"), d.alias("d")))
     key = ["doc_id", "row_key", "item_id"]
-    aligned = found.groupBy(*key, "n_words", "reading", (F.col("pos") - F.col("item_pos")).alias("shift")).agg(
+    aligned = found.groupBy(*key, "n_windows", "reading", (F.col("pos") - F.col("item_pos")).alias("shift")).agg(
         F.collect_set("item_pos").alias("places"), F.array_distinct(F.flatten(F.collect_set(value))).alias("pairs"))
     item_values = F.array_distinct(F.transform("pairs", lambda x: x["i"]))
     aligned = aligned.withColumn("consistent", F.size(item_values) == F.size("pairs")).withColumn("same", F.forall("pairs", lambda x: x["i"].eqNullSafe(x["d"])))
-    n = F.col("n_words") - width + 1
-    total = aligned.where("consistent").groupBy(*key, "n_words", "reading").agg(F.size(F.array_distinct(F.flatten(F.collect_list("places")))).alias("n_found"), F.bool_and("same").alias("verbatim"))
-    total = total.groupBy(*key, "n_words").agg(F.max(F.struct("n_found", "verbatim")).alias("most")).select(*key, "n_words", "most.*")
-    return total.select(*key, n.alias("n_windows"), "n_found", (F.col("n_found") / n).alias("coverage"), "verbatim").where(F.col("coverage") >= coverage)
+    total = aligned.where("consistent").groupBy(*key, "n_windows", "reading").agg(F.size(F.array_distinct(F.flatten(F.collect_list("places")))).alias("n_found"), F.bool_and("same").alias("verbatim"))
+    total = total.groupBy(*key, "n_windows").agg(F.max(F.struct("n_found", "verbatim")).alias("most")).select(*key, "n_windows", "most.*")
+    return total.select(*key, "n_windows", "n_found", (F.col("n_found") / F.col("n_windows")).alias("coverage"), "verbatim").where(F.col("coverage") >= coverage)
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, width: int = 5, coverage: float = 0.5) -> DataFrame:
