@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from verifold.llm import components
-from verifold.llm.storage import save
+from verifold.llm.storage import fresh, save
 from verifold.llm.words import BASE, hashes_of, mixed, split_words, tidy, window_hashes
 
 SEED = 42
@@ -142,6 +142,6 @@ def keep_first(docs: DataFrame, similarity: float = 0.8, shingle: int = 5) -> Da
     rank = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "key_b", "key_a")
     named = marked.groupBy("fp").agg(F.min(rank).alias("rank")).join(roots.withColumnRenamed("node", "fp"), "fp", "left")
     best = named.groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("rank").alias("best")).select("best.key_a", "best.key_b")
-    rows = docs.withColumns({"kept_key_a": by_row[0], "kept_key_b": by_row[1]}).dropDuplicates(["kept_key_a", "kept_key_b"])
-    best = best.withColumnsRenamed({"key_a": "kept_key_a", "key_b": "kept_key_b"})
-    return rows.join(best, ["kept_key_a", "kept_key_b"], "left_semi").select(docs.columns)
+    a, b = (fresh(docs, f"kept_key_{x}") for x in "ab")
+    rows = docs.withColumns({a: by_row[0], b: by_row[1]}).dropDuplicates([a, b])
+    return rows.join(best.withColumnsRenamed({"key_a": a, "key_b": b}), [a, b], "left_semi").select(docs.columns)

@@ -29,6 +29,8 @@ from verifold.llm.words import split_words, tidy
 SEED = 42
 #: Cells with more members than this are split over tasks.
 CELL_ROWS = 8192
+#: Fingerprints with more than one in HOT rows are joined by broadcast; there are HOT at most.
+HOT = 1000
 _RUN = 4096
 
 
@@ -238,8 +240,8 @@ def links(distinct: DataFrame, distance: int = 4, segment: int = 2, groups: int
 
 
 def grouped_fingerprints(marked: DataFrame, distance: int = 4, segment: int = 2, groups: int = 2) -> DataFrame:
-    """fp, first (its smallest doc_id) and root (one fingerprint for each component) of each distinct fingerprint."""
-    distinct = save(marked.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct").df
+    """fp, first (its smallest doc_id), n (its rows) and root (one fingerprint for each component) of each distinct fingerprint."""
+    distinct = save(marked.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")), "distinct").df
     roots = components.connected(links(distinct, distance, segment, groups))
     return distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
 
@@ -255,6 +257,12 @@ def near_duplicates(docs: DataFrame, distance: int = 4, shingle: int = 4, segmen
     marked = save(fingerprints(docs, shingle), "fingerprints").df
     grouped = grouped_fingerprints(marked, distance, segment, groups)
     least = grouped.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = grouped.join(least, "root").select("fp", "component_id")
-    return marked.join(named, "fp").select(
-        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    named = save(grouped.join(least, "root").select("fp", "component_id", "n"), "named").df
+    # A fingerprint of more than one row in HOT would fill one task: those few, HOT at most, are sent to all.
+    total = named.agg(F.sum("n")).first()[0] or 0
+    hot = F.broadcast(named.where(F.col("n") * HOT > total).select("fp", F.col("component_id").alias("hot_id")))
+    cold = named.where(F.col("n") * HOT <= total).select("fp", "component_id")
+    rows = marked.join(hot.withColumnRenamed("fp", "hot_fp"), F.col("fp") == F.col("hot_fp"), "left")
+    rest = rows.where("hot_fp is null").select("doc_id", "fp").join(cold, "fp").select("doc_id", "fp", "component_id")
+    done = rows.where("hot_fp is not null").select("doc_id", "fp", F.col("hot_id").alias("component_id")).unionByName(rest)
+    return done.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

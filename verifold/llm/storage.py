@@ -29,9 +29,11 @@ class Table(NamedTuple):
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; a new local folder only where it is unset (tests)."""
+    """``spark.checkpoint.dir`` of the session; where it is unset, a new local folder if all runs on this machine, else an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.conf.get("spark.master", "").startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -60,6 +62,14 @@ def save(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> Table:
     return Table(spark.read.schema(df.schema).parquet(path), path)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` doesn't have, whatever the case."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def free(spark: SparkSession, *tables: Table) -> None:
     """Delete tables that nothing reads any more."""
     for table in tables:
