@@ -9,6 +9,7 @@ from fractions import Fraction
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -126,9 +127,129 @@ def test_align_random():
         assert n == 0 or n <= b - a
 
 
+def brute_scan(text, templates, gram, window, least, band):
+    """Best coverage of each template over every diagonal that a fingerprint of it shares with the text."""
+    words = licenses.words_and_spans(text or "")[0]
+    out = {}
+    for name, t in templates:
+        tw = licenses.words_and_spans(t)[0]
+        hashed = licenses.window_hashes(licenses.hashes_of(pa.array(tw, pa.string())), gram)
+        shifts = {j - int(i) for i in licenses.winnow(hashed, window) for j in range(len(words) - gram + 1) if words[j : j + gram] == tw[int(i) : int(i) + gram]}
+        best = max((brute_align(tw, words, s, band) for s in shifts), default=0)
+        if best and best >= least * len(tw):
+            out[name] = best
+    return out
+
+
+def test_licenses_against_every_diagonal(spark):
+    rng = np.random.default_rng(5)
+    templates = [(f"t{i}", " ".join(f"w{x}" for x in rng.integers(0, 12, 24))) for i in range(3)]
+    texts = []
+    for i in range(60):
+        words = [f"w{x}" for x in rng.integers(0, 12, 30)]
+        t = templates[i % 3][1].split()
+        for p in sorted(rng.integers(0, len(t), rng.integers(0, 4)).tolist(), reverse=True):
+            t[p:p] = [f"x{k}" for k in range(rng.integers(1, 7))]
+        texts.append((i, " ".join([*words[:10], *t, *words[10:]])))
+    texts += [(100, None), (101, ""), (102, templates[0][1] + " " + templates[0][1])]
+    # Seven words on one diagonal, then thirty on another within half a band of it.
+    long = [f"v{k}" for k in range(40)]
+    templates.append(("long", " ".join(long)))
+    texts.append((103, " ".join([*long[:3], *["x"] * 4, *long[3:10], *["y"] * 8, *long[10:]])))
+    got = licenses.scan_licenses(spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(templates, "template string, text string"), gram=3, window=2, coverage=0.7, band=8).collect()
+    best = {}
+    for r in got:
+        best.setdefault(r.doc_id, {})
+        best[r.doc_id][r.template] = max(best[r.doc_id].get(r.template, 0), r.n_matched)
+    want = {i: b for i, t in texts if (b := brute_scan(t, templates, 3, 2, 0.7, 8))}
+    assert best == want and best[103]["long"] == 40 and len(want) > 30
+    assert sum(r.doc_id == 102 and r.template == "t0" for r in got) == 2
+
+
 # decontamination
 
 
+def plain_template(text):
+    """(placeholder or word, surface, whether a capital at an opening) of each word of a text, word by word."""
+    out, opening = [], True
+    for raw in (text or "").split():
+        core = re.sub(r"^[^\w$€£%°+-]+|[^\w%°]+$", "", raw)
+        low = core.lower()
+        unit = re.sub(r"^[-+]?[$€£]?\d[\d.,:/]*", "", low)
+        number = re.fullmatch(r"[-+]?[$€£]?\d[\d.,:/]*(%|st|nd|rd|th)?", core) or low in decontamination.NUMBERS or (unit != low and unit in decontamination.UNITS)
+        kind = "<num>" if number else "<unit>" if low in decontamination.UNITS else low
+        name = kind == low and core[:1].isupper() and any(c.islower() for c in core)
+        if core:
+            out.append(("<name>" if name and not opening else kind, "<name>" if name else kind, low))
+        opening = bool(re.search(r'[.!?:]["”]?$', raw))
+    return out
+
+
+def brute_contaminated(docs, items, width=5, coverage=0.5):
+    found = set()
+    for i, item in items:
+        a = plain_template(item)
+        for d, doc in docs:
+            b = plain_template(doc)
+            for reading in (0, 1):
+                held = "<num>", "<unit>", "<name>"
+                wins = [p for p in range(len(a) - width + 1) if any(x[reading] not in held for x in a[p : p + width])]
+                shifts = {}
+                for p in wins:
+                    for q in range(len(b) - width + 1):
+                        if all(x[reading] == y[reading] for x, y in zip(a[p : p + width], b[q : q + width], strict=True)):
+                            shifts.setdefault(q - p, []).append(p)
+                hit = set()
+                for s, ps in shifts.items():
+                    pairs = {(a[p + k][2], b[p + k + s][2]) for p in ps for k in range(width) if a[p + k][reading] in held}
+                    if len({x for x, _ in pairs}) == len(pairs):
+                        hit |= set(ps)
+                every = {p for r in (0, 1) for p in range(len(a) - width + 1) if any(x[r] not in held for x in a[p : p + width])}
+                if every and len(hit) >= coverage * len(every):
+                    found.add((d, i))
+    return found
+
+
+QUESTIONS = (
+    "{n0} has {a} apples and {b} pears. {n0} gives {a} apples to {n1} and keeps the rest. How many does {n0} have?",
+    "A train leaves {n2} at {a} km per hour while {n1} rides {b} km towards it. When do they meet if the road is {c} km long?",
+    "{n1} buys {a} kg of flour and {b} kg of sugar for {c} dollars. What does one kg cost when {n1} pays {c} dollars twice?",
+    "The garden of {n0} is {a} m long and {b} m wide. How much fence does {n2} need if the gate takes {c} m?",
+)
+
+
+def filled(rng, k):
+    names = rng.permutation(["Anna", "Boris", "Clara", "David", "Elena", "Felix", "Greta", "Hugo"])
+    a, b, c = (str(x) for x in rng.permutation(np.arange(2, 90))[:3])
+    return QUESTIONS[k].format(n0=names[0], n1=names[1], n2=names[2], a=a, b=b, c=c)
+
+
+def test_decontamination_finds_other_parameters(spark, sf_dir):
+    rng = np.random.default_rng(4)
+    items = [(k, filled(rng, k)) for k in range(4)]
+    clean = [(r.doc_id, r.text or "") for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
+    docs = [(10_000 + j, f"{clean[j][1][:200]} {filled(rng, j % 4)} {clean[j][1][200:400]}") for j in range(120)]
+    wrong = [(20_000 + j, "Anna has 5 apples and 7 pears. Boris gives 9 apples to Clara and keeps the rest. How many does David have?") for j in range(3)]
+    got = {(r.doc_id, r.item_id) for r in decontamination.contaminated(spark.createDataFrame(docs + clean + wrong, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    found = sum((10_000 + j, j % 4) in got for j in range(120))
+    assert found >= 0.95 * 120 and not {d for d, _ in got if d < 10_000 or d >= 20_000}
+
+
+def test_decontamination_brute(spark):
+    rng = np.random.default_rng(6)
+    items = [(k, filled(rng, k)) for k in range(4)] + [(4, "7 8 9 10 11 12"), (5, "four words are few"), (6, None), (7, "so " + " ".join(["9"] * 8) + " it ends")]
+    docs = []
+    for j in range(80):
+        words = filled(rng, j % 4).split()
+        for _ in range(int(rng.integers(0, 6))):  # words lost, changed or put in
+            p = int(rng.integers(0, len(words)))
+            words[p : p + int(rng.integers(0, 2))] = [] if rng.random() < 0.4 else [str(rng.choice(["Anna", "12", "km", "so", "Then."]))]
+        docs.append((j, " ".join(["Some text first.", *words, "and more."])))
+    docs += [(100, "1 2 3 4 5 6 7 8"), (101, ""), (102, None), (103, "so " + " ".join(["3"] * 8) + " it ends")]
+    got = {(r.doc_id, r.item_id) for r in decontamination.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == brute_contaminated(docs, items) and 20 < len(got) < 85 and (103, 7) in got
+
+
 def test_decontamination(spark):
     items = [(10, "Alice Smith has 12 apples and gives 5 apples to her brother Bob Jones near the old market hall"), (11, "Carol White has 30 apples and gives 9 apples to her brother Dan Brown near the old market hall"),
              (12, "the quick brown fox jumps over the lazy dog while 7 cats look on"), (13, "too short"), (14, None)]

@@ -1,12 +1,14 @@
 """The corpus pipeline, stage by stage, against brute force."""
 
+import itertools
+import re
 import zlib
 
 import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
-from test_words_ops import brute_components, brute_counts, brute_fingerprint
+from test_words_ops import brute_counts
 
 import corpus_pipeline as P
 from verifold.llm import mixing
@@ -27,6 +29,11 @@ def stages(spark, sf_dir, tmp_path_factory):
     return out
 
 
+def shingles_of(text, n=5):
+    w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]+", lambda m: m[0].lower(), text or ""))
+    return [" ".join(w[i : i + n]) for i in range(max(1, len(w) - n + 1))] if w else []
+
+
 def ids(df):
     return sorted(r.doc_id for r in df.select("doc_id").collect())
 
@@ -47,14 +54,24 @@ def test_quality(stages):
 
 def test_near_dedup(stages):
     before, after = stages["near_dedup"]
-    rows = [(r.doc_id, r.text) for r in before.collect()]
-    comp = brute_components([i for i, _ in rows], [brute_fingerprint(t) for _, t in rows], 4)
-    assert ids(after) == sorted(set(comp))
+    rows = [(r.doc_id, set(shingles_of(r.text))) for r in before.collect()]
+    least = {i: i for i, _ in rows}
+
+    def find(x):
+        while least[x] != x:
+            x = least[x]
+        return x
+
+    for (i, a), (j, b) in itertools.combinations(rows, 2):
+        if len(a & b) >= 0.8 * len(a | b):
+            i, j = find(i), find(j)
+            least[max(i, j)] = min(i, j)
+    assert ids(after) == sorted({find(i) for i, _ in rows}) and len(set(ids(after))) < len(rows)
 
 
 def test_near_dedup_edge(spark):
     rows = [(1, "a b"), (1, "a b"), (1, "c d e f g h"), (None, "a b"), (None, "z"), (None, None), (2, "")]
-    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("key_a", F.lit(1))
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("key_a", F.lit(1)).withColumn("kept_key_a", F.lit(2)).withColumn("Kept_Key_B", F.lit("x"))
     got = P.near_dedup(spark, df, "")
     assert sorted((str(r.doc_id), r.text or "") for r in got.collect()) == [("1", "a b"), ("1", "c d e f g h"), ("2", ""), ("None", "z")] and got.columns == df.columns
 
@@ -88,6 +105,13 @@ def test_tokens(stages):
     assert [tuple(r) for r in after.orderBy("start").collect()] == want
 
 
+def test_columns_of_the_caller_stay(spark, tmp_path):
+    df = spark.createDataFrame([(2, "a b"), (1, "c")], "doc_id long, text string").withColumns({c: F.lit(c) for c in ("file_of_row", "row_of_file", "file_number", "mix_rank", "source", "lang")})
+    df.write.parquet(str(tmp_path / "d"))
+    assert P.token_output(spark, spark.read.parquet(str(tmp_path / "d")), "").count() == 2
+    assert P.source_mixing(spark, df.drop("mix_rank"), "").columns == df.drop("mix_rank").columns
+
+
 def test_run(spark, stages, sf_dir):
     assert sorted(map(tuple, P.run(spark, sf_dir).collect())) == sorted(map(tuple, stages["token_output"][1].collect()))
 

@@ -223,6 +223,45 @@ def test_minimum_covariance_is_robust(spark):
     assert all(abs(fit[f"c{i}"]) < 0.35 for i in range(quality.D))
 
 
+def brute_fit(x, share=0.75, steps=3):
+    """Centre, inverse scatter and scale of the rows of one group, by concentration steps from both starts."""
+    element = lambda v, p: np.sort(v, axis=0)[max(0, math.ceil(p * len(v)) - 1)]
+    floor = np.array(quality.FLOOR)
+    q1, mid, q3 = (element(x, p) for p in (0.25, 0.5, 0.75))
+    scaled = np.abs(x - mid) / np.maximum(floor, (q3 - q1) / 1.349)
+    best = None
+    for start, q in enumerate(((scaled**2).sum(axis=1), scaled.max(axis=1))):
+        for _ in range(steps + 1):
+            held = x[q <= element(q, share)]
+            c = held.mean(axis=0)
+            cov = held.T @ held / len(held) - np.outer(c, c) + np.diag(floor**2)
+            inverse = np.linalg.inv(cov)
+            q = np.einsum("ij,jk,ik->i", x - c, inverse, x - c)
+        key = (np.linalg.slogdet(cov)[1], start)
+        if best is None or key < best[0]:
+            best = key, c, inverse, q
+    return best[1], best[2], max(1.0, element(best[3], 0.5) / quality.chi2_quantile(0.5, quality.D))
+
+
+def test_verdicts_by_brute_force(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir.replace('0.001', '0.01')}/documents.parquet").where("text is not null and length(text) < 20000")
+    rows = [r for r in quality.statistics(docs.select("doc_id", "text", "lang", "source").withColumn("row_key", F.lit(0).cast("long"))).collect()]
+    good = [r for r in rows if r.n_words >= 50 and 100 * r.n_repeat_words <= 50 * r.n_words]
+    vectors = lambda some: np.array([[r[f"x{i}"] for i in range(quality.D)] for r in some])
+    group, lang = defaultdict(list), defaultdict(list)
+    for r in good:
+        group[r.lang, r.source].append(r)
+        lang[r.lang].append(r)
+    assert min(map(len, lang.values())) >= 30 and max(map(len, group.values())) >= 30 > min(map(len, group.values()))
+    fits = {k: brute_fit(vectors(v if len(v) >= 30 else lang[k[0]])) for k, v in group.items()}
+    got = {r.doc_id: r for r in quality.judge(docs).collect()}
+    for r in good:
+        c, inverse, scale = fits[r.lang, r.source]
+        d = vectors([r])[0] - c
+        assert got[r.doc_id].distance == pytest.approx(d @ inverse @ d / scale, rel=1e-6, abs=1e-9)
+        assert got[r.doc_id].kept == (d @ inverse @ d / scale <= quality.chi2_quantile(1 - 1e-9, quality.D))
+
+
 def test_quality_of_small_groups(spark):
     rng = np.random.default_rng(2)
     text = lambda: " ".join("".join(chr(97 + c) for c in rng.integers(0, 26, rng.integers(3, 9))) for _ in range(100)) + "."

@@ -24,7 +24,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BLOCK_BYTES = 4 << 20
+#: Blocks of this size up to SMALL_BYTES of text; then they grow with the square root, so that a
+#: (block, range) row keeps ROW_KEYS keys or more while a range stays small.
+BLOCK_BYTES, SMALL_BYTES, ROW_KEYS = 4 << 20, 64 << 30, 64
 #: Keys that one merge task should hold.
 RANGE_KEYS = 1_000_000
 BLOCK_SCHEMA = "block long, n_bytes long, data binary"
@@ -48,8 +50,15 @@ def unpacked(data: bytes, dtype) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view(dtype).ravel()
 
 
-def pack(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def block_size(total: int) -> int:
+    """Bytes of a block for so many bytes of text."""
+    return int(BLOCK_BYTES * max(1.0, (total / SMALL_BYTES) ** 0.5))
+
+
+def pack(docs: DataFrame, block_bytes: int | None = None) -> DataFrame:
     """Rows of ``docs`` (a column named text among them) as blocks; a longer document is one block."""
+    if block_bytes is None:
+        block_bytes = block_size(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -190,6 +199,6 @@ def cogroup(blocks: DataFrame, replies: DataFrame, work: Callable, schema: str)
 
 
 def parts_for(blocks: DataFrame, keys_per_byte: float) -> int:
-    """Key ranges for the text there is: at least three rounds of tasks, RANGE_KEYS keys each."""
+    """Key ranges for the text there is: 12 at least, of about RANGE_KEYS keys, but not so many that rows of a block get short."""
     total = blocks.agg(F.sum("n_bytes")).first()[0] or 0
-    return max(12, -(-int(total * keys_per_byte) // RANGE_KEYS))
+    return max(12, min(-(-int(total * keys_per_byte) // RANGE_KEYS), int(block_size(total) * keys_per_byte) // ROW_KEYS))
