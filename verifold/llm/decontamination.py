@@ -107,23 +107,26 @@ class _Template:
         readings = np.concatenate([np.where(differ, PLAIN, PLAIN | NAMED), np.full(len(named), NAMED)]).astype(np.int32)
         return np.concatenate([at, at[differ]]), np.concatenate([plain, named]), readings
 
-    def filled(self, at: np.ndarray, readings: np.ndarray, width: int) -> np.ndarray:
-        """Which windows have placeholders."""
-        return np.where(readings == NAMED, _any_within(self.named_typed, at, width), _any_within(self.typed, at, width))
-
     def telling(self, at: np.ndarray, readings: np.ndarray, width: int) -> np.ndarray:
         """Which windows have a word that is no placeholder: the others say nothing."""
         return np.where(readings == NAMED, _any_within(~self.named_typed, at, width), _any_within(~self.typed, at, width))
 
-    def slots(self, at: int, width: int, readings: int) -> list[str]:
-        """Values of the placeholders of a window, lower case without edges."""
-        places = np.flatnonzero((self.named_typed if readings == NAMED else self.typed)[at : at + width])
-        return pc.utf8_lower(cores(self.vocabulary.take(pa.array(self.ids[at + places])))).to_pylist() if len(places) else []
+    def values(self, places: np.ndarray) -> pa.Array:
+        """Surface of the words at some places, lower case without edges; each distinct word is looked at once."""
+        used, back = np.unique(self.ids[places], return_inverse=True)
+        return pc.utf8_lower(cores(self.vocabulary.take(pa.array(used)))).take(pa.array(back))
+
+    def slots(self, at: np.ndarray, readings: np.ndarray, width: int) -> pa.Array:
+        """Values of the placeholders of each window."""
+        places = at[:, None] + np.arange(width)
+        typed = np.where((readings == NAMED)[:, None], self.named_typed[places], self.typed[places])
+        ends = np.concatenate([[0], np.cumsum(typed.sum(axis=1))]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(ends), self.values(places[typed]).cast(pa.string()))
 
     def pattern(self, a: int, b: int) -> list[int]:
         """Placeholders of the words from a to b, renumbered by the first occurrence of their values."""
         seen: dict[str, int] = {}
-        return [seen.setdefault(v, len(seen)) for v in self.slots(a, b - a, NAMED)]
+        return [seen.setdefault(v, len(seen)) for v in self.values(a + np.flatnonzero(self.named_typed[a:b])).to_pylist()]
 
 
 ITEM_SCHEMA = "item_id long, template long, hash long, readings int, pos int, slots array<string>"
@@ -147,7 +150,7 @@ def item_windows(items: DataFrame, width: int) -> DataFrame:
                 "hash": pa.array(hashed.view(np.int64)),
                 "readings": pa.array(readings),
                 "pos": pa.array((at - t.starts[owner]).astype(np.int32)),
-                "slots": pa.array([t.slots(i, width, r) for i, r in zip(at.tolist(), readings.tolist(), strict=True)], pa.list_(pa.string())),
+                "slots": t.slots(at, readings, width),
             })
 
     return items.select(F.col("item_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, ITEM_SCHEMA)
@@ -183,14 +186,13 @@ def _document_windows(docs: DataFrame, width: int, passes: np.ndarray, bits: int
                 hit = (passes[place >> 3] >> (7 - (place & 7)).astype(np.uint8)) & 1 == 1
                 at, hashed, readings = at[hit], hashed[hit], readings[hit]
                 owner = t.owner[at]
-                places = zip(at.tolist(), readings.tolist(), t.filled(at, readings, width).tolist(), strict=True)
                 yield pa.RecordBatch.from_pydict({
                     "doc_id": part.column("doc_id").take(pa.array(owner)),
                     "row_key": part.column("row_key").take(pa.array(owner)),
                     "hash": pa.array(hashed.view(np.int64)),
                     "readings": pa.array(readings),
                     "pos": pa.array((at - t.starts[owner]).astype(np.int32)),
-                    "slots": pa.array([t.slots(i, width, r) if f else [] for i, r, f in places], pa.list_(pa.string())),
+                    "slots": t.slots(at, readings, width),
                 })
 
     return docs.mapInArrow(run, HIT_SCHEMA)
