@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from test_words_ops import EDGE, WORD, brute_fingerprint, lower
 
 import corpus_pipeline as P
@@ -64,13 +65,30 @@ def test_near_copies_beyond_four_bits(spark):
     assert 40 <= len(want) < 50 and kept(spark, rows) == want
 
 
-def test_bucket_of_many_components(spark, monkeypatch):
-    """One bucket for all: every round has work, and no pair is lost."""
-    monkeypatch.setattr(jaccard, "bands_of", lambda sets: np.zeros((len(sets), jaccard.BANDS), dtype=np.uint64))
+def test_any_order_gives_the_same(spark, monkeypatch):
+    """All shingles as common as each other, and no link from SimHash."""
+    monkeypatch.setattr(jaccard, "_levels", lambda distinct: (np.zeros(1 << 16, np.uint8), 16))
+    monkeypatch.setattr(jaccard, "_simhash_pairs", lambda distinct, distance: distinct.select(F.col("fp").alias("a"), F.col("fp").alias("b")).limit(0))
     rows = graded(8)
     assert kept(spark, rows) == brute_first(rows)
 
 
+def test_large_group_of_near_copies(spark, monkeypatch):
+    """Copies of one text with up to nine words changed: few pairs of the group are looked at, none is lost."""
+    monkeypatch.setattr(jaccard, "SAMPLE", 2)
+    rng = np.random.default_rng(3)
+    base, rows, compared = [f"w{i}" for i in range(150)], [], []
+    for i in range(400):
+        copy = list(base)
+        for p in rng.choice(140, rng.integers(0, 10), replace=False):
+            copy[p + 3] = f"x{rng.integers(0, 100_000)}"
+        rows.append((i, " ".join(copy)))
+    similar_of = jaccard._similar
+    monkeypatch.setattr(jaccard, "_similar", lambda pairs, *more: compared.append(pairs.count()) or similar_of(pairs, *more))
+    assert kept(spark, rows) == brute_first(rows)
+    assert sum(compared) < 400 * 399 / 2 / 20
+
+
 def test_stage_documents(spark, sf_dir):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
     assert kept(spark, rows) == brute_first(rows)

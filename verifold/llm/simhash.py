@@ -34,7 +34,7 @@ HOT = 1000
 _RUN = 4096
 
 
-def _document_bits(hashes: np.ndarray) -> np.ndarray:
+def document_bits(hashes: np.ndarray) -> np.ndarray:
     """How many of the hashes have each of the 64 bits."""
     total = np.zeros(64, dtype=np.int64)
     for at in range(0, len(hashes), _RUN):
@@ -59,7 +59,7 @@ def _fingerprints(texts: pa.Array, shingle: int) -> np.ndarray:
             mine = np.array([digest(b" ".join(flat.slice(a, b - a).to_pylist()), SEED)], dtype=np.uint64)
         else:
             continue
-        out[i] = (power * (2 * _document_bits(mine) > len(mine))).sum(dtype=np.uint64)
+        out[i] = (power * (2 * document_bits(mine) > len(mine))).sum(dtype=np.uint64)
     return out
 
 
