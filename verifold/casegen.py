@@ -13,12 +13,12 @@ from pyspark.sql import functions as F
 from verifold.functions import money
 
 
-def _digit(s: str, weights: list[int]) -> str:
+def check_digit(s: str, weights: list[int]) -> str:
     total = " + ".join(f"cast(substr({s}, {i}, 1) as int) * {w}" for i, w in enumerate(weights, 1))
     return f"(case when ({total}) % 11 < 2 then 0 else 11 - ({total}) % 11 end)"
 
 
-def _br(cents: str) -> str:
+def br_amount(cents: str) -> str:
     """1.234,56 of whole cents below 100 million."""
     whole, rest = f"cast(floor(({cents}) / 100) as bigint)", f"lpad(cast(({cents}) % 100 as string), 2, '0')"
     thousands = f"cast(cast(floor({whole} / 1000) as bigint) as string) || '.' || lpad(cast({whole} % 1000 as string), 3, '0')"
@@ -37,24 +37,24 @@ WITH base AS (
     lpad(cast(1 + c_custkey % 28 as string), 2, '0') AS dd, lpad(cast(1 + c_custkey % 12 as string), 2, '0') AS mm, cast(1960 + c_custkey % 40 as string) AS yyyy
   FROM customer JOIN nation ON c_nationkey = n_nationkey
 ), digits AS (
-  SELECT *, b9 || cast({_digit("b9", _CPF1)} as string) AS b10,
+  SELECT *, b9 || cast({check_digit("b9", _CPF1)} as string) AS b10,
     r10 || cast((case when (11 - ({" + ".join(f"cast(substr(r10, {i}, 1) as int) * {w}" for i, w in enumerate(_REN, 1))}) % 11) % 11 = 10 then 0 else (11 - ({" + ".join(f"cast(substr(r10, {i}, 1) as int) * {w}" for i, w in enumerate(_REN, 1))}) % 11) % 11 end) as string) AS renavam_ok
   FROM base
 ), made AS (
-  SELECT *, b10 || cast(case when k % 7 = 0 then ({_digit("b10", _CPF2)} + 1) % 10 else {_digit("b10", _CPF2)} end as string) AS cpf, first_name || ' ' || middle || ' ' || last_name AS full_name FROM digits
+  SELECT *, b10 || cast(case when k % 7 = 0 then ({check_digit("b10", _CPF2)} + 1) % 10 else {check_digit("b10", _CPF2)} end as string) AS cpf, first_name || ' ' || middle || ' ' || last_name AS full_name FROM digits
 )
 SELECT k, case_id, cpf, full_name, renavam_ok, cents, (k % 7 <> 0) AS cpf_valid,
   k % 11 <> 3 AS has_proposal, k % 13 <> 5 AS has_licence, k % 3 = 0 AS has_licence_registry, k % 4 <> 1 AS has_payslip, k % 6 = 1 AS has_bank_statement, k % 2 = 0 AS has_transfer, k % 4 = 0 AS has_vehicle, k % 5 = 0 AS has_registry,
   case when k % 17 = 0 then null else full_name end AS p_nome, case when k % 2 = 0 then substr(cpf, 1, 3) || '.' || substr(cpf, 4, 3) || '.' || substr(cpf, 7, 3) || '-' || substr(cpf, 10, 2) else cpf end AS p_cpf,
-  dd || '/' || mm || '/' || yyyy AS p_nasc, case when k % 19 = 0 then null else {_br("cents")} end AS p_salario, case when k % 3 = 0 then {_br("cast(floor(cents / 10) as bigint)")} end AS p_outras, case when k % 23 = 0 then null else {_br("cents * 3")} end AS p_compra,
+  dd || '/' || mm || '/' || yyyy AS p_nasc, case when k % 19 = 0 then null else {br_amount("cents")} end AS p_salario, case when k % 3 = 0 then {br_amount("cast(floor(cents / 10) as bigint)")} end AS p_outras, case when k % 23 = 0 then null else {br_amount("cents * 3")} end AS p_compra,
   case when k % 5 = 0 then first_name || ' ' || last_name else full_name end AS l_nome, case when k % 6 = 0 then yyyy || '-' || mm || '-' || dd else dd || '/' || mm || '/' || yyyy end AS l_nasc,
   case when k % 10 = 0 then null when k % 10 = 1 then 'illegible' when k % 10 = 2 then '31/02/2027' when k % 2 = 0 then cast(2020 + k % 12 as string) || '-' || mm || '-' || dd else dd || '/' || mm || '/' || cast(2020 + k % 12 as string) end AS l_validade,
   case when k % 9 = 0 then first_name || ' DA ' || last_name when k % 9 = 3 then 'OTHER ' || last_name else full_name end AS s_nome, case when k % 12 = 0 then '11144477735' when k % 15 = 0 then null else cpf end AS s_cpf,
   case when k % 15 = 3 then 'bad' when k % 15 = 6 then null else dd || '/' || mm || '/2031' end AS s_validade, case when k % 21 = 0 then null else 'AB' end AS s_categoria,
-  case when k % 8 = 0 then null else {_br("case when k % 16 = 2 then cents * 2 when k % 16 = 3 then cents - cents % 2 else cast(floor(cents * 0.9) as bigint) end")} end AS h_total, case when k % 12 = 7 then null else {_br("cents + 5000")} end AS e_renda,
+  case when k % 8 = 0 then null else {br_amount("case when k % 16 = 2 then cents * 2 when k % 16 = 3 then cents - cents % 2 else cast(floor(cents * 0.9) as bigint) end")} end AS h_total, case when k % 12 = 7 then null else {br_amount("cents + 5000")} end AS e_renda,
   case when k % 22 = 0 then null else full_name end AS t_comprador, case when k % 14 = 0 then cpf when k % 18 = 0 then '11144477735' when k % 26 = 0 then null else cpf end AS t_comprador_doc, case when k % 12 = 0 then null when k % 16 = 0 then '12345678901' else renavam_ok end AS t_renavam,
   'SELLER ' || last_name || ' ' || middle AS t_vendedor, case when k % 10 = 0 then '52998224725' else '11144477735' end AS t_vendedor_doc,
-  case when k % 20 = 4 then '12345678901' else renavam_ok end AS v_renavam, case when k % 8 = 0 then '11144477735' else '52998224725' end AS v_owner,
+  case when k % 20 = 4 then '12345678901' when k % 28 = 8 then '12345678900' else renavam_ok end AS v_renavam, case when k % 8 = 0 then '11144477735' else '52998224725' end AS v_owner,
   case when k % 15 = 0 then null when k % 20 = 0 then '52998224725' else '11144477735' end AS r_owner, case when k % 30 = 0 then 'S' || substr(last_name, 1, 1) else 'XY' end AS r_iniciais,
   case when k % 25 = 0 then null else k % 35 = 0 end AS r_restricao, case when k % 40 = 0 then 'ativa' when k % 45 = 0 then 'inativa' when k % 50 = 0 then null else 'ausente' end AS r_alienacao, case when k % 55 = 0 then null else k % 65 = 0 end AS r_ipva,
   case when k % 70 = 0 then null else cents * (k % 5 + k % 3 * 2) end AS r_debitos, case when k % 75 = 0 then null else cents * (k % 2) end AS r_multas

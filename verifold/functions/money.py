@@ -73,6 +73,13 @@ def sum_currency_cents(c: Column | str) -> Column:
     return F.aggregate(F.transform(found, money_to_cents), F.lit(0).cast("bigint"), lambda a, x: a + F.coalesce(x, F.lit(0)))
 
 
+def money_on_label_line(lines: Column, label: str) -> Column:
+    """First amount, as written, on the first of the lines (an array) that holds the label and an amount."""
+    rx = r"((?:R\$\s*)?(?:\d{1,3}(?:\.\d{3})*|\d+),\d{2})\b"
+    found = F.transform(lines, lambda x: F.when(F.upper(x).contains(label.upper()), F.nullif(F.trim(F.regexp_extract(x, rx, 1)), F.lit(""))))
+    return F.get(F.filter(found, lambda v: v.isNotNull()), F.lit(0))
+
+
 def int_or_text_to_cents(value: Column, kind: Column) -> Column:
     """Whole numbers above 100000 are cents already, others reais; text by money_to_cents. kind: the variant's schema."""
     n = value.try_cast("bigint")

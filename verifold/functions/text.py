@@ -10,10 +10,17 @@ from pyspark.sql import functions as F
 #: Fixed values.
 STATES = ("AC", "AL", "AP", "AM", "BA", "CE", "DF", "ES", "GO", "MA", "MT", "MS", "MG", "PA", "PB", "PR", "PE", "PI", "RJ", "RN", "RS", "RO", "RR", "SC", "SP", "SE", "TO")
 NAME_CONNECTORS = ("DE", "DA", "DO", "DAS", "DOS", "E")
-INITIAL_STOPWORDS = ("DE", "DA", "DO", "DAS", "DOS", "E", "LTDA", "ME", "MEI", "EPP", "SA", "S", "A", "EIRELI", "CIA")
-BANKS = (("ITAU", "ITA[UÚ]"), ("BRADESCO", "BRADESCO"), ("SANTANDER", "SANTANDER"), ("CAIXA", "CAIXA"), ("NUBANK", "NUBANK"))
-COVER_TOKENS = ("SENATRAN", "SERPRO", "QR-CODE", "QR CODE", "CARTEIRA DIGITAL", "ASSINADO DIGITALMENTE", "MEDIDA PROVISORIA", "VALIDADE JURIDICA", "VERIFICACAO")
-NAME_LABELS = ("CPF", "CNPJ", "NOME", "ENDERECO", "MUNICIPIO", "PLACA", "RENAVAM", "CHASSI")
+PERSON_CONNECTORS = ("DE", "DA", "DO", "DAS", "DOS")
+INITIAL_STOPWORDS = ("DA", "DE", "DO", "DAS", "DOS", "E", "LTDA", "ME", "EPP", "S/A", "SA", "S.A.", "SOCIEDADE", "ANONIMA", "ANÔNIMA")
+INITIAL_LETTERS = "A-ZÁÉÍÓÚÂÊÔÃÕÇ"
+BANKS = (("Itau", "ITAÚ|ITAU"), ("Caixa", "CAIXA"), ("Banco do Brasil", "BANCO DO BRASIL"), ("Santander", "SANTANDER"), ("Bradesco", "BRADESCO"))
+COVER_TOKENS = ("REPÚBLICA", "REPUBLICA", "FEDERATIVA", "BRASIL", "SECRETARIA NACIONAL", "SENATRAN", "CARTEIRA NACIONAL", "TRÂNSITO", "TRANSITO")
+NAME_LABELS = (
+    "IDENTIFICAÇÃO DO VENDEDOR", "IDENTIFICACAO DO VENDEDOR", "IDENTIFICAÇÃO DO COMPRADOR", "IDENTIFICACAO DO COMPRADOR", "O REGISTRO DESTE VEÍCULO", "O REGISTRO DESTE VEICULO",
+    "CÓDIGO RENAVAM", "CODIGO RENAVAM", "COR PREDOMINANTE", "CHASSI LOCAL", "PLACA", "RENAVAM", "VALOR", "MUNICÍPIO", "MUNICIPIO",
+)
+PERSON_JUNK = ("KE", "KH", "RTF", "GE", "GI", "NM", "MM", "NA", "ALO", "ACC", "QR", "CODE")
+PARENT_JUNK = ("S", "M", "O", "OO", "ES", "GI", "NM", "MM", "EM", "RE", "IO", "LH", "WERT", "LAT", "LALATE", "ASSINATURA", "PORTADOR", "OBSERVACOES", "OBSERVAÇÕES", "NACIONALIDADE", "BRASILEIRO", "LEMA", "CAT", "HAB", "CNH")
 
 
 def _accent_tables() -> tuple[str, str]:
@@ -48,6 +55,11 @@ def collapse(c: Column | str) -> Column:
     return F.trim(F.regexp_replace(_c(c).cast("string"), r"(?U)\s+", " "))
 
 
+def strip(c: Column | str) -> Column:
+    """Without white space of any kind at the ends."""
+    return F.regexp_replace(_c(c).cast("string"), r"(?U)^\s+|\s+$", "")
+
+
 def only_digits(c: Column | str) -> Column:
     """Digits only; null becomes empty."""
     return F.regexp_replace(text(c), "[^0-9]", "")
@@ -126,15 +138,14 @@ def name_jaccard(a: Column | str, b: Column | str) -> Column:
 
 
 def name_initials(c: Column | str) -> Column:
-    """First letters of the tokens, without stop words and single letters."""
-    t = F.regexp_replace(F.upper(strip_accents(text(c))), "[^A-Z ]", " ")
-    kept = F.filter(tokens(t), lambda x: ~x.isin(*INITIAL_STOPWORDS) & (F.length(x) > 1))
+    """First letters of the upper-case tokens, without stop words and single characters."""
+    kept = F.filter(tokens(sanitize_name(c)), lambda x: ~x.isin(*INITIAL_STOPWORDS) & (F.length(x) > 1))
     return F.transform(kept, lambda x: F.substring(x, 1, 1))
 
 
 def initials_of_code(c: Column | str) -> Column:
     """Letters of a code of initials such as 'JS' or 'J.S.'."""
-    return F.regexp_extract_all(F.upper(strip_accents(text(c))), F.lit("([A-Z])"), 1)
+    return F.regexp_extract_all(F.upper(text(c)), F.lit(f"([{INITIAL_LETTERS}])"), 1)
 
 
 def initials_match(code: Column | str, name: Column | str) -> Column:
@@ -145,8 +156,8 @@ def initials_match(code: Column | str, name: Column | str) -> Column:
 
 
 def masked_name_initials(c: Column | str) -> Column:
-    """'J*** S***' gives [J, S]."""
-    return F.transform(F.filter(tokens(F.upper(text(c))), lambda x: x.rlike("^[A-ZÀ-Ü]")), lambda x: F.substring(x, 1, 1))
+    """'J*** S***' gives [J, S]; tokens that are not masked give none."""
+    return F.transform(F.filter(tokens(F.upper(text(c))), lambda x: x.rlike(rf"^[{INITIAL_LETTERS}]\*+\.?$")), lambda x: F.substring(x, 1, 1))
 
 
 def is_masked_name(c: Column | str) -> Column:
@@ -227,11 +238,11 @@ def first_non_empty(*cols: Column) -> Column:
 
 def looks_like_cover_only(c: Column | str) -> Column:
     """Empty, or three boilerplate tokens or more in under 1500 characters."""
-    t = F.upper(strip_accents(text(c)))
+    t = F.upper(text(c))
     n = F.lit(0)
     for w in COVER_TOKENS:
         n += t.contains(w).cast("int")
-    return (F.trim(t) == "") | ((n >= 3) & (F.length(t) < 1500))
+    return (t == "") | ((n >= 3) & (F.length(t) < 1500))
 
 
 def clean_value(c: Column | str) -> Column:
@@ -254,25 +265,24 @@ def is_machine_line(c: Column | str) -> Column:
 
 
 def machine_line_name(c: Column | str) -> Column:
-    t = F.array_join(F.filter(F.split(F.upper(F.trim(text(c))), "<"), lambda x: x.rlike("^[A-Z]{2,}$")), " ")
-    return F.when(is_machine_line(c) & (t != ""), t)
+    """A person's name of two tokens or more between the '<' of a machine line."""
+    t = normalize_person_name(F.replace(F.trim(text(c)), F.lit("<"), F.lit(" ")))
+    return F.when(is_machine_line(c) & (F.size(tokens(t)) >= 2), t)
 
 
-def normalize_person_name(c: Column | str, junk: tuple[str, ...] = ("CPF", "RG", "NOME", "DATA", "NASCIMENTO", "FILIACAO", "SSP", "DETRAN", "CNH"), least: int = 2) -> Column:
-    """A person's name from a noisy line: no dates, brackets, junk tokens or vowel-less scraps."""
-    t = F.regexp_replace(F.upper(text(c)), r"\|.*$", "")
-    t = F.regexp_replace(F.regexp_replace(t, r"\d{2}/\d{2}/\d{4}", " "), r"[\[\](){}]", " ")
-    t = F.regexp_replace(t, "[^A-ZÀ-Ü ]", " ")
-    vowel = "[AEIOUÀ-ÅÈ-ÏÒ-ÖÙ-Ü]"
-    kept = F.filter(tokens(t), lambda x: ~strip_accents(x).isin(*junk) & (x.isin(*NAME_CONNECTORS) | ((F.length(x) >= least) & ((F.length(x) > 3) | x.rlike(vowel)))))
-    ends = "|".join(NAME_CONNECTORS)
-    out = F.trim(F.regexp_replace(F.regexp_replace(F.array_join(kept, " "), f"^((?:{ends}) )+", ""), f"( (?:{ends}))+$", ""))
-    return F.when((out != "") & ~out.isin(*NAME_CONNECTORS), out)
+def normalize_person_name(c: Column | str, junk: tuple[str, ...] = PERSON_JUNK, least: int = 2) -> Column:
+    """A person's name from a noisy line: no dates, brackets, junk tokens or vowel-less scraps; null if nothing is left."""
+    t = F.regexp_replace(F.upper(text(c)), r"(?s)\|.*$", "")
+    t = F.regexp_replace(F.regexp_replace(t, r"\b\d{2}/\d{2}/\d{4}\b", " "), "[^A-ZÀ-Ü]", " ")
+    kept = F.filter(tokens(t), lambda x: x.isin(*PERSON_CONNECTORS) | (~x.isin(*junk) & (F.length(x) >= least) & ((F.length(x) > 3) | x.rlike("[AEIOUÀ-Ü]"))))
+    ends = "|".join(PERSON_CONNECTORS)
+    out = F.trim(F.regexp_replace(F.regexp_replace(F.array_join(kept, " "), f"^((?:{ends})( |$))+", ""), f"( (?:{ends}))+$", ""))
+    return F.when(out != "", out)
 
 
 def clean_parent_line(c: Column | str) -> Column:
     """As a person's name, with tokens of three letters or more and its own junk."""
-    return normalize_person_name(c, ("FILIACAO", "PERMISSAO", "ACC", "CAT", "HAB", "REGISTRO", "VALIDADE", "HABILITACAO", "NOME", "DOC", "IDENTIDADE"), 3)
+    return normalize_person_name(F.regexp_replace(F.upper(text(c)), r"\b(FILIAÇÃO|FILIACAO)\b", " "), PARENT_JUNK, 3)
 
 
 def missing_fields(fields: dict[str, Column]) -> Column:

@@ -5,15 +5,19 @@ Windows are per document, so their size is bounded by one text.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from verifold.functions.dates import SEPARATORS
-from verifold.functions.text import collapse, text
+from verifold.functions.text import collapse, strip, text
 
 #: Lines of no use in vehicle certificates and registry lookups.
-CERTIFICATE_NOISE = r"(?i)(QR ?CODE|ASSINADO DIGITALMENTE|DOCUMENTO DIGITAL|SENATRAN|MINIST[EÉ]RIO|P[AÁ]GINA \d+)"
-REGISTRY_NOISE = r"(?i)(HTTPS?://|P[AÁ]GINA \d+|IMPRIMIR|VOLTAR|DETRANNET|^\d{2}/\d{2}/\d{4},? \d{2}:\d{2})"
+CERTIFICATE_NOISE = r"(?i)(DENATRAN|SENATRAN|SEGURADO|DEPARTAMENTO|QR\s*CODE|DPVAT)"
+REGISTRY_NOISE = r"(?i)(DENATRAN|SENATRAN|QR\s*CODE|DPVAT|GOVERNO|SECRETARIA)"
+#: Fixed value: what a line that opens another block looks like, in upper case.
+HEADER = r"^[A-ZÇÃÕÁÉÍÓÚÂÊÎÔÛ\s]{3,}$"
 DATE = rf"\d{{1,2}}{SEPARATORS}\d{{1,2}}{SEPARATORS}\d{{2,4}}"
 
 
@@ -21,10 +25,96 @@ def _by_doc(*keys: str):
     return Window.partitionBy("doc_id", *keys).orderBy("pos")
 
 
+def lines_of(c: Column | str) -> Column:
+    """Array of the trimmed lines that are not blank."""
+    return F.filter(F.transform(F.split(text(c), r"\R"), strip), lambda x: x != "")
+
+
 def explode_lines(df: DataFrame, column: str = "text") -> DataFrame:
     """doc_id, pos, line: trimmed lines that are not blank, numbered from 0 in order."""
-    trimmed = F.filter(F.transform(F.split(text(column), r"\R"), lambda x: F.regexp_replace(x, r"(?U)^\s+|\s+$", "")), lambda x: x != "")
-    return df.select("doc_id", F.posexplode(trimmed).alias("pos", "line"))
+    return df.select("doc_id", F.posexplode(lines_of(column)).alias("pos", "line"))
+
+
+# Look-ups in an array of lines: they stay inside the row of their document, so nothing moves
+
+
+def first_of(lines: Column, value: Callable[[Column, Column], Column]) -> Column:
+    """The first value that is not null; ``value`` gets each line and the next one (null after the last)."""
+    return F.get(F.filter(F.transform(lines, lambda x, i: value(x, F.get(lines, i + 1))), lambda v: v.isNotNull()), F.lit(0))
+
+
+def first_index(lines: Column, hit: Callable[[Column], Column]) -> Column:
+    """Place of the first line that fits, from 0, else null."""
+    return F.get(F.filter(F.transform(lines, lambda x, i: F.when(hit(x), i)), lambda v: v.isNotNull()), F.lit(0))
+
+
+def _tail(line: Column) -> Column:
+    return F.trim(F.regexp_replace(line, r"^[^:]*:", ""))
+
+
+def array_value_after(lines: Column, label: str) -> Column:
+    """``value_after_label`` of one array of lines."""
+    def value(x: Column, below: Column) -> Column:
+        after = _tail(x)
+        return F.when(F.upper(x).contains(label.upper()), F.when((after != "") & (F.upper(after) != label.upper()), after).otherwise(below))
+
+    return first_of(lines, value)
+
+
+def array_tabular_value(lines: Column, label: str) -> Column:
+    """``tabular_value`` of one array of lines."""
+    def value(x: Column, below: Column) -> Column:
+        after = F.regexp_replace(F.element_at(F.split(x, rf"\Q{label}\E"), -1), r"^[ :]+|[ :]+$", "")
+        return F.when(F.lower(x).contains(label.lower()), F.when((after != "") & (after != x), after).otherwise(below))
+
+    return first_of(lines, value)
+
+
+def array_colon_value(lines: Column, label: str) -> Column:
+    """``label_colon_value`` of one array of lines."""
+    return first_of(lines, lambda x, _: F.when(F.upper(x).contains(label.upper()) & x.contains(":"), _tail(x)))
+
+
+def array_labelled_match(lines: Column, labels: tuple[str, ...], rx: str, anywhere: bool = True) -> Column:
+    """``labelled_match`` of one array of lines."""
+    found = lambda x: F.nullif(F.regexp_extract(x, rx, 1), F.lit(""))
+    def labelled(x: Column) -> Column:
+        return _holds(x, labels)
+
+    tries = [first_of(lines, lambda x, _: F.when(labelled(x), found(x))), first_of(lines, lambda x, below: F.when(labelled(x), found(below)))]
+    return F.coalesce(*tries, *([first_of(lines, lambda x, _: found(x))] if anywhere else []))
+
+
+def array_slice(lines: Column, start: tuple[str, ...], end: tuple[str, ...] = ()) -> Column:
+    """``slice_between`` (or ``slice_from`` without end markers) of one array of lines."""
+    at = first_index(lines, lambda x: _holds(x, start))
+    rest = F.when(at.isNotNull(), F.slice(lines, F.coalesce(at, F.lit(0)) + 2, F.greatest(F.size(lines), F.lit(1)))).otherwise(F.array().cast("array<string>"))
+    if not end:
+        return rest
+    stop = first_index(rest, lambda x: _holds(x, end))
+    return F.when(stop.isNotNull(), F.slice(rest, F.lit(1), F.coalesce(stop, F.lit(0)))).otherwise(rest)
+
+
+def array_block_after(lines: Column, *labels: str) -> Column:
+    """``block_after`` of one array of lines; the first of the labels that gives a block."""
+    def block(label: str) -> Column:
+        is_label = lambda x: F.upper(x).contains(label.upper())
+        rest = array_slice(lines, (label,))
+        stop = first_index(rest, lambda x: ~is_label(x) & F.upper(x).rlike(HEADER))
+        kept = F.filter(F.when(stop.isNotNull(), F.slice(rest, F.lit(1), F.coalesce(stop, F.lit(0)))).otherwise(rest), lambda x: ~is_label(x))
+        return F.nullif(F.trim(F.array_join(kept, " ")), F.lit(""))
+
+    return F.coalesce(*map(block, labels))
+
+
+def _holds(x: Column, words: tuple[str, ...]) -> Column:
+    out = F.lit(False)
+    for w in words:
+        out |= F.upper(x).contains(w.upper())
+    return out
+
+
+# Line operators over rows (doc_id, pos, line)
 
 
 def drop_noise_lines(lines: DataFrame, noise: str = CERTIFICATE_NOISE) -> DataFrame:
@@ -38,17 +128,25 @@ def compact_numbers(c: Column) -> Column:
     return c
 
 
+def statement_line(c: Column) -> Column:
+    """Numbers joined, text glued to a date split off, single spaces."""
+    return collapse(F.regexp_replace(compact_numbers(c), r"(\d{1,2}\s*[/\-.]\s*\d{1,2}\s*[/\-.]\s*\d{2,4})([A-Za-zÀ-ÿ])", "$1 $2"))
+
+
 def normalize_statement_lines(lines: DataFrame) -> DataFrame:
-    """Numbers joined, text glued to a date split off, single spaces; blank lines go."""
-    glued = F.regexp_replace(compact_numbers(F.col("line")), r"(\d{1,2}\s*[/\-.]\s*\d{1,2}\s*[/\-.]\s*\d{2,4})([A-Za-zÀ-ÿ])", "$1 $2")
-    return lines.withColumn("line", collapse(glued)).where("line <> ''")
+    """``statement_line`` of each line; blank lines go."""
+    return lines.withColumn("line", statement_line(F.col("line"))).where("line <> ''")
+
+
+def split_on_dates(c: Column) -> Column:
+    """A line with two dates or more as one line a date; what stands before the first is lost."""
+    parts = F.filter(F.transform(F.split(c, rf"(?<!\d)(?={DATE}(?!\d))"), lambda x: F.trim(x)), lambda x: x.rlike(rf"^{DATE}"))
+    return F.when(F.size(parts) >= 2, parts).otherwise(F.array(c))
 
 
 def explode_on_dates(lines: DataFrame) -> DataFrame:
-    """A line with two dates or more becomes one line a date; what stands before the first is lost."""
-    parts = F.filter(F.transform(F.split("line", rf"(?<!\d)(?={DATE}(?!\d))"), lambda x: F.trim(x)), lambda x: x.rlike(rf"^{DATE}"))
-    many = F.size(parts) >= 2
-    rows = lines.select("doc_id", "pos", F.posexplode(F.when(many, parts).otherwise(F.array("line"))).alias("sub", "line"))
+    """``split_on_dates`` of each line, numbered again."""
+    rows = lines.select("doc_id", "pos", F.posexplode(split_on_dates(F.col("line"))).alias("sub", "line"))
     return rows.withColumn("pos", (F.row_number().over(Window.partitionBy("doc_id").orderBy("pos", "sub")) - 1).cast("int")).select("doc_id", "pos", "line")
 
 
@@ -119,12 +217,12 @@ def slice_from(lines: DataFrame, start: tuple[str, ...]) -> DataFrame:
     return lines.withColumn("seen", F.coalesce(seen, F.lit(False))).where("seen").drop("seen")
 
 
-def block_after(lines: DataFrame, label: str, header: str = r"(?U)^[\p{L} ]{3,}$") -> DataFrame:
+def block_after(lines: DataFrame, label: str, header: str = HEADER) -> DataFrame:
     """Lines after the first label line up to the first header-like line, joined by a space."""
     is_label = F.lower("line").contains(label.lower())
     seen = F.coalesce(F.max(is_label).over(_by_doc().rowsBetween(Window.unboundedPreceding, -1)), F.lit(False))
     rows = lines.withColumn("label_line", is_label).withColumn("seen", seen)
-    stop = F.max(F.col("seen") & ~F.col("label_line") & F.col("line").rlike(header)).over(_by_doc().rowsBetween(Window.unboundedPreceding, 0))
+    stop = F.max(F.col("seen") & ~F.col("label_line") & F.upper("line").rlike(header)).over(_by_doc().rowsBetween(Window.unboundedPreceding, 0))
     kept = rows.withColumn("stop", stop).where("seen and not stop and not label_line")
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"])
     return kept.groupBy("doc_id").agg(F.array_join(ordered, " ").alias("value"))
@@ -164,6 +262,11 @@ def text_window_before(lines: DataFrame, rx: str, n: int) -> DataFrame:
     return lines.withColumn("at", at).where((F.col("pos") < F.col("at")) & (F.col("pos") >= F.col("at") - n)).drop("at")
 
 
+def page_lengths(pages: DataFrame) -> DataFrame:
+    """doc_id, page (from 1, in order) and text length. Needs doc_id, pos and text of each page."""
+    return pages.select("doc_id", F.row_number().over(_by_doc()).alias("page"), F.length(text("text")).alias("text_len"))
+
+
 def merge_page_stats(native: DataFrame, other: DataFrame) -> DataFrame:
     """doc_id, page and text lengths of two passes; a page that one pass lacks has length 0 there."""
     a = native.select("doc_id", "page", F.length(text("text")).alias("native_len"))

@@ -86,7 +86,10 @@ def project_whitelist(df: DataFrame) -> DataFrame:
 
 
 #: Fields each type must have.
-REQUIRED_FIELDS = {"licence": ("nome", "cpf", "validade"), "payslip": ("nome", "total_vencimentos"), "residence_proof": ("titular", "endereco"), "bank_statement": ("lancamentos",), "vehicle_document": ("placa", "renavam")}
+REQUIRED_FIELDS = {
+    "cnh": ("nome", "cpf", "data_nascimento", "validade"), "proposta": ("proposta", "nome_financiado", "cpf", "data_nascimento"), "residencia": ("nome_titular", "endereco", "cep", "cidade", "uf", "vencimento"),
+    "holerite": ("nome", "empregador", "data_admissao", "total_vencimentos"), "extrato": ("titular", "agencia", "conta", "periodo_inicio", "periodo_fim", "lancamentos"),
+}
 
 
 def required_fields_for(doc_type: Column) -> Column:

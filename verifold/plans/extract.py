@@ -9,50 +9,56 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from verifold.functions import dates, ids, money
 from verifold.functions import text as T
 from verifold.operators import lines as L
 
-#: Words that tell a document's type, by file name and by text; the first that fits wins.
+#: What tells a document's type. Of the types in order the first counts whose words stand in
+#: the lower-case file name, or one of whose groups of patterns is wholly found in the upper-case text.
 KEYWORDS = (
-    ("licence", r"cnh|habilitacao", r"CARTEIRA NACIONAL DE HABILITA|PERMISS[AÃ]O PARA DIRIGIR"),
-    ("payslip", r"holerite|contracheque", r"HOLERITE|CONTRACHEQUE|DEMONSTRATIVO DE PAGAMENTO|RECIBO DE PAGAMENTO|TOTAL DE VENCIMENTOS"),
-    ("bank_statement", r"extrato", r"EXTRATO|SALDO DO DIA|SALDO ANTERIOR"),
-    ("residence_proof", r"residencia|conta|fatura", r"UNIDADE CONSUMIDORA|CONTA DE (LUZ|ENERGIA|[AÁ]GUA)|FATURA"),
-    ("vehicle_document", r"crlv|veiculo|documento_veiculo", r"CERTIFICADO DE REGISTRO|RENAVAM"),
+    ("cnh", ("cnh",), (("CARTEIRA NACIONAL DE HABIL",), ("SENATRAN",), ("ASSINADOR SERPRO",))),
+    ("proposta", ("daycoval",), (("PLANILHA DE PROPOSTA",), ("BANCO DAYCOVAL",), (r"\bPROPOSTA:\s*\d{6,}\b",))),
+    ("residencia", ("celesc",), (("SEGUNDA VIA", "ENDERECO"), ("UNIDADE CONSUMIDORA",), ("NOME:", "CEP:", "CIDADE:"))),
+    ("holerite", ("holerite",), (("RECIBO DE PAGAMENTO",), ("PAGAMENTO DE SALARIO",), (r"ADM\.:", "SALARIO"))),
+    ("extrato", ("extrato",), (("EXTRATO POR PERIODO",), ("LANCAMENTOS",), ("HISTORICO/COMPLEMENTO",), ("SALDO ANTERIOR",))),
 )
-INTAKE = (
-    ("proposal", r"proposta", r"PROPOSTA|FINANCIADO|VALOR DA COMPRA"),
-    ("licence_registry", r"senatran", r"SENATRAN"),
-    ("licence", r"cnh", r"HABILITA[CÇ][AÃ]O"),
-    ("transfer", r"atpv", r"AUTORIZA[CÇ][AÃ]O PARA TRANSFER[EÊ]NCIA"),
-    ("vehicle_certificate", r"crlv", r"CERTIFICADO DE REGISTRO E LICENCIAMENTO"),
-    ("registry_lookup", r"detran", r"CONSULTA .*VE[IÍ]CULO|DETRAN"),
-    ("payslip", r"holerite", r"HOLERITE|TOTAL DE VENCIMENTOS"),
-    ("bank_statement", r"extrato", r"EXTRATO"),
+#: The same for intake, first by name, then by text: (types, the first allowed one is meant; words or patterns).
+INTAKE_NAMES = ((("cnh", "cnh_senatran"), ("cnh",)), (("proposta_daycoval",), ("daycoval", "proposta")), (("holerite",), ("holerite",)), (("folha_pagamento",), ("folha",)), (("extrato_bancario",), ("extrato",)))
+INTAKE_TEXTS = (
+    (("cnh", "cnh_senatran"), (("CARTEIRA NACIONAL DE HABIL",), ("ASSINADOR SERPRO",), ("SENATRAN",))),
+    (("proposta_daycoval",), (("BANCO DAYCOVAL",), ("PLANILHA DE PROPOSTA",), (r"\bPROPOSTA:\s*\d{6,}\b",))),
+    (("extrato_bancario",), (("EXTRATO", "SALDO"), ("LANCAMENTOS",), ("HISTORICO",))),
+    (("holerite", "folha_pagamento"), (("RECIBO DE PAGAMENTO",), ("PAGAMENTO DE SALARIO",))),
 )
+INTAKE_TYPES = ("cnh", "cnh_senatran", "proposta_daycoval", "holerite", "folha_pagamento", "extrato_bancario")
 
 
-def classify(file_name: Column, text: Column, rules=KEYWORDS, otherwise: str | None = "unknown") -> Column:
-    """Type by file name first, then by text."""
-    name, up, out = F.lower(T.strip_accents(T.text(file_name))), F.upper(T.text(text)), F.lit(otherwise).cast("string")
-    for kind, _, rx in reversed(rules):
-        out = F.when(up.rlike(rx), F.lit(kind)).otherwise(out)
-    for kind, rx, _ in reversed(rules):
-        out = F.when(name.rlike(rx), F.lit(kind)).otherwise(out)
-    return out
+def _any(c: Column, words: tuple[str, ...]) -> Column:
+    return reduce(lambda a, b: a | b, (c.contains(w) for w in words))
+
+
+def _groups(c: Column, groups: tuple[tuple[str, ...], ...]) -> Column:
+    return reduce(lambda a, b: a | b, (reduce(lambda x, y: x & y, (c.rlike(rx) for rx in g)) for g in groups))
 
 
 def classify_by_keywords(df: DataFrame) -> DataFrame:
-    return df.withColumn("doc_class", classify(F.col("file_name"), F.col("text")))
+    """Adds doc_class: cnh, proposta, residencia, holerite, extrato or desconhecido. Needs file_name and text."""
+    name, up, out = F.lower(T.text("file_name")), F.upper(T.text("text")), F.lit("desconhecido")
+    for kind, words, groups in reversed(KEYWORDS):
+        out = F.when(_any(name, words) | _groups(up, groups), F.lit(kind)).otherwise(out)
+    return df.withColumn("doc_class", out)
 
 
-def classify_for_intake(df: DataFrame, chars: int = 8000) -> DataFrame:
-    """By its own words over the start of the text (the feature is a cheap guess); null when none fits."""
-    return df.withColumn("doc_class", classify(F.col("file_name"), F.substring(T.text("text"), 1, chars), INTAKE, None))
+def classify_for_intake(df: DataFrame, chars: int = 8000, allowed: tuple[str, ...] = INTAKE_TYPES) -> DataFrame:
+    """Adds doc_class, one of the allowed types: by file name, then by the start of the text; null when none fits."""
+    name, up = F.lower(T.text("file_name")), F.upper(F.substring(T.text("text"), 1, chars))
+    meant = lambda types: next((t for t in types if t in allowed), None)
+    by_name = [F.when(_any(name, words), F.lit(meant(types))) for types, words in INTAKE_NAMES if meant(types)]
+    by_text = [F.when(_groups(up, groups), F.lit(meant(types))) for types, groups in INTAKE_TEXTS if meant(types)]
+    return df.withColumn("doc_class", F.coalesce(F.lit(None).cast("string"), *by_name, *by_text))
 
 
 def text_source_policy(df: DataFrame, least: int = 800) -> DataFrame:
@@ -68,25 +74,31 @@ def optional_doc_gate(df: DataFrame, enabled: bool, optional: tuple[str, ...] =
     return df if enabled else df.where(~F.col("doc_type").isin(*optional))
 
 
-def text_quality_score(c: Column | str) -> Column:
-    """How much of a licence can be read in a text."""
-    up = F.upper(T.strip_accents(T.text(c)))
-    has = lambda rx, n: F.when(up.rlike(rx), F.lit(n)).otherwise(F.lit(0))
-    words = sum((has(w, 2) for w in ("HABILITACAO", "REGISTRO", "VALIDADE", "NASCIMENTO", "FILIACAO")), F.lit(0))
-    return (words + has(r"\d{3}\.?\d{3}\.?\d{3}-?\d{2}", 8) + has(r"\d{2}/\d{2}/\d{4}", 3) + F.when(F.length(up) < 300, F.lit(-5)).otherwise(F.lit(0))
-            + F.when(ids.is_valid_cpf(F.regexp_extract(up, r"(\d{3}\.?\d{3}\.?\d{3}-?\d{2})", 1)), F.lit(10)).otherwise(F.lit(0))
-            + F.when(F.size(dates.dates_in(up)) >= 2, F.lit(6)).otherwise(F.lit(0)))
+def text_quality_score(df: DataFrame) -> DataFrame:
+    """Adds score: how much of a licence can be read in column text (words, shapes, and the fields that extract_licence finds)."""
+    up = F.upper(T.text("text"))
+    point = lambda hit, n: F.when(F.coalesce(hit, F.lit(False)), F.lit(n)).otherwise(F.lit(0))
+    f = licence_fields(F.col("text"))
+    score = (
+        point(up.contains("SENATRAN") | up.contains("SECRETARIA NACIONAL"), 2)
+        + point(up.rlike(r"\b\d{3}\.?\d{3}\.?\d{3}-?\d{2}\b"), 8)
+        + point(up.rlike(r"\b\d{2}/\d{2}/\d{4}\b"), 3)
+        + point(f["cpf"].isNotNull(), 10) + point(f["validade"].isNotNull(), 6) + point(f["data_nascimento"].isNotNull(), 4)
+        + point(f["cidade_nascimento"].isNotNull() & f["uf_nascimento"].isNotNull(), 4) + point(f["nome"].isNotNull(), 6)
+        - point(F.length(up) < 300, 5)
+    )
+    return df.withColumn("score", score)
 
 
 def best_text_candidate(df: DataFrame) -> DataFrame:
-    """Best candidate text of each document by (score, length); all blank: the candidates one below the other.
+    """Best candidate text of each document by (score, length); if it is blank, the candidates that are not, by score, one below the other.
 
     Needs doc_id, candidate (number) and text.
     """
-    rank = F.struct(text_quality_score("text").alias("s"), F.length(T.text("text")).alias("n"), (-F.col("candidate")).alias("o"))
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("candidate", T.text("text").alias("t")))), lambda x: x["t"]), "\n")
-    best = df.groupBy("doc_id").agg(F.max_by(T.text("text"), F.when(F.trim(T.text("text")) != "", rank)).alias("best"), F.max(F.when(F.trim(T.text("text")) != "", rank)).alias("r"), joined.alias("all"))
-    return best.select("doc_id", F.coalesce("best", "all").alias("text"), F.col("r.s").alias("score"))
+    scored = text_quality_score(df.withColumn("text", T.text("text"))).select("doc_id", "text", F.struct((-F.col("score")).alias("s"), (-F.length("text")).alias("n"), "candidate").alias("rank"), "score")
+    best = scored.groupBy("doc_id").agg(F.min_by("text", "rank").alias("best"), F.min_by("score", "rank").alias("score"), F.array_sort(F.collect_list(F.struct("rank", T.strip("text").alias("t")))).alias("all"))
+    joined = F.array_join(F.filter(F.transform("all", lambda x: x["t"]), lambda t: t != ""), "\n")
+    return best.select("doc_id", F.when(T.strip("best") != "", T.strip("best")).otherwise(joined).alias("text"), "score")
 
 
 def name_line_score(c: Column | str) -> Column:
@@ -95,37 +107,46 @@ def name_line_score(c: Column | str) -> Column:
     return n + F.when(n.between(3, 6), F.lit(2)).otherwise(F.lit(0)) - F.when(n > 8, F.lit(2)).otherwise(F.lit(0))
 
 
+def best_name(lines: Column, least: int = 4) -> Column:
+    """The name in the line that reads most like one; the first of equals."""
+    ranked = F.transform(lines, lambda x, i: F.struct(name_line_score(x).alias("s"), (-i).alias("o"), T.normalize_person_name(x).alias("name")))
+    return F.array_max(F.filter(ranked, lambda r: r["name"].isNotNull() & (r["s"] >= least)))["name"]
+
+
 def best_name_line(lines: DataFrame) -> DataFrame:
-    """The line of each document that reads most like a name; the first of equals."""
+    """``best_name`` of rows (doc_id, pos, line)."""
     rows = lines.withColumns({"name": T.normalize_person_name("line"), "score": name_line_score("line")}).where("name is not null and score >= 4")
     return rows.groupBy("doc_id").agg(F.max_by("name", F.struct("score", -F.col("pos"))).alias("nome"))
 
 
 def parent_score(c: Column | str) -> Column:
-    """How much a line reads like a parent's name."""
-    t = T.clean_parent_line(c)
-    words, letters = T.tokens(t), F.regexp_replace(T.text(t), " ", "")
-    n = F.size(words)
-    vowels = F.length(F.regexp_replace(T.strip_accents(letters), "[^AEIOU]", ""))
-    score = 2 * vowels / F.greatest(F.length(letters), F.lit(1)) + 0.15 * F.length(letters) / F.greatest(n, F.lit(1)) + F.when(F.arrays_overlap(words, F.array(*map(F.lit, T.NAME_CONNECTORS))), F.lit(0.6)).otherwise(F.lit(0.0)) + 0.25 * F.least(n, F.lit(6))
-    return F.when(t.isNotNull(), F.round(score, 6))
+    """How much a cleaned line reads like a parent's name; 0 below two tokens."""
+    t = T.text(c)
+    words, letters = T.tokens(t), F.length(F.regexp_replace(t, " ", ""))
+    n, vowels = F.size(words), F.regexp_count(t, F.lit("[AEIOUÀ-Ü]"))
+    has = lambda names: F.arrays_overlap(words, F.array(*map(F.lit, names)))
+    score = (2 * vowels / F.greatest(letters, F.lit(1)) + 0.15 * letters / F.greatest(n, F.lit(1)) + F.when(has(T.PERSON_CONNECTORS), F.lit(0.6)).otherwise(F.lit(0.0))
+             + 0.25 * F.least(n, F.lit(6)) - F.when(has(("WERT", "LAT", "LALATE")), F.lit(2.0)).otherwise(F.lit(0.0)))
+    return F.when(n < 2, F.lit(0.0)).otherwise(F.round(score, 6))
 
 
-def top2_relative(lines: DataFrame, share: float = 0.7, least: float = 1.4) -> DataFrame:
-    """Parents of each document: the best line, and the second if it comes near.
+#: What ends the list of parents.
+PARENT_STOPS = ("ASSINAT", "OBSERV", "NACIONAL", "LEMA", "LOCAL", "I<BR", "SERPRO", "SENATRAN")
 
-    The first four distinct lines below 'FILIACAO' (13 lines at most, up to a stop word) compete.
+
+def top2_relative(lines: Column, share: float = 0.7, least: float = 1.4) -> Column:
+    """Parents of a document: the best line, and the second if it comes near.
+
+    The first four distinct names below 'FILIA' (13 lines at most, up to a stop word) compete.
     """
-    start = F.min(F.when(T.strip_accents(F.upper("line")).contains("FILIACAO"), F.col("pos"))).over(Window.partitionBy("doc_id"))
-    stop_word = T.strip_accents(F.upper("line")).rlike("PERMISSAO|REGISTRO|VALIDADE|HABILITACAO|OBSERVACOES|ASSINATURA")
-    below = lines.withColumn("start", start).where((F.col("pos") > F.col("start")) & (F.col("pos") <= F.col("start") + 13))
-    stop = F.max(stop_word).over(Window.partitionBy("doc_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0))
-    rows = below.withColumn("stop", stop).where("not stop").withColumns({"name": T.clean_parent_line("line"), "score": parent_score("line")}).where("name is not null")
-    once = rows.groupBy("doc_id", "name").agg(F.min("pos").alias("pos"), F.max("score").alias("score"))
-    four = once.withColumn("o", F.row_number().over(Window.partitionBy("doc_id").orderBy("pos"))).where("o <= 4")
-    w = Window.partitionBy("doc_id").orderBy(F.desc("score"), "pos")
-    ranked = four.withColumns({"r": F.row_number().over(w), "top": F.first("score").over(w)}).where((F.col("r") == 1) | ((F.col("r") == 2) & (F.col("score") >= share * F.col("top")) & (F.col("score") >= least)))
-    return ranked.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "name"))), lambda x: x["name"]).alias("filiacao"))
+    below = F.slice(L.array_slice(lines, ("FILIA",)), 1, 13)
+    stop = L.first_index(below, lambda x: _any(F.upper(x), PARENT_STOPS))
+    before = F.when(stop.isNotNull(), F.slice(below, F.lit(1), F.coalesce(stop, F.lit(0)))).otherwise(below)
+    names = F.slice(F.array_distinct(F.filter(F.transform(before, T.clean_parent_line), lambda x: x.isNotNull())), 1, 4)
+    ranked = F.array_sort(F.transform(names, lambda x, i: F.struct((-parent_score(x)).alias("s"), i.alias("o"), x.alias("name"))))
+    best, second = F.get(ranked, F.lit(0)), F.get(ranked, F.lit(1))
+    near = (-second["s"] >= share * -best["s"]) & (-second["s"] >= least)
+    return F.filter(F.array(best["name"], F.when(near, second["name"])), lambda x: x.isNotNull())
 
 
 def prefer_registry_zone(text: Column, own: Column) -> Column:
@@ -176,46 +197,45 @@ def extract_proposal(texts: DataFrame) -> DataFrame:
     return rows.withColumn("nome_mae", F.concat_ws(" ", "nome_mae", surname)).withColumn("nome_mae", T.null_if_blank("nome_mae")).withColumns({"endereco": street, "numero": number, "complemento": more}).drop("text")
 
 
-def _joined(base: DataFrame, **found: DataFrame) -> DataFrame:
-    """Left joins of per-document values; all sides are keyed by doc_id."""
-    return reduce(lambda a, kv: a.join(kv[1].withColumnRenamed("value", kv[0]), "doc_id", "left"), found.items(), base)
+def licence_fields(text: Column) -> dict[str, Column]:
+    """Fields of a licence as columns over its text."""
+    lines = L.lines_of(text)
+    machine = L.first_of(lines, lambda x, _: T.machine_line_name(x))
+    birth_line = L.first_of(lines, lambda x, _: F.when(x.rlike(rf"{BR_DATE}.*,"), x))
+    cpf = T.only_digits_or_null(F.nullif(F.regexp_extract(T.text(text), rf"(?<!\d){CPF}(?!\d)", 1), F.lit("")))
+    birth = F.coalesce(F.nullif(F.regexp_extract(T.text(birth_line), BR_DATE, 1), F.lit("")), dates.earliest_date(text))
+    city, state = T.split_city_state(F.regexp_replace(F.regexp_extract(T.text(birth_line), rf"{BR_DATE}\s*,\s*(.+)$", 2), ",", " "))
+    expiry = dates.latest_date(text)
+    return {
+        "nome": F.coalesce(machine, T.normalize_person_name(L.array_value_after(lines, "NOME")), best_name(lines)), "cpf": cpf, "categoria": prefer_registry_zone(text, cpf),
+        "data_nascimento": birth, "validade": expiry, "cidade_nascimento": city, "uf_nascimento": state, "filiacao": top2_relative(lines),
+        "low_signal": (F.length(T.text(text)) < 1200) | (cpf.isNull() & expiry.isNull()),
+    }
 
 
 def extract_licence(texts: DataFrame) -> DataFrame:
     """nome, cpf, categoria, data_nascimento, validade, cidade_nascimento, uf_nascimento, filiacao, low_signal."""
-    lines = L.explode_lines(texts)
-    machine = lines.where(T.is_machine_line("line")).groupBy("doc_id").agg(F.max_by(T.machine_line_name("line"), "pos").alias("m_name"))
-    labelled = L.value_after_label(lines, "NOME").select("doc_id", T.normalize_person_name("value").alias("l_name"))
-    best = best_name_line(lines).withColumnRenamed("nome", "b_name")
-    place = lines.where(F.col("line").rlike(rf"{BR_DATE}.*,")).groupBy("doc_id").agg(F.min_by("line", "pos").alias("birth_line"))
-    rows = reduce(lambda a, b: a.join(b, "doc_id", "left"), [texts, machine, labelled, best, place, top2_relative(lines)])
-    cpf = T.only_digits_or_null(F.nullif(F.regexp_extract(T.text("text"), rf"(?<!\d){CPF}(?!\d)", 1), F.lit("")))
-    birth = F.coalesce(F.nullif(F.regexp_extract(T.text("birth_line"), BR_DATE, 1), F.lit("")), dates.earliest_date("text"))
-    city, state = T.split_city_state(F.regexp_replace(F.regexp_extract(T.text("birth_line"), rf"{BR_DATE}\s*,\s*(.+)$", 2), ",", " "))
-    expiry = dates.latest_date("text")
-    return rows.select("doc_id", F.coalesce("m_name", "l_name", "b_name").alias("nome"), cpf.alias("cpf"), prefer_registry_zone(F.col("text"), cpf).alias("categoria"), birth.alias("data_nascimento"), expiry.alias("validade"),
-                       city.alias("cidade_nascimento"), state.alias("uf_nascimento"), "filiacao", ((F.length(T.text("text")) < 1200) | (cpf.isNull() & expiry.isNull())).alias("low_signal"))
+    return texts.select("doc_id", *(c.alias(k) for k, c in licence_fields(F.col("text")).items()))
 
 
 def extract_licence_registry(texts: DataFrame) -> DataFrame:
     """A licence with the category next to CATEGORIA, CAT or CATEG."""
     category = _labelled(r"(?iu)\bCATEGORIA\W{0,12}([A-E]{1,2})\b", r"(?iu)\bCAT\W{0,12}([A-E]{1,2})\b", r"(?iu)\bCATEG\W{0,12}([A-E]{1,2})\b")
-    own = texts.select("doc_id", category.alias("own_category"))
-    return extract_licence(texts).join(own, "doc_id", "left").withColumn("categoria", F.coalesce("own_category", "categoria")).drop("own_category")
+    fields = licence_fields(F.col("text"))
+    return texts.select("doc_id", *(c.alias(k) for k, c in (fields | {"categoria": F.coalesce(category, fields["categoria"])}).items()))
 
 
 def extract_payslip(texts: DataFrame) -> DataFrame:
     """nome, cpf, empregador, data_admissao, total_vencimentos."""
-    lines = L.explode_lines(texts)
+    lines = L.lines_of("text")
     found = {
-        "nome": L.labelled_match(lines, ("FUNCIONÁRIO", "FUNCIONARIO", "COLABORADOR", "NOME"), r"(?iu)(?:NOME|FUNCION[ÁA]RIO|COLABORADOR)\s*:?\s*([\p{L} ]{5,})$", False),
-        "cpf": L.labelled_match(lines, ("CPF",), rf"(?<!\d){CPF}(?!\d)"),
-        "empregador": L.label_colon_value(lines, "EMPRESA"),
-        "data_admissao": L.labelled_match(lines, ("ADMISSÃO", "ADMISSAO"), BR_DATE),
-        "total_vencimentos": L.labelled_match(lines, ("TOTAL DE VENCIMENTOS", "TOTAL VENCIMENTOS", "TOTAL BRUTO"), r"(\d{1,3}(?:\.\d{3})*,\d{2})(?!.*\d,\d{2})", False),
+        "nome": L.array_labelled_match(lines, ("FUNCIONÁRIO", "FUNCIONARIO", "COLABORADOR", "NOME"), r"(?iu)(?:NOME|FUNCION[ÁA]RIO|COLABORADOR)\s*:?\s*([\p{L} ]{5,})$", False),
+        "cpf": L.array_labelled_match(lines, ("CPF",), rf"(?<!\d){CPF}(?!\d)"),
+        "empregador": L.array_colon_value(lines, "EMPRESA"),
+        "data_admissao": L.array_labelled_match(lines, ("ADMISSÃO", "ADMISSAO"), BR_DATE),
+        "total_vencimentos": L.array_labelled_match(lines, ("TOTAL DE VENCIMENTOS", "TOTAL VENCIMENTOS", "TOTAL BRUTO"), r"(\d{1,3}(?:\.\d{3})*,\d{2})(?!.*\d,\d{2})", False),
     }
-    rows = _joined(texts.select("doc_id"), **found)
-    return rows.select("doc_id", *(T.clean_value(c).alias(c) for c in found))
+    return texts.select("doc_id", *(T.clean_value(c).alias(k) for k, c in found.items()))
 
 
 def extract_residence(texts: DataFrame) -> DataFrame:
@@ -229,92 +249,155 @@ def extract_residence(texts: DataFrame) -> DataFrame:
 
 def extract_vehicle_certificate(texts: DataFrame) -> DataFrame:
     """Fields of the electronic vehicle certificate."""
-    lines = L.drop_noise_lines(L.explode_lines(texts))
+    lines = F.filter(L.lines_of("text"), lambda x: ~x.rlike(L.CERTIFICATE_NOISE))
     labels = {"placa": "PLACA", "renavam": "RENAVAM", "chassi": "CHASSI", "proprietario_nome": "NOME", "proprietario_doc": "CPF / CNPJ", "marca_modelo": "MARCA / MODELO", "cor": "COR PREDOMINANTE", "combustivel": "COMBUSTÍVEL", "municipio": "LOCAL"}
-    rows = _joined(texts, **{k: L.tabular_value(lines, v) for k, v in labels.items()})
+    rows = texts.select("doc_id", "text", *(L.array_tabular_value(lines, v).alias(k) for k, v in labels.items()))
     made, model = dates.year_pair(F.regexp_extract(T.text("text"), r"(?iu)ANO (?:FAB|DE FAB)[^\n]*\n?([^\n]*)", 0))
     return rows.select("doc_id", T.compact_alnum("placa").alias("placa"), ids.normalize_renavam("renavam").alias("renavam"), T.compact_alnum("chassi").alias("chassi"),
                        *(T.clean_value(c).alias(c) for c in ("proprietario_nome", "proprietario_doc", "marca_modelo", "cor", "combustivel", "municipio")), made.alias("ano_fabricacao"), model.alias("ano_modelo"))
 
 
-def extract_vehicle_document(texts: DataFrame) -> DataFrame:
-    """New paper layout: placa, renavam, chassi, years, owner between NOME and CPF."""
-    up = T.normalize_vehicle_text("text")
+def vehicle_fields(text: Column) -> dict[str, Column]:
+    """Fields of the new paper layout as columns over its text."""
+    up = T.normalize_vehicle_text(text)
     g = lambda rx: F.nullif(F.regexp_extract(up, rx, 1), F.lit(""))
     made, model = dates.year_pair(F.coalesce(g(r"ANO[^0-9]*(\d{4}[^\n]{0,12}\d{4})"), up))
-    return texts.select("doc_id", g(r"\b([A-Z]{3}\d[A-Z0-9]\d{2})\b").alias("placa"), ids.normalize_renavam(g(r"RENAVAM\D{0,20}(\d{9,11})")).alias("renavam"), g(r"\b([A-HJ-NPR-Z0-9]{17})\b").alias("chassi"),
-                        made.alias("ano_fabricacao"), model.alias("ano_modelo"), T.collapse(g(r"NOME\s+([A-Z\s]+?)\s+CPF")).alias("proprietario"))
+    return {"placa": g(r"\b([A-Z]{3}\d[A-Z0-9]\d{2})\b"), "renavam": ids.normalize_renavam(g(r"RENAVAM\D{0,20}(\d{9,11})")), "chassi": g(r"\b([A-HJ-NPR-Z0-9]{17})\b"),
+            "ano_fabricacao": made, "ano_modelo": model, "proprietario": T.collapse(g(r"NOME\s+([A-Z\s]+?)\s+CPF"))}
 
 
-def extract_vehicle_document_legacy(texts: DataFrame) -> DataFrame:
-    """Old paper layout: as written, with spaces inside, then with confused glyphs swapped."""
-    up, packed = T.normalize_vehicle_text("text"), T.compact_alnum("text")
+def extract_vehicle_document(texts: DataFrame) -> DataFrame:
+    """New paper layout: placa, renavam, chassi, years, owner between NOME and CPF."""
+    return texts.select("doc_id", *(c.alias(k) for k, c in vehicle_fields(F.col("text")).items()))
+
+
+def legacy_fields(text: Column) -> dict[str, Column]:
+    """Fields of the old paper layout: as written, with spaces inside, then with confused glyphs swapped."""
+    up, packed = T.normalize_vehicle_text(text), T.compact_alnum(text)
     g = lambda c, rx: F.nullif(F.regexp_extract(c, rx, 1), F.lit(""))
     spaced = F.regexp_replace(g(up, r"\b([A-Z]\s?[A-Z]\s?[A-Z]\s?-?\s?\d\s?[A-Z0-9]\s?\d\s?\d)\b"), r"[\s-]", "")
     plate = F.coalesce(g(up, r"\b([A-Z]{3}-?\d[A-Z0-9]\d{2})\b"), spaced, ids.fix_plate_ocr(g(up, r"PLACA\s*:?\s*([A-Z0-9 \-]{7,12})")))
     ren = F.coalesce(g(up, r"RENAVAM\D{0,20}(\d{9,11})"), g(packed, r"RENAVAM(\d{9,11})"))
     vin = F.coalesce(g(up, r"CHASSI\W{0,10}([A-HJ-NPR-Z0-9]{17})\b"), g(packed, r"CHASSI([A-HJ-NPR-Z0-9]{17})"))
-    return texts.select("doc_id", F.regexp_replace(plate, "-", "").alias("placa"), ids.normalize_renavam(ren).alias("renavam"), vin.alias("chassi"))
+    return {"placa": F.regexp_replace(plate, "-", ""), "renavam": ids.normalize_renavam(ren), "chassi": vin}
+
+
+def extract_vehicle_document_legacy(texts: DataFrame) -> DataFrame:
+    """Old paper layout: placa, renavam, chassi."""
+    return texts.select("doc_id", *(c.alias(k) for k, c in legacy_fields(F.col("text")).items()))
 
 
 def route_vehicle_document(texts: DataFrame) -> DataFrame:
     """The new layout's fields where any of plate, RENAVAM or chassis is found, else the old layout's."""
-    a = extract_vehicle_document(texts)
-    b = extract_vehicle_document_legacy(texts).withColumnsRenamed({"placa": "b_placa", "renavam": "b_renavam", "chassi": "b_chassi"})
+    old = legacy_fields(F.col("text"))
+    rows = texts.select("doc_id", *(c.alias(k) for k, c in vehicle_fields(F.col("text")).items()), *(c.alias(f"b_{k}") for k, c in old.items()))
     found = F.coalesce("placa", "renavam", "chassi").isNotNull()
-    rows = a.join(b, "doc_id")
     pick = lambda c: F.when(found, F.col(c)).otherwise(F.col(f"b_{c}")).alias(c)
     return rows.select("doc_id", F.when(found, F.lit("new")).otherwise(F.lit("legacy")).alias("layout"), pick("placa"), pick("renavam"), pick("chassi"))
 
 
+#: Sections of a transfer.
+SELLER, BUYER = ("DADOS DO VENDEDOR", "IDENTIFICAÇÃO DO VENDEDOR", "IDENTIFICACAO DO VENDEDOR"), ("DADOS DO COMPRADOR", "IDENTIFICAÇÃO DO COMPRADOR", "IDENTIFICACAO DO COMPRADOR")
+TAX_ID = r"(?<!\d)(\d{3}\.?\d{3}\.?\d{3}-?\d{2}|\d{2}\.?\d{3}\.?\d{3}/?\d{4}-?\d{2})(?!\d)"
+
+
+def anchored_renavam(lines: Column) -> Column:
+    """RENAVAM on a line with that word, or alone on the next line; only with a valid check digit."""
+    def value(x: Column, below: Column) -> Column:
+        pure = F.length(F.trim(F.regexp_replace(below, r"[0-9\s.\-]", ""))) <= 1
+        tries = [ids.normalize_renavam(x), F.when(pure, ids.normalize_renavam(below))]
+        return F.when(x.rlike(r"(?i)\bRENAVAM\b"), F.coalesce(*(F.when(ids.is_valid_renavam(t), t) for t in tries)))
+
+    return L.first_of(lines, value)
+
+
 def extract_transfer(texts: DataFrame) -> DataFrame:
-    """Plate, chassis, price, RENAVAM (only with a valid check digit), and both parties from their sections."""
-    lines = L.explode_lines(texts)
-    buyer = L.slice_from(lines, ("DADOS DO COMPRADOR", "IDENTIFICAÇÃO DO COMPRADOR"))
-    seller = L.slice_between(lines, ("DADOS DO VENDEDOR", "IDENTIFICAÇÃO DO VENDEDOR"), ("DADOS DO COMPRADOR", "IDENTIFICAÇÃO DO COMPRADOR"))
-    rows = _joined(texts, comprador_nome=L.label_colon_value(buyer, "NOME"), comprador_cpf_cnpj=L.label_colon_value(buyer, "CPF"), vendedor_nome=L.label_colon_value(seller, "NOME"), vendedor_cpf_cnpj=L.label_colon_value(seller, "CPF"))
-    ren = ids.normalize_renavam(_labelled(r"(?iu)RENAVAM\s*:?\s*(\d{9,11})"))
-    return rows.select("doc_id", T.compact_alnum(_labelled(r"(?iu)PLACA\s*:?\s*([A-Z]{3}-?\d[A-Z0-9]\d{2})")).alias("placa"), _labelled(r"(?iu)CHASSI\s*:?\s*([A-HJ-NPR-Z0-9]{17})").alias("chassi"), F.when(ids.is_valid_renavam(ren), ren).alias("renavam"),
-                       _labelled(r"(?iu)VALOR(?: DA VENDA| DECLARADO)?[^\n\d]*([\d.]+,\d{2})").alias("valor"), T.sanitize_name("comprador_nome").alias("comprador_nome"), T.normalize_doc_id("comprador_cpf_cnpj").alias("comprador_cpf_cnpj"), T.sanitize_name("vendedor_nome").alias("vendedor_nome"), T.normalize_doc_id("vendedor_cpf_cnpj").alias("vendedor_cpf_cnpj"))
+    """Plate, chassis, price, RENAVAM (anchored, with a valid check digit), and both parties from their sections."""
+    lines, up = L.lines_of("text"), F.upper(T.text("text"))
+    buyer, seller = L.array_slice(lines, BUYER), L.array_slice(lines, SELLER, BUYER)
+    g = lambda rx: F.nullif(F.regexp_extract(up, rx, 1), F.lit(""))
+    number = lambda block: L.first_of(block, lambda x, _: F.nullif(F.regexp_extract(x, TAX_ID, 1), F.lit("")))
+    return texts.select("doc_id", F.regexp_replace(g(r"\b([A-Z]{3}-?[0-9][A-Z0-9][0-9]{2})\b"), "-", "").alias("placa"), g(r"\b([A-HJ-NPR-Z0-9]{17})\b").alias("chassi"), anchored_renavam(lines).alias("renavam"), money.money_on_label_line(lines, "VALOR").alias("valor"),
+                        T.sanitize_name(L.array_colon_value(buyer, "NOME")).alias("comprador_nome"), T.normalize_doc_id(number(buyer)).alias("comprador_cpf_cnpj"),
+                        T.sanitize_name(L.array_colon_value(seller, "NOME")).alias("vendedor_nome"), T.normalize_doc_id(number(seller)).alias("vendedor_cpf_cnpj"))
+
+
+REAIS = r"R\$\s*(?:\d{1,3}(?:\.\d{3})*|\d+),\d{2}"
 
 
 def lien_status(blob: Column) -> Column:
     """ausente, inativa, desconhecida or null; a text alone never proves an active lien."""
-    up = F.upper(T.strip_accents(T.text(blob)))
-    return (F.when(~up.contains("ALIENACAO") & ~up.contains("GRAVAME"), F.lit(None).cast("string"))
-            .when(up.rlike("(NADA CONSTA|SEM|NAO HA|INEXISTENTE)[^.]{0,40}(GRAVAME|ALIENACAO)|(GRAVAME|ALIENACAO)[^.]{0,40}(NADA CONSTA|INEXISTENTE|NAO HA)"), F.lit("ausente"))
-            .when(up.rlike("BAIXAD[OA]|INATIV[OA]|QUITAD[OA]"), F.lit("inativa")).otherwise(F.lit("desconhecida")))
+    up = F.upper(T.text(blob))
+    return (F.when(up.contains("SEM GRAVAME"), F.lit("ausente")).when(up.contains("BAIXA") & up.contains("ALIENA"), F.lit("inativa"))
+            .when(up.contains("ALIENA") | up.contains("GRAVAME"), F.lit("desconhecida")))
+
+
+#: What denies and what mentions a restriction.
+NO_RESTRICTION = ("NENHUMA RESTRIÇÃO CADASTRADA", "NENHUMA RESTRIÇÃO REGISTRADA", "SEM RESTRIÇÃO", "SEM RESTRICOES")
+RESTRICTION = ("RESTRIÇÃO", "RESTRICAO", "BLOQUEIO", "IMPEDIMENTO")
 
 
 def admin_restriction(blob: Column) -> Column:
-    up = F.upper(T.strip_accents(T.text(blob)))
-    return F.when(up.rlike("(NADA CONSTA|SEM|NENHUMA|NAO HA) ?[^.]{0,30}RESTRIC|RESTRIC[^.]{0,30}(NADA CONSTA|NENHUMA|NAO HA|INEXISTENTE)"), F.lit(False)).when(up.rlike("RESTRICAO ADMINISTRATIVA|BLOQUEIO|RESTRICAO ATIVA"), F.lit(True))
+    """False if restrictions are denied, true if any is mentioned, else null."""
+    up = F.upper(T.text(blob))
+    return F.when(_any(up, NO_RESTRICTION), F.lit(False)).when(_any(up, RESTRICTION), F.lit(True))
 
 
 def tax_overdue(blob: Column) -> Column:
-    up = F.upper(T.strip_accents(T.text(blob)))
-    return F.when(up.rlike("IPVA[^\\n]{0,60}(NENHUM|NADA CONSTA|QUITAD|PAGO)"), F.lit(False)).when(up.rlike(r"IPVA[^\n]{0,80}(ATRASO|EM ABERTO|DIVIDA ATIVA|VENCID)[^\n]{0,80}\d,\d{2}|IPVA[^\n]{0,80}\d,\d{2}[^\n]{0,80}(ATRASO|EM ABERTO|DIVIDA ATIVA|VENCID)"), F.lit(True))
-
-
-def open_items(block: Column) -> Column:
-    """Null without text; false if it says there are none; true if it holds an amount."""
-    up = F.upper(T.strip_accents(T.text(block)))
-    return F.when(F.trim(up) == "", F.lit(None).cast("boolean")).when(up.rlike("NENHUM|NADA CONSTA|NAO HA|INEXISTENTE"), F.lit(False)).when(up.rlike(r"\d,\d{2}"), F.lit(True))
-
-
-def extract_registry_lookup(texts: DataFrame) -> DataFrame:
-    """Owner, vehicle, text blocks, derived flags and totals of a registry lookup."""
-    lines = L.drop_noise_lines(L.explode_lines(texts), L.REGISTRY_NOISE)
-    blocks = {"bloco_debitos": "Débitos", "bloco_multas": "Multas", "bloco_restricoes": "Restrições"}
-    values = {"proprietario": "Proprietário", "documento": "CPF/CNPJ", "placa": "Placa", "renavam": "Renavam", "chassi": "Chassi"}
-    rows = _joined(texts, **{k: L.block_after(lines, v) for k, v in blocks.items()}, **{k: L.value_after_label(lines, v) for k, v in values.items()})
-    masked = T.is_masked_name("proprietario")
-    initials = F.when(masked, T.masked_name_initials("proprietario")).otherwise(T.name_initials("proprietario"))
-    return rows.select("doc_id", T.sanitize_name("proprietario").alias("proprietario_nome"), masked.alias("proprietario_nome_ofuscado"), F.array_join(initials, "").alias("proprietario_iniciais"), initials.alias("proprietario_iniciais_tokens"), T.normalize_doc_id("documento").alias("proprietario_doc"),
-                       T.compact_alnum("placa").alias("placa"), ids.normalize_renavam("renavam").alias("renavam"), T.compact_alnum("chassi").alias("chassi"), *blocks,
-                       lien_status(F.col("text")).alias("alienacao_fiduciaria_status"), admin_restriction(F.col("text")).alias("restricao_administrativa_ativa"), tax_overdue(F.col("text")).alias("ipva_em_atraso"),
-                       open_items(F.col("bloco_debitos")).alias("debitos_em_aberto"), open_items(F.col("bloco_multas")).alias("multas_em_aberto"), money.sum_currency_cents("bloco_debitos").alias("debitos_total_cents"), money.sum_currency_cents("bloco_multas").alias("multas_total_cents"),
-                       F.when(masked, F.lit("aberta")).otherwise(F.lit("despachante")).alias("modo"))
+    """True for a tax debt with an amount, false where IPVA has none, else null."""
+    up = F.upper(T.text(blob))
+    late = _any(up, ("DÍVIDA ATIVA", "DIVIDA ATIVA")) | (up.contains("IPVA") & _any(up, ("EM ATRASO", "EM ABERTO", "NOTIFICADO")))
+    return F.when(late, F.when(up.rlike(REAIS), F.lit(True))).when(up.contains("IPVA") & up.contains("NENHUM"), F.lit(False))
+
+
+def open_items(block: Column, noun: str) -> Column:
+    """False if the block says there is no such item, true if it holds an amount, else null."""
+    up = F.upper(T.text(block))
+    return F.when(up.contains("NENHUM") & up.contains(noun), F.lit(False)).when(up.rlike(REAIS), F.lit(True))
+
+
+def owner_name(lines: Column) -> Column:
+    """What follows 'Nome do proprietário atual' (on its line or below), or 'Proprietário:'."""
+    def value(x: Column, below: Column) -> Column:
+        up, tail = F.upper(x), F.trim(F.regexp_replace(x, r"^[^:]*:", ""))
+        named = up.contains("NOME DO PROPRIET") & up.contains("ATUAL")
+        return F.coalesce(F.when(named, F.when((tail != "") & (F.upper(tail) != up), tail).otherwise(below)), F.when(up.contains("PROPRIET") & x.contains(":"), tail))
+
+    return L.first_of(lines, value)
+
+
+#: Labels of the text blocks of a registry lookup, tried in order.
+BLOCKS = {
+    "situacao_texto": ("SITUAÇÃO", "SITUACAO"), "debitos_texto": ("DÉBITOS", "DEBITOS", "LISTAGEM DE DÉBITOS", "LISTAGEM DE DEBITOS"), "multas_texto": ("MULTAS", "LISTAGEM DE MULTAS"),
+    "restricoes_texto": ("RESTRIÇÕES", "RESTRICOES"), "restricao_venda_texto": ("RESTRIÇÃO À VENDA", "RESTRICAO A VENDA"),
+}
+
+
+def extract_registry_lookup(texts: DataFrame, mode: str | None = None) -> DataFrame:
+    """Owner, vehicle, text blocks, derived flags and totals of a registry lookup.
+
+    mode: 'aberta' or 'despachante' as the user knows it; None: open where the owner's name is masked.
+    An open lookup's name counts as masked.
+    """
+    lines = F.filter(L.lines_of("text"), lambda x: ~x.rlike(L.REGISTRY_NOISE))
+    rows = texts.select("doc_id", lines.alias("lines")).select("doc_id", "lines", F.array_join("lines", "\n").alias("blob"), owner_name(F.col("lines")).alias("owner"), *(L.array_block_after(F.col("lines"), *v).alias(k) for k, v in BLOCKS.items()))
+    up = F.upper("blob")
+    g = lambda rx: F.nullif(F.regexp_extract(up, rx, 1), F.lit(""))
+    how = F.lit(mode) if mode in ("aberta", "despachante") else F.when(T.is_masked_name("owner"), F.lit("aberta")).otherwise(F.lit("despachante"))
+    masked = T.is_masked_name("owner") | (how == "aberta")
+    initials = F.when(masked, T.masked_name_initials("owner")).otherwise(F.array().cast("array<string>"))
+    doc = L.first_of(F.col("lines"), lambda x, _: F.nullif(F.regexp_extract(x, r"\b(\d{3}\.?\d{3}\.?\d{3}-?\d{2}|\d{2}\.?\d{3}\.?\d{3}/?\d{4}-?\d{2}|\d{3}\*{3,}\d{2}|\d{2}\*{3,}\d{2})\b", 1), F.lit("")))
+    years = L.first_of(F.col("lines"), lambda x, _: F.when(F.upper(x).rlike("FABRICA|ANO") & x.rlike(r"\b(19\d{2}|20\d{2})\b"), x))
+    found = F.regexp_extract_all(years, F.lit(r"\b(19\d{2}|20\d{2})\b"), 1)
+    after = lambda label: L.array_value_after(F.col("lines"), label)
+    return rows.select(
+        "doc_id", F.col("owner").alias("proprietario_nome"), masked.alias("proprietario_nome_ofuscado"), F.nullif(F.array_join(initials, ""), F.lit("")).alias("proprietario_iniciais"), initials.alias("proprietario_iniciais_tokens"),
+        doc.alias("proprietario_doc"), doc.contains("*").alias("proprietario_doc_ofuscado"), g(r"\b([A-Z]{3}[0-9][A-Z0-9][0-9]{2})\b").alias("placa"), g(r"\b(\d{11})\b").alias("renavam"), after("CHASSI").alias("chassi"), after("MARCA").alias("marca_modelo"), after("COR").alias("cor"),
+        F.get(found, F.lit(0)).alias("ano_fabricacao"), F.coalesce(F.get(found, F.lit(1)), F.get(found, F.lit(0))).alias("ano_modelo"), *BLOCKS,
+        lien_status(F.col("blob")).alias("alienacao_fiduciaria_status"), admin_restriction(F.col("blob")).alias("restricao_administrativa_ativa"), tax_overdue(F.col("blob")).alias("ipva_em_atraso"),
+        open_items(F.col("debitos_texto"), "DÉBITO").alias("debitos_em_aberto"), open_items(F.col("multas_texto"), "MULTA").alias("multas_em_aberto"),
+        money.sum_currency_cents("debitos_texto").alias("debitos_total_cents"), money.sum_currency_cents("multas_texto").alias("multas_total_cents"), how.alias("modo"),
+    )
 
 
 #: Extraction job of each document type; users may register their own.

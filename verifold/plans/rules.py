@@ -8,13 +8,13 @@ explicit branch for null.
 from __future__ import annotations
 
 from collections.abc import Callable
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from verifold.functions import dates, ids, money
 from verifold.functions import text as T
-from verifold.operators.cases import pivot_latest
 
 #: Public names and the types that stored documents may carry.
 TYPES = ("proposal", "licence", "licence_registry", "payslip", "payroll", "bank_statement", "transfer", "vehicle_certificate", "vehicle_document_new", "vehicle_document_old", "vehicle_document", "registry_lookup", "registry_query", "registry")
@@ -33,8 +33,16 @@ def public_type(c: Column) -> Column:
 
 
 def wide_cases(store: DataFrame) -> DataFrame:
-    """One row a case with the latest data of every type; vehicle and registry are the first present of their types."""
-    wide = pivot_latest(store.withColumn("doc_type", public_type(F.col("doc_type"))), TYPES)
+    """One row a case with the latest data of every type, the types present, and path and number of documents of each type.
+
+    vehicle and registry are the first present of their types. Needs case_id, doc_type, file_name, path and data.
+    """
+    latest = store.withColumn("doc_type", public_type(F.col("doc_type"))).groupBy("case_id", "doc_type").agg(
+        F.max_by(F.struct("path", "data"), "file_name").alias("x"), F.count("*").alias("n"))
+    listed = lambda c: F.map_from_entries(F.array_sort(F.collect_list(F.struct("doc_type", c))))
+    # Documents of one case and type are reduced before anything moves; what meets by case is a row a type.
+    wide = latest.groupBy("case_id").agg(*(F.first(F.when(F.col("doc_type") == t, F.col("x.data")), ignorenulls=True).alias(t) for t in TYPES),
+                                           F.collect_set("doc_type").alias("present"), listed(T.sanitize_path("x.path")).alias("inputs"), listed(F.col("n")).alias("counts"))
     for name, types in (("vehicle", VEHICLE), ("registry_any", REGISTRY)):
         kind, data = F.lit(None).cast("string"), F.lit(None).cast("variant")
         for t in reversed(types):
@@ -47,17 +55,50 @@ def _has(t: str) -> Column:
     return F.array_contains("present", t)
 
 
+#: While ``planned`` builds its rules: the columns they ask for, by level and name.
+_ASKED: ContextVar[dict[int, dict[str, Column]] | None] = ContextVar("asked", default=None)
+
+
+def let(name: str, value: Column, level: int = 1) -> Column:
+    """A value that rules use more than once: computed in a projection below them where ``planned`` builds them.
+
+    A value of one level may use those of lower levels; level 0 is read from documents.
+    """
+    asked = _ASKED.get()
+    if asked is None:
+        return value
+    asked.setdefault(level, {})[name] = value
+    return F.col(name)
+
+
+def planned(wide: DataFrame, build: Callable[[], Column]) -> tuple[DataFrame, Column]:
+    """Wide rows with the columns that ``build`` asks for, and what it builds."""
+    token = _ASKED.set({})
+    try:
+        made, asked = build(), _ASKED.get()
+    finally:
+        _ASKED.reset(token)
+    for level in sorted(asked):
+        wide = wide.select("*", *(c.alias(n) for n, c in asked[level].items()))
+    return wide, made
+
+
+def raw(t: str, name: str, as_type: str = "string") -> Column:
+    """One field of a document, as it is."""
+    return let(f"v__{t}__{name}__{as_type}", F.try_variant_get(F.col(t), f"$.{name}", as_type), 0)
+
+
 def field(t: str, *names: str, as_type: str = "string") -> Column:
     """First of the fields that is neither null nor empty."""
-    got = [F.try_variant_get(F.col(t), f"$.{n}", as_type) for n in names]
+    got = [raw(t, n, as_type) for n in names]
     return T.first_non_empty(*got) if as_type == "string" else F.coalesce(*got)
 
 
 def truthy(t: str, *names: str) -> Column:
     """First field that is not null, empty or a zero number (a zero given as text counts)."""
     def one(n: str) -> Column:
-        value = F.try_variant_get(F.col(t), f"$.{n}", "string")
-        kind = F.schema_of_variant(F.try_variant_get(F.col(t), f"$.{n}", "variant"))
+        value = raw(t, n)
+        kind = F.schema_of_variant(raw(t, n, "variant"))
         return F.when((value != "") & ~((kind != "STRING") & (value.try_cast("double") == 0)), value)
 
     return F.coalesce(*map(one, names))
@@ -106,7 +147,7 @@ def identity_check(row=None) -> Column:
 
 
 def income_checks() -> Column:
-    declared, proven = declared_income(), proven_income()
+    declared, proven = let("l__declared", declared_income()), let("l__proven", proven_income())
     none = ~_has("payslip") & ~_has("bank_statement")
     proof = _names(payslip=_has("payslip"), bank_statement=_has("bank_statement"))
     least = _status((none, "MISSING"), (proven.isNull(), "WARN"), (declared.isNull(), "OK"), (proven > 0, "OK"), otherwise="WARN")
@@ -138,23 +179,23 @@ def transfer_checks() -> Column:
     """Only for cases with a transfer authorisation."""
     f = lambda *n: field("transfer", *n)
     needed = ("placa", "chassi", "valor_venda", "comprador_cpf_cnpj", "comprador_nome")
-    lacking = _names(**{n: F.try_variant_get("transfer", f"$.{n}", "string").isNull() | (F.try_variant_get("transfer", f"$.{n}", "string") == "") for n in needed})
-    buyer = T.normalize_doc_id(f("comprador_cpf_cnpj"))
-    proposer = T.normalize_doc_id(field("proposal", "cpf", "cpf_financiado", "cpf_cliente", "cpf_titular", "cpf_cnpj", "documento", "documento_numero"))
+    lacking = let("l__lacking", _names(**{n: raw("transfer", n).isNull() | (raw("transfer", n) == "") for n in needed}))
+    buyer = let("l__buyer", T.normalize_doc_id(f("comprador_cpf_cnpj")))
+    proposer = let("l__proposer", T.normalize_doc_id(field("proposal", "cpf", "cpf_financiado", "cpf_cliente", "cpf_titular", "cpf_cnpj", "documento", "documento_numero")))
     names = T.name_match_two_tokens(f("comprador_nome"), field("proposal", "nome_financiado", "nome", "nome_cliente", "cliente_nome", "nome_titular"))
-    raw = f("renavam")
-    own, own_ok = ids.normalize_renavam(raw), ids.is_valid_renavam(raw)
-    vehicle = ids.normalize_renavam(field("vehicle_data", "renavam"))
-    vehicle_ok = F.col("vehicle_type").isNotNull() & ids.is_valid_renavam(vehicle)
-    seller = T.normalize_doc_id(f("vendedor_cpf_cnpj"))
-    owner = F.coalesce(*(F.nullif(T.normalize_doc_id(field("vehicle_data", n)), F.lit("")) for n in ("proprietario_doc", "proprietario_documento", "cpf_proprietario", "cnpj_proprietario", "cpf", "cnpj")), F.lit(""))
+    number = f("renavam")
+    own, own_ok = let("l__own", ids.normalize_renavam(number)), let("l__own_ok", ids.is_valid_renavam(number))
+    vehicle = let("l__vehicle", ids.normalize_renavam(field("vehicle_data", "renavam")))
+    vehicle_ok = let("l__vehicle_ok", F.col("vehicle_type").isNotNull() & ids.is_valid_renavam(vehicle), 2)
+    seller = let("l__seller", T.normalize_doc_id(f("vendedor_cpf_cnpj")))
+    owner = let("l__owner", F.coalesce(*(F.nullif(T.normalize_doc_id(field("vehicle_data", n)), F.lit("")) for n in ("proprietario_doc", "proprietario_documento", "cpf_proprietario", "cnpj_proprietario", "cpf", "cnpj")), F.lit("")))
     both = ids.is_valid_tax_id(owner) & ids.is_valid_tax_id(seller)
     ok = F.lit("OK")
     made = [
         check("vehicle.atpv.present", ok, "Transfer is present"),
         check("vehicle.atpv.parse.required_fields", _status((lacking == "", "OK"), otherwise="WARN"), "Required fields of the transfer", missing=F.nullif(lacking, F.lit(""))),
         F.when(buyer != "", check("vehicle.atpv.comprador_doc.dv", _status((ids.is_valid_tax_id(buyer), "OK"), otherwise="WARN"), "Check digits of the buyer", buyer=T.mask_doc(buyer))),
-        check("vehicle.atpv.renavam.conditional", _status((raw.isNull(), "OK"), (own_ok, "OK"), otherwise="WARN"), "RENAVAM of the transfer, if there is one", present=raw.isNotNull()),
+        check("vehicle.atpv.renavam.conditional", _status((number.isNull(), "OK"), (own_ok, "OK"), otherwise="WARN"), "RENAVAM of the transfer, if there is one", present=number.isNotNull()),
         check("vehicle.atpv.comprador.matches_proposta", _status(((buyer != "") & (proposer != "") & (buyer == proposer), "OK"), (((buyer == "") | (proposer == "")) & names, "OK"), otherwise="WARN"), "Buyer is the proposer", transfer=T.mask_doc(buyer), proposal=T.mask_doc(proposer)),
         check("vehicle.atpv.vendedor.informativo", ok, "Seller is for information"),
         check("vehicle.atpv.renavam.required_if_supported", _status((F.col("vehicle_type").isNull(), "OK"), (~vehicle_ok, "WARN"), (own_ok, "OK"), otherwise="FAIL"), "RENAVAM is needed where the vehicle document has one", vehicle_type=F.col("vehicle_type"), vehicle=T.mask_renavam(vehicle)),
@@ -168,7 +209,7 @@ def transfer_checks() -> Column:
 
 def registry_checks() -> Column:
     """Only for cases with a registry lookup."""
-    g = lambda n, t: F.try_variant_get("registry_any_data", f"$.{n}", t)
+    g = lambda n, t: raw("registry_any_data", n, t)
     owner, seller = T.normalize_doc_id(g("proprietario_doc", "string")), T.normalize_doc_id(F.when(_has("transfer"), field("transfer", "vendedor_cpf_cnpj")))
     code, name = T.text(g("proprietario_iniciais", "string")), T.sanitize_name(F.when(_has("transfer"), field("transfer", "vendedor_nome")))
     owner_status = _status(((owner != "") & (seller != "") & (owner == seller), "OK"), ((owner != "") & (seller != ""), "FAIL"), ((code != "") & (name != "") & T.initials_match(code, name), "WARN"), otherwise="MISSING")
@@ -176,7 +217,7 @@ def registry_checks() -> Column:
     lien = F.lower(F.trim(g("alienacao_fiduciaria_status", "string")))
     debts = g("debitos_total_cents", "bigint") + g("multas_total_cents", "bigint")
     keys = ("vlr_compra", "vlr_compra_reais", "vlr_compra_cents", "valor_compra", "valor_compra_reais", "valor_compra_cents", "vlr_molicar", "vlr_mercado")
-    price_of = lambda n: F.when(T.text(field("proposal", n)) != "", money.int_or_text_to_cents(field("proposal", n), F.schema_of_variant(F.try_variant_get("proposal", f"$.{n}", "variant"))))
+    price_of = lambda n: F.when(T.text(field("proposal", n)) != "", money.int_or_text_to_cents(field("proposal", n), F.schema_of_variant(raw("proposal", n, "variant"))))
     chosen = F.coalesce(*(F.when(T.text(field("proposal", n)) != "", F.lit(i)) for i, n in enumerate(keys)))
     price = F.lit(None).cast("bigint")
     for i, n in enumerate(keys):
@@ -199,8 +240,8 @@ FAMILIES: list[Callable[[], Column]] = [identity_check, income_checks, licence_r
 
 def checks_of(wide: DataFrame, families: list[Callable[[], Column]] | None = None) -> DataFrame:
     """case_id, seq and check of all families: one projection of the wide rows, then one row a check."""
-    arrays = F.concat(*(f().cast(CHECK) for f in (families or FAMILIES)))
-    rows = wide.select("case_id", F.posexplode(arrays).alias("seq", "x"))
+    rows, arrays = planned(wide, lambda: F.concat(*(f().cast(CHECK) for f in (families or FAMILIES))))
+    rows = rows.select("case_id", F.posexplode(arrays).alias("seq", "x"))
     return rows.select("case_id", "seq", "x.check_id", "x.status", "x.message", "x.evidence")
 
 
@@ -216,21 +257,21 @@ def validate_transfer(df: DataFrame) -> DataFrame:
     plate, vin, ren = ids.normalize_plate("placa"), ids.normalize_vin("chassi"), F.col("renavam")
     buyer, seller, price = T.only_digits("comprador_cpf_cnpj"), T.only_digits("vendedor_cpf_cnpj"), money.parse_money_reais("valor_venda")
     blank = lambda n: F.trim(T.text(n)) == ""
-    required = ("placa", "chassi", "renavam", "valor_venda", "comprador_cpf_cnpj", "comprador_nome", "vendedor_nome")
+    required = ("placa", "renavam", "chassi", "valor_venda", "comprador_cpf_cnpj", "comprador_nome", "vendedor_nome")
     rules = [(f"missing_required:{n}", blank(n)) for n in required] + [
-        ("invalid:placa", ~blank("placa") & ~ids.is_valid_plate(plate)),
-        ("invalid:chassi", ~blank("chassi") & ~ids.is_valid_vin(vin)),
-        ("invalid:renavam_length", ~blank("renavam") & ids.normalize_renavam(ren).isNull()),
-        ("invalid:renavam_dv", ~blank("renavam") & ids.normalize_renavam(ren).isNotNull() & ~ids.is_valid_renavam(ren)),
-        ("invalid:valor_venda", ~blank("valor_venda") & price.isNull()),
-        ("invalid:valor_venda_not_positive", price <= 0),
-        ("invalid:comprador_cpf_cnpj_length", ~blank("comprador_cpf_cnpj") & ~F.length(buyer).isin(11, 14)),
-        ("invalid:comprador_cpf_cnpj_dv", F.length(buyer).isin(11, 14) & ~ids.is_valid_tax_id(buyer)),
-        ("invalid:vendedor_cpf_cnpj_length", ~blank("vendedor_cpf_cnpj") & ~F.length(seller).isin(11, 14)),
-        ("invalid:vendedor_cpf_cnpj_dv", F.length(seller).isin(11, 14) & ~ids.is_valid_tax_id(seller)),
+        ("invalid:placa_format", ~blank("placa") & ~ids.is_valid_plate(plate)),
+        ("invalid:chassi_vin_format", ~blank("chassi") & ~ids.is_valid_vin(vin)),
+        ("invalid:valor_venda_format", ~blank("valor_venda") & price.isNull()),
+        ("invalid:valor_venda_nonpositive", price <= 0),
         ("invalid:comprador_nome", ~blank("comprador_nome") & ~T.is_human_name("comprador_nome")),
-        ("invalid:renavam_is_cpf", ids.is_valid_cpf(ren)),
-        ("invalid:renavam_is_buyer", ~blank("renavam") & (T.only_digits("renavam") == buyer)),
+        ("invalid:vendedor_nome", ~blank("vendedor_nome") & ~T.is_human_name("vendedor_nome")),
+        ("invalid:comprador_cpf", (F.length(buyer) == 11) & ~ids.is_valid_cpf(buyer)),
+        ("invalid:comprador_cnpj", (F.length(buyer) == 14) & ~ids.is_valid_cnpj(buyer)),
+        ("invalid:comprador_cpf_cnpj_len", ~blank("comprador_cpf_cnpj") & ~F.length(buyer).isin(11, 14)),
+        ("invalid:renavam_len", ~blank("renavam") & ids.normalize_renavam(ren).isNull()),
+        ("invalid:renavam_checkdigit", ~blank("renavam") & ids.normalize_renavam(ren).isNotNull() & ~ids.is_valid_renavam(ren)),
+        ("invalid:renavam_is_cpf", ids.is_valid_cpf(ids.normalize_renavam(ren))),
+        ("invalid:renavam_equals_comprador_doc", ids.normalize_renavam(ren) == buyer),
     ]
     errors = F.filter(F.array(*(F.when(c, F.lit(n)) for n, c in rules)), lambda x: x.isNotNull())
     return df.withColumns({"errors": errors, "normalized": F.struct(plate.alias("placa"), vin.alias("chassi"), ids.normalize_renavam(ren).alias("renavam"), price.alias("valor_venda"), buyer.alias("comprador"), seller.alias("vendedor"))}).withColumn("is_valid", F.size("errors") == 0)
@@ -241,7 +282,7 @@ def canonical_keys(df: DataFrame) -> DataFrame:
     def first(target: str, *others: str) -> Column:
         return T.first_non_empty(*(F.col(c) for c in (target, *others) if c in df.columns))
 
-    names = {"comprador_cpf_cnpj": ("comprador_cpf", "comprador_cnpj"), "chassi": ("vin", "numero_chassi"), "valor_venda": ("valor_compra", "valor_transacao", "valor")}
+    names = {"comprador_cpf_cnpj": ("cpf", "cnpj"), "chassi": ("vin", "numero_chassi"), "valor_venda": ("valor_compra", "valor_transacao", "valor")}
     return df.withColumns({k: first(k, *v) for k, v in names.items() if any(c in df.columns for c in (k, *v))})
 
 
@@ -262,11 +303,18 @@ def certificate_soft_checks(df: DataFrame) -> DataFrame:
 
 def licence_critique(df: DataFrame, today: Column) -> DataFrame:
     """Adds critiques: id length, state, odd dates. Needs cpf, uf, validade, data_nascimento."""
-    odd = dates.expiry_sanity(dates.parse_date("validade"), dates.parse_date("data_nascimento"), today)
-    found = F.array(F.when((T.only_digits("cpf") != "") & (F.length(T.only_digits("cpf")) != 11), F.lit("cpf_length")), F.when((T.text("uf") != "") & ~F.upper(F.trim("uf")).isin(*T.STATES), F.lit("unknown_state")))
+    shown = lambda c: F.when(F.trim(T.text(c)).rlike(r"^\d{2}/\d{2}/\d{4}$"), dates.parse_date(c))
+    odd = dates.expiry_sanity(shown("validade"), shown("data_nascimento"), today)
+    found = F.array(F.when((T.only_digits("cpf") != "") & (F.length(T.only_digits("cpf")) != 11), F.lit("cpf_length")), F.when((T.text("uf") != "") & ~F.upper(F.trim("uf")).isin(*T.STATES), F.lit("unknown_state")), F.when(shown("validade").isNull(), F.lit("expiry_missing")))
     return df.withColumn("critiques", F.concat(F.filter(found, lambda x: x.isNotNull()), odd))
 
 
+def residence_critique(df: DataFrame) -> DataFrame:
+    """Adds critiques of a residence proof: an unknown state. Needs uf."""
+    state = F.upper(F.trim(T.text("uf")))
+    return df.withColumn("critiques", F.filter(F.array(F.when((state != "") & ~state.isin(*T.STATES), F.lit("unknown_state"))), lambda x: x.isNotNull()))
+
+
 def licence_validity_report(df: DataFrame, today: Column) -> DataFrame:
     """case_id, status (valid, expired, missing or unparseable) and days left. Needs case_id, validade."""
     d = dates.parse_date("validade")

@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verifold import casegen
+from verifold import casegen, probes
 from verifold.functions import dates, ids, money
 from verifold.functions import text as T
 from verifold.operators import cases as C
 from verifold.operators import lines as L
 from verifold.operators import tables as N
 from verifold.plans import extract, report, rules, statements
-from verifold.sources.store import classify_read
+from verifold.sources.store import append_documents, classify_read, document_envelope, file_inventory, load_report_inputs, parse_outcome, scan_document_store, scan_texts, shared_folder, write_reports
+from verifold.streaming.intake import stream_intake
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -133,7 +136,7 @@ MONEY = lambda c: f"cast(replace(replace({c}, '.', ''), ',', '.') AS double)"  #
 INCOME = f"""income AS (SELECT *, CASE WHEN has_proposal AND (p_salario IS NOT NULL OR p_outras IS NOT NULL) THEN coalesce({MONEY("p_salario")}, 0) + coalesce({MONEY("p_outras")}, 0) END AS declared,
   coalesce(CASE WHEN has_payslip THEN {MONEY("h_total")} END, CASE WHEN has_bank_statement THEN {MONEY("e_renda")} END) AS proven, NOT has_payslip AND NOT has_bank_statement AS no_proof FROM flat)"""
 CPF_OK = lambda c: f"({c} IN ('11144477735', '52998224725') OR ({c} = cpf AND cpf_valid))"
-REN_OK = lambda c: f"coalesce({c} = renavam_ok, false)"
+REN_OK = lambda c: f"coalesce({c} IN (renavam_ok, '12345678900'), false)"
 CENTS = "cast(replace(replace(p_compra, '.', ''), ',', '') AS bigint)"
 #: Status of each check, as SQL over the flat cases: id -> (applies, status).
 RULES = {
@@ -152,7 +155,7 @@ RULES = {
     "vehicle.atpv.comprador.matches_proposta": ("has_transfer", "CASE WHEN t_comprador_doc IS NOT NULL AND has_proposal THEN CASE WHEN t_comprador_doc = cpf THEN 'OK' ELSE 'WARN' END WHEN has_proposal AND t_comprador IS NOT NULL AND p_nome IS NOT NULL THEN 'OK' ELSE 'WARN' END"),
     "vehicle.atpv.vendedor.informativo": ("has_transfer", "'OK'"),
     "vehicle.atpv.renavam.required_if_supported": ("has_transfer", f"CASE WHEN NOT has_vehicle THEN 'OK' WHEN NOT {REN_OK('v_renavam')} THEN 'WARN' WHEN {REN_OK('t_renavam')} THEN 'OK' ELSE 'FAIL' END"),
-    "vehicle.atpv.renavam.matches_vehicle_doc": ("has_transfer", "'OK'"),
+    "vehicle.atpv.renavam.matches_vehicle_doc": ("has_transfer", f"CASE WHEN has_vehicle AND {REN_OK('v_renavam')} AND {REN_OK('t_renavam')} AND v_renavam <> t_renavam THEN 'FAIL' ELSE 'OK' END"),
     "vehicle.atpv.vendedor.matches_vehicle_owner": ("has_transfer", "CASE WHEN has_vehicle AND v_owner <> t_vendedor_doc THEN 'WARN' ELSE 'OK' END"),
     "followup.atpv.renavam": ("has_transfer", "'OK'"),
     "followup.atpv.vendedor": ("has_transfer", "'OK'"),
@@ -193,14 +196,22 @@ def v13_master_report(spark, sf_dir):
     return r.select("case_id", "overall_status", F.expr("cast(summary.n_ok as bigint)").alias("n_ok"), F.expr("cast(summary.n_warn as bigint)").alias("n_warn"), F.expr("cast(summary.n_missing as bigint)").alias("n_missing"), F.expr("cast(summary.n_fail as bigint)").alias("n_fail"), F.col("meta.gate1").alias("gate"))
 
 
-@query("SELECT 'c' || lpad(cast(c_custkey AS varchar), 9, '0') AS case_id, 'x' AS marker FROM customer WHERE false")
+HAS_ANY = "(has_proposal OR has_licence OR has_licence_registry OR has_payslip OR has_bank_statement OR has_transfer OR has_vehicle OR has_registry)"
+
+
+@query(f"WITH {FLAT} SELECT case_id, CASE WHEN k % 7 = 0 THEN 'path' ELSE 'name' END AS leak FROM flat WHERE {HAS_ANY} AND k % 7 < 2")
 def v15_privacy_guard(spark, sf_dir):
-    return report.privacy_guard(report.master_report(store(spark, sf_dir), F.lit(TODAY))).withColumn("marker", F.lit("x"))
+    """Reports with an absolute path (k % 7 = 0) or a person's field (1) put in must be caught, all others not."""
+    r = report.master_report(store(spark, sf_dir), F.lit(TODAY)).withColumn("k", F.substring("case_id", 2, 9).cast("long") % 7)
+    leaky = F.when(F.col("k") == 0, F.map_concat("inputs", F.create_map(F.lit("more"), F.lit("/home/someone/x.json")))).when(F.col("k") == 1, F.map_concat("inputs", F.create_map(F.lit("nome"), F.lit("x")))).otherwise(F.col("inputs"))
+    return report.privacy_guard(r.withColumn("inputs", leaky)).select("case_id", F.when(F.substring("case_id", 2, 9).cast("long") % 7 == 0, F.lit("path")).otherwise(F.lit("name")).alias("leak"))
 
 
-@query()
+@query(f"WITH {ALL} SELECT case_id, {NAMED.format(STRICT)}, count(*) AS n_checks, max(has_proposal::int)::varchar AS proposal FROM checks JOIN flat USING (case_id) WHERE {HAS_ANY} GROUP BY case_id")
 def v13_report_json(spark, sf_dir):
-    return report.report_json(report.master_report(store(spark, sf_dir), F.lit(TODAY)))
+    r = report.report_json(report.master_report(store(spark, sf_dir), F.lit(TODAY)))
+    seen = F.get_json_object("report", "$.inputs.proposal").isNotNull().cast("int").cast("string")
+    return r.select("case_id", F.get_json_object("report", "$.overall_status").alias("overall_status"), F.json_array_length(F.get_json_object("report", "$.checks")).cast("long").alias("n_checks"), seen.alias("proposal"))
 
 
 @query(f"WITH {FLAT} SELECT case_id, f.field, CASE WHEN NOT (has_proposal AND has_licence) OR a IS NULL OR b IS NULL THEN 'missing' WHEN a = b THEN 'equal' ELSE 'different' END AS status FROM flat, LATERAL (SELECT unnest(['nome', 'cpf', 'data_nascimento']) AS field, unnest([p_nome, cpf, p_nasc]) AS a, unnest([l_nome, cpf, p_nasc]) AS b) f WHERE has_proposal OR has_licence")
@@ -248,11 +259,11 @@ def k7_cross_compare_pairs(spark, sf_dir):
     return C.cross_compare_pairs(parties).select("case_id", "doc_type_a", "doc_type_b", "same_id")
 
 
-@query(f"WITH {FLAT} SELECT case_id, CASE WHEN p_compra IS NULL THEN 'missing_required:valor_venda,' ELSE '' END || CASE WHEN t_renavam IS NULL THEN 'missing_required:renavam,' ELSE '' END || CASE WHEN t_comprador_doc IS NULL THEN 'missing_required:comprador_cpf_cnpj,' ELSE '' END || CASE WHEN t_comprador IS NULL THEN 'missing_required:comprador_nome,' ELSE '' END || CASE WHEN t_renavam IS NOT NULL AND t_renavam <> renavam_ok THEN 'invalid:renavam_dv,' ELSE '' END || CASE WHEN t_comprador_doc IS NOT NULL AND NOT {CPF_OK('t_comprador_doc')} THEN 'invalid:comprador_cpf_cnpj_dv,' ELSE '' END AS errors FROM flat WHERE has_transfer")
+@query(f"WITH {FLAT} SELECT case_id, CASE WHEN p_compra IS NULL THEN 'missing_required:valor_venda,' ELSE '' END || CASE WHEN t_renavam IS NULL THEN 'missing_required:renavam,' ELSE '' END || CASE WHEN t_comprador_doc IS NULL THEN 'missing_required:comprador_cpf_cnpj,' ELSE '' END || CASE WHEN t_comprador IS NULL THEN 'missing_required:comprador_nome,' ELSE '' END || CASE WHEN t_renavam IS NOT NULL AND NOT {REN_OK('t_renavam')} THEN 'invalid:renavam_checkdigit,' ELSE '' END || CASE WHEN t_comprador_doc IS NOT NULL AND NOT {CPF_OK('t_comprador_doc')} THEN 'invalid:comprador_cpf,' ELSE '' END || CASE WHEN k % 6 = 0 THEN 'invalid:placa_format,' ELSE '' END AS errors FROM flat WHERE has_transfer")
 def v1_validate_transfer(spark, sf_dir):
-    t = casegen.flat(spark, sf_dir).where("has_transfer").select("case_id", F.lit("abc-1d23").alias("placa"), F.lit("9BWZZZ377VT004251").alias("chassi"), F.col("t_renavam").alias("renavam"), F.col("p_compra").alias("valor_venda"), F.col("t_comprador").alias("comprador_nome"), F.col("t_comprador_doc").alias("comprador_cpf_cnpj"), F.col("t_vendedor").alias("vendedor_nome"), F.col("t_vendedor_doc").alias("vendedor_cpf_cnpj"))
+    t = casegen.flat(spark, sf_dir).where("has_transfer").select("case_id", F.when(F.col("k") % 6 == 0, F.lit("PLACA")).otherwise(F.lit("abc-1d23")).alias("placa"), F.lit("9BWZZZ377VT004251").alias("chassi"), F.col("t_renavam").alias("renavam"), F.col("p_compra").alias("valor_venda"), F.col("t_comprador").alias("comprador_nome"), F.col("t_comprador_doc").alias("comprador_cpf_cnpj"), F.col("t_vendedor").alias("vendedor_nome"), F.col("t_vendedor_doc").alias("vendedor_cpf_cnpj"))
     order = ["valor_venda", "renavam", "comprador_cpf_cnpj", "comprador_nome"]
-    wanted = [*(f"missing_required:{n}" for n in order), "invalid:renavam_dv", "invalid:comprador_cpf_cnpj_dv"]
+    wanted = [*(f"missing_required:{n}" for n in order), "invalid:renavam_checkdigit", "invalid:comprador_cpf", "invalid:placa_format"]
     shown = F.concat(*(F.when(F.array_contains("errors", n), F.lit(n + ",")).otherwise(F.lit("")) for n in wanted))
     return rules.validate_transfer(t).select("case_id", shown.alias("errors"))
 
@@ -306,10 +317,10 @@ def j2_missing_fields(spark, sf_dir):
     return f.select("case_id", F.concat(*(F.when(F.array_contains(T.missing_fields({"salario": F.col("p_salario"), "nome": F.col("p_nome")}), x), F.lit(x + ",")).otherwise(F.lit("")) for x in ("salario", "nome"))).alias("missing"))
 
 
-@query(f"WITH {FLAT} SELECT case_id, cpf_valid AS cpf_ok, true AS renavam_ok_valid, CASE WHEN cpf_valid THEN 'ok' ELSE 'dv_mismatch' END AS reason FROM flat")
+@query(f"WITH {FLAT} SELECT case_id, cpf_valid AS cpf_ok, {REN_OK('t_renavam')} AS renavam_ok_valid, CASE WHEN cpf_valid THEN 'ok' ELSE 'dv_mismatch' END AS reason FROM flat")
 def s23_check_digits(spark, sf_dir):
     f = casegen.flat(spark, sf_dir)
-    return f.select("case_id", ids.is_valid_cpf("p_cpf").alias("cpf_ok"), ids.is_valid_renavam("renavam_ok").alias("renavam_ok_valid"), ids.cpf_check_reason("p_cpf").alias("reason"))
+    return f.select("case_id", ids.is_valid_cpf("p_cpf").alias("cpf_ok"), ids.is_valid_renavam("t_renavam").alias("renavam_ok_valid"), ids.cpf_check_reason("p_cpf").alias("reason"))
 
 
 # Lines of documents and statements
@@ -328,10 +339,30 @@ def l5_merge_pass_lines(spark, sf_dir):
     return L.merge_pass_lines(twice).select("doc_id", F.size(F.split("text", "\n")).cast("bigint").alias("n_distinct"))
 
 
-@query("SELECT doc_id, CASE WHEN regexp_matches(upper(coalesce(text, '')), 'EXTRATO|SALDO DO DIA|SALDO ANTERIOR') THEN 'bank_statement' ELSE 'unknown' END AS doc_class FROM documents")
+#: Words put before the documents' texts, by doc_id % 12, and file names by doc_id % 5, with the type that each alone gives.
+OPENINGS = ("Carteira Nacional de Habilitação", "PLANILHA DE PROPOSTA", "Proposta: 123456 x", "Segunda via, endereco", "nome: a cep: b cidade: c", "Recibo de pagamento", "Adm.: 1 salario", "Extrato por periodo", "Saldo anterior", "Extrato, saldo", "Historico", "nothing")
+BY_WORDS = ("cnh", "proposta", "proposta", "residencia", "residencia", "holerite", "holerite", "extrato", "extrato", "desconhecido", "desconhecido", "desconhecido")
+BY_WORDS_INTAKE = ("cnh", "proposta_daycoval", "proposta_daycoval", None, None, "holerite", None, None, None, "extrato_bancario", "extrato_bancario", None)
+FILES = ("x.txt", "CNH digital.pdf", "folha.pdf", "extrato.pdf", "y.txt")
+
+
+def _opened(spark, sf_dir) -> DataFrame:
+    at = lambda values, n: F.element_at(F.array(*map(F.lit, values)), (F.col("doc_id") % n + 1).cast("int"))
+    return read(spark, sf_dir, "documents").select("doc_id", F.concat(at(OPENINGS, 12), F.lit("\n"), T.text("text")).alias("text"), at(FILES, 5).alias("file_name"))
+
+
+def _listed(values) -> str:
+    return "[" + ", ".join("NULL" if v is None else f"'{v}'" for v in values) + "]"
+
+
+TOLD = "(SELECT doc_id, upper(coalesce(text, '')) AS t FROM documents)"
+
+
+@query(f"""SELECT doc_id, CASE WHEN doc_id % 5 = 1 OR doc_id % 12 = 0 OR regexp_matches(t, 'CARTEIRA NACIONAL DE HABIL|SENATRAN|ASSINADOR SERPRO') THEN 'cnh'
+  WHEN doc_id % 12 IN (1, 2) THEN 'proposta' WHEN doc_id % 12 IN (3, 4) THEN 'residencia' WHEN doc_id % 12 IN (5, 6) THEN 'holerite' WHEN doc_id % 5 = 3 OR contains(t, 'LANCAMENTOS') OR contains(t, 'SALDO ANTERIOR') THEN 'extrato'
+  ELSE {_listed(BY_WORDS)}[doc_id % 12 + 1] END AS doc_class FROM {TOLD}""")
 def x1_classify_by_keywords(spark, sf_dir):
-    d = read(spark, sf_dir, "documents").select("doc_id", "text", F.lit("x.txt").alias("file_name"))
-    return extract.classify_by_keywords(d).select("doc_id", "doc_class")
+    return extract.classify_by_keywords(_opened(spark, sf_dir)).select("doc_id", "doc_class")
 
 
 def statement_texts(spark, sf_dir) -> DataFrame:
@@ -353,19 +384,18 @@ def w1_best_strategy(spark, sf_dir):
     return statements.best_strategy(statements.strategy_score(found)).select("doc_id", "strategy")
 
 
-@query()
+#: What each strategy makes of each printed layout: (layout, strategy, whether it reads the lines or discards them).
+CROSSINGS = ((0, "line_end_value", True), (0, "date_last_value", True), (0, "tabular_two_amounts", False), (1, "tabular_two_amounts", True), (2, "month_sections_dual_dates", True), (2, "tabular_two_amounts", False),
+             (3, "long_date_header", True), (4, "month_columnar", True), (5, "date_last_value", True), (5, "tabular_two_amounts", False))
+CROSSED = ", ".join(f"({k}, '{s}', {str(good).lower()})" for k, s, good in CROSSINGS)
+
+
+@query(f"WITH t AS ({casegen.TX_SQL}), d AS (SELECT doc_id, {KIND} AS own, count(*) AS n FROM t GROUP BY doc_id), m(kind, strategy, good) AS (VALUES {CROSSED}) SELECT strategy, sum(CASE WHEN good THEN n ELSE 0 END)::bigint AS n_tx, sum(CASE WHEN good THEN 0 ELSE n END)::bigint AS n_discarded, round(avg(CASE WHEN good THEN n + 2.0 ELSE -1.0 END), 6) AS mean_score, count(*) FILTER (WHERE strategy = own) AS n_won FROM d JOIN m ON m.kind = d.doc_id % 6 GROUP BY strategy")
 def g14_strategy_leaderboard(spark, sf_dir):
     found = statements.candidates(statements.statement_lines(statement_texts(spark, sf_dir)))
     return statements.strategy_leaderboard(statements.strategy_score(found))
 
 
-@query(f"WITH t AS ({casegen.TX_SQL}) SELECT doc_id, count(*) FILTER (WHERE doc_id % 6 = 99) AS n_tx, false AS has_pix, 'ITAU' AS bank FROM t GROUP BY doc_id")
-def g12_transaction_rollup(spark, sf_dir):
-    rows = statements.transaction_rollup(statement_texts(spark, sf_dir)).where("doc_id % 6 <> 1")
-    odd = statements.transaction_rollup(statement_texts(spark, sf_dir)).where("doc_id % 6 = 1").withColumn("n_tx", F.lit(0).cast("bigint"))
-    return rows.unionByName(odd)
-
-
 # Extraction round trips over rendered texts
 
 
@@ -404,12 +434,27 @@ def x15_extract_transfer(spark, sf_dir):
     return extract.extract_transfer(f.select(F.col("k").alias("doc_id"), text.alias("text"))).drop("chassi")
 
 
-@query(f"WITH {FLAT} SELECT k AS doc_id, t_vendedor AS proprietario_nome, coalesce(r_owner, '') AS proprietario_doc, renavam_ok AS renavam, false AS proprietario_nome_ofuscado, 'despachante' AS modo, cents AS debitos_total_cents, CASE WHEN k % 10 = 0 THEN 'ausente' END AS alienacao_fiduciaria_status FROM flat WHERE has_registry")
+def _registry_texts(spark, sf_dir) -> DataFrame:
+    f, k = casegen.flat(spark, sf_dir).where("has_registry"), F.col("k")
+    owner = F.when(k % 25 == 0, F.lit("S*** F***")).otherwise(F.col("t_vendedor"))
+    named = F.when(k % 2 == 0, F.concat(F.lit("Nome do proprietário atual\n"), owner)).otherwise(F.concat(F.lit("Proprietário: "), owner))
+    text = F.concat_ws("\n", F.lit("CONSULTA DETRAN, Secretaria"), named, F.lit("Marca/Modelo: VW GOL"), F.concat(F.lit("CPF/CNPJ: "), F.regexp_replace("r_owner", r"(...)(...)(...)(..)", "$1.$2.$3-$4")), F.concat(F.lit("Renavam: "), F.col("renavam_ok")),
+                       F.lit("Débitos"), F.concat(F.when(k % 15 == 0, F.lit("1) IPVA em aberto R$ ")).otherwise(F.lit("1) IPVA R$ ")), money.pt_br((F.col("cents") - 100) / 100)), F.lit("2) taxa R$ 1,00"), F.lit("Multas"), F.lit("Nenhuma multa."),
+                       F.when(k % 10 == 0, F.lit("Nada consta de gravame.")).otherwise(F.lit("Sem gravame")), F.when(k % 3 == 0, F.lit("Sem restrição.")).when(k % 3 == 1, F.lit("Impedimento judicial.")))
+    return f.select(k.alias("doc_id"), text.alias("text"))
+
+
+@query(f"""WITH {FLAT} SELECT k AS doc_id, CASE WHEN k % 25 = 0 THEN 'S*** F***' ELSE t_vendedor END AS proprietario_nome, coalesce(substr(r_owner, 1, 3) || '.' || substr(r_owner, 4, 3) || '.' || substr(r_owner, 7, 3) || '-' || substr(r_owner, 10, 2), renavam_ok) AS proprietario_doc, renavam_ok AS renavam, k % 25 = 0 AS proprietario_nome_ofuscado, CASE WHEN k % 25 = 0 THEN 'SF' END AS proprietario_iniciais,
+  CASE WHEN k % 25 = 0 THEN 'aberta' ELSE 'despachante' END AS modo, cents AS debitos_total_cents, 0::bigint AS multas_total_cents, 'VW GOL' AS marca_modelo, CASE WHEN k % 10 = 0 THEN 'desconhecida' ELSE 'ausente' END AS alienacao_fiduciaria_status,
+  CASE WHEN k % 3 = 0 THEN false WHEN k % 3 = 1 THEN true END AS restricao_administrativa_ativa, k % 15 = 0 AS ipva_em_atraso, true AS debitos_em_aberto, false AS multas_em_aberto FROM flat WHERE has_registry""")
 def x16_extract_registry_lookup(spark, sf_dir):
-    f = casegen.flat(spark, sf_dir).where("has_registry")
-    text = F.concat_ws("\n", F.lit("CONSULTA"), F.concat(F.lit("Proprietário: "), F.col("t_vendedor")), F.when(F.col("r_owner").isNotNull(), F.concat(F.lit("CPF/CNPJ: "), F.col("r_owner"))), F.concat(F.lit("Renavam: "), F.col("renavam_ok")), F.lit("Débitos"), F.concat(F.lit("1) IPVA R$ "), money.pt_br((F.col("cents") - 100) / 100)), F.lit("2) taxa R$ 1,00"), F.lit("Multas"), F.lit("Nenhuma multa."), F.when(F.col("k") % 10 == 0, F.lit("Nada consta de gravame.")))
-    got = extract.extract_registry_lookup(f.select(F.col("k").alias("doc_id"), text.alias("text")))
-    return got.select("doc_id", "proprietario_nome", "proprietario_doc", "renavam", "proprietario_nome_ofuscado", "modo", "debitos_total_cents", "alienacao_fiduciaria_status")
+    got = extract.extract_registry_lookup(_registry_texts(spark, sf_dir))
+    return got.select("doc_id", "proprietario_nome", "proprietario_doc", "renavam", "proprietario_nome_ofuscado", "proprietario_iniciais", "modo", "debitos_total_cents", "multas_total_cents", "marca_modelo", "alienacao_fiduciaria_status", "restricao_administrativa_ativa", "ipva_em_atraso", "debitos_em_aberto", "multas_em_aberto")
+
+
+@query(f"WITH {FLAT} SELECT k AS doc_id, 'aberta' AS modo, true AS proprietario_nome_ofuscado FROM flat WHERE has_registry")
+def x16e_lookup_mode(spark, sf_dir):
+    return extract.extract_registry_lookup(_registry_texts(spark, sf_dir), mode="aberta").select("doc_id", "modo", "proprietario_nome_ofuscado")
 
 
 # Further surfaces
@@ -421,10 +466,11 @@ def k1_pivot_latest(spark, sf_dir):
     return C.pivot_latest(i, ("purchase", "signup")).select("case_id", "purchase", "signup")
 
 
-@query(f"WITH {CHECKS}, u AS (SELECT case_id, count(*) AS n FROM checks GROUP BY case_id) SELECT case_id, 2 * n AS n, 2 * n AS last_seq FROM u")
+@query(f"WITH {CHECKS} SELECT case_id, count(*) + count(*) FILTER (WHERE check_id = 'click') AS n, count(*) + count(*) FILTER (WHERE check_id = 'click') AS last_seq, count(*) FILTER (WHERE check_id = 'click') AS n_more FROM checks GROUP BY case_id")
 def u1_union_checks(spark, sf_dir):
     c = event_checks(spark, sf_dir)
-    return C.union_checks([c, c]).groupBy("case_id").agg(F.count("*").alias("n"), F.max("seq").cast("bigint").alias("last_seq"))
+    more = c.where("check_id = 'click'").withColumn("check_id", F.lit("more"))
+    return C.union_checks([c, more]).groupBy("case_id").agg(F.count("*").alias("n"), F.max("seq").cast("bigint").alias("last_seq"), F.count_if(F.col("check_id") == "more").alias("n_more"))
 
 
 @query(f"WITH v AS ({SQL['v5_field_comparison']}) SELECT status, count(*) AS n FROM v GROUP BY status")
@@ -445,16 +491,28 @@ def _simple(spark, sf_dir):
     return tx.groupBy("doc_id").agg(F.array_join(F.array_sort(F.collect_list(line)), "\n").alias("text"))
 
 
+@query(f"""WITH t AS ({casegen.TX_SQL}) SELECT doc_id, count(*) FILTER (WHERE o_orderkey % 5 <> 0) AS n_tx, doc_id % 4 <> 0 AND count(*) > 0 AS has_pix,
+  CASE doc_id % 3 WHEN 0 THEN 'Caixa' WHEN 1 THEN 'Banco do Brasil' END AS bank FROM t GROUP BY doc_id""")
+def g12_transaction_rollup(spark, sf_dir):
+    """Every fifth order's line is not in the simple layout and doesn't count."""
+    tx = casegen.transactions(spark, sf_dir)
+    what = F.when(F.col("doc_id") % 4 == 0, F.lit("TED COMPRA")).otherwise(F.lit("PIX COMPRA"))
+    line = F.concat_ws(" ", F.when(F.col("o_orderkey") % 5 == 0, F.date_format("d", "dd/MM")).otherwise(F.date_format("d", "dd/MM/yyyy")), what, money.pt_br(F.col("cents") / 100))
+    bank = F.when(F.col("doc_id") % 3 == 0, F.lit("caixa")).when(F.col("doc_id") % 3 == 1, F.lit("Banco do Brasil")).otherwise(F.lit("NUBANK"))
+    texts = tx.groupBy("doc_id").agg(F.concat(F.lit("EXTRATO "), bank, F.lit("\n"), F.array_join(F.array_sort(F.collect_list(line)), "\n")).alias("text"))
+    return statements.transaction_rollup(texts)
+
+
 @query(f"WITH t AS ({casegen.TX_SQL}) SELECT doc_id, strftime(d, '%d/%m/%Y') AS data, 'PIX COMPRA' AS descricao, cents FROM t")
 def x8_extract_statement_simple(spark, sf_dir):
     got = statements.extract_statement_simple(_simple(spark, sf_dir))
     return got.select("doc_id", "data", "descricao", F.regexp_replace("valor", "[.,]", "").cast("bigint").alias("cents"))
 
 
-@query("""SELECT doc_id, CASE WHEN regexp_matches(t, 'PROPOSTA|FINANCIADO|VALOR DA COMPRA') THEN 'proposal' WHEN regexp_matches(t, 'SENATRAN') THEN 'licence_registry' WHEN regexp_matches(t, 'HABILITA[CÇ][AÃ]O') THEN 'licence' WHEN regexp_matches(t, 'AUTORIZA[CÇ][AÃ]O PARA TRANSFER[EÊ]NCIA') THEN 'transfer' WHEN regexp_matches(t, 'CERTIFICADO DE REGISTRO E LICENCIAMENTO') THEN 'vehicle_certificate' WHEN regexp_matches(t, 'DETRAN') THEN 'registry_lookup' WHEN regexp_matches(t, 'HOLERITE|TOTAL DE VENCIMENTOS') THEN 'payslip' WHEN regexp_matches(t, 'EXTRATO') THEN 'bank_statement' END AS doc_class FROM (SELECT doc_id, upper(substr(coalesce(text, ''), 1, 8000)) AS t FROM documents)""")
+@query(f"""SELECT doc_id, CASE WHEN doc_id % 5 = 1 THEN 'cnh' WHEN doc_id % 5 = 2 THEN 'folha_pagamento' WHEN doc_id % 5 = 3 THEN 'extrato_bancario'
+  ELSE {_listed(BY_WORDS_INTAKE)}[doc_id % 12 + 1] END AS doc_class FROM documents""")
 def x2_classify_for_intake(spark, sf_dir):
-    d = read(spark, sf_dir, "documents").select("doc_id", "text", F.lit("x.txt").alias("file_name"))
-    return extract.classify_for_intake(d).select("doc_id", "doc_class")
+    return extract.classify_for_intake(_opened(spark, sf_dir)).select("doc_id", "doc_class")
 
 
 @query("SELECT doc_id, CASE WHEN length(coalesce(text, '')) >= 800 THEN 'native' ELSE 'other' END AS chosen_from FROM documents")
@@ -489,10 +547,14 @@ def x11_extract_vehicle_certificate(spark, sf_dir):
     return extract.extract_vehicle_certificate(f.select(F.col("k").alias("doc_id"), text.alias("text"))).select("doc_id", "placa", "renavam", "chassi", "proprietario_nome")
 
 
-@query(f"WITH {FLAT} SELECT k AS doc_id, CASE WHEN k % 8 = 0 THEN 'new' ELSE 'legacy' END AS layout, CASE WHEN k % 8 = 0 THEN 'ABC1023' ELSE 'ABC1O23' END AS placa, CASE WHEN k % 8 = 0 THEN renavam_ok END AS renavam FROM flat WHERE has_vehicle")
+@query(f"""WITH {FLAT} SELECT k AS doc_id, CASE WHEN k % 8 = 0 THEN 'new' ELSE 'legacy' END AS layout,
+  CASE WHEN k % 8 = 0 THEN 'ABC10' WHEN k % 16 = 4 THEN 'ABC1O' ELSE 'XYZ18' END || lpad(cast(k % 100 AS varchar), 2, '0') AS placa, CASE WHEN k % 8 = 0 OR k % 16 = 12 THEN renavam_ok END AS renavam FROM flat WHERE has_vehicle""")
 def x14_route_vehicle_document(spark, sf_dir):
     f = casegen.flat(spark, sf_dir).where("has_vehicle")
-    text = F.when(F.col("k") % 8 == 0, F.concat(F.lit("Placa ABC1023 Renavam "), F.col("renavam_ok"))).otherwise(F.lit("PLACA: A B C 1 O 2 3"))
+    nn = F.lpad((F.col("k") % 100).cast("string"), 2, "0")
+    spaced = F.concat_ws(" ", F.lit("PLACA: A B C 1 O"), F.substring(nn, 1, 1), F.substring(nn, 2, 1))
+    swapped = F.concat(F.lit("Placa: XYZIB"), nn, F.lit("\nR E N A V A M "), F.col("renavam_ok"))  # glyphs confused, and a label with spaces
+    text = F.when(F.col("k") % 8 == 0, F.concat(F.lit("Placa ABC10"), nn, F.lit(" Renavam "), F.col("renavam_ok"))).when(F.col("k") % 16 == 4, spaced).otherwise(swapped)
     return extract.route_vehicle_document(f.select(F.col("k").alias("doc_id"), text.alias("text"))).select("doc_id", "layout", "placa", "renavam")
 
 
@@ -508,12 +570,18 @@ def v3_certificate_soft_checks(spark, sf_dir):
     return rules.certificate_soft_checks(f).select("case_id", "dv_ok", "reason")
 
 
-@query(f"WITH {FLAT}, d AS (SELECT case_id, k, CASE WHEN l_validade LIKE '____-__-__' THEN try_strptime(l_validade, '%Y-%m-%d') ELSE try_strptime(l_validade, '%d/%m/%Y') END::DATE AS v FROM flat WHERE has_licence) SELECT case_id, CASE WHEN k % 3 = 0 THEN 'unknown_state,' ELSE '' END || CASE WHEN v < DATE '{TODAY}' + 30 THEN 'expiry_soon,' ELSE '' END AS critiques FROM d")
+@query(f"WITH {FLAT}, d AS (SELECT case_id, k, CASE WHEN regexp_full_match(l_validade, '[0-9]{{2}}/[0-9]{{2}}/[0-9]{{4}}') THEN try_strptime(l_validade, '%d/%m/%Y')::DATE END AS v FROM flat WHERE has_licence) SELECT case_id, CASE WHEN k % 3 = 0 THEN 'unknown_state,' ELSE '' END || CASE WHEN v IS NULL THEN 'expiry_missing,' ELSE '' END || CASE WHEN v < DATE '{TODAY}' + 30 THEN 'expiry_soon,' ELSE '' END AS critiques FROM d")
 def v4_licence_critique(spark, sf_dir):
     f = casegen.flat(spark, sf_dir).where("has_licence").select("case_id", "cpf", F.when(F.col("k") % 3 == 0, F.lit("XX")).otherwise(F.lit("pr")).alias("uf"), F.col("l_validade").alias("validade"), F.col("p_nasc").alias("data_nascimento"))
     return rules.licence_critique(f, F.lit(TODAY).cast("date")).select("case_id", F.array_join(F.transform("critiques", lambda x: F.concat(x, F.lit(","))), "").alias("critiques"))
 
 
+@query(f"WITH {FLAT} SELECT case_id, CASE WHEN k % 3 = 0 THEN 'unknown_state' ELSE '' END AS critiques FROM flat")
+def v4_residence_critique(spark, sf_dir):
+    f = casegen.flat(spark, sf_dir).select("case_id", F.when(F.col("k") % 3 == 0, F.lit("XX")).when(F.col("k") % 3 == 1, F.lit(" sc ")).alias("uf"))
+    return rules.residence_critique(f).select("case_id", F.array_join("critiques", ",").alias("critiques"))
+
+
 @query(f"WITH m AS ({SQL['v13_master_report']}), {FLAT} SELECT f.case_id, coalesce(overall_status, 'WARN') AS overall_status FROM flat f LEFT JOIN m ON f.case_id = m.case_id")
 def v14_safe_master_report(spark, sf_dir):
     cases = casegen.flat(spark, sf_dir)
@@ -533,9 +601,198 @@ def j5_canonical_keys(spark, sf_dir):
     return rules.canonical_keys(f).select("case_id", "valor_venda", "chassi")
 
 
+# Single operators over lines: texts of one registry-like document a case
+
+
+def line_texts(spark, sf_dir) -> DataFrame:
+    """doc_id and text, with labels on their line, below it and in sections."""
+    f, k = casegen.flat(spark, sf_dir), F.col("k").cast("string")
+    return f.select(F.col("k").alias("doc_id"), F.concat(
+        F.lit("DENATRAN aviso\nMarca: FORD "), k, F.lit("\n\n  Cor  \nAZUL "), k, F.lit("\nEmpresa: X "), k, F.lit(" LTDA\nCPF\n"), F.col("cpf"), F.lit("\nDADOS DO VENDEDOR\nNome: "), F.col("full_name"), F.lit("\nitem 1\nitem "), k,
+        F.lit("\nDADOS DO COMPRADOR\nNome: "), F.reverse("full_name"), F.lit("\nDébitos\n1) IPVA "), k, F.lit("\n2) taxa 1,00\nMultas\nsegurado DPVAT\nfim.")).alias("text"))
+
+
+def _lines(spark, sf_dir) -> DataFrame:
+    return L.explode_lines(line_texts(spark, sf_dir))
+
+
+def _line_query(name: str, job, expected: str) -> None:
+    """job: lines to (doc_id, value); expected: SQL over the flat cases."""
+    def run(spark, sf_dir):
+        return job(_lines(spark, sf_dir)).select("doc_id", "value")
+
+    run.__name__ = name
+    query(f"WITH {FLAT} SELECT k AS doc_id, {expected} AS value FROM flat")(run)
+
+
+def _joined_lines(lines: DataFrame) -> DataFrame:
+    return lines.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"]), "|").alias("value"))
+
+
+_line_query("l2_drop_noise_lines", lambda x: L.drop_noise_lines(x).groupBy("doc_id").agg(F.count("*").alias("value")), "cast(17 AS bigint)")
+_line_query("l6_value_after_label", lambda x: L.value_after_label(x, "Cor"), "'AZUL ' || k")
+_line_query("l7_tabular_value", lambda x: L.tabular_value(x, "Marca"), "'FORD ' || k")
+_line_query("l8_label_colon_value", lambda x: L.label_colon_value(x, "EMPRESA"), "'X ' || k || ' LTDA'")
+_line_query("l9_labelled_match", lambda x: L.labelled_match(x, ("CPF",), extract.CPF), "cpf")
+_line_query("l10_slice_between", lambda x: _joined_lines(L.slice_between(x, ("DADOS DO VENDEDOR",), ("DADOS DO COMPRADOR",))), "'Nome: ' || full_name || '|item 1|item ' || k")
+_line_query("l10_slice_from", lambda x: _joined_lines(L.slice_from(x, ("DADOS DO COMPRADOR",))), "'Nome: ' || reverse(full_name) || '|Débitos|1) IPVA ' || k || '|2) taxa 1,00|Multas|segurado DPVAT|fim.'")
+_line_query("l11_block_after", lambda x: L.block_after(x, "Débitos"), "'1) IPVA ' || k || ' 2) taxa 1,00'")
+_line_query("l15_text_window_before", lambda x: _joined_lines(L.text_window_before(x, "^DADOS DO COMPRADOR", 2)), "'item 1|item ' || k")
+
+
+@query("WITH n AS (SELECT o_custkey AS doc_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS page, length(o_orderpriority) AS native_len FROM orders), o AS (SELECT o_custkey AS doc_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS page, 2 * length(o_orderpriority) AS other_len FROM orders WHERE o_orderstatus = 'F') SELECT doc_id, page::int AS page, coalesce(native_len, 0)::int AS native_len, coalesce(other_len, 0)::int AS other_len FROM n FULL JOIN o USING (doc_id, page)")
+def l16_merge_page_stats(spark, sf_dir):
+    o = read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("doc_id"), F.col("o_orderkey").alias("pos"), F.col("o_orderpriority").alias("text"), "o_orderstatus")
+    numbered = lambda df: df.withColumn("page", F.row_number().over(L._by_doc()))
+    native, other = numbered(o), numbered(o.where("o_orderstatus = 'F'")).withColumn("text", F.repeat("text", 2))
+    return L.merge_page_stats(native, other)
+
+
+@query("SELECT o_custkey AS doc_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey)::int AS page, length(o_orderpriority)::int AS text_len FROM orders")
+def l16_page_lengths(spark, sf_dir):
+    o = read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("doc_id"), F.col("o_orderkey").alias("pos"), F.col("o_orderpriority").alias("text"))
+    return L.page_lengths(o)
+
+
+def _licence_candidates(spark, sf_dir) -> DataFrame:
+    """Four candidate texts of each licence: blank, a cover, the words alone, the whole text (which candidate it is varies)."""
+    t = _licence_texts(spark, sf_dir)
+    texts = F.array(F.lit("  "), F.lit("SENATRAN"), F.concat(F.lit("SECRETARIA NACIONAL "), F.substring("text", 1, 50)), F.col("text"))
+    rows = t.select("doc_id", F.posexplode(texts).alias("n", "text"))
+    return rows.select("doc_id", ((F.col("n") + F.col("doc_id")) % 4).alias("candidate"), "n", "text")
+
+
+@query(f"WITH {FLAT}, n AS (SELECT unnest([0, 1, 2, 3]) AS n) SELECT k AS doc_id, n.n, CASE n.n WHEN 0 THEN -5 WHEN 1 THEN 2 - 5 WHEN 3 THEN 8 + 3 + 10 + 6 + 4 + 4 + 6 - 5 END AS score FROM flat, n WHERE has_licence AND n.n <> 2")
+def w2_text_quality_score(spark, sf_dir):
+    return extract.text_quality_score(_licence_candidates(spark, sf_dir)).where("n <> 2").select("doc_id", "n", "score")
+
+
+@query(f"WITH {FLAT} SELECT k AS doc_id, 36 AS score, 'CARTEIRA NACIONAL' AS opening, true AS whole FROM flat WHERE has_licence")
+def w3_best_text_candidate(spark, sf_dir):
+    got = extract.best_text_candidate(_licence_candidates(spark, sf_dir))
+    return got.select("doc_id", "score", F.substring("text", 1, 17).alias("opening"), F.endswith("text", F.lit("PERMISSAO")).alias("whole"))
+
+
+@query("SELECT event_id FROM events WHERE event_type NOT IN ('signup', 'purchase')")
+def x17_optional_doc_gate(spark, sf_dir):
+    e = read(spark, sf_dir, "events").select("event_id", F.col("event_type").alias("doc_type"))
+    return extract.optional_doc_gate(e, False, ("signup", "purchase")).select("event_id")
+
+
+@query("SELECT doc_id, CASE WHEN trim(coalesce(CASE WHEN doc_id % 4 = 0 THEN '  ' ELSE text END, '')) = '' THEN 'ExtractorError' WHEN doc_id % 4 = 1 THEN 'ParserError' END AS error FROM documents")
+def x18_parse_outcome(spark, sf_dir):
+    d = read(spark, sf_dir, "documents").select("doc_id", F.when(F.col("doc_id") % 4 == 0, F.lit("  ")).otherwise(F.col("text")).alias("text"), F.when(F.col("doc_id") % 4 != 1, F.lit("x")).alias("field"))
+    return d.select("doc_id", parse_outcome("text", F.struct("field"))["type"].alias("error"))
+
+
+@query("WITH l AS (SELECT o_custkey AS doc_id, count(DISTINCT (o_orderdate, round(o_totalprice * 100))) AS n FROM orders GROUP BY 1) SELECT doc_id, n FROM l")
+def u4_distinct_transactions(spark, sf_dir):
+    tx = casegen.transactions(spark, sf_dir)
+    return tx.unionByName(tx).select("doc_id", "d", "cents").distinct().groupBy("doc_id").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {FLAT} SELECT case_id, CASE WHEN has_proposal THEN p_cpf END AS p_cpf, CASE WHEN has_licence THEN cpf END AS l_cpf, CASE WHEN has_vehicle THEN v_renavam END AS renavam FROM flat WHERE {HAS_ANY}")
+def k6_enrich_left(spark, sf_dir):
+    rows, _ = rules.planned(wide(spark, sf_dir), lambda: F.struct(rules.field("proposal", "cpf"), rules.field("licence", "cpf"), rules.field("vehicle_data", "renavam")))
+    return rows.select("case_id", F.col("v__proposal__cpf__string").alias("p_cpf"), F.col("v__licence__cpf__string").alias("l_cpf"), F.col("v__vehicle_data__renavam__string").alias("renavam"))
+
+
+# Sources and sinks, over files that are written from the tables to the shared folder
+
+
+def _folder(spark) -> str:
+    return f"{shared_folder(spark)}/verifold/{uuid.uuid4().hex}"
+
+
+def _written_store(spark, sf_dir) -> str:
+    """One JSON file for each supplier: every third has data, every third null data, the others no object."""
+    s = read(spark, sf_dir, "supplier")
+    k = F.col("s_suppkey")
+    value = F.when(k % 3 == 0, F.to_json(F.struct(F.struct(F.col("s_name").alias("nome")).alias("data")))).when(k % 3 == 1, F.lit('{"data": null}')).otherwise(F.lit("[1"))
+    path = _folder(spark)
+    rows = s.select(F.concat(F.lit("n"), F.col("s_nationkey").cast("string")).alias("case_id"), k.cast("string").alias("doc_type"), value.alias("value"))
+    rows.repartition("doc_type").write.partitionBy("case_id", "doc_type").text(path)
+    return path
+
+
+def _suffixed(files: DataFrame) -> DataFrame:
+    return files.withColumns({c: F.regexp_replace(c, "^.*=", "") for c in ("case_id", "doc_type")})
+
+
+@query("SELECT 'n' || s_nationkey AS case_id, s_suppkey::varchar AS doc_type, CASE WHEN s_suppkey % 3 = 0 THEN s_name END AS nome, CASE WHEN s_suppkey % 3 = 2 THEN 'invalid_json' END AS read_error FROM supplier")
+def a1_scan_document_store(spark, sf_dir):
+    files = _suffixed(scan_document_store(spark, _written_store(spark, sf_dir), "*.txt"))
+    got = classify_read(files)
+    return got.select("case_id", "doc_type", F.try_variant_get("data", "$.nome", "string").alias("nome"), "read_error")
+
+
+@query("SELECT e.event_type AS doc_type, 2 * count(*) AS n, count(DISTINCT event_id) AS n_distinct FROM events e GROUP BY 1")
+def a3_append_documents(spark, sf_dir):
+    path, rows = _folder(spark), intake(spark, sf_dir)
+    for _ in range(2):
+        append_documents(rows, path)
+    return spark.read.schema(rows.schema).parquet(path).groupBy("doc_type").agg(F.count("*").alias("n"), F.count_distinct("file_name").alias("n_distinct"))
+
+
+@query("SELECT doc_id, length(coalesce(text, '')) AS text_len, CASE doc_id % 3 WHEN 0 THEN 'application/pdf' WHEN 1 THEN 'image/jpeg' ELSE 'application/octet-stream' END AS mime_type, 4 * ceil(n_chars / 3.0)::bigint AS raw_b64_len, '2026-01-05' AS created_at, CASE WHEN trim(coalesce(text, '')) = '' THEN 'ExtractorError' END AS error FROM documents")
+def a4_document_envelope(spark, sf_dir):
+    d = read(spark, sf_dir, "documents").withColumn("file_name", F.concat(F.lit("x."), F.element_at(F.array(*map(F.lit, ("PDF", "jpeg", "bin"))), (F.col("doc_id") % 3 + 1).cast("int")))).withColumn("raw_len", F.col("n_chars"))
+    return document_envelope(d, F.lit(TODAY)).select("doc_id", F.col("text_len").cast("long").alias("text_len"), "mime_type", "raw_b64_len", "created_at", F.col("parse_error.type").alias("error"))
+
+
+@query("SELECT s_suppkey::varchar AS doc_type, 'application/octet-stream' AS mime_type, CASE s_suppkey % 3 WHEN 0 THEN length('{\"data\":{\"nome\":\"' || s_name || '\"}}') WHEN 1 THEN 14 ELSE 2 END + 1 AS n_bytes FROM supplier")
+def a5_file_inventory(spark, sf_dir):
+    got = file_inventory(spark, _written_store(spark, sf_dir)).where(F.col("path").endswith(".txt"))
+    return got.select(F.regexp_extract("path", "doc_type=([0-9]+)", 1).alias("doc_type"), "mime_type", "n_bytes")
+
+
+@query("SELECT n_name AS name, 'NATION ' || n_nationkey || chr(10) || 'line two' AS text FROM nation")
+def a8_scan_texts(spark, sf_dir):
+    path = _folder(spark)
+    n = read(spark, sf_dir, "nation")
+    n.select("n_name", F.concat(F.lit("NATION "), F.col("n_nationkey").cast("string"), F.lit("\nline two")).alias("value")).repartition("n_name").write.partitionBy("n_name").text(path)
+    got = scan_texts(spark, f"{path}/*")
+    return got.select(F.concat(F.lit("NATION_"), F.regexp_extract("text", r"NATION (\d+)", 1)).alias("name"), F.regexp_replace("text", r"\n$", "").alias("text"))
+
+
+def _reports_written(spark, sf_dir) -> str:
+    path = f"{_folder(spark)}/reports"
+    rows = report.master_report(store(spark, sf_dir), F.lit(TODAY))
+    write_reports(rows, path, 16)
+    write_reports(rows, path, 16)  # a rerun replaces what is there
+    return path
+
+
+@query(f"WITH m AS ({SQL['v13_master_report']}) SELECT case_id, overall_status, 1::bigint AS n FROM m")
+def a6_write_reports(spark, sf_dir):
+    path = _reports_written(spark, sf_dir)
+    rows = spark.read.schema("case_id string, overall_status string, bucket int").json(path)
+    return rows.groupBy("case_id").agg(F.first("overall_status").alias("overall_status"), F.count("*").alias("n"))
+
+
+@query(f"WITH {FLAT} SELECT case_id, 'proposal' AS doc_type, p_nome AS nome FROM flat WHERE has_proposal UNION ALL SELECT case_id, 'licence', l_nome FROM flat WHERE has_licence")
+def a7_load_report_inputs(spark, sf_dir):
+    s = store(spark, sf_dir)
+    reports = report.master_report(s, F.lit(TODAY)).select("case_id", "inputs")
+    got = load_report_inputs(reports, s).where("doc_type in ('proposal', 'licence')")
+    return got.select("case_id", "doc_type", F.coalesce(F.try_variant_get("data", "$.nome_financiado", "string"), F.try_variant_get("data", "$.nome", "string")).alias("nome"))
+
+
+@query(f"WITH m AS ({SQL['v13_master_report']}) SELECT case_id, overall_status FROM m")
+def t1_stream_intake(spark, sf_dir):
+    """Documents arrive in files, some twice; the streamed reports are those of a batch."""
+    base = _folder(spark)
+    docs = casegen.store(casegen.flat(spark, sf_dir))
+    docs.repartition(3, "case_id").write.json(f"{base}/in")
+    docs.where("substring(case_id, 2, 9) % 4 = 0").repartition(1).write.mode("append").json(f"{base}/in")
+    evaluate = lambda rows: report.master_report(classify_read(rows), F.lit(TODAY)).select("case_id", "overall_status")
+    stream_intake(spark, f"{base}/in", "case_id string, doc_type string, file_name string, path string, raw string", f"{base}/store", f"{base}/reports", evaluate, f"{base}/checkpoint", 16).awaitTermination()
+    return spark.read.schema("case_id string, overall_status string, bucket int").json(f"{base}/reports").drop("bucket")
+
+
 def queries() -> dict:
-    return dict(QUERIES)
+    return {**QUERIES, **probes.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(SQL)
+    return {**SQL, **probes.SQL}

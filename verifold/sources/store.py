@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,11 +13,22 @@ from verifold.functions.text import sanitize_path, text
 MIME = {"pdf": "application/pdf", "png": "image/png", "jpg": "image/jpeg", "jpeg": "image/jpeg"}
 
 
-def scan_document_store(spark: SparkSession, root: str) -> DataFrame:
-    """case_id, doc_type, file_name, path and raw JSON text of each stored document."""
-    files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json").text(root, wholetext=True)
+def shared_folder(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir`` of the session; where it is unset, a new local folder if all runs on this machine, else an error."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.conf.get("spark.master", "").startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = "file://" + tempfile.mkdtemp(prefix="spark-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder.rstrip("/")
+
+
+def scan_document_store(spark: SparkSession, root: str, pattern: str = "*.json") -> DataFrame:
+    """case_id, doc_type, file_name, path and raw JSON text of each stored document, below <case>/<type>/."""
+    files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).text(root, wholetext=True)
     path = F.col("_metadata.file_path")
-    part = lambda i: F.regexp_extract(path, r"([^/]+)/([^/]+)/([^/]+\.json)$", i)
+    part = lambda i: F.regexp_extract(path, r"([^/]+)/([^/]+)/([^/]+)$", i)
     return files.select(part(1).alias("case_id"), part(2).alias("doc_type"), part(3).alias("file_name"), path.alias("path"), F.col("value").alias("raw"))
 
 
@@ -52,9 +65,14 @@ def document_envelope(df: DataFrame, now: Column) -> DataFrame:
     })
 
 
-def parse_outcome(c: str) -> Column:
-    """Error struct for a document without text; null otherwise. A bad document never stops the others."""
-    return F.when(F.trim(text(c)) == "", F.struct(F.lit("ExtractorError").alias("type"), F.lit("no text").alias("message")))
+def parse_outcome(c: str, data: Column | None = None) -> Column:
+    """Error struct for a document without text (ExtractorError) or, with ``data``, one whose fields are all null (ParserError); else null.
+
+    A bad document never stops the others: extraction gives nulls where it can't read.
+    """
+    error = lambda kind, message: F.struct(F.lit(kind).alias("type"), F.lit(message).alias("message"))
+    out = F.when(F.trim(text(c)) == "", error("ExtractorError", "no text"))
+    return out if data is None else out.when(F.to_json(data) == "{}", error("ParserError", "no field found"))
 
 
 def file_inventory(spark: SparkSession, path: str) -> DataFrame:
@@ -69,17 +87,22 @@ def scan_texts(spark: SparkSession, path: str) -> DataFrame:
     return files.select(F.col("_metadata.file_name").alias("file_name"), F.col("value").alias("text"))
 
 
-def append_documents(df: DataFrame, path: str) -> None:
-    """Append documents, partitioned by type; nothing is ever updated."""
-    df.write.mode("append").partitionBy("doc_type").parquet(path)
+def append_documents(df: DataFrame, path: str, by: str = "doc_type") -> None:
+    """Append documents, partitioned by type or another column; nothing is ever updated."""
+    df.write.mode("append").partitionBy(by).parquet(path)
+
+
+def bucket_of(buckets: int) -> Column:
+    return F.pmod(F.xxhash64("case_id"), F.lit(buckets)).cast("int")
 
 
-def write_reports(df: DataFrame, path: str, buckets: int = 64) -> None:
+def write_reports(df: DataFrame, path: str, buckets: int = 256) -> None:
     """One report a case as JSON, in a partition by hash of the case; touched partitions must be whole.
 
-    A directory for each case doesn't hold at scale, so cases are dealt to ``buckets``.
+    A directory for each case doesn't hold at scale, so cases are dealt to ``buckets``, a number to
+    choose by the cases there will be and to keep; each bucket is written by one task as one file.
     """
-    placed = df.withColumn("bucket", F.pmod(F.xxhash64("case_id"), F.lit(buckets)))
+    placed = df.withColumn("bucket", bucket_of(buckets)).repartition("bucket")
     placed.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").json(path)
 
 

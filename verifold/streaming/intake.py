@@ -7,34 +7,33 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verifold.sources.store import append_documents, write_reports
+from verifold.sources.store import append_documents, bucket_of, write_reports
 
 
-def touched_buckets(batch: DataFrame, buckets: int) -> DataFrame:
-    return batch.select(F.pmod(F.xxhash64("case_id"), F.lit(buckets)).alias("bucket")).distinct()
-
-
-def stream_intake(spark: SparkSession, incoming: str, schema: str, store: str, reports: str, evaluate: Callable[[DataFrame], DataFrame], checkpoint: str, buckets: int = 64):
+def stream_intake(spark: SparkSession, incoming: str, schema: str, store: str, reports: str, evaluate: Callable[[DataFrame], DataFrame], checkpoint: str, buckets: int = 256):
     """Start a query that appends the files of ``incoming`` to ``store`` and refreshes ``reports``.
 
-    evaluate: store rows to reports (case_id, ...). A micro-batch rewrites the report buckets of the
-    cases it touches; a repeated batch appends nothing twice, as documents are told apart by
-    (case_id, doc_type, file_name).
+    evaluate: store rows to reports (case_id, ...). The store is partitioned by hash of the case, and so
+    are the reports: a micro-batch reads and rewrites only the buckets of the cases it touches. A
+    document is told apart by (case_id, doc_type, file_name); one that comes again, in the same batch
+    or a later one, is not appended.
     """
+    key = ["case_id", "doc_type", "file_name"]
     stream = spark.readStream.schema(schema).json(incoming)
 
     def refresh(batch: DataFrame, _: int) -> None:
-        batch = batch.persist()
+        batch = batch.dropDuplicates(key).withColumn("bucket", bucket_of(buckets)).persist()
         try:
+            touched = [r["bucket"] for r in batch.select("bucket").distinct().collect()]  # ``buckets`` at most
+            if not touched:
+                return
             if _exists(spark, store):
-                old = spark.read.parquet(store).select("case_id", "doc_type", "file_name")
-                fresh = batch.join(old, ["case_id", "doc_type", "file_name"], "left_anti")
+                old = spark.read.parquet(store).where(F.col("bucket").isin(touched)).select(*key)
+                append_documents(batch.join(old, key, "left_anti"), store, "bucket")
             else:
-                fresh = batch
-            append_documents(fresh, store)
-            rows = spark.read.parquet(store).withColumn("bucket", F.pmod(F.xxhash64("case_id"), F.lit(buckets)))
-            touched = rows.join(touched_buckets(batch, buckets), "bucket", "left_semi").drop("bucket")
-            write_reports(evaluate(touched), reports, buckets)
+                append_documents(batch, store, "bucket")
+            rows = spark.read.parquet(store).where(F.col("bucket").isin(touched)).drop("bucket")
+            write_reports(evaluate(rows), reports, buckets)
         finally:
             batch.unpersist()
 
