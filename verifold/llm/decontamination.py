@@ -37,7 +37,7 @@ PLAIN, NAMED = 1, 2
 #: A benchmark of at most this many distinct windows is sent to every executor.
 SEND_WINDOWS = 250_000
 #: Bounds of the bits of a window's hash that the filter of the documents looks at: at most 16 MB are
-#: sent. Beyond some ten million windows of the benchmark it lets more through, and the join decides.
+#: sent. One window in some hundred passes by chance; beyond half a million windows of the benchmark more do, and the join decides.
 LEAST_BITS, MOST_BITS = 16, 27
 
 
@@ -158,7 +158,7 @@ def item_windows(items: DataFrame, width: int) -> DataFrame:
 
 def hash_filter(index: DataFrame, n: int) -> tuple[np.ndarray, int]:
     """Bit map of the first bits of the items' hashes, and how many bits; made in pieces on the executors."""
-    bits = min(MOST_BITS, max(LEAST_BITS, (16 * n).bit_length()))
+    bits = min(MOST_BITS, max(LEAST_BITS, (256 * n).bit_length()))
 
     def piece(rows: pa.Table) -> pa.Table:
         held = np.zeros(1 << 13, dtype=bool)
