@@ -27,7 +27,7 @@ from verifold.llm.storage import save
 from verifold.llm.words import split_words, tidy
 
 SEED = 42
-#: Cells with more members than this are split over tasks.
+#: Cells with more members than this are split by equal bits.
 CELL_ROWS = 8192
 #: Fingerprints with more than one in HOT rows are joined by broadcast; there are HOT at most.
 HOT = 1000
@@ -225,17 +225,18 @@ def links(distinct: DataFrame, distance: int = 4, segment: int = 2, groups: int
     found = save(placed.repartition("cell").sortWithinPartitions("cell", "fp").mapInArrow(lambda it: _cell_links(it, distance), LINK_SCHEMA), "links").df
     small = found.where("cell is null").select("a", "b")
     large = found.where("cell is not null").select("cell", F.col("a").alias("fp"))
-    sizes = large.groupBy("cell").agg(F.ceil(F.count("*") / CELL_ROWS).cast("int").alias("n"))
-    # Members of a large cell are dealt to n blocks; each pair of blocks is one task's work.
-    dealt = large.join(sizes, "cell").withColumn("mine", F.pmod(F.hash("fp"), F.col("n")))
-    pairs = dealt.select("cell", "fp", "mine", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("other")).select(
-        "cell", "fp", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"))
+    # Of distance + 1 stretches of bits one is equal in both ends of a link: members of a large cell
+    # meet again where a stretch is equal, so that no two blocks of a cell have to be crossed.
+    cuts = [round(i * 64 / (distance + 1)) for i in range(distance + 2)]
+    stretch = lambda lo, hi: F.shiftrightunsigned("fp", lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1 if hi - lo < 64 else -1).cast("long"))
+    parts = F.array(*(F.struct(F.lit(i).alias("i"), stretch(lo, hi).alias("bits")) for i, (lo, hi) in enumerate(zip(cuts[:-1], cuts[1:], strict=True))))
+    dealt = large.select("cell", "fp", F.explode(parts).alias("part")).select("cell", "fp", "part.i", "part.bits")
 
     def block(table: pa.Table) -> pa.Table:
         fps = np.unique(table.column("fp").to_numpy().view(np.uint64))
         return pa.Table.from_batches([_link_batch(forest(fps, distance), [])])
 
-    more = pairs.groupBy("cell", "low", "high").applyInArrow(block, LINK_SCHEMA).select("a", "b")
+    more = dealt.groupBy("cell", "i", "bits").applyInArrow(block, LINK_SCHEMA).select("a", "b")
     return small.unionByName(more).distinct()
 
 
