@@ -697,6 +697,66 @@ def k6_enrich_left(spark, sf_dir):
     return rows.select("case_id", F.col("v__proposal__cpf__string").alias("p_cpf"), F.col("v__licence__cpf__string").alias("l_cpf"), F.col("v__vehicle_data__renavam__string").alias("renavam"))
 
 
+def _event_lines(spark, sf_dir) -> DataFrame:
+    e = read(spark, sf_dir, "events")
+    return e.select(F.col("user_id").alias("doc_id"), F.col("event_id").alias("pos"), F.col("event_type").alias("line"))
+
+
+@query(f"WITH {FLAT} SELECT k AS doc_id, '1.666,44 -R$ 5,00 01/02/2020 LOJA ' || k AS line FROM flat")
+def l3_normalize_statement_lines(spark, sf_dir):
+    f = casegen.flat(spark, sf_dir)
+    lines = f.select(F.col("k").alias("doc_id"), F.lit(0).alias("pos"), F.concat(F.lit("1. 666, 44  - R$ 5,00 01/02/2020LOJA "), F.col("k").cast("string")).alias("line"))
+    return L.normalize_statement_lines(lines.unionByName(lines.withColumn("line", F.lit("  ")))).select("doc_id", "line")
+
+
+@query(f"WITH {FLAT} SELECT k AS doc_id, x.pos, x.line FROM flat, LATERAL (SELECT unnest([0, 1, 2]) AS pos, unnest(['01/02/2020 a' || k || 'x', '03/04/2020 b', 'plain ' || k]) AS line) x")
+def l4_explode_on_dates(spark, sf_dir):
+    k = F.col("k").cast("string")
+    rows = casegen.flat(spark, sf_dir).select(F.col("k").alias("doc_id"), F.posexplode(F.array(F.concat(F.lit("x 01/02/2020 a"), k, F.lit("x 03/04/2020 b")), F.concat(F.lit("plain "), k))).alias("pos", "line"))
+    return L.explode_on_dates(rows)
+
+
+@query("SELECT user_id AS doc_id, event_id AS pos, last_value(CASE WHEN event_type = 'signup' THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS header FROM events")
+def l12_carry_forward_header(spark, sf_dir):
+    header = F.when(F.col("line") == "signup", F.struct(F.col("pos").alias("at")))
+    return L.carry_forward_header(_event_lines(spark, sf_dir), header, "h").select("doc_id", "pos", F.col("h.at").alias("header"))
+
+
+@query("""WITH l AS (SELECT user_id AS doc_id, event_id AS pos, event_type AS line, event_type = 'signup' AS dated, event_id % 2 = 0 AS own, event_type = 'error' AS noise FROM events),
+  n AS (SELECT *, lead(line) OVER w AS l1, lead(line, 2) OVER w AS l2 FROM l WINDOW w AS (PARTITION BY doc_id ORDER BY pos))
+  SELECT doc_id, pos, CASE WHEN own THEN line ELSE trim(line || CASE WHEN l1 IS NOT NULL AND l1 NOT IN ('signup', 'error') THEN ' ' || l1 ELSE '' END || CASE WHEN l1 <> 'signup' AND l2 IS NOT NULL AND l2 NOT IN ('signup', 'error') THEN ' ' || l2 ELSE '' END) END AS combined FROM n""")
+def l13_row_assembly(spark, sf_dir):
+    lines = _event_lines(spark, sf_dir)
+    return L.row_assembly_lookahead(lines, F.col("line") == "signup", F.col("pos") % 2 == 0, F.col("line") == "error", F.col("line")).select("doc_id", "pos", "combined")
+
+
+@query("""WITH l AS (SELECT user_id, event_type, event_id, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS k FROM events WHERE event_type IN ('click', 'signup', 'purchase'))
+  SELECT a.user_id AS doc_id, a.k, a.event_id::varchar AS date, b.event_id::varchar AS description, c.event_id::varchar AS value FROM l a JOIN l b USING (user_id, k) JOIN l c USING (user_id, k) WHERE a.event_type = 'click' AND b.event_type = 'signup' AND c.event_type = 'purchase'""")
+def l14_columnar_zip(spark, sf_dir):
+    lines = _event_lines(spark, sf_dir)
+    mode = F.when(F.col("line") == "click", F.lit("date")).when(F.col("line") == "signup", F.lit("description")).when(F.col("line") == "purchase", F.lit("value"))
+    return L.columnar_zip(lines, F.lit(0), mode, F.col("pos").cast("string")).select("doc_id", F.col("k").cast("long").alias("k"), "date", "description", "value")
+
+
+@query(f"WITH {FLAT}, {INCOME} SELECT case_id, round(declared, 2) AS declared, round(proven, 2) AS proven FROM income WHERE {HAS_ANY}")
+def g10_incomes(spark, sf_dir):
+    rows, both = rules.planned(wide(spark, sf_dir), lambda: F.struct(rules.declared_income().alias("d"), rules.proven_income().alias("p")))
+    return rows.select("case_id", F.round(both["d"], 2).alias("declared"), F.round(both["p"], 2).alias("proven"))
+
+
+@query(f"WITH {FLAT} SELECT case_id, coalesce(CASE WHEN has_proposal THEN p_nome END, 'none') AS name, CASE WHEN has_registry THEN r_restricao END AS restricted FROM flat WHERE {HAS_ANY}")
+def j1_variant_field(spark, sf_dir):
+    w = wide(spark, sf_dir)
+    return w.select("case_id", F.coalesce(rules.field("proposal", "absent", "nome_financiado"), F.lit("none")).alias("name"), rules.raw("registry_lookup", "restricao_administrativa_ativa", "boolean").alias("restricted"))
+
+
+@query(f"WITH {FLAT} SELECT k AS doc_id, 'licence' AS doc_type, full_name AS name FROM flat WHERE has_licence UNION ALL SELECT k, 'registry_lookup', CASE WHEN k % 25 = 0 THEN 'S*** F***' ELSE t_vendedor END FROM flat WHERE has_registry")
+def f1_extract_all(spark, sf_dir):
+    texts = _licence_texts(spark, sf_dir).withColumn("doc_type", F.lit("licence")).unionByName(_registry_texts(spark, sf_dir).withColumn("doc_type", F.lit("registry_lookup")))
+    got = extract.extract_all(texts)
+    return got.select("doc_id", "doc_type", F.coalesce(F.try_variant_get("data", "$.nome", "string"), F.try_variant_get("data", "$.proprietario_nome", "string")).alias("name"))
+
+
 # Sources and sinks, over files that are written from the tables to the shared folder
 
 
