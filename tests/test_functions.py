@@ -220,3 +220,13 @@ def test_one_batch_with_a_document_twice(spark, tmp_path):
     (tmp_path / "in" / "1.json").write_text("\n".join(map(json.dumps, rows)))
     stream_intake(spark, str(tmp_path / "in"), "case_id string, doc_type string, file_name string, raw string", str(tmp_path / "store"), str(tmp_path / "reports"), lambda s: s.groupBy("case_id").agg(F.count("*").alias("n")), str(tmp_path / "ck"), 4).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "store")).count() == 1
+
+
+def test_payslips(spark):
+    rows = [(1, ""), (2, "NOME\nJOAO DA SILVA\nCPF 123.456.789-00\n"), (3, "NOME\nMARIA DE SOUZA\nCPF 111.444.777-35\nAdmissao 1/2/2020"), (4, None)]
+    got = {r.doc_id: r for r in extract.extract_payslip(spark.createDataFrame(rows, "doc_id int, text string")).collect()}
+    assert got[1].asDict() == {"doc_id": 1, "nome": None, "cpf": None, "empregador": None, "data_admissao": None, "total_vencimentos": None} and got[4].cpf is None
+    assert (got[2].nome, got[2].cpf) == ("JOAO DA SILVA", "12345678900")
+    assert (got[3].nome, got[3].cpf, got[3].data_admissao) == ("MARIA DE SOUZA", "11144477735", "01/02/2020")
+    checked = {r.doc_id: r for r in rules.payslip_soft_checks(extract.extract_payslip(spark.createDataFrame(rows[1:3], "doc_id int, text string"))).collect()}
+    assert checked[2].cpf == "12345678900" and "cpf:dv_mismatch" in checked[2].warnings and checked[3].cpf_reason == "ok"

@@ -225,17 +225,38 @@ def extract_licence_registry(texts: DataFrame) -> DataFrame:
     return texts.select("doc_id", *(c.alias(k) for k, c in (fields | {"categoria": F.coalesce(category, fields["categoria"])}).items()))
 
 
+#: Labels of a payslip's fields.
+EMPLOYER_LABELS = ("EMPREGADOR", "EMPRESA", "RAZAO SOCIAL", "RAZÃO SOCIAL", "CNPJ/CPF", "CNPJ")
+EMPLOYEE_LABELS = ("NOME", "NOME DO FUNCIONARIO", "NOME DO FUNCIONÁRIO", "FUNCIONARIO", "FUNCIONÁRIO", "EMPREGADO")
+HIRE_LABELS = ("ADMISSAO", "ADMISSÃO", "DATA ADMISSAO", "DATA ADMISSÃO", "DT ADMISSAO", "DT ADMISSÃO")
+TOTAL_LABELS = ("TOTAL DE VENCIMENTOS", "TOTAL VENCIMENTOS", "TOTAL DOS VENCIMENTOS", "VENCIMENTOS", "TOTAL PROVENTOS", "TOTAL DE PROVENTOS")
+MONEY = r"\b(\d{1,3}(?:\.\d{3})*,\d{2}|\d+,\d{2})\b"
+
+
 def extract_payslip(texts: DataFrame) -> DataFrame:
-    """nome, cpf, empregador, data_admissao, total_vencimentos."""
-    lines = L.lines_of("text")
-    found = {
-        "nome": L.array_labelled_match(lines, ("FUNCIONÁRIO", "FUNCIONARIO", "COLABORADOR", "NOME"), r"(?iu)(?:NOME|FUNCION[ÁA]RIO|COLABORADOR)\s*:?\s*([\p{L} ]{5,})$", False),
-        "cpf": L.array_labelled_match(lines, ("CPF",), rf"(?<!\d){CPF}(?!\d)"),
-        "empregador": L.array_colon_value(lines, "EMPRESA"),
-        "data_admissao": L.array_labelled_match(lines, ("ADMISSÃO", "ADMISSAO"), BR_DATE),
-        "total_vencimentos": L.array_labelled_match(lines, ("TOTAL DE VENCIMENTOS", "TOTAL VENCIMENTOS", "TOTAL BRUTO"), r"(\d{1,3}(?:\.\d{3})*,\d{2})(?!.*\d,\d{2})", False),
-    }
-    return texts.select("doc_id", *(T.clean_value(c).alias(k) for k, c in found.items()))
+    """nome, cpf (digits), empregador, data_admissao, total_vencimentos; each by its label, then by a fallback."""
+    lines, whole = L.lines_of("text"), T.text("text")
+    tail = lambda x: T.clean_value(F.regexp_extract(x, r"^[^:\-]*[:\-]\s*(.*)$", 1))
+    holds = lambda x, labels: _any(F.upper(x), labels)
+    two_words = lambda v: F.when(F.size(T.tokens(v)) >= 2, v)
+    clean = T.clean_value
+    employer = F.coalesce(
+        L.first_of(lines, lambda x, below: F.when(holds(x, EMPLOYER_LABELS), F.coalesce(tail(x), clean(below)))),
+        L.first_of(F.slice(lines, 1, 12), lambda x, _: F.when((F.length(x) >= 12) & ~holds(x, ("CPF", "FUNCION", "ADMISS")), two_words(clean(x)))),
+    )
+    before = F.slice(F.reverse(L.lines_of(F.regexp_extract(whole, rf"(?s)^(.*?)\b{CPF}\b", 1))), 1, 6)
+    employee = F.coalesce(
+        L.first_of(lines, lambda x, _: F.when(F.upper(x).isin(*EMPLOYEE_LABELS) | _any(F.upper(x), tuple(f"{n}:" for n in EMPLOYEE_LABELS)), two_words(tail(x)))),
+        L.first_of(lines, lambda x, below: F.when(holds(x, EMPLOYEE_LABELS), two_words(clean(below)))),
+        L.first_of(before, lambda x, _: F.when(~x.rlike(MONEY), two_words(clean(x)))),
+    )
+    date = r"(?<!\d)(\d{1,2}/\d{1,2}/\d{4})(?!\d)"
+    hired = L.array_labelled_match(lines, HIRE_LABELS, date)
+    parts = F.split(hired, "/")
+    amounts = F.regexp_extract_all(whole, F.lit(MONEY), 1)
+    total = F.coalesce(L.array_labelled_match(lines, TOTAL_LABELS, MONEY, False), F.get(amounts, F.size(amounts) - 1))
+    return texts.select("doc_id", employee.alias("nome"), T.only_digits_or_null(F.regexp_extract(whole, rf"\b{CPF}\b", 1)).alias("cpf"), employer.alias("empregador"),
+                        F.when(hired.isNotNull(), dates.format_date_parts(*(F.get(parts, F.lit(i)) for i in range(3)))).alias("data_admissao"), total.alias("total_vencimentos"))
 
 
 def extract_residence(texts: DataFrame) -> DataFrame:

@@ -419,11 +419,16 @@ def x6_extract_licence_registry(spark, sf_dir):
     return got.select("doc_id", "nome", "cpf", "categoria", "data_nascimento", "validade", "uf_nascimento")
 
 
-@query(f"WITH {FLAT} SELECT k AS doc_id, full_name AS nome, p_cpf AS cpf, 'ACME LTDA' AS empregador, p_nasc AS data_admissao, h_total AS total_vencimentos FROM flat WHERE has_payslip AND h_total IS NOT NULL")
+@query(f"WITH {FLAT} SELECT k AS doc_id, full_name AS nome, cpf, 'ACME ' || k || ' LTDA' AS empregador, p_nasc AS data_admissao, h_total AS total_vencimentos FROM flat WHERE has_payslip AND h_total IS NOT NULL")
 def x7_extract_payslip(spark, sf_dir):
+    """Values on their labels' lines, below them, and without any label."""
     f = casegen.flat(spark, sf_dir).where("has_payslip and h_total is not null")
-    text = F.concat(F.lit("DEMONSTRATIVO DE PAGAMENTO\nEmpresa: ACME LTDA\nFuncionário: "), F.col("full_name"), F.lit("\nCPF\n"), F.col("p_cpf"), F.lit("\nAdmissão: "), F.col("p_nasc"), F.lit("\nTotal de Vencimentos 12,00 "), F.col("h_total"))
-    return extract.extract_payslip(f.select(F.col("k").alias("doc_id"), text.alias("text")))
+    k, acme = F.col("k"), F.concat(F.lit("ACME "), F.col("k").cast("string"), F.lit(" LTDA"))
+    same = F.concat(F.lit("DEMONSTRATIVO DE PAGAMENTO\nEmpresa: "), acme, F.lit("\nFuncionário: "), F.col("full_name"), F.lit("\nCPF "), F.col("p_cpf"), F.lit("\nAdmissão: "), F.col("p_nasc"), F.lit("\nTotal de Vencimentos "), F.col("h_total"), F.lit(" 12,00"))
+    below = F.concat(F.lit("RECIBO\nRAZAO SOCIAL\n"), acme, F.lit("\nNOME\n"), F.col("full_name"), F.lit("\nCPF\n"), F.col("p_cpf"), F.lit("\nDT ADMISSAO\n"), F.col("p_nasc"), F.lit("\nTOTAL PROVENTOS\n"), F.col("h_total"), F.lit("\n1,00"))
+    bare = F.concat(acme, F.lit("  "), F.lit("\n"), F.col("full_name"), F.lit("\n"), F.col("p_cpf"), F.lit("\n"), F.col("p_nasc"), F.lit("\n5,00 "), F.col("h_total"))
+    text = F.when(k % 3 == 0, same).when((k % 3 == 1) | (F.length(acme) < 12), below).otherwise(bare)
+    return extract.extract_payslip(f.select(k.alias("doc_id"), text.alias("text")))
 
 
 @query(f"WITH {FLAT} SELECT k AS doc_id, 'ABC1D23' AS placa, t_renavam AS renavam, p_compra AS valor, coalesce(t_comprador, '') AS comprador_nome, coalesce(t_comprador_doc, '') AS comprador_cpf_cnpj, t_vendedor AS vendedor_nome, t_vendedor_doc AS vendedor_cpf_cnpj FROM (SELECT * REPLACE (CASE WHEN t_renavam = renavam_ok THEN t_renavam END AS t_renavam) FROM flat) WHERE has_transfer")
