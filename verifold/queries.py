@@ -402,19 +402,20 @@ def g14_strategy_leaderboard(spark, sf_dir):
 def proposal_texts(spark, sf_dir) -> DataFrame:
     f = casegen.flat(spark, sf_dir).where("has_proposal")
     line = lambda label, c: F.when(F.col(c).isNotNull(), F.concat(F.lit(f"{label}: "), F.col(c)))
-    return f.select(F.col("k").alias("doc_id"), F.concat_ws("\n", F.concat(F.lit("Proposta: "), F.col("k").cast("string")), line("Nome do Financiado", "p_nome"), line("CPF", "p_cpf"), line("Data de Nascimento", "p_nasc"), F.lit("Naturalidade: CURITIBA/PR"), F.lit("Endereço: RUA DAS FLORES, 12 - APTO 3"), line("Salário", "p_salario"), line("Outras Rendas", "p_outras"), line("Valor da Compra", "p_compra")).alias("text"))
+    return f.select(F.col("k").alias("doc_id"), F.concat_ws("\n", F.concat(F.lit("Proposta: "), F.col("k").cast("string")), line("Nome do Financiado", "p_nome"), line("CPF", "p_cpf"), line("Data de Nascimento", "p_nasc"), F.when(F.col("k") % 2 == 0, F.lit("Naturalidade: CURITIBA/PR")).otherwise(F.lit("Cidade de Nascimento: LAGES - SC")), F.concat(F.lit("Endereço: RUA DAS FLORES, "), (F.col("k") % 1000).cast("string"), F.lit(" - APTO 3")), line("Salário", "p_salario"), line("Outras Rendas", "p_outras"), line("Valor da Compra", "p_compra")).alias("text"))
 
 
-@query(f"WITH {FLAT} SELECT k AS doc_id, cast(k AS varchar) AS proposta, p_nome AS nome_financiado, p_cpf AS cpf, p_nasc AS data_nascimento, 'PR' AS uf, '12' AS numero, p_salario AS salario, p_outras AS outras_rendas, p_compra AS vlr_compra FROM flat WHERE has_proposal")
+@query(f"WITH {FLAT} SELECT k AS doc_id, cast(k AS varchar) AS proposta, p_nome AS nome_financiado, p_cpf AS cpf, p_nasc AS data_nascimento, CASE WHEN k % 2 = 0 THEN 'PR' ELSE 'SC' END AS uf, (k % 1000)::varchar AS numero, p_salario AS salario, p_outras AS outras_rendas, p_compra AS vlr_compra FROM flat WHERE has_proposal")
 def x4_extract_proposal(spark, sf_dir):
     got = extract.extract_proposal(proposal_texts(spark, sf_dir))
     return got.select("doc_id", "proposta", "nome_financiado", "cpf", "data_nascimento", "uf", "numero", "salario", "outras_rendas", "vlr_compra")
 
 
-@query(f"WITH {FLAT} SELECT k AS doc_id, full_name AS nome, cpf, 'AB' AS categoria, p_nasc AS data_nascimento, '31/12/2031' AS validade, 'PR' AS uf_nascimento FROM flat WHERE has_licence_registry")
+@query(f"WITH {FLAT} SELECT k AS doc_id, full_name AS nome, cpf, ['A', 'B', 'AB', 'AC', 'D'][k % 5 + 1] AS categoria, p_nasc AS data_nascimento, '31/12/20' || (30 + k % 60) AS validade, CASE WHEN k % 2 = 0 THEN 'PR' ELSE 'SC' END AS uf_nascimento FROM flat WHERE has_licence_registry")
 def x6_extract_licence_registry(spark, sf_dir):
     f = casegen.flat(spark, sf_dir).where("has_licence_registry")
-    text = F.concat(F.lit("CARTEIRA NACIONAL DE HABILITACAO\nNOME\n"), F.col("full_name"), F.lit("\n"), F.col("p_nasc"), F.lit(", CURITIBA, PR\nCPF "), F.col("cpf"), F.lit("\nVALIDADE 31/12/2031\nCATEGORIA AB\nFILIACAO\nJOSE DA SILVA\nMARIA DE SOUZA\nPERMISSAO\n"))
+    text = F.concat(F.lit("CARTEIRA NACIONAL DE HABILITACAO\nNOME\n"), F.col("full_name"), F.lit("\n"), F.col("p_nasc"), F.when(F.col("k") % 2 == 0, F.lit(", CURITIBA, PR\nCPF ")).otherwise(F.lit(", LAGES, SC\nCPF ")), F.col("cpf"), F.lit("\nVALIDADE 31/12/20"), (30 + F.col("k") % 60).cast("string"),
+                    F.when(F.col("k") % 3 == 0, F.lit("\nCAT. ")).otherwise(F.lit("\nCATEGORIA ")), F.element_at(F.array(*map(F.lit, ("A", "B", "AB", "AC", "D"))), (F.col("k") % 5 + 1).cast("int")), F.lit("\nFILIACAO\nJOSE DA SILVA\nMARIA DE SOUZA\nPERMISSAO\n"))
     got = extract.extract_licence_registry(f.select(F.col("k").alias("doc_id"), text.alias("text")))
     return got.select("doc_id", "nome", "cpf", "categoria", "data_nascimento", "validade", "uf_nascimento")
 
@@ -538,10 +539,11 @@ def x5_extract_licence(spark, sf_dir):
     return got.select("doc_id", "nome", "cpf", "data_nascimento", "validade", "cidade_nascimento", F.array_join(F.array_sort("filiacao"), ",").alias("pais"), "low_signal")
 
 
-@query(f"WITH {FLAT} SELECT k AS doc_id, full_name AS titular, 'RUA DAS FLORES, 12' AS endereco, '80000-000' AS cep, 'CURITIBA' AS cidade, 'PR' AS uf, p_nasc AS vencimento FROM flat")
+@query(f"WITH {FLAT} SELECT k AS doc_id, full_name AS titular, 'RUA DAS FLORES, ' || k AS endereco, lpad((80000 + k % 1000)::varchar, 5, '0') || '-000' AS cep, CASE WHEN k % 2 = 0 THEN 'CURITIBA' ELSE 'LAGES' END AS cidade, CASE WHEN k % 2 = 0 THEN 'PR' ELSE 'SC' END AS uf, CASE WHEN k % 3 = 2 THEN '01/01/2031' ELSE p_nasc END AS vencimento FROM flat")
 def x10_extract_residence(spark, sf_dir):
     f = casegen.flat(spark, sf_dir)
-    text = F.concat(F.lit("CLIENTE: "), F.col("full_name"), F.lit("\nENDEREÇO: RUA DAS FLORES, 12 - UNIDADE CONSUMIDORA 99\nCEP 80000-000\nCIDADE: CURITIBA - PR\nEMISSÃO 01/01/2030\nVENCIMENTO: "), F.col("p_nasc"))
+    text = F.concat(F.lit("CLIENTE: "), F.col("full_name"), F.lit("\nENDEREÇO: RUA DAS FLORES, "), F.col("k").cast("string"), F.lit(" - UNIDADE CONSUMIDORA 99\nCEP "), (80000 + F.col("k") % 1000).cast("string"), F.when(F.col("k") % 2 == 0, F.lit("-000\nCIDADE: CURITIBA - PR")).otherwise(F.lit("-000\nCIDADE: LAGES/SC")),
+                    F.lit("\nEMISSÃO 01/01/2040\n"), F.when(F.col("k") % 3 == 0, F.concat(F.lit("VENCIMENTO: "), F.col("p_nasc"))).when(F.col("k") % 3 == 1, F.concat(F.lit("PAGAR ATÉ "), F.col("p_nasc"))).otherwise(F.concat(F.lit("leitura "), F.col("p_nasc"), F.lit(" proxima 01/01/2031"))))
     return extract.extract_residence(f.select(F.col("k").alias("doc_id"), text.alias("text")))
 
 
