@@ -147,6 +147,32 @@ def test_statuses(spark):
     assert [tuple(r) for r in C.duplicate_check_ids(dup).collect()] == [("a", "x", 2)]
     with pytest.raises(Exception, match="duplicate_check_id"):
         C.duplicate_check_ids(dup, strict=True).collect()
+    for bad in (None, "odd"):
+        one = spark.createDataFrame([("a", "OK"), ("a", bad)], "case_id string, status string")
+        with pytest.raises(Exception, match=f"unknown status {'null' if bad is None else bad}"):
+            C.overall_status(cases, one, strict=True).collect()
+    nulls = spark.createDataFrame([("a", None), ("a", None)], "case_id string, check_id string")
+    with pytest.raises(Exception, match="duplicate_check_id: null"):
+        C.duplicate_check_ids(nulls, strict=True).collect()
+
+
+def test_watched_statuses(spark):
+    """One action gives the result and names every offending value, however many rows have it."""
+    rows = [("a", "OK"), ("d", None), ("d", None), ("e", "odd"), ("e", "fail"), ("f", "odd")]
+    checks = spark.createDataFrame(rows, "case_id string, status string")
+    cases = checks.select("case_id").distinct()
+    watched, seen = C.watched_statuses(checks)
+    assert {r.case_id: r.overall_status for r in C.overall_status(cases, watched).collect()} == {"a": "OK", "d": "MISSING", "e": "MISSING", "f": "MISSING"}
+    with pytest.raises(ValueError, match="unknown status: 5 rows: fail, null, odd"):
+        C.raise_offences("unknown status", seen)
+    watched, seen = C.watched_statuses(checks.where("status = 'OK'"))
+    watched.collect()
+    C.raise_offences("unknown status", seen)
+    ids = spark.createDataFrame([("a", "x"), ("a", "x"), ("b", "x"), ("b", None), ("b", None), ("c", "y")], "case_id string, check_id string")
+    found, seen = C.watched_check_ids(ids)
+    assert found.count() == 2
+    with pytest.raises(ValueError, match="duplicate: 2 rows: null, x"):
+        C.raise_offences("duplicate", seen)
 
 
 def test_sinks_and_stream(spark, tmp_path):

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from verifold.functions import dates
@@ -103,7 +103,7 @@ def overall_status(cases: DataFrame, checks: DataFrame, strict: bool = False) ->
     """Worst status of each case; no check gives MISSING. An unknown status is an error if strict, else it is left out."""
     rank = rank_of(F.col("status"))
     if strict:
-        rank = F.coalesce(rank, F.raise_error(F.concat(F.lit("unknown status "), F.col("status"))).cast("int"))
+        rank = F.coalesce(rank, F.raise_error(F.concat(F.lit("unknown status "), F.coalesce("status", F.lit("null")))).cast("int"))
     worst = checks.groupBy("case_id").agg(F.max(rank).alias("rank"))
     return cases.select("case_id").join(worst, "case_id", "left").select("case_id", status_of(F.coalesce("rank", F.lit(RANK["MISSING"]))).alias("overall_status"))
 
@@ -115,6 +115,29 @@ def overall_status_lenient(cases: DataFrame, checks: DataFrame) -> DataFrame:
     return cases.select("case_id").join(worst, "case_id", "left").select("case_id", status_of(F.coalesce("rank", F.lit(RANK["MISSING"]))).alias("overall_status"))
 
 
+def _offences(df: DataFrame, bad: Column, value: Column) -> tuple[DataFrame, Observation]:
+    seen = Observation()
+    named = F.when(bad, F.coalesce(value.cast("string"), F.lit("null")))
+    return df.observe(seen, F.count_if(bad).alias("n"), F.array_sort(F.collect_set(named)).alias("found")), seen
+
+
+def watched_statuses(checks: DataFrame) -> tuple[DataFrame, Observation]:
+    """The same checks, and what an action on them notes in passing: how many statuses are unknown, and which (null is named 'null')."""
+    return _offences(checks, rank_of(F.col("status")).isNull(), F.col("status"))
+
+
+def watched_check_ids(checks: DataFrame) -> tuple[DataFrame, Observation]:
+    """duplicate_check_ids, and what an action on them notes: how many there are, and which ids."""
+    return _offences(duplicate_check_ids(checks), F.lit(True), F.col("check_id"))
+
+
+def raise_offences(what: str, seen: Observation) -> None:
+    """After the action: an error that names all offending values and their number, if there are any."""
+    got = seen.get
+    if got["n"]:
+        raise ValueError(f"{what}: {got['n']} rows: {', '.join(got['found'])}")
+
+
 def status_counts(checks: DataFrame) -> DataFrame:
     """Number of checks of each status by case, upper and lower case alike; unknown ones are n_other."""
     s = F.upper(F.trim(F.coalesce("status", F.lit(""))))
@@ -151,7 +174,7 @@ def checks_usage_summary(checks: DataFrame) -> DataFrame:
 def duplicate_check_ids(checks: DataFrame, strict: bool = False) -> DataFrame:
     """Check ids that occur twice or more in a case; an error if strict."""
     found = checks.groupBy("case_id", "check_id").agg(F.count("*").alias("n")).where("n > 1")
-    return found.withColumn("n", F.raise_error(F.concat(F.lit("duplicate_check_id: "), F.col("check_id"))).cast("long")) if strict else found
+    return found.withColumn("n", F.raise_error(F.concat(F.lit("duplicate_check_id: "), F.coalesce("check_id", F.lit("null")))).cast("long")) if strict else found
 
 
 def ordered_listing(store: DataFrame) -> DataFrame:
