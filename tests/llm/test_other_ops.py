@@ -303,7 +303,7 @@ def test_decontamination_documents(spark, sf_dir):
 
 # token files
 
-TOKEN_ROWS = [(5, "Hello world, this is a test."), (3, None), (3, ""), (1, "  double  spaces \n \n and\ttabs \x85 \u2003x "), (2, "a\n b \nc\n\nd e"), (None, "no id"), (7, "it's <|endoftext|> here"),
+TOKEN_ROWS = [(5, "Hello world, this is a test."), (3, None), (3, ""), (1, "  double  spaces \n \n and\ttabs \x85 \u2003x "), (2, "a\n b \nc\n\nd e"), (None, "no id"), (7, "it's <|endoftext|> here"), (14, "<|endoftext|>"), (14, "in<|endoftext|>side a word <|endoftext|>. <|endoftext|"), (15, "<|endoftext|> at both ends <|endoftext|>"), (15, "x <|endoftext|>\n\n y"),
               (8, "x" * 500 + " " + "é" * 100), (9, "long text " * 3000), (9, "long text " * 3000), (10, " lead"), (11, "trail "), (12, "a\n  b   c"), (13, "\U0001F600\U0001F1E9 e\u0301 1234 don't WE'LL")]
 
 
@@ -311,7 +311,6 @@ def expected_tokens(rows):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(TOKENIZER)
-    t.encode_special_tokens = True
     return [(i, [*t.encode(x or "", add_special_tokens=False).ids, 0]) for i, x in rows]
 
 

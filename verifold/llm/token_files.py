@@ -36,12 +36,12 @@ CHUNK_SCHEMA = "shard int, chunk int, shard_start long, n_ids long, doc_ids arra
 
 
 class Encoder:
-    """Ids of whole texts by the tokenizers library, special strings read as ordinary text.
+    """Ids of whole texts by the tokenizers library as it reads the file: a special string gives its id.
 
     A byte-level tokenizer with the usual pattern starts a new piece at a space that a character
     other than white space follows. So texts are cut there, each distinct piece is encoded once, and
-    its ids are kept for the next texts. Texts where more white space follows a space, and
-    tokenizers of another kind, are encoded whole.
+    its ids are kept for the next texts. Texts where more white space follows a space, texts that
+    hold a special string, and tokenizers of another kind, are encoded whole.
     """
 
     def __init__(self, path: str):
@@ -49,7 +49,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
+        self.special = sorted({t.content for t in self.tok.get_added_tokens_decoder().values()})
         kind = re.sub(r"\s", "", str(self.tok.pre_tokenizer))
         self.by_piece = self.tok.normalizer is None and kind.startswith("ByteLevel(") and "add_prefix_space=False" in kind and "use_regex=True" in kind
         self.known: dict[str, bytes] = {}
@@ -117,6 +117,8 @@ class Encoder:
         owner = np.repeat(np.arange(n), np.diff(starts))
         whole = np.zeros(n, dtype=bool)
         whole[owner[rest & odd[at]]] = True
+        for mark in self.special:
+            whole |= pc.match_substring(texts, mark).to_numpy(zero_copy_only=False)
         rest &= ~whole[owner]
         used = np.zeros(len(pieces), dtype=bool)
         used[at[rest]] = True
