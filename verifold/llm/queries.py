@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verifold.llm import decontamination, katz, licenses, mixing, quality, secrets, simhash, substring_dedup, token_files, urls
+from verifold.llm import decontamination, katz, licenses, mixing, packing, quality, secrets, simhash, substring_dedup, token_files, urls
 from verifold.llm.storage import shared_folder, write_settings
 
 
@@ -73,6 +73,10 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "source", "mix_block", "mix_slot", "mix_offset")
 
 
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def queries() -> dict:
     return {
         "op1_secret_scans": op1_secret_scans,
@@ -85,6 +89,7 @@ def queries() -> dict:
         "op8_url_filters": op8_url_filters,
         "op9_substring_dedup": op9_substring_dedup,
         "op10_source_mixing": op10_source_mixing,
+        "op13_packing": op13_packing,
     }
 
 
