@@ -128,9 +128,9 @@ def test_assign(seed):
 
 
 def test_balance():
-    """Costs of full sequences lie near each other: far nearer than when documents fill them in order."""
+    """Costs of full sequences lie near each other: far nearer than when descending documents fill one after the other."""
     rnd = random.Random(1)
-    lengths = [min(1000, int(rnd.lognormvariate(5, 1)) + 1) for _ in range(3000)]
+    lengths = sorted((min(300, int(rnd.lognormvariate(4, 1)) + 1) for _ in range(3000)), reverse=True)
     pieces = [packing.Piece(i, 0, np.zeros(n, dtype="<u4"), n) for i, n in enumerate(lengths)]
     squares = {}
     for s, _, p in packing.assign(pieces, 1024):
@@ -144,7 +144,7 @@ def test_balance():
             if not room:
                 room, s = 1024, s + 1
     spread = lambda x: np.std(list(x.values())) / np.mean(list(x.values()))
-    assert spread(squares) < spread(plain_order)
+    assert spread(squares) < 0.3 * spread(plain_order)
 
 
 def test_pack_empty(spark):
