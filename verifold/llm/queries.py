@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verifold.llm import decontamination, hard_negatives, katz, licenses, mixing, packing, quality, secrets, simhash, substring_dedup, token_files, urls
+from verifold.llm import decontamination, hard_negatives, katz, lexical_search, licenses, mixing, packing, quality, secrets, simhash, substring_dedup, token_files, urls
 from verifold.llm.storage import shared_folder, write_settings
 
 
@@ -73,6 +73,10 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "source", "mix_block", "mix_slot", "mix_offset")
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
 def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = _read(spark, sf_dir, "embeddings")
     shifted = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
@@ -95,10 +99,11 @@ def queries() -> dict:
         "op8_url_filters": op8_url_filters,
         "op9_substring_dedup": op9_substring_dedup,
         "op10_source_mixing": op10_source_mixing,
+        "op11_lexical_search": op11_lexical_search,
         "op12_hard_negatives": op12_hard_negatives,
         "op13_packing": op13_packing,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_url_filters": urls.oracle_sql(), "op9_substring_dedup": REPEATS_SQL, "op12_hard_negatives": hard_negatives.ORACLE_SQL}
+    return {"op8_url_filters": urls.oracle_sql(), "op9_substring_dedup": REPEATS_SQL, "op11_lexical_search": lexical_search.ORACLE_SQL, "op12_hard_negatives": hard_negatives.ORACLE_SQL}
