@@ -4,8 +4,9 @@ Only terms of the items matter, so documents are reduced to these terms first. T
 gathered into shards of some thousand documents. In a shard the posting list of each term
 is clustered by the likeness of its documents (each goes to the pivot of the list whose projected
 impacts fit best), and a cluster's documents form blocks. A block keeps the greatest impact of each
-term among its documents. The weighted sum of these is a bound that no document of the block
-exceeds: a block is left out only if its bound is strictly below the last score that an item keeps.
+term among its documents, in 255 steps of the term's greatest impact in the shard and rounded up. The
+weighted sum of these is a bound that no document of the block exceeds: a block is left out only if
+its bound is strictly below the last score that an item keeps.
 
 Each shard also keeps the scores of its most promising block for each item. The last of the best
 of these over all shards is a score that enough documents reach, so every task starts with it.
@@ -32,7 +33,7 @@ from verifold.llm.storage import Table, free, save
 from verifold.llm.words import split_words, tidy
 
 #: Documents of a shard: so many that a table of documents and terms has CELLS cells, between the two bounds.
-CELLS, LEAST_DOCS, MOST_DOCS = 8 << 20, 64, 4096
+CELLS, LEAST_DOCS, MOST_DOCS = 4 << 20, 64, 4096
 #: Documents of a block, and the longest list that has no summaries: its documents are scored at once.
 BLOCK_DOCS, SHORT_LIST = 64, 16
 #: Dimensions of the projection that tells similar documents.
@@ -42,7 +43,7 @@ PASS_ITEMS, PASS_BYTES = 1024, 1 << 20
 #: What term bytes become: A-Z lower case, all that is no letter or digit of ASCII a space, others stay.
 TABLE = bytes(b if b >= 128 else ord(chr(b).lower()) if chr(b).isalnum() else 32 for b in range(256))
 FORWARD_SCHEMA = "doc_id long, n long, terms array<int>, tfs array<int>"
-INDEX_SCHEMA = "shard long, n_docs int, columns binary, doc_ids binary, doc_ends binary, doc_terms binary, impacts binary, lists binary, list_ends binary, postings binary, block_ends binary, present binary, maxima binary, seed_items array<int>, seed_scores array<long>"
+INDEX_SCHEMA = "shard long, n_docs int, columns binary, doc_ids binary, doc_ends binary, doc_terms binary, impacts binary, lists binary, list_ends binary, postings binary, block_ends binary, steps binary, summary binary, seed_items array<int>, seed_scores array<long>"
 RESULT_SCHEMA = "item_id long, rank int, doc_id long, score long"
 #: Stands for a null doc_id: before all others.
 NO_ID = np.iinfo(np.int64).min
@@ -50,10 +51,11 @@ NO_ID = np.iinfo(np.int64).min
 
 def terms_of(texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
     """Terms of all texts one after the other, and where each text's terms start."""
-    texts = pc.fill_null(texts, "")
-    validity, offsets, data = texts.buffers()
-    clean = pa.py_buffer((data.to_pybytes() if data else b"").translate(TABLE))
-    return split_words(pa.Array.from_buffers(texts.type, len(texts), [None, offsets, clean], offset=texts.offset))
+    texts = pc.fill_null(texts.cast(pa.large_string()), "")
+    _, offsets, data = texts.buffers()
+    ends = np.frombuffer(offsets, dtype=np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    clean = data[int(ends[0]) : int(ends[-1])].to_pybytes().translate(TABLE) if data and len(texts) else b""
+    return split_words(pa.Array.from_buffers(texts.type, len(texts), [None, pa.py_buffer(ends - ends[:1]), pa.py_buffer(clean)]))
 
 
 class Items(NamedTuple):
@@ -121,7 +123,8 @@ class Shard(NamedTuple):
     columns: terms of the shard, ascending; dense: impacts of documents by column; lists: columns that
     have a posting list, in blocks or (short) without; list_ends: blocks before the end of each list,
     postings: documents in the order of blocks; block_ends: postings before the end of each block;
-    summary: greatest impacts of each block by column, rows of blocks of short lists are empty.
+    summary: greatest impacts of each block by column, in steps of ``steps`` and rounded up; a row for
+    each block of a list that is not short.
     """
 
     columns: np.ndarray
@@ -131,6 +134,7 @@ class Shard(NamedTuple):
     postings: np.ndarray
     block_ends: np.ndarray
     short: np.ndarray
+    steps: np.ndarray
     summary: np.ndarray
 
 
@@ -151,6 +155,7 @@ def build_shard(doc_ids: np.ndarray, owner: np.ndarray, terms: np.ndarray, impac
     columns, local = np.unique(terms, return_inverse=True)
     dense = np.zeros((len(doc_ids), len(columns)), dtype=np.int32)
     dense[owner, local] = impacts
+    steps = -(-dense.max(axis=0, initial=0) // 255)
     near = dense.astype(np.float32) @ projection[columns]
     near /= np.linalg.norm(near, axis=1, keepdims=True) + 1e-30
     by_term = np.argsort(local, kind="stable")
@@ -163,24 +168,24 @@ def build_shard(doc_ids: np.ndarray, owner: np.ndarray, terms: np.ndarray, impac
         else:
             order, ends = cluster(near[docs])
             docs = docs[order]
-            summary.append(np.maximum.reduceat(dense[docs], ends - np.diff(ends, prepend=0), axis=0))
+            greatest = np.maximum.reduceat(dense[docs], ends - np.diff(ends, prepend=0), axis=0)
+            summary.append((-(-greatest // steps)).astype(np.uint8))
         short += [len(docs) <= SHORT_LIST] * len(ends)
         postings.append(docs)
         block_ends.append(before + ends)
         before += len(docs)
         list_ends.append(len(ends))
     joined = lambda x: np.concatenate([np.zeros(0, np.int64), *x])
-    return Shard(columns, doc_ids, dense, np.cumsum(list_ends, dtype=np.int64), joined(postings), joined(block_ends), np.array(short, dtype=bool), np.concatenate([np.zeros((0, len(columns)), np.int32), *summary]))
+    return Shard(columns, doc_ids, dense, np.cumsum(list_ends, dtype=np.int64), joined(postings), joined(block_ends), np.array(short, dtype=bool), steps, np.concatenate([np.zeros((0, len(columns)), np.uint8), *summary]))
 
 
 def stored(s: Shard) -> dict[str, bytes]:
     doc, at = np.nonzero(s.dense)
-    present = s.summary > 0
     small = lambda x: packed(x.astype(np.uint32))
     return {
         "columns": small(s.columns), "doc_ids": packed(s.doc_ids), "doc_ends": small(np.searchsorted(doc, np.arange(len(s.doc_ids)), "right")), "doc_terms": small(at), "impacts": small(s.dense[doc, at]),
         "lists": packed(s.short.astype(np.uint8)), "list_ends": small(s.list_ends), "postings": small(s.postings), "block_ends": small(s.block_ends),
-        "present": packed(np.packbits(present)), "maxima": small(s.summary[present]),
+        "steps": small(s.steps), "summary": packed(s.summary.ravel()),
     }
 
 
@@ -190,9 +195,8 @@ def opened(row: dict[str, bytes]) -> Shard:
     columns, doc_ids, short = wide("columns"), get("doc_ids", np.int64), get("lists", np.uint8).astype(bool)
     dense = np.zeros((len(doc_ids), len(columns)), dtype=np.int32)
     dense[np.repeat(np.arange(len(doc_ids)), np.diff(wide("doc_ends"), prepend=0)), wide("doc_terms")] = get("impacts")
-    summary = np.zeros((int((~short).sum()), len(columns)), dtype=np.int32)
-    summary[np.unpackbits(get("present", np.uint8), count=summary.size).astype(bool).reshape(summary.shape)] = get("maxima")
-    return Shard(columns, doc_ids, dense, wide("list_ends"), wide("postings"), wide("block_ends"), short, summary)
+    summary = get("summary", np.uint8).reshape(int((~short).sum()), len(columns))
+    return Shard(columns, doc_ids, dense, wide("list_ends"), wide("postings"), wide("block_ends"), short, wide("steps"), summary)
 
 
 class Best:
@@ -235,7 +239,7 @@ def lists_of(s: Shard, terms: np.ndarray, weights: np.ndarray, numbers: np.ndarr
     firsts = np.where(at > 0, s.list_ends[at - 1], 0)
     blocks = np.concatenate([np.zeros(0, np.int64), *(np.arange(a, b) for a, b in zip(firsts.tolist(), s.list_ends[at].tolist(), strict=True))])
     long_ = blocks[~s.short[blocks]]
-    bounds = s.summary[np.ix_(numbers[long_], at)].astype(np.int64) @ w
+    bounds = s.summary[np.ix_(numbers[long_], at)].astype(np.int64) @ (w * s.steps[at])
     order = np.argsort(-bounds, kind="stable")
     return Lists(at, w, long_[order], bounds[order], docs_of(s, blocks[s.short[blocks]]))
 
@@ -319,10 +323,11 @@ def build_index(forward: DataFrame, items: Items, n_docs: int, n_terms: int, k:
             yield shard()
 
     some = forward.where(F.size("terms") > 0)  # others can't be found
-    return save(some.mapInArrow(run, INDEX_SCHEMA), "lexical_index")
+    # Rows are large, so groups of few rows keep both ends of the table small in memory.
+    return save(some.mapInArrow(run, INDEX_SCHEMA), "lexical_index", row_group_bytes=16 << 20)
 
 
-_INDEX_ARROW = pa.schema([("shard", pa.int64()), ("n_docs", pa.int32()), *((c, pa.binary()) for c in ("columns", "doc_ids", "doc_ends", "doc_terms", "impacts", "lists", "list_ends", "postings", "block_ends", "present", "maxima")), ("seed_items", pa.list_(pa.int32())), ("seed_scores", pa.list_(pa.int64()))])
+_INDEX_ARROW = pa.schema([("shard", pa.int64()), ("n_docs", pa.int32()), *((c, pa.binary()) for c in ("columns", "doc_ids", "doc_ends", "doc_terms", "impacts", "lists", "list_ends", "postings", "block_ends", "steps", "summary")), ("seed_items", pa.list_(pa.int32())), ("seed_scores", pa.list_(pa.int64()))])
 
 
 def floors(index: DataFrame, n: int, k: int) -> np.ndarray:

@@ -52,13 +52,13 @@ def write_settings(spark: SparkSession):
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
-def save(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> Table:
+def save(df: DataFrame, name: str, partition_by: tuple[str, ...] = (), row_group_bytes: int = 128 << 20) -> Table:
     """Write ``df`` once to the shared folder and read it back."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/verifold/{uuid.uuid4().hex}/{name}"
     with write_settings(spark):
         # Version 2 pages store sorted keys by their differences.
-        df.write.option("compression", "zstd").option("parquet.writer.version", "v2").partitionBy(*partition_by).parquet(path)
+        df.write.option("compression", "zstd").option("parquet.writer.version", "v2").option("parquet.block.size", row_group_bytes).partitionBy(*partition_by).parquet(path)
     return Table(spark.read.schema(df.schema).parquet(path), path)
 
 
