@@ -12,7 +12,6 @@ from verifold.operators import lines as L
 from verifold.operators import tables as N
 from verifold.plans import extract, report, rules
 from verifold.sources import store as S
-from verifold.streaming.intake import stream_intake
 
 
 @pytest.fixture(scope="module")
@@ -175,29 +174,6 @@ def test_watched_statuses(spark):
         C.raise_offences("duplicate", seen)
 
 
-def test_sinks_and_stream(spark, tmp_path):
-    schema = "case_id string, doc_type string, file_name string, raw string"
-    def arrive(n, rows):
-        (tmp_path / "in").mkdir(exist_ok=True)
-        (tmp_path / "in" / f"{n}.json").write_text("\n".join(json.dumps(dict(zip(("case_id", "doc_type", "file_name", "raw"), r))) for r in rows))
-
-    def evaluate(store):
-        s = S.classify_read(store.withColumn("path", F.concat_ws("/", "case_id", "file_name")))
-        return report.master_report(s, F.lit("t")).select("case_id", "overall_status", F.size("checks").alias("n"))
-
-    def run():
-        stream_intake(spark, str(tmp_path / "in"), schema, str(tmp_path / "store"), str(tmp_path / "reports"), evaluate, str(tmp_path / "ck"), 4).awaitTermination()
-
-    doc = lambda case, kind, data, name="a.json": (case, kind, name, json.dumps({"data": data}))
-    arrive(1, [doc(f"c{i}", "proposta_daycoval", {"nome_financiado": "A B", "data_nascimento": "1"}) for i in range(8)])
-    run()
-    arrive(2, [doc("c3", "cnh", {"nome": "A B", "data_nascimento": "1"}), doc("c9", "atpv", {})])
-    run()
-    got = {r.case_id: (r.overall_status, r.n) for r in spark.read.json(str(tmp_path / "reports")).collect()}
-    want = {r.case_id: (r.overall_status, r.n) for r in evaluate(spark.read.parquet(str(tmp_path / "store"))).collect()}
-    assert got == want and len(got) == 9
-
-
 def test_tables_and_text_choice(spark):
     df = spark.createDataFrame([(1, "Ana", "11144477735", {"cpf": "11144477735", "salario": "10", "outras_rendas": "5", "x": "y"})], "doc_id int, name string, cpf string, fields map<string,string>").withColumn("doc_type", F.lit("proposal"))
     assert N.project_whitelist(df).first().shown == {"cpf": "***.7735", "salario": "10", "outras_rendas": "5", "renda_total": "15.0"}

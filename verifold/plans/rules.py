@@ -35,10 +35,12 @@ def public_type(c: Column) -> Column:
 def wide_cases(store: DataFrame) -> DataFrame:
     """One row a case with the latest data of every type, the types present, and path and number of documents of each type.
 
-    vehicle and registry are the first present of their types. Needs case_id, doc_type, file_name, path and data.
+    vehicle and registry are the first present of their types. Needs case_id, doc_type, file_name, path and data;
+    a row with n_docs stands for so many documents.
     """
+    number = F.sum("n_docs") if "n_docs" in store.columns else F.count("*")
     latest = store.withColumn("doc_type", public_type(F.col("doc_type"))).groupBy("case_id", "doc_type").agg(
-        F.max_by(F.struct("path", "data"), "file_name").alias("x"), F.count("*").alias("n"))
+        F.max_by(F.struct("path", "data"), "file_name").alias("x"), number.alias("n"))
     listed = lambda c: F.map_from_entries(F.array_sort(F.collect_list(F.struct("doc_type", c))))
     # Documents of one case and type are reduced before anything moves; what meets by case is a row a type.
     wide = latest.groupBy("case_id").agg(*(F.first(F.when(F.col("doc_type") == t, F.col("x.data")), ignorenulls=True).alias(t) for t in TYPES),

@@ -15,6 +15,7 @@ from verifold.operators import lines as L
 from verifold.operators import tables as N
 from verifold.plans import extract, report, rules, statements
 from verifold.sources.store import append_documents, classify_read, document_envelope, file_inventory, load_report_inputs, parse_outcome, scan_document_store, scan_texts, shared_folder, write_reports
+from verifold.sources.generations import compact, current, publish, vacuum
 from verifold.streaming.intake import stream_intake
 
 QUERIES: dict = {}
@@ -192,7 +193,10 @@ ALL = rules_sql("")
 
 @query(f"WITH {ALL}, n AS (SELECT case_id, {NAMED.format(STRICT)}, count(*) FILTER (WHERE status = 'OK') AS n_ok, count(*) FILTER (WHERE status = 'WARN') AS n_warn, count(*) FILTER (WHERE status = 'MISSING') AS n_missing, count(*) FILTER (WHERE status = 'FAIL') AS n_fail FROM checks GROUP BY case_id) SELECT n.*, CASE WHEN has_proposal AND has_licence THEN 'PASS' ELSE 'FAIL' END AS gate FROM n JOIN flat USING (case_id) WHERE has_proposal OR has_licence OR has_licence_registry OR has_payslip OR has_bank_statement OR has_transfer OR has_vehicle OR has_registry")
 def v13_master_report(spark, sf_dir):
-    r = report.master_report(store(spark, sf_dir), F.lit(TODAY))
+    return _shown(report.master_report(store(spark, sf_dir), F.lit(TODAY)))
+
+
+def _shown(r: DataFrame) -> DataFrame:
     return r.select("case_id", "overall_status", F.expr("cast(summary.n_ok as bigint)").alias("n_ok"), F.expr("cast(summary.n_warn as bigint)").alias("n_warn"), F.expr("cast(summary.n_missing as bigint)").alias("n_missing"), F.expr("cast(summary.n_fail as bigint)").alias("n_fail"), F.col("meta.gate1").alias("gate"))
 
 
@@ -845,16 +849,32 @@ def a7_load_report_inputs(spark, sf_dir):
     return got.select("case_id", "doc_type", F.coalesce(F.try_variant_get("data", "$.nome_financiado", "string"), F.try_variant_get("data", "$.nome", "string")).alias("nome"))
 
 
-@query(f"WITH m AS ({SQL['v13_master_report']}) SELECT case_id, overall_status FROM m")
+INCOMING = "case_id string, doc_type string, file_name string, path string, raw string"
+
+
+@query(SQL["v13_master_report"])
 def t1_stream_intake(spark, sf_dir):
-    """Documents arrive in files, some twice; the streamed reports are those of a batch."""
+    """Documents arrive in files, some twice, over several batches; the current reports are those of a batch run."""
     base = _folder(spark)
     docs = casegen.store(casegen.flat(spark, sf_dir))
-    docs.repartition(3, "case_id").write.json(f"{base}/in")
+    docs.repartition(3, "case_id", "doc_type").write.json(f"{base}/in")
     docs.where("substring(case_id, 2, 9) % 4 = 0").repartition(1).write.mode("append").json(f"{base}/in")
-    evaluate = lambda rows: report.master_report(classify_read(rows), F.lit(TODAY)).select("case_id", "overall_status")
-    stream_intake(spark, f"{base}/in", "case_id string, doc_type string, file_name string, path string, raw string", f"{base}/store", f"{base}/reports", evaluate, f"{base}/checkpoint", 16).awaitTermination()
-    return spark.read.schema("case_id string, overall_status string, bucket int").json(f"{base}/reports").drop("bucket")
+    evaluate = lambda rows: _shown(report.master_report(classify_read(rows), F.lit(TODAY)))
+    stream_intake(spark, f"{base}/in", INCOMING, f"{base}/store", f"{base}/reports", evaluate, f"{base}/checkpoint", 16, files_per_batch=2).awaitTermination()
+    return current(spark, f"{base}/reports").drop("generation")
+
+
+@query(SQL["v13_master_report"])
+def a6_report_generations(spark, sf_dir):
+    """Reports of all cases as a first generation, a third of them wrong; those cases again, folded into a base, and the old ones deleted."""
+    path, reports = f"{_folder(spark)}/reports", v13_master_report(spark, sf_dir)
+    third = F.substring("case_id", 2, 9).cast("long") % 3 == 0
+    publish(reports.withColumn("overall_status", F.when(third, F.lit("OK")).otherwise(F.col("overall_status"))), path, "first")
+    publish(reports.where(third), path, "second")
+    publish(reports.where("false"), path, "second")  # a batch that is run again
+    compact(spark, path, 8)
+    vacuum(spark, path)
+    return current(spark, path).drop("generation")
 
 
 def queries() -> dict:
