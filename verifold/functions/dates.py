@@ -82,6 +82,36 @@ def year_pair(c: Column | str) -> tuple[Column, Column]:
     return a, F.coalesce(b, a)
 
 
+def window_around(c: Column, rx: str, before: int, after: int) -> Column:
+    """The first match of a pattern with so many characters before and after it; null where there is none."""
+    at, n = F.regexp_instr(c, F.lit(rx)), F.length(F.regexp_extract(c, rx, 0))
+    start = F.greatest(at - before, F.lit(1))
+    return F.when(at > 0, F.substr(c, start, at + n + after - start))
+
+
+_YEAR = r"((?:19|20)\d{2})"
+#: The words of a label for the years of make and model.
+_MADE, _MODEL = r"(?:FAB|FABRICACAO|FABRICA[CÇ]AO)", r"(?:MOD|MODELO)"
+
+
+def anchored_year_pair(c: Column | str) -> tuple[Column, Column]:
+    """Years of make and model in upper-case text without accents: the first of four readings that is there.
+
+    1. A label of both and two years right behind it. 2. The words of a label on one line, not far
+    from each other: the first two distinct years from 40 characters before to 80 after them, one for both; if
+    there is none, the years stay unknown. 3. Make and model without 'ANO', two years behind. 4. The first two
+    distinct years of the whole text.
+    """
+    t = text(c)
+    pair = lambda rx: tuple(F.nullif(F.regexp_extract(t, rx, i), F.lit("")).try_cast("int") for i in (1, 2))
+    full = pair(rf"ANO\s*(?:FAB(?:RICACAO)?|FABRICA[CÇ]AO)?\s*/?\s*MODELO\s*[:\-]?\s*{_YEAR}\s*[/\-\s]\s*{_YEAR}")
+    window = window_around(t, rf"\bANO\b.{{0,80}}\b{_MADE}\b.{{0,120}}\b{_MODEL}\b", 40, 80)
+    short = pair(rf"\b(?:ANO\s*)?{_MADE}\s*(?:/|\s)?\s*{_MODEL}\s*[:\-]?\s*{_YEAR}\s*(?:/|-|\s)\s*{_YEAR}\b")
+    near, anywhere = year_pair(window), year_pair(t)
+    pick = lambda i: F.when(full[0].isNotNull(), full[i]).when(window.isNotNull(), near[i]).when(short[0].isNotNull(), short[i]).otherwise(anywhere[i])
+    return pick(0), pick(1)
+
+
 def expiry_sanity(expiry: Column, birth: Column, today: Column) -> Column:
     """Names of what is odd: expiry within 30 days, expiry beyond 25 years of 365 days, birth in the future."""
     found = F.array(

@@ -87,10 +87,24 @@ def _as_plate(window: Column, pattern: str) -> Column:
     return F.concat(*(F.translate(F.substring(window, i, 1), *(TO_LETTER if k == "L" else TO_DIGIT)) for i, k in enumerate(pattern, 1)))
 
 
+def _windows(t: Column) -> Column:
+    """All runs of seven characters."""
+    return F.when(F.length(t) >= 7, F.transform(F.sequence(F.lit(1), F.greatest(F.length(t) - 6, F.lit(1))), lambda i: F.substr(t, i, F.lit(7)))).otherwise(F.array().cast("array<string>"))
+
+
+def first_plate_window(c: Column | str) -> Column:
+    """The first 7-character window that is a plate after swaps, in either layout."""
+    def plate(w: Column) -> Column:
+        older, newer = _as_plate(w, "LLLDDDD"), _as_plate(w, "LLLDLDD")
+        return F.when(older.rlike("^[A-Z]{3}[0-9]{4}$"), older).when(newer.rlike("^[A-Z]{3}[0-9][A-Z][0-9]{2}$"), newer)
+
+    return F.get(F.filter(F.transform(_windows(compact_alnum(c)), plate), lambda p: p.isNotNull()), F.lit(0))
+
+
 def fix_plate_ocr(c: Column | str) -> Column:
     """The first 7-character window that is a plate after swaps; the older layout is tried first."""
     t = compact_alnum(c)
-    windows = F.when(F.length(t) >= 7, F.transform(F.sequence(F.lit(1), F.greatest(F.length(t) - 6, F.lit(1))), lambda i: F.substr(t, i, F.lit(7)))).otherwise(F.array().cast("array<string>"))
+    windows = _windows(t)
 
     def first(pattern: str, rx: str) -> Column:
         return F.get(F.filter(F.transform(windows, lambda w: _as_plate(w, pattern)), lambda p: p.rlike(rx)), F.lit(0))

@@ -206,7 +206,7 @@ def normalize_text(c: Column | str) -> Column:
 
 def normalize_vehicle_text(c: Column | str) -> Column:
     t = F.upper(strip_accents(text(c)))
-    return F.trim(F.regexp_replace(F.regexp_replace(t, r"[^A-Z0-9_\s/:.\-]", " "), " {2,}", " "))
+    return F.trim(F.regexp_replace(F.regexp_replace(t, r"[^A-Z0-9_\s/:.\-]", " "), r"\s{2,}", " "))
 
 
 def compact_alnum(c: Column | str) -> Column:
@@ -222,12 +222,16 @@ def split_city_state(c: Column | str) -> tuple[Column, Column]:
     return F.when(t == "", None).when(has, city).otherwise(t), F.when(has, last)
 
 
+#: Names of the numbers that stand behind an address, in the order in which they are cut off.
+ADDRESS_TAILS = ("CLIENTE", "COD(?:IGO)? +CLIENTE", "N[ºO]? *CLIENTE", "UNIDADE +CONSUMIDORA", "UC", "INSTAL(?:A[CÇ][AÃ]O)?", "CONTA", "CONTRATO")
+
+
 def clean_address(c: Column | str) -> Column:
-    """Without customer, unit and contract tails, invoice notes and links."""
-    t = collapse(F.upper(text(c)))
-    for rx in (r"(HTTPS?://|WWW\.).*$", r"NOTA FISCAL.*$", r"(N[ºO°.]? ?(DO )?CLIENTE|C[OÓ]DIGO DO CLIENTE).*$", r"(UNIDADE CONSUMIDORA|UC:).*$", r"(INSTALA[CÇ][AÃ]O|CONTRATO|MATR[IÍ]CULA)[ :].*$"):
-        t = F.regexp_replace(t, rx, "")
-    t = F.trim(F.regexp_replace(collapse(t), r"[ ,;:\-]+$", ""))
+    """Without tails of a name and a number (customer, unit, contract), invoice notes and links; case stays, and so do such names without a number."""
+    t = collapse(text(c))
+    for name in ADDRESS_TAILS:
+        t = F.trim(F.regexp_replace(t, rf"(?iu) +{name} *:? *\d+\b.*$", ""))
+    t = collapse(F.regexp_replace(t, r"(?iu)(?:\bNOTA FISCAL\b|https?://).*$", ""))
     return F.when(t != "", t)
 
 
@@ -286,5 +290,9 @@ def clean_parent_line(c: Column | str) -> Column:
 
 
 def missing_fields(fields: dict[str, Column]) -> Column:
-    """Names whose value is null or blank."""
-    return F.filter(F.array(*(F.when(c.isNull() | (F.trim(c.cast("string")) == ""), F.lit(n)) for n, c in fields.items())), lambda x: x.isNotNull())
+    """Names whose value is null, blank or an empty list."""
+    def lacks(c: Column) -> Column:
+        shown = F.trim(c.cast("string"))
+        return c.isNull() | (shown == "") | (F.typeof(c).startswith("array") & (shown == "[]"))
+
+    return F.filter(F.array(*(F.when(lacks(c), F.lit(n)) for n, c in fields.items())), lambda x: x.isNotNull())

@@ -62,14 +62,20 @@ def array_value_after(lines: Column, label: str) -> Column:
 
 
 def array_tabular_value(lines: Column, label: str) -> Column:
-    """``tabular_value`` of one array of lines."""
+    """What stands behind the first line's label, without ' :' at the ends, else the next line; a label in other case gives its whole line."""
     def value(x: Column, below: Column) -> Column:
-        after = F.regexp_replace(F.element_at(F.split(x, rf"\Q{label}\E"), -1), r"^[ :]+|[ :]+$", "")
-        return F.when(F.lower(x).contains(label.lower()), F.when((after != "") & (after != x), after).otherwise(below))
+        after = F.regexp_replace(F.regexp_replace(x, rf"^.*?\Q{label}\E", ""), r"^[ :]+|[ :]+$", "")
+        return F.when(F.upper(x).contains(label.upper()), F.when(after != "", after).otherwise(below))
 
     return first_of(lines, value)
 
 
+def take_below(lines: Column, n: int, skip: Callable[[Column], Column], take: Callable[[Column], Column]) -> Column:
+    """Look at the first n lines: some are skipped, and the first other one is the value if it may be taken; it ends the search either way."""
+    first = F.get(F.filter(F.slice(lines, 1, n), lambda x: ~skip(x)), F.lit(0))
+    return F.when(take(first), first)
+
+
 def array_colon_value(lines: Column, label: str) -> Column:
     """``label_colon_value`` of one array of lines."""
     return first_of(lines, lambda x, _: F.when(F.upper(x).contains(label.upper()) & x.contains(":"), _tail(x)))

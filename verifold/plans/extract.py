@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from verifold.functions import dates, ids, money
 from verifold.functions import text as T
 from verifold.operators import lines as L
+from verifold.plans import statements
 
 #: What tells a document's type. Of the types in order the first counts whose words stand in
 #: the lower-case file name, or one of whose groups of patterns is wholly found in the upper-case text.
@@ -159,42 +160,70 @@ def prefer_registry_zone(text: Column, own: Column) -> Column:
     return F.coalesce(last(F.when(F.size(other) > 0, other)), last(F.when(F.size(pairs) > 0, pairs)), near)
 
 
-def _labelled(*rxs: str) -> Column:
-    """First group of the first pattern that matches the text and is not blank."""
-    return F.coalesce(*(T.null_if_blank(F.regexp_extract(T.text("text"), rx, 1)) for rx in rxs))
+def _spaced(text: Column) -> Column:
+    """No-break spaces as spaces, so that patterns see them."""
+    return F.translate(T.text(text), "\u00a0", " ")
+
+
+def _first(text: Column, *rxs: str) -> Column:
+    """First group of the first pattern that matches the text and is not blank, with single spaces."""
+    return F.coalesce(*(T.null_if_blank(T.collapse(F.regexp_extract(T.text(text), rx, 1))) for rx in rxs))
+
+
+def _between(text: Column, start: str, end: str) -> Column:
+    """What stands between two words, over lines."""
+    return _first(text, rf"(?isu)\Q{start}\E\s*(.*?)\s*\Q{end}\E")
+
+
+def _fields(texts: DataFrame, fields: Callable[[Column], dict[str, Column]]) -> DataFrame:
+    """doc_id and fields made of the text: a projection."""
+    return texts.select("doc_id", *(c.alias(k) for k, c in fields(F.col("text")).items()))
 
 
 CPF = r"(\d{3}\.?\d{3}\.?\d{3}-?\d{2})"
 BR_DATE = r"(\d{2}/\d{2}/\d{4})"
-#: Labels of the proposal's fields, first group is the value.
-PROPOSAL = {
-    "proposta": (r"(?iu)Proposta(?: n[ºo.])?\s*:?\s*(\d+)",),
-    "nome_financiado": (r"(?iu)Nome(?: do)? Financiado\s*:?\s*([^\n]+?)(?=\s+CPF|\n|$)", r"(?iu)Cliente\s*:\s*([^\n]+?)(?=\s+CPF|\n|$)"),
-    "cpf": (rf"(?iu)CPF(?:/CNPJ)?\s*:?\s*{CPF}",),
-    "loja": (r"(?iu)Loja\s*:\s*([^\n]+?)(?=\s+(?:Vendedor|Promotor|Telefone)|\n|$)",),
-    "data_nascimento": (rf"(?iu)(?:Data (?:de )?Nasc(?:imento|\.)?|Nascimento)\s*:?\s*{BR_DATE}",),
-    "cidade_nascimento": (r"(?iu)(?:Naturalidade|Cidade (?:de )?Nasc(?:imento|\.)?)\s*:?\s*([^\n/\-]+?)(?=\s*[/\-]\s*[A-Z]{2}\b|\n|$)",),
-    "uf": (r"(?iu)(?:Naturalidade|Cidade (?:de )?Nasc(?:imento|\.)?)\s*:?\s*[^\n/\-]+[/\-]\s*([A-Z]{2})\b", r"(?u)\bUF\s*:?\s*([A-Z]{2})\b"),
-    "nome_mae": (r"(?iu)(?:Nome da )?M[ãa]e\s*:\s*([^\n]+)",),
-    "endereco": (r"(?iu)Endere[çc]o\s*:\s*([^\n]+)",),
-    "cep": (r"(?iu)CEP\s*:?\s*(\d{5}-?\d{3})",),
-    "empresa": (r"(?iu)Empresa\s*:\s*([^\n]+)",),
-    "salario": (r"(?iu)Sal[áa]rio\s*:?\s*(?:R\$\s*)?([\d.]+,\d{2})",),
-    "outras_rendas": (r"(?iu)Outras Rendas\s*:?\s*(?:R\$\s*)?([\d.]+,\d{2})",),
-    "valor_parcela": (r"(?iu)(?:Valor da |Vlr\.? )Parcela\s*:?\s*(?:R\$\s*)?([\d.]+,\d{2})",),
-    "vlr_compra": (r"(?iu)(?:Valor da |Vlr\.? )Compra\s*:?\s*(?:R\$\s*)?([\d.]+,\d{2})",),
-}
+AMOUNT = r"(\d{1,3}(?:\.\d{3})*,\d{2}|\d+,\d{2})"
+#: The printed form of a proposal. Words that end the shop's name; what follows the mother's name in
+#: other fields; the number of a street.
+SHOP_ENDS = r"(?iu)\b(?:VENDEDOR|DIVERSOS|BANCO|AGENTE|AGENT/OPER|CARTEIRA|TELEFONE|DADOS\s+PESSOAIS|GRUPO\s+CLIENTE)\b.*$"
+NEXT_FIELDS = r"(?iu)\b(?:Nome\s+C[oô]njuge|Endere[cç]o|Bairro|Cidade|UF|Cep|Telefone|Celular|E-?Mail|ATIVIDADE\s+PROFISSIONAL|Empresa|Sal[aá]rio|Outras\s+Rendas|DADOS\s+DO\s+C[oô]NJUGE|REFER[ÊE]NCIA|DADOS\s+DO\s+AVALISTA|Continua)\b"
+STREET_NUMBER = r"\bN[ºo]\s*\.?\s*(?:\.\s*)?:?\s*(\d{1,6})\b"
+MOTHER = r"(?isu)\bFil\.?\s*M[ãa]e\s*:\s*(.+?)\s+(?=Qtde\b)(.*)$"
+
+
+def _mother(text: Column) -> Column:
+    """The mother's name, and a surname alone on one of the next six lines: that of dependents is skipped, any other ends the search."""
+    name = F.upper(_first(text, MOTHER))
+    below = F.transform(F.split(F.regexp_extract(T.text(text), MOTHER, 2), r"\R"), lambda x: F.upper(T.collapse(x)))
+    surname = L.take_below(below, 6, lambda x: (x == "") | x.rlike(r"\bQTDE\b") | x.contains("DEPENDENTE"), lambda x: x.rlike(r"^[A-ZÀ-Ü '\-]{2,40}$") & ~x.rlike(NEXT_FIELDS))
+    return F.when(name.isNotNull(), F.concat_ws(" ", name, surname))
+
+
+def proposal_fields(text: Column) -> dict[str, Column]:
+    """Seventeen fields of a credit proposal; names are upper case, other values as printed."""
+    t = _spaced(text)
+    person = r"(?iu)\bFINANCIADO\s*:\s*([A-ZÀ-Ü\s]+?)\s*\(([\d.\-]+)\w?\)"
+    born = r"(?iu)\bNaturalidade\s*:\s*([A-ZÀ-Ü\s]+?)\s+UF\s+Naturalidade\s*:\s*([A-Z]{2})"
+    at = lambda rx, i: T.null_if_blank(T.collapse(F.regexp_extract(t, rx, i)))
+    shop = _first(t, r"(?iu)\bLOJA\s*:\s*(.+)")
+    address = _first(t, r"(?isu)\bEndere[cç]o\s*:\s*(.+?)\s+Cep\s*:")
+    numbered = address.rlike(f"(?iu){STREET_NUMBER}")
+    street = F.when(numbered, F.regexp_replace(address, f"(?iu){STREET_NUMBER}.*$", "")).otherwise(F.regexp_replace(address, r"(?iu)\bCompl\.?\s*:.*$", ""))
+    return {
+        "proposta": _first(t, r"(?iu)\bProposta\s*:\s*(\d{4,})\b"), "nome_financiado": F.upper(at(person, 1)), "nome_loja": F.upper(T.null_if_blank(F.regexp_replace(shop, SHOP_ENDS, ""))),
+        "cpf": F.coalesce(T.only_digits_or_null(at(person, 2)), T.only_digits_or_null(_first(t, r"(?iu)\bCPF\s*:\s*([\d.\-]{11,})"))),
+        "data_nascimento": _first(t, rf"(?iu)\bData\s+de\s+Nasc\.?\s*:\s*{BR_DATE}"), "cidade_nascimento": F.upper(at(born, 1)), "uf": F.upper(at(born, 2)), "nome_mae": _mother(t),
+        "endereco": F.coalesce(T.null_if_blank(T.collapse(street)), address), "numero": _first(address, f"(?iu){STREET_NUMBER}"), "complemento": F.upper(_first(address, r"(?iu)\bCompl\.?\s*:\s*([A-Z0-9\-\s]+)$")),
+        "empresa": _between(t, "Empresa:", "C.N.P.J"), "data_admissao": _between(t, "Data Adm.:", "Cargo"), "salario": _between(t, "Salário:", "Outras Rendas:"),
+        "outras_rendas": F.coalesce(_first(t, rf"(?iu)\bOutras\s+Rendas\s*:\s*{AMOUNT}\b"), _first(_between(t, "Outras Rendas:", "Vlr. Parcela:"), AMOUNT)),
+        "valor_parcela": _first(t, rf"(?iu)\b(?:Vlr\.?|Valor)\s*(?:da\s*)?(?:Parcela|Prest(?:a[cç][aã]o)?)\b\s*[:\-]?\s*(?:R\$\s*)?{AMOUNT}\b", rf"(?iu)\bParcela\b[^\d\n]{{0,40}}(?:R\$\s*)?{AMOUNT}\b"),
+        "valor_compra": _first(t, rf"(?iu)\bVlr\.?\s*Compra\b\s*[:\-]?\s*(?:R\$\s*)?{AMOUNT}\b"),
+    }
 
 
 def extract_proposal(texts: DataFrame) -> DataFrame:
-    """Seventeen fields of a credit proposal; the address is split into street, number and complement."""
-    rows = texts.select("doc_id", "text", *(_labelled(*rx).alias(k) for k, rx in PROPOSAL.items()))
-    street = T.null_if_blank(F.regexp_extract(T.text("endereco"), r"^([^,]+)", 1))
-    number = F.nullif(F.regexp_extract(T.text("endereco"), r",\s*(?:n[ºo.]*\s*)?(\d+)", 1), F.lit(""))
-    more = T.null_if_blank(F.regexp_extract(T.text("endereco"), r",\s*(?:n[ºo.]*\s*)?\d+\s*[,\-]\s*(.+)$", 1))
-    below = F.regexp_extract(T.text("text"), r"(?iu)(?:Nome da )?M[ãa]e\s*:\s*[^\n]+\n([^\n:]+)(?:\n|$)", 1)
-    surname = F.when(F.trim(below).rlike(r"^[A-ZÀ-Ü]+( [A-ZÀ-Ü]+){0,2}$") & (F.size(T.tokens(F.col("nome_mae"))) <= 2), F.trim(below))
-    return rows.withColumn("nome_mae", F.concat_ws(" ", "nome_mae", surname)).withColumn("nome_mae", T.null_if_blank("nome_mae")).withColumns({"endereco": street, "numero": number, "complemento": more}).drop("text")
+    """``proposal_fields`` of each text."""
+    return _fields(texts, proposal_fields)
 
 
 def licence_fields(text: Column) -> dict[str, Column]:
@@ -215,14 +244,18 @@ def licence_fields(text: Column) -> dict[str, Column]:
 
 def extract_licence(texts: DataFrame) -> DataFrame:
     """nome, cpf, categoria, data_nascimento, validade, cidade_nascimento, uf_nascimento, filiacao, low_signal."""
-    return texts.select("doc_id", *(c.alias(k) for k, c in licence_fields(F.col("text")).items()))
+    return _fields(texts, licence_fields)
+
+
+def licence_registry_fields(text: Column) -> dict[str, Column]:
+    category = _first(text, r"(?iu)\bCATEGORIA\W{0,12}([A-E]{1,2})\b", r"(?iu)\bCAT\W{0,12}([A-E]{1,2})\b", r"(?iu)\bCATEG\W{0,12}([A-E]{1,2})\b")
+    fields = licence_fields(text)
+    return fields | {"categoria": F.coalesce(category, fields["categoria"])}
 
 
 def extract_licence_registry(texts: DataFrame) -> DataFrame:
     """A licence with the category next to CATEGORIA, CAT or CATEG."""
-    category = _labelled(r"(?iu)\bCATEGORIA\W{0,12}([A-E]{1,2})\b", r"(?iu)\bCAT\W{0,12}([A-E]{1,2})\b", r"(?iu)\bCATEG\W{0,12}([A-E]{1,2})\b")
-    fields = licence_fields(F.col("text"))
-    return texts.select("doc_id", *(c.alias(k) for k, c in (fields | {"categoria": F.coalesce(category, fields["categoria"])}).items()))
+    return _fields(texts, licence_registry_fields)
 
 
 #: Labels of a payslip's fields.
@@ -235,7 +268,11 @@ MONEY = r"\b(\d{1,3}(?:\.\d{3})*,\d{2}|\d+,\d{2})\b"
 
 def extract_payslip(texts: DataFrame) -> DataFrame:
     """nome, cpf (digits), empregador, data_admissao, total_vencimentos; each by its label, then by a fallback."""
-    lines, whole = L.lines_of("text"), T.text("text")
+    return _fields(texts, payslip_fields)
+
+
+def payslip_fields(text: Column) -> dict[str, Column]:
+    lines, whole = L.lines_of(text), T.text(text)
     tail = lambda x: T.clean_value(F.regexp_extract(x, r"^[^:\-]*[:\-]\s*(.*)$", 1))
     holds = lambda x, labels: _any(F.upper(x), labels)
     two_words = lambda v: F.when(F.size(T.tokens(v)) >= 2, v)
@@ -255,66 +292,105 @@ def extract_payslip(texts: DataFrame) -> DataFrame:
     parts = F.split(hired, "/")
     amounts = F.regexp_extract_all(whole, F.lit(MONEY), 1)
     total = F.coalesce(L.array_labelled_match(lines, TOTAL_LABELS, MONEY, False), F.get(amounts, F.size(amounts) - 1))
-    return texts.select("doc_id", employee.alias("nome"), T.only_digits_or_null(F.regexp_extract(whole, rf"\b{CPF}\b", 1)).alias("cpf"), employer.alias("empregador"),
-                        F.when(hired.isNotNull(), dates.format_date_parts(*(F.get(parts, F.lit(i)) for i in range(3)))).alias("data_admissao"), total.alias("total_vencimentos"))
+    return {
+        "nome": employee, "cpf": T.only_digits_or_null(F.regexp_extract(whole, rf"\b{CPF}\b", 1)), "empregador": employer,
+        "data_admissao": F.when(hired.isNotNull(), dates.format_date_parts(*(F.get(parts, F.lit(i)) for i in range(3)))), "total_vencimentos": total,
+    }
+
+
+def residence_fields(text: Column) -> dict[str, Column]:
+    """Of a residence proof: the holder behind NOME, NOME DO CONSUMIDOR or NOME DO TITULAR, and the due date in three readings."""
+    t, lines = _spaced(text), L.lines_of(text)
+    town = T.collapse(F.regexp_replace(_first(t, r"(?iu)CIDADE\s*[:\-]?\s*(.+)"), r"(?iu)(?:\bGRUPO\b\s*/|https?://).*$", ""))
+    city, state = T.split_city_state(town)
+    has = lambda x, w: F.upper(x).contains(w)
+    dated = lambda x: F.nullif(F.regexp_extract(x, rf"\b{BR_DATE}\b", 1), F.lit(""))
+    due = F.coalesce(
+        _first(t, *(rf"(?iu){label}\s*[:\-]?\s*{BR_DATE}" for label in (r"DATA\s+DE\s+VENCIMENTO", r"(?:VENCIMENTO|VENC\.)", r"PAGAR\s+AT[ÉE]"))),
+        L.first_of(lines, lambda x, _: F.when(has(x, "VENC") & ~has(x, "EMIS"), dated(x))),
+        dates.latest_date(F.array_join(F.filter(lines, lambda x: ~has(x, "EMIS")), "\n")),
+    )
+    return {
+        "nome_titular": _first(t, r"(?iu)NOME(?:\s+DO\s+(?:CONSUMIDOR|TITULAR))?\s*[:\-]?\s*(.+)"), "endereco": T.clean_address(_first(t, r"(?iu)ENDERE[ÇC]O\s*[:\-]?\s*(.+)")),
+        "cep": _first(t, r"\b(\d{5}-?\d{3})\b"), "cidade": city, "uf": state, "vencimento": due,
+    }
 
 
 def extract_residence(texts: DataFrame) -> DataFrame:
-    """titular, endereco, cep, cidade, uf, vencimento."""
-    city, state = T.split_city_state(_labelled(r"(?iu)CIDADE\s*:?\s*([^\n]+)", r"(?iu)\d{5}-?\d{3}\s*[-,]?\s*([^\n]+)"))
-    issued = F.regexp_replace(T.text("text"), r"(?imu)^.*EMISS[ÃA]O.*$", "")
-    due = F.coalesce(_labelled(rf"(?iu)VENCIMENTO\s*:?\s*{BR_DATE}", rf"(?iu)PAGAR AT[ÉE]\s*:?\s*{BR_DATE}"), dates.latest_date(issued))
-    return texts.select("doc_id", _labelled(r"(?iu)(?:CLIENTE|TITULAR|NOME)\s*:\s*([^\n]+)").alias("titular"), T.clean_address(_labelled(r"(?iu)ENDERE[ÇC]O\s*:\s*([^\n]+)")).alias("endereco"),
-                        _labelled(r"(\d{5}-\d{3})").alias("cep"), city.alias("cidade"), state.alias("uf"), due.alias("vencimento"))
+    """nome_titular, endereco, cep, cidade, uf, vencimento."""
+    return _fields(texts, residence_fields)
+
+
+#: Labels of a vehicle certificate; what follows them on their line counts, so a longer word leaves its rest.
+CERTIFICATE = {"marca_modelo": "MARCA/MODELO", "categoria": "CATEGORIA", "combustivel": "COMBUST", "cor": "COR", "proprietario_nome": "PROPRIET", "uf_licenciamento": "UF", "local_emissao": "LOCAL"}
+
+
+def certificate_fields(text: Column) -> dict[str, Column]:
+    """Fourteen fields of the electronic vehicle certificate: plate, RENAVAM, chassis and date of issue by their shape, the others by labels."""
+    lines = F.filter(L.lines_of(text), lambda x: ~x.rlike(L.CERTIFICATE_NOISE))
+    blob = F.upper(F.array_join(lines, " "))
+    years = F.regexp_extract_all(L.array_tabular_value(lines, "ANO FAB/MOD"), F.lit(r"\b((?:19|20)\d{2})\b"), 1)
+    issued = r"\b([0-3]?\d)/([01]?\d)/((?:19|20)\d{2})\b"
+    owner_id = L.first_of(lines, lambda x, _: F.when(F.upper(x).contains("PROPRIET"), F.nullif(F.regexp_extract(x, r"\b(\d{3}\.\d{3}\.\d{3}-\d{2})\b", 1), F.lit(""))))
+    return {
+        "placa": _first(blob, r"\b([A-Z]{3}[0-9][A-Z0-9][0-9]{2})\b"), "renavam": _first(blob, r"\b(\d{11})\b"), "chassi": _first(blob, r"\b([A-HJ-NPR-Z0-9]{17})\b"),
+        **{k: L.array_tabular_value(lines, label) for k, label in CERTIFICATE.items()},
+        "ano_fabricacao": F.get(years, F.lit(0)), "ano_modelo": F.coalesce(F.get(years, F.lit(1)), F.get(years, F.lit(0))), "proprietario_doc": owner_id,
+        "data_emissao": F.when(blob.rlike(issued), dates.format_date_parts(*(F.regexp_extract(blob, issued, i) for i in (1, 2, 3)))),
+    }
 
 
 def extract_vehicle_certificate(texts: DataFrame) -> DataFrame:
-    """Fields of the electronic vehicle certificate."""
-    lines = F.filter(L.lines_of("text"), lambda x: ~x.rlike(L.CERTIFICATE_NOISE))
-    labels = {"placa": "PLACA", "renavam": "RENAVAM", "chassi": "CHASSI", "proprietario_nome": "NOME", "proprietario_doc": "CPF / CNPJ", "marca_modelo": "MARCA / MODELO", "cor": "COR PREDOMINANTE", "combustivel": "COMBUSTÍVEL", "municipio": "LOCAL"}
-    rows = texts.select("doc_id", "text", *(L.array_tabular_value(lines, v).alias(k) for k, v in labels.items()))
-    made, model = dates.year_pair(F.regexp_extract(T.text("text"), r"(?iu)ANO (?:FAB|DE FAB)[^\n]*\n?([^\n]*)", 0))
-    return rows.select("doc_id", T.compact_alnum("placa").alias("placa"), ids.normalize_renavam("renavam").alias("renavam"), T.compact_alnum("chassi").alias("chassi"),
-                       *(T.clean_value(c).alias(c) for c in ("proprietario_nome", "proprietario_doc", "marca_modelo", "cor", "combustivel", "municipio")), made.alias("ano_fabricacao"), model.alias("ano_modelo"))
+    """``certificate_fields`` of each text."""
+    return _fields(texts, certificate_fields)
 
 
 def vehicle_fields(text: Column) -> dict[str, Column]:
-    """Fields of the new paper layout as columns over its text."""
+    """Of the new paper layout: plate, RENAVAM (any number of 9 to 11 digits) and chassis by their shape, years, owner between NOME and CPF."""
     up = T.normalize_vehicle_text(text)
-    g = lambda rx: F.nullif(F.regexp_extract(up, rx, 1), F.lit(""))
-    made, model = dates.year_pair(F.coalesce(g(r"ANO[^0-9]*(\d{4}[^\n]{0,12}\d{4})"), up))
-    return {"placa": g(r"\b([A-Z]{3}\d[A-Z0-9]\d{2})\b"), "renavam": ids.normalize_renavam(g(r"RENAVAM\D{0,20}(\d{9,11})")), "chassi": g(r"\b([A-HJ-NPR-Z0-9]{17})\b"),
-            "ano_fabricacao": made, "ano_modelo": model, "proprietario": T.collapse(g(r"NOME\s+([A-Z\s]+?)\s+CPF"))}
+    made, model = dates.anchored_year_pair(up)
+    return {"placa": _first(up, r"\b([A-Z]{3}\d[A-Z0-9]\d{2})\b"), "renavam": _first(up, r"\b(\d{9,11})\b"), "chassi": _first(up, r"\b([A-HJ-NPR-Z0-9]{17})\b"),
+            "ano_fabricacao": made, "ano_modelo": model, "proprietario": _first(up, r"\bNOME\b\s+([A-Z ]{5,})\s+\bCPF\b")}
 
 
 def extract_vehicle_document(texts: DataFrame) -> DataFrame:
-    """New paper layout: placa, renavam, chassi, years, owner between NOME and CPF."""
-    return texts.select("doc_id", *(c.alias(k) for k, c in vehicle_fields(F.col("text")).items()))
+    """``vehicle_fields`` of each text."""
+    return _fields(texts, vehicle_fields)
 
 
 def legacy_fields(text: Column) -> dict[str, Column]:
-    """Fields of the old paper layout: as written, with spaces inside, then with confused glyphs swapped."""
+    """Of the old paper layout, each by the first reading that gives anything.
+
+    Plate: as printed; its seven glyphs with anything between them and confused ones swapped; three letters and
+    four more in the text without separators; any window of that. RENAVAM and chassis: as printed, then in
+    the text without separators. Years: the first two.
+    """
     up, packed = T.normalize_vehicle_text(text), T.compact_alnum(text)
-    g = lambda c, rx: F.nullif(F.regexp_extract(c, rx, 1), F.lit(""))
-    spaced = F.regexp_replace(g(up, r"\b([A-Z]\s?[A-Z]\s?[A-Z]\s?-?\s?\d\s?[A-Z0-9]\s?\d\s?\d)\b"), r"[\s-]", "")
-    plate = F.coalesce(g(up, r"\b([A-Z]{3}-?\d[A-Z0-9]\d{2})\b"), spaced, ids.fix_plate_ocr(g(up, r"PLACA\s*:?\s*([A-Z0-9 \-]{7,12})")))
-    ren = F.coalesce(g(up, r"RENAVAM\D{0,20}(\d{9,11})"), g(packed, r"RENAVAM(\d{9,11})"))
-    vin = F.coalesce(g(up, r"CHASSI\W{0,10}([A-HJ-NPR-Z0-9]{17})\b"), g(packed, r"CHASSI([A-HJ-NPR-Z0-9]{17})"))
-    return {"placa": F.regexp_replace(plate, "-", ""), "renavam": ids.normalize_renavam(ren), "chassi": vin}
+    gap = "[^A-Z0-9]*"
+    spaced = gap.join(["([A-Z0-9])"] * 3 + ["([0-9OILSB])"] * 4)
+    apart = F.concat(*(F.regexp_extract(up, spaced, i) for i in range(1, 8)))
+    plate = F.coalesce(_first(up, r"\b([A-Z]{3}\d{4})\b"), ids.fix_plate_ocr(apart), ids.fix_plate_ocr(F.regexp_extract(packed, "([A-Z]{3}[A-Z0-9]{4})", 1)), ids.first_plate_window(packed))
+    years = F.regexp_extract_all(up, F.lit(r"\b((?:19|20)\d{2})\b"), 1)
+    first, second = (F.get(years, F.lit(i)).try_cast("int") for i in (0, 1))
+    return {"placa": plate, "renavam": F.coalesce(_first(up, r"\b(\d{9,11})\b"), _first(T.only_digits(text), r"(\d{9,11})")),
+            "chassi": F.coalesce(_first(up, r"\b([A-Z0-9]{17})\b"), _first(packed, r"([A-Z0-9]{17})")), "ano_fabricacao": first, "ano_modelo": F.coalesce(second, first)}
 
 
 def extract_vehicle_document_legacy(texts: DataFrame) -> DataFrame:
-    """Old paper layout: placa, renavam, chassi."""
-    return texts.select("doc_id", *(c.alias(k) for k, c in legacy_fields(F.col("text")).items()))
+    """``legacy_fields`` of each text."""
+    return _fields(texts, legacy_fields)
+
+
+def routed_vehicle_fields(text: Column) -> dict[str, Column]:
+    """The new layout's fields where any of plate, RENAVAM or chassis is found, else the old layout's (which has no owner)."""
+    new, old = vehicle_fields(text), legacy_fields(text)
+    found = F.coalesce(new["placa"], new["renavam"], new["chassi"]).isNotNull()
+    return {"layout": F.when(found, F.lit("new")).otherwise(F.lit("legacy")), **{k: F.when(found, v).otherwise(old.get(k, F.lit(None))) for k, v in new.items()}}
 
 
 def route_vehicle_document(texts: DataFrame) -> DataFrame:
-    """The new layout's fields where any of plate, RENAVAM or chassis is found, else the old layout's."""
-    old = legacy_fields(F.col("text"))
-    rows = texts.select("doc_id", *(c.alias(k) for k, c in vehicle_fields(F.col("text")).items()), *(c.alias(f"b_{k}") for k, c in old.items()))
-    found = F.coalesce("placa", "renavam", "chassi").isNotNull()
-    pick = lambda c: F.when(found, F.col(c)).otherwise(F.col(f"b_{c}")).alias(c)
-    return rows.select("doc_id", F.when(found, F.lit("new")).otherwise(F.lit("legacy")).alias("layout"), pick("placa"), pick("renavam"), pick("chassi"))
+    """``routed_vehicle_fields`` of each text."""
+    return _fields(texts, routed_vehicle_fields)
 
 
 #: Sections of a transfer.
@@ -332,15 +408,22 @@ def anchored_renavam(lines: Column) -> Column:
     return L.first_of(lines, value)
 
 
-def extract_transfer(texts: DataFrame) -> DataFrame:
+def transfer_fields(text: Column) -> dict[str, Column]:
     """Plate, chassis, price, RENAVAM (anchored, with a valid check digit), and both parties from their sections."""
-    lines, up = L.lines_of("text"), F.upper(T.text("text"))
+    lines, up = L.lines_of(text), F.upper(T.text(text))
     buyer, seller = L.array_slice(lines, BUYER), L.array_slice(lines, SELLER, BUYER)
     g = lambda rx: F.nullif(F.regexp_extract(up, rx, 1), F.lit(""))
     number = lambda block: L.first_of(block, lambda x, _: F.nullif(F.regexp_extract(x, TAX_ID, 1), F.lit("")))
-    return texts.select("doc_id", F.regexp_replace(g(r"\b([A-Z]{3}-?[0-9][A-Z0-9][0-9]{2})\b"), "-", "").alias("placa"), g(r"\b([A-HJ-NPR-Z0-9]{17})\b").alias("chassi"), anchored_renavam(lines).alias("renavam"), money.money_on_label_line(lines, "VALOR").alias("valor"),
-                        T.sanitize_name(L.array_colon_value(buyer, "NOME")).alias("comprador_nome"), T.normalize_doc_id(number(buyer)).alias("comprador_cpf_cnpj"),
-                        T.sanitize_name(L.array_colon_value(seller, "NOME")).alias("vendedor_nome"), T.normalize_doc_id(number(seller)).alias("vendedor_cpf_cnpj"))
+    return {
+        "placa": F.regexp_replace(g(r"\b([A-Z]{3}-?[0-9][A-Z0-9][0-9]{2})\b"), "-", ""), "chassi": g(r"\b([A-HJ-NPR-Z0-9]{17})\b"), "renavam": anchored_renavam(lines), "valor": money.money_on_label_line(lines, "VALOR"),
+        "comprador_nome": T.sanitize_name(L.array_colon_value(buyer, "NOME")), "comprador_cpf_cnpj": T.normalize_doc_id(number(buyer)),
+        "vendedor_nome": T.sanitize_name(L.array_colon_value(seller, "NOME")), "vendedor_cpf_cnpj": T.normalize_doc_id(number(seller)),
+    }
+
+
+def extract_transfer(texts: DataFrame) -> DataFrame:
+    """``transfer_fields`` of each text."""
+    return _fields(texts, transfer_fields)
 
 
 REAIS = r"R\$\s*(?:\d{1,3}(?:\.\d{3})*|\d+),\d{2}"
@@ -400,40 +483,70 @@ def extract_registry_lookup(texts: DataFrame, mode: str | None = None) -> DataFr
     mode: 'aberta' or 'despachante' as the user knows it; None: open where the owner's name is masked.
     An open lookup's name counts as masked.
     """
-    lines = F.filter(L.lines_of("text"), lambda x: ~x.rlike(L.REGISTRY_NOISE))
-    rows = texts.select("doc_id", lines.alias("lines")).select("doc_id", "lines", F.array_join("lines", "\n").alias("blob"), owner_name(F.col("lines")).alias("owner"), *(L.array_block_after(F.col("lines"), *v).alias(k) for k, v in BLOCKS.items()))
-    up = F.upper("blob")
-    g = lambda rx: F.nullif(F.regexp_extract(up, rx, 1), F.lit(""))
-    how = F.lit(mode) if mode in ("aberta", "despachante") else F.when(T.is_masked_name("owner"), F.lit("aberta")).otherwise(F.lit("despachante"))
-    masked = T.is_masked_name("owner") | (how == "aberta")
-    initials = F.when(masked, T.masked_name_initials("owner")).otherwise(F.array().cast("array<string>"))
-    doc = L.first_of(F.col("lines"), lambda x, _: F.nullif(F.regexp_extract(x, r"\b(\d{3}\.?\d{3}\.?\d{3}-?\d{2}|\d{2}\.?\d{3}\.?\d{3}/?\d{4}-?\d{2}|\d{3}\*{3,}\d{2}|\d{2}\*{3,}\d{2})\b", 1), F.lit("")))
-    years = L.first_of(F.col("lines"), lambda x, _: F.when(F.upper(x).rlike("FABRICA|ANO") & x.rlike(r"\b(19\d{2}|20\d{2})\b"), x))
-    found = F.regexp_extract_all(years, F.lit(r"\b(19\d{2}|20\d{2})\b"), 1)
-    after = lambda label: L.array_value_after(F.col("lines"), label)
-    return rows.select(
-        "doc_id", F.col("owner").alias("proprietario_nome"), masked.alias("proprietario_nome_ofuscado"), F.nullif(F.array_join(initials, ""), F.lit("")).alias("proprietario_iniciais"), initials.alias("proprietario_iniciais_tokens"),
-        doc.alias("proprietario_doc"), doc.contains("*").alias("proprietario_doc_ofuscado"), g(r"\b([A-Z]{3}[0-9][A-Z0-9][0-9]{2})\b").alias("placa"), g(r"\b(\d{11})\b").alias("renavam"), after("CHASSI").alias("chassi"), after("MARCA").alias("marca_modelo"), after("COR").alias("cor"),
-        F.get(found, F.lit(0)).alias("ano_fabricacao"), F.coalesce(F.get(found, F.lit(1)), F.get(found, F.lit(0))).alias("ano_modelo"), *BLOCKS,
-        lien_status(F.col("blob")).alias("alienacao_fiduciaria_status"), admin_restriction(F.col("blob")).alias("restricao_administrativa_ativa"), tax_overdue(F.col("blob")).alias("ipva_em_atraso"),
-        open_items(F.col("debitos_texto"), "DÉBITO").alias("debitos_em_aberto"), open_items(F.col("multas_texto"), "MULTA").alias("multas_em_aberto"),
-        money.sum_currency_cents("debitos_texto").alias("debitos_total_cents"), money.sum_currency_cents("multas_texto").alias("multas_total_cents"), how.alias("modo"),
-    )
+    return texts.select("doc_id", lookup_struct(F.col("text"), mode).alias("x")).select("doc_id", "x.*")
+
+
+def lookup_struct(text: Column, mode: str | None = None) -> Column:
+    """Fields of a lookup as one struct. It is bound in steps, so that lines, owner and blocks are made once: each step is the element of an array of one."""
+    def let(values: dict[str, Column], then: Callable[[Column], Column]) -> Column:
+        return F.get(F.transform(F.array(F.struct(*(v.alias(k) for k, v in values.items()))), then), F.lit(0))
+
+    kept = F.filter(L.lines_of(text), lambda x: ~x.rlike(L.REGISTRY_NOISE))
+    return let({"lines": kept}, lambda s: let({"lines": s["lines"], "blob": F.array_join(s["lines"], "\n"), "owner": owner_name(s["lines"]), **{k: L.array_block_after(s["lines"], *v) for k, v in BLOCKS.items()}},
+                                              lambda x: F.struct(*(v.alias(k) for k, v in _looked_up(x, mode).items()))))
 
 
-#: Extraction job of each document type; users may register their own.
-EXTRACTORS: dict[str, Callable[[DataFrame], DataFrame]] = {
-    "proposal": extract_proposal, "licence": extract_licence, "licence_registry": extract_licence_registry, "payslip": extract_payslip,
-    "residence_proof": extract_residence, "vehicle_certificate": extract_vehicle_certificate, "vehicle_document": route_vehicle_document,
-    "transfer": extract_transfer, "registry_lookup": extract_registry_lookup,
+#: Names of the fields of a lookup in order.
+_LOOKED_UP = ("proprietario_nome", "proprietario_nome_ofuscado", "proprietario_iniciais", "proprietario_iniciais_tokens", "proprietario_doc", "proprietario_doc_ofuscado", "placa", "renavam", "chassi", "marca_modelo", "cor", "ano_fabricacao", "ano_modelo",
+              *BLOCKS, "alienacao_fiduciaria_status", "restricao_administrativa_ativa", "ipva_em_atraso", "debitos_em_aberto", "multas_em_aberto", "debitos_total_cents", "multas_total_cents", "modo")
+
+
+def _looked_up(x: Column, mode: str | None) -> dict[str, Column]:
+    lines, blob, owner = x["lines"], x["blob"], x["owner"]
+    up = F.upper(blob)
+    g = lambda rx: F.nullif(F.regexp_extract(up, rx, 1), F.lit(""))
+    how = F.lit(mode) if mode in ("aberta", "despachante") else F.when(T.is_masked_name(owner), F.lit("aberta")).otherwise(F.lit("despachante"))
+    masked = T.is_masked_name(owner) | (how == "aberta")
+    initials = F.when(masked, T.masked_name_initials(owner)).otherwise(F.array().cast("array<string>"))
+    doc = L.first_of(lines, lambda v, _: F.nullif(F.regexp_extract(v, r"\b(\d{3}\.?\d{3}\.?\d{3}-?\d{2}|\d{2}\.?\d{3}\.?\d{3}/?\d{4}-?\d{2}|\d{3}\*{3,}\d{2}|\d{2}\*{3,}\d{2})\b", 1), F.lit("")))
+    years = L.first_of(lines, lambda v, _: F.when(F.upper(v).rlike("FABRICA|ANO") & v.rlike(r"\b(19\d{2}|20\d{2})\b"), v))
+    found = F.regexp_extract_all(years, F.lit(r"\b(19\d{2}|20\d{2})\b"), 1)
+    after = lambda label: L.array_value_after(lines, label)
+    return dict(zip(_LOOKED_UP, (
+        owner, masked, F.nullif(F.array_join(initials, ""), F.lit("")), initials, doc, doc.contains("*"), g(r"\b([A-Z]{3}[0-9][A-Z0-9][0-9]{2})\b"), g(r"\b(\d{11})\b"), after("CHASSI"), after("MARCA"), after("COR"),
+        F.get(found, F.lit(0)), F.coalesce(F.get(found, F.lit(1)), F.get(found, F.lit(0))), *(x[k] for k in BLOCKS),
+        lien_status(blob), admin_restriction(blob), tax_overdue(blob), open_items(x["debitos_texto"], "DÉBITO"), open_items(x["multas_texto"], "MULTA"),
+        money.sum_currency_cents(x["debitos_texto"]), money.sum_currency_cents(x["multas_texto"]), how,
+    ), strict=True))
+
+
+#: Fields of each document type over its text, as columns by name or as one struct; users may register their own types.
+EXTRACTORS: dict[str, Callable[[Column], dict[str, Column] | Column]] = {
+    "proposal": proposal_fields, "licence": licence_fields, "licence_registry": licence_registry_fields, "payslip": payslip_fields, "payroll": payslip_fields,
+    "residence_proof": residence_fields, "vehicle_certificate": certificate_fields, "vehicle_document": routed_vehicle_fields, "vehicle_document_new": vehicle_fields,
+    "vehicle_document_old": legacy_fields, "transfer": transfer_fields, "registry_lookup": lookup_struct,
 }
+STATEMENT = "bank_statement"
+
 
+def extract_all(texts: DataFrame, extractors: dict[str, Callable[[Column], dict[str, Column] | Column]] | None = None, strategies=None) -> DataFrame:
+    """doc_id, doc_type and data (VARIANT) of every text whose doc_type has a job, bank statements among them: one scan.
 
-def extract_all(texts: DataFrame, extractors=None) -> DataFrame:
-    """doc_id, doc_type and data (VARIANT) of every text whose doc_type has a job: one branch a type."""
-    out = None
-    for kind, job in (extractors or EXTRACTORS).items():
-        rows = job(texts.where(F.col("doc_type") == kind).select("doc_id", "text"))
-        part = rows.select("doc_id", F.lit(kind).alias("doc_type"), F.parse_json(F.to_json(F.struct(*(c for c in rows.columns if c != "doc_id")))).alias("data"))
-        out = part if out is None else out.unionByName(part)
-    return out
+    One projection reads each text by its own type's job. Statements need windows over their lines:
+    these are made in the same projection, and what moves to them is lines and extracted data, not texts.
+    Repeated ids are extracted each by itself. Needs doc_id, doc_type and text.
+    """
+    jobs = extractors or EXTRACTORS
+    data = F.lit(None).cast("string")
+    for kind, fields in jobs.items():
+        made = fields(F.col("text"))
+        made = F.struct(*(c.alias(k) for k, c in made.items())) if isinstance(made, dict) else made
+        data = F.when(F.col("doc_type") == kind, F.to_json(made)).otherwise(data)
+    wanted = texts.where(F.col("doc_type").isin(*jobs, STATEMENT))
+    is_statement = F.col("doc_type") == STATEMENT
+    rows = wanted.select(
+        F.monotonically_increasing_id().alias("row"), "doc_id", "doc_type", data.alias("done"),
+        F.when(is_statement, F.struct(T.detect_bank("text").alias("banco"), F.upper(T.text("text")).contains("PIX").alias("tem_pix"))).alias("head"),
+        F.when(is_statement, statements.tidy_lines("text")).alias("lines"))
+    read = statements.statement_data(rows, strategies)
+    return read.select("doc_id", "doc_type", F.parse_json("done").alias("data"))

@@ -297,10 +297,10 @@ def payslip_soft_checks(df: DataFrame) -> DataFrame:
 
 
 def certificate_soft_checks(df: DataFrame) -> DataFrame:
-    """Adds dv_ok, reason and warning of the RENAVAM of a vehicle certificate."""
-    n = ids.normalize_renavam("renavam")
-    reason = F.when(T.only_digits("renavam") == "", F.lit("empty")).when(n.isNull(), F.lit("bad_length")).when(ids.is_valid_renavam("renavam"), F.lit("ok")).otherwise(F.lit("dv_mismatch"))
-    return df.withColumns({"dv_ok": ids.is_valid_renavam("renavam"), "reason": reason, "warning": F.when(~reason.isin("ok", "empty"), F.concat(F.lit("renavam:"), reason))})
+    """Adds dv_ok, reason (ok, dv_mismatch, or invalid for anything but eleven digits) and warning of the RENAVAM of a vehicle certificate; one that is absent gives no warning."""
+    whole = F.coalesce(F.col("renavam").rlike(r"^\d{11}$"), F.lit(False))
+    reason = F.when(~whole, F.lit("invalid")).when(ids.is_valid_renavam("renavam"), F.lit("ok")).otherwise(F.lit("dv_mismatch"))
+    return df.withColumns({"dv_ok": reason == "ok", "reason": reason, "warning": F.when((reason != "ok") & (T.text("renavam") != ""), F.concat(F.lit("renavam:"), reason))})
 
 
 def licence_critique(df: DataFrame, today: Column) -> DataFrame:

@@ -93,7 +93,7 @@ probe("s29_normalize_text", T.normalize_text, ("concat(full_name, chr(160), '  b
 probe("s30_normalize_vehicle_text", T.normalize_vehicle_text, ("'placa: ç' || full_name || ' @#'", "'PLACA: C' || full_name"), ("'x_1/2-3.4 (' || cpf || ')'", "'X_1/2-3.4 ' || cpf"))
 probe("s31_compact_alnum", T.compact_alnum, ("'a-b ç/' || cpf", "'ABC' || cpf"), (NOTHING, "''"))
 probe("s32_split_city_uf", lambda c: F.concat_ws("|", *T.split_city_state(c)), ("'curitiba - pr'", "'CURITIBA|PR'"), ("full_name || '/SP'", "full_name || '|SP'"), ("full_name", "full_name"))
-probe("s33_clean_address", T.clean_address, ("'rua ' || full_name || ', ' || cast(k as string) || ' - UNIDADE CONSUMIDORA 99'", "'RUA ' || full_name || ', ' || k"), ("'RUA ' || full_name || ' NOTA FISCAL 1'", "'RUA ' || full_name"), ("'RUA ' || full_name || ' www.x.com/y'", "'RUA ' || full_name"), ("''", NULL))
+probe("s33_clean_address", T.clean_address, ("'Rua ' || full_name || ', ' || cast(k as string) || ' Cliente:6969640 x'", "'Rua ' || full_name || ', ' || k"), ("'Rua do Contrato Novo 7, ' || full_name || ' UC 77'", "'Rua do Contrato Novo 7, ' || full_name"), ("'RUA ' || full_name || ' Unidade Consumidora: 9 NOTA FISCAL 1'", "'RUA ' || full_name"), ("'rua  ' || full_name || ' http://x.com/y'", "'rua ' || full_name"), ("'Av. Conta Dinheiro ' || cast(k as string) || ' INSTALAÇÃO 12 Contrato: 3'", "'Av. Conta Dinheiro ' || k"), ("''", NULL))
 probe("s34_first_non_empty", lambda c: T.first_non_empty(F.lit(""), c, F.lit("last")), ("full_name", "full_name"), ("''", "'last'"), (NOTHING, "'last'"))
 probe("s35_looks_like_cover_only", T.looks_like_cover_only, ("'república federativa do Brasil ' || full_name", "true"), ("full_name", "false"), ("''", "true"), ("repeat('SENATRAN TRANSITO BRASIL ', 100) || full_name", "false"))
 probe("s36_clean_value", T.clean_value, ("'x'", NULL), ("' ' || full_name || '  '", "full_name"))
@@ -121,6 +121,12 @@ probe("d5_days_to_expire", lambda c: dates.days_to_expire(dates.parse_date(c), F
 probe("d6_earliest_date", dates.earliest_date, ("'a 01/01/2031 b ' || p_nasc || ' c'", "p_nasc"), (NOTHING, NULL))
 probe("d6_latest_date", dates.latest_date, ("'a 01/01/1931 b ' || p_nasc || ' c 12/12/1910'", "p_nasc"), ("full_name", NULL))
 probe("d7_year_pair", lambda c: F.concat_ws(",", *(x.cast("string") for x in dates.year_pair(c))), ("'ano ' || cast(1960 + k % 40 as string) || '/2010'", "(1960 + k % 40) || ',2010'"), ("cast(1960 + k % 40 as string) || ' e ' || cast(1960 + k % 40 as string)", "(1960 + k % 40) || ',' || (1960 + k % 40)"), ("full_name", "''"))
+Y = "cast(1960 + k % 40 as string)"
+YS = "(1960 + k % 40)"
+probe("d7_anchored_year_pair", lambda c: F.concat_ws(",", *(x.cast("string") for x in dates.anchored_year_pair(c))),
+      (f"'1901 ANO FABRICACAO/MODELO: ' || {Y} || '/2010'", f"{YS} || ',2010'"), (f"'1901 ' || repeat('X', 50) || ' ANO DE FAB. E ANO DO MOD. ' || {Y} || ' E 2012 1902'", f"{YS} || ',2012'"),
+      (f"'1901 ' || repeat('X', 50) || ' ANO DE FAB. E DO MODELO: ' || {Y}", f"{YS} || ',' || {YS}"), (f"'1901 ANO DA FABRICACAO E DO MODELO' || repeat('X', 90) || {Y}", "'1901,1901'"), (f"'ANO FAB MOD ' || repeat('X', 90) || ' ' || {Y}", "''"),
+      (f"'1901 FAB/MOD ' || {Y} || '/2013'", f"{YS} || ',2013'"), (f"'1901 E ' || {Y}", f"'1901,' || {YS}"), ("full_name", "''"))
 probe("d8_expiry_sanity", joined(two(lambda expiry, birth: dates.expiry_sanity(dates.parse_date(expiry), dates.parse_date(birth), F.lit(TODAY).cast("date")))),
       ("'01/02/2026|' || p_nasc", "'expiry_soon'"), ("'01/01/2087|' || p_nasc", "'expiry_far'"), ("'01/01/2030|01/01/2027'", "'birth_in_future'"), ("'01/01/2030|' || p_nasc", "''"))
 probe("d9_format_date_parts", lambda c: dates.format_date_parts(*(F.get(F.split(c, "-"), F.lit(i)) for i in range(3))), ("cast(1 + k % 28 as string) || '-7-2024'", "lpad(cast(1 + k % 28 as varchar), 2, '0') || '/07/2024'"))
@@ -139,4 +145,8 @@ probe("x16b_admin_restriction", extract.admin_restriction, ("'IMPEDIMENTO ' || f
 probe("x16c_tax_overdue", extract.tax_overdue, (f"'DÍVIDA ATIVA R$ ' || {BR}", "'true'"), (f"'IPVA em aberto R$ ' || {BR}", "'true'"), ("'IPVA em atraso'", NULL), ("'IPVA: nenhum débito ' || full_name", "'false'"), ("full_name", NULL))
 probe("x16d_open_debts", lambda c: extract.open_items(c, "DÉBITO"), ("'Nenhum débito ' || full_name", "'false'"), (f"'IPVA R$ ' || {BR}", "'true'"), ("full_name", NULL))
 probe("x12_vehicle_fields", lambda c: F.concat_ws("|", *(extract.vehicle_fields(c)[k] for k in ("placa", "renavam", "ano_fabricacao", "proprietario"))), (f"'Placa ABC1D{{0}} Renavam {{1}} ano 2010/2011 nome {{2}} CPF'".replace("{0}", f"' || {NN} || '").replace("{1}", "' || renavam_ok || '").replace("{2}", "' || full_name || '"), f"'ABC1D' || {NN} || '|' || renavam_ok || '|2010|' || full_name"))
-probe("x13_legacy_fields", lambda c: F.concat_ws("|", *(extract.legacy_fields(c)[k] for k in ("placa", "renavam", "chassi"))), ("'Placa: A B C 1 O 2 3 Renavam ' || renavam_ok", "'ABC1O23|' || renavam_ok"), ("'ABC-1D' || " + NN + " || ' R E N A V A M ' || renavam_ok || ' chassi: 9BWZZZ377VT004251'", f"'ABC1D' || {NN} || '|' || renavam_ok || '|9BWZZZ377VT004251'"))
+#: Each reading of the plate is the only one that sees it.
+probe("x13_legacy_fields", lambda c: F.concat_ws("|", *(extract.legacy_fields(c)[k].cast("string") for k in ("placa", "renavam", "chassi", "ano_fabricacao", "ano_modelo"))),
+      (f"'Placa AYH03' || {NN} || ' Renavam ' || renavam_ok || ' chassi 9BWZZZ377VT004251 2007'", f"'AYH03' || {NN} || '|' || renavam_ok || '|9BWZZZ377VT004251|2007|2007'"),
+      (f"'a.Y.H.O.3.' || substr({NN}, 1, 1) || '.' || substr({NN}, 2, 1) || ' X ' || renavam_ok || ' 2007 2008 9BWZZZ377VT004251'", f"'AYH03' || {NN} || '|' || renavam_ok || '|9BWZZZ377VT004251|2007|2008'"),
+      (f"'ABC-1D' || {NN} || ' fim'", f"'ABC1D' || {NN}"), (f"'Placa: ABC-1D' || {NN}", f"'ABC1D' || {NN}"), ("full_name", "''"))

@@ -403,16 +403,33 @@ def g14_strategy_leaderboard(spark, sf_dir):
 # Extraction round trips over rendered texts
 
 
-def proposal_texts(spark, sf_dir) -> DataFrame:
-    f = casegen.flat(spark, sf_dir).where("has_proposal")
-    line = lambda label, c: F.when(F.col(c).isNotNull(), F.concat(F.lit(f"{label}: "), F.col(c)))
-    return f.select(F.col("k").alias("doc_id"), F.concat_ws("\n", F.concat(F.lit("Proposta: "), F.col("k").cast("string")), line("Nome do Financiado", "p_nome"), line("CPF", "p_cpf"), line("Data de Nascimento", "p_nasc"), F.when(F.col("k") % 2 == 0, F.lit("Naturalidade: CURITIBA/PR")).otherwise(F.lit("Cidade de Nascimento: LAGES - SC")), F.concat(F.lit("Endereço: RUA DAS FLORES, "), (F.col("k") % 1000).cast("string"), F.lit(" - APTO 3")), line("Salário", "p_salario"), line("Outras Rendas", "p_outras"), line("Valor da Compra", "p_compra")).alias("text"))
+def _optional(label: str, c: str):
+    return F.when(F.col(c).isNotNull(), F.concat(F.lit(label), F.col(c)))
 
 
-@query(f"WITH {FLAT} SELECT k AS doc_id, cast(k AS varchar) AS proposta, p_nome AS nome_financiado, p_cpf AS cpf, p_nasc AS data_nascimento, CASE WHEN k % 2 = 0 THEN 'PR' ELSE 'SC' END AS uf, (k % 1000)::varchar AS numero, p_salario AS salario, p_outras AS outras_rendas, p_compra AS vlr_compra FROM flat WHERE has_proposal")
+def proposal_texts(spark, sf_dir) -> DataFrame:
+    """Printed forms in three variants: all on labelled lines; values below labels and in small letters; without number and with words in other places."""
+    f, k = casegen.flat(spark, sf_dir).where("has_proposal"), F.col("k")
+    s = lambda x: F.lit(x) if isinstance(x, str) else x
+    text = lambda *parts: F.concat(*map(s, parts))
+    blank = lambda c: F.coalesce(F.col(c), F.lit(""))
+    number, rate = (1000 + k).cast("string"), F.concat((100 + k % 900).cast("string"), F.lit(",00"))
+    person = F.when(F.col("p_nome").isNotNull(), text("FINANCIADO: ", F.col("p_nome"), " (", F.col("p_cpf"), ")")).otherwise(text("CPF: ", F.col("p_cpf")))
+    full = text("PLANILHA\nProposta: ", number, " LOJA: AUTO  CENTRO ", F.col("last_name_"), " VENDEDOR: A\n", person, "\nData de Nasc.: ", F.col("p_nasc"), " Sexo: F\nNaturalidade: SAO JOSE UF Naturalidade: SC\nFil. Pai: X Fil. Mãe: MARIA DE SOUZA Qtde Dependentes: 0\nLIMA\nNome Cônjuge: Y\n",
+                "Endereço: RUA DAS FLORES Nº.:", (1 + k % 900).cast("string"), " Compl.: apto 3 Cep: 88000-000\nEmpresa: ACME ", k.cast("string"), " LTDA C.N.P.J: 1\nData Adm.: ", F.col("p_nasc"), " Cargo: Z\nSalário: ", blank("p_salario"), " Outras Rendas: ", blank("p_outras"), " Vlr. Parcela: ", rate, F.coalesce(_optional("\nVlr. Compra: ", "p_compra"), F.lit("")))
+    below = text("proposta:\n", number, "\nloja:\nauto centro sul telefone: 1\n", F.when(F.col("p_nome").isNotNull(), text("financiado:\n", F.lower("p_nome"), "\n(", F.col("p_cpf"), "A)")).otherwise(text("cpf:\n", F.col("p_cpf"))), "\ndata de nasc:\n", F.col("p_nasc"), "\nnaturalidade: lages uf naturalidade: sc\nFil Mae: ana\nmaria  Qtde Dep\nNome Cônjuge: OUTRA\n",
+                 "endereço: rua  nova\nNo 7\ncep: 1\nempresa: acme\nbranca C.N.P.J\ndata adm.:\n01/02/2020\ncargo\nsalário:\n", blank("p_salario"), "\noutras rendas: R$ ", blank("p_outras"), "\nVlr. Parcela:\nValor da Prestação - R$ ", rate, F.coalesce(_optional("\nVLR COMPRA R$ ", "p_compra"), F.lit("")))
+    other = text("Proposta: ", number, "\n", person, "\nLOJA: BANCO\nEndereço: ESTRADA GERAL Compl.: FUNDOS 2 Cep: 1\nFil. Mãe: ROSA Qtde Dependentes: 1\n12 anos\nLIMA\nParcela mensal de R$ ", rate)
+    rows = f.withColumn("last_name_", F.element_at(F.split("full_name", " "), -1))
+    return rows.select(k.alias("doc_id"), F.when(k % 3 == 0, full).when(k % 3 == 1, below).otherwise(other).alias("text"))
+
+
+@query(f"""WITH {FLAT} SELECT k AS doc_id, (1000 + k)::varchar AS proposta, p_nome AS nome_financiado, cpf, CASE k % 3 WHEN 0 THEN 'AUTO CENTRO ' || split_part(full_name, ' ', -1) WHEN 1 THEN 'AUTO CENTRO SUL' END AS nome_loja,
+  CASE WHEN k % 3 < 2 THEN p_nasc END AS data_nascimento, ['SAO JOSE', 'LAGES', NULL][k % 3 + 1] AS cidade_nascimento, CASE WHEN k % 3 < 2 THEN 'SC' END AS uf, ['MARIA DE SOUZA LIMA', 'ANA MARIA', 'ROSA'][k % 3 + 1] AS nome_mae,
+  ['RUA DAS FLORES', 'rua nova', 'ESTRADA GERAL'][k % 3 + 1] AS endereco, CASE k % 3 WHEN 0 THEN (1 + k % 900)::varchar WHEN 1 THEN '7' END AS numero, ['APTO 3', NULL, 'FUNDOS 2'][k % 3 + 1] AS complemento, CASE k % 3 WHEN 0 THEN 'ACME ' || k || ' LTDA' WHEN 1 THEN 'acme branca' END AS empresa,
+  CASE k % 3 WHEN 0 THEN p_nasc WHEN 1 THEN '01/02/2020' END AS data_admissao, CASE WHEN k % 3 < 2 THEN p_salario END AS salario, CASE WHEN k % 3 < 2 THEN p_outras END AS outras_rendas, (100 + k % 900) || ',00' AS valor_parcela, CASE WHEN k % 3 < 2 THEN p_compra END AS valor_compra FROM flat WHERE has_proposal""")
 def x4_extract_proposal(spark, sf_dir):
-    got = extract.extract_proposal(proposal_texts(spark, sf_dir))
-    return got.select("doc_id", "proposta", "nome_financiado", "cpf", "data_nascimento", "uf", "numero", "salario", "outras_rendas", "vlr_compra")
+    return extract.extract_proposal(proposal_texts(spark, sf_dir))
 
 
 @query(f"WITH {FLAT} SELECT k AS doc_id, full_name AS nome, cpf, ['A', 'B', 'AB', 'AC', 'D'][k % 5 + 1] AS categoria, p_nasc AS data_nascimento, '31/12/20' || (30 + k % 60) AS validade, CASE WHEN k % 2 = 0 THEN 'PR' ELSE 'SC' END AS uf_nascimento FROM flat WHERE has_licence_registry")
@@ -424,8 +441,7 @@ def x6_extract_licence_registry(spark, sf_dir):
     return got.select("doc_id", "nome", "cpf", "categoria", "data_nascimento", "validade", "uf_nascimento")
 
 
-@query(f"WITH {FLAT} SELECT k AS doc_id, full_name AS nome, cpf, 'ACME ' || k || ' LTDA' AS empregador, p_nasc AS data_admissao, h_total AS total_vencimentos FROM flat WHERE has_payslip AND h_total IS NOT NULL")
-def x7_extract_payslip(spark, sf_dir):
+def payslip_texts(spark, sf_dir) -> DataFrame:
     """Values on their labels' lines, below them, and without any label."""
     f = casegen.flat(spark, sf_dir).where("has_payslip and h_total is not null")
     k, acme = F.col("k"), F.concat(F.lit("ACME "), F.col("k").cast("string"), F.lit(" LTDA"))
@@ -433,15 +449,24 @@ def x7_extract_payslip(spark, sf_dir):
     below = F.concat(F.lit("RECIBO\nRAZAO SOCIAL\n"), acme, F.lit("\nNOME\n"), F.col("full_name"), F.lit("\nCPF\n"), F.col("p_cpf"), F.lit("\nDT ADMISSAO\n"), F.col("p_nasc"), F.lit("\nTOTAL PROVENTOS\n"), F.col("h_total"), F.lit("\n1,00"))
     bare = F.concat(acme, F.lit("  "), F.lit("\n"), F.col("full_name"), F.lit("\n"), F.col("p_cpf"), F.lit("\n"), F.col("p_nasc"), F.lit("\n5,00 "), F.col("h_total"))
     text = F.when(k % 3 == 0, same).when((k % 3 == 1) | (F.length(acme) < 12), below).otherwise(bare)
-    return extract.extract_payslip(f.select(k.alias("doc_id"), text.alias("text")))
+    return f.select(k.alias("doc_id"), text.alias("text"))
 
 
-@query(f"WITH {FLAT} SELECT k AS doc_id, 'ABC1D23' AS placa, t_renavam AS renavam, p_compra AS valor, coalesce(t_comprador, '') AS comprador_nome, coalesce(t_comprador_doc, '') AS comprador_cpf_cnpj, t_vendedor AS vendedor_nome, t_vendedor_doc AS vendedor_cpf_cnpj FROM (SELECT * REPLACE (CASE WHEN t_renavam = renavam_ok THEN t_renavam END AS t_renavam) FROM flat) WHERE has_transfer")
-def x15_extract_transfer(spark, sf_dir):
+@query(f"WITH {FLAT} SELECT k AS doc_id, full_name AS nome, cpf, 'ACME ' || k || ' LTDA' AS empregador, p_nasc AS data_admissao, h_total AS total_vencimentos FROM flat WHERE has_payslip AND h_total IS NOT NULL")
+def x7_extract_payslip(spark, sf_dir):
+    return extract.extract_payslip(payslip_texts(spark, sf_dir))
+
+
+def transfer_texts(spark, sf_dir) -> DataFrame:
     f = casegen.flat(spark, sf_dir).where("has_transfer")
     opt = lambda label, c: F.when(F.col(c).isNotNull(), F.concat(F.lit(f"{label}: "), F.col(c)))
     text = F.concat_ws("\n", F.lit("AUTORIZAÇÃO PARA TRANSFERÊNCIA"), F.lit("Placa: ABC1D23"), opt("Renavam", "t_renavam"), opt("Valor da Venda R$", "p_compra"), F.lit("DADOS DO VENDEDOR"), opt("Nome", "t_vendedor"), opt("CPF/CNPJ", "t_vendedor_doc"), F.lit("DADOS DO COMPRADOR"), opt("Nome", "t_comprador"), opt("CPF/CNPJ", "t_comprador_doc"))
-    return extract.extract_transfer(f.select(F.col("k").alias("doc_id"), text.alias("text"))).drop("chassi")
+    return f.select(F.col("k").alias("doc_id"), text.alias("text"))
+
+
+@query(f"WITH {FLAT} SELECT k AS doc_id, 'ABC1D23' AS placa, t_renavam AS renavam, p_compra AS valor, coalesce(t_comprador, '') AS comprador_nome, coalesce(t_comprador_doc, '') AS comprador_cpf_cnpj, t_vendedor AS vendedor_nome, t_vendedor_doc AS vendedor_cpf_cnpj FROM (SELECT * REPLACE (CASE WHEN t_renavam = renavam_ok THEN t_renavam END AS t_renavam) FROM flat) WHERE has_transfer")
+def x15_extract_transfer(spark, sf_dir):
+    return extract.extract_transfer(transfer_texts(spark, sf_dir)).drop("chassi")
 
 
 def _registry_texts(spark, sf_dir) -> DataFrame:
@@ -543,30 +568,55 @@ def x5_extract_licence(spark, sf_dir):
     return got.select("doc_id", "nome", "cpf", "data_nascimento", "validade", "cidade_nascimento", F.array_join(F.array_sort("filiacao"), ",").alias("pais"), "low_signal")
 
 
-@query(f"WITH {FLAT} SELECT k AS doc_id, full_name AS titular, 'RUA DAS FLORES, ' || k AS endereco, lpad((80000 + k % 1000)::varchar, 5, '0') || '-000' AS cep, CASE WHEN k % 2 = 0 THEN 'CURITIBA' ELSE 'LAGES' END AS cidade, CASE WHEN k % 2 = 0 THEN 'PR' ELSE 'SC' END AS uf, CASE WHEN k % 3 = 2 THEN '01/01/2031' ELSE p_nasc END AS vencimento FROM flat")
+def residence_texts(spark, sf_dir) -> DataFrame:
+    """Labels with and without colon, tails behind address and town, and the due date in each of its readings."""
+    f, k = casegen.flat(spark, sf_dir), F.col("k")
+    t = lambda *parts: F.concat(*(F.lit(x) if isinstance(x, str) else x for x in parts))
+    holder = F.when(k % 3 == 0, t("CLIENTE: 6969640\nNOME DO CONSUMIDOR: ", F.col("full_name"))).when(k % 3 == 1, t("Nome do titular ", F.col("full_name"))).otherwise(t("NOME - ", F.col("full_name")))
+    address = F.when(k % 2 == 0, t("\nENDEREÇO: Rua do Contrato Novo 7, ", k.cast("string"), " Cliente:6969640")).otherwise(t("\nEndereco Rua das Flores ", k.cast("string"), " UC 77 NOTA FISCAL 3"))
+    town = F.when(k % 2 == 0, F.lit("\nCIDADE: CURITIBA - PR GRUPO / SUBGRUPO: B1")).otherwise(F.lit("\nCidade LAGES SC https://x.y/z"))
+    due = (F.when(k % 5 == 0, t("DATA DE VENCIMENTO: ", F.col("p_nasc"))).when(k % 5 == 1, t("VENC. ", F.col("p_nasc"))).when(k % 5 == 2, t("PAGAR ATÉ ", F.col("p_nasc")))
+           .when(k % 5 == 3, t("VENC EMIS 02/01/2039\nVENC da fatura em ", F.col("p_nasc"), " x")).otherwise(t("leitura ", F.col("p_nasc"), " proxima 01/01/2031")))
+    return f.select(k.alias("doc_id"), t(holder, address, "\nCEP ", (80000 + k % 1000).cast("string"), "-000", town, "\nEMISSÃO 01/01/2040\n", due).alias("text"))
+
+
+@query(f"WITH {FLAT} SELECT k AS doc_id, full_name AS nome_titular, CASE WHEN k % 2 = 0 THEN 'Rua do Contrato Novo 7, ' || k ELSE 'Rua das Flores ' || k END AS endereco, (80000 + k % 1000) || '-000' AS cep, CASE WHEN k % 2 = 0 THEN 'CURITIBA' ELSE 'LAGES' END AS cidade, CASE WHEN k % 2 = 0 THEN 'PR' ELSE 'SC' END AS uf, CASE WHEN k % 5 = 4 THEN '01/01/2031' ELSE p_nasc END AS vencimento FROM flat")
 def x10_extract_residence(spark, sf_dir):
-    f = casegen.flat(spark, sf_dir)
-    text = F.concat(F.lit("CLIENTE: "), F.col("full_name"), F.lit("\nENDEREÇO: RUA DAS FLORES, "), F.col("k").cast("string"), F.lit(" - UNIDADE CONSUMIDORA 99\nCEP "), (80000 + F.col("k") % 1000).cast("string"), F.when(F.col("k") % 2 == 0, F.lit("-000\nCIDADE: CURITIBA - PR")).otherwise(F.lit("-000\nCIDADE: LAGES/SC")),
-                    F.lit("\nEMISSÃO 01/01/2040\n"), F.when(F.col("k") % 3 == 0, F.concat(F.lit("VENCIMENTO: "), F.col("p_nasc"))).when(F.col("k") % 3 == 1, F.concat(F.lit("PAGAR ATÉ "), F.col("p_nasc"))).otherwise(F.concat(F.lit("leitura "), F.col("p_nasc"), F.lit(" proxima 01/01/2031"))))
-    return extract.extract_residence(f.select(F.col("k").alias("doc_id"), text.alias("text")))
+    return extract.extract_residence(residence_texts(spark, sf_dir))
+
 
+def certificate_texts(spark, sf_dir) -> DataFrame:
+    """Values on their labels' lines, or below them; one in four lacks years, colour and date."""
+    f, k = casegen.flat(spark, sf_dir).where("has_vehicle"), F.col("k")
+    t = lambda *parts: F.concat(*(F.lit(x) if isinstance(x, str) else x for x in parts))
+    nn = F.lpad((k % 100).cast("string"), 2, "0")
+    same = t("QR CODE\nPLACA ABC1D", nn, " CODIGO RENAVAM ", F.col("renavam_ok"), "\nDENATRAN 11122233344\nMARCA/MODELO: VW GOL ", k.cast("string"), "\nANO FAB/MOD 2009/2010\nCHASSI 9BWZZZ377VT004251\nCATEGORIA PARTICULAR\nCOMBUST: FLEX\nCOR: PRATA\nPROPRIET: ", F.col("full_name"), " 529.982.247-25\nUF SC\nLOCAL: LAGES DATA 5/3/2024 6/4/2024")
+    below = t("placa\nabc1d", nn, "\nrenavam\n", F.col("renavam_ok"), "\nMARCA/MODELO\nFIAT UNO\nchassi 9BWZZZ377VT004251\nCATEGORIA\nALUGUEL\nCOMBUST\nGASOLINA\nPROPRIET\n", F.col("full_name"), "\nUF\nPR\nLOCAL\nCURITIBA", F.when(k % 16 == 12, F.lit("")).otherwise(F.lit("\nANO FAB/MOD\n2015\nCOR\nAZUL\n15/12/2023")))
+    return f.select(k.alias("doc_id"), F.when(k % 8 == 0, same).otherwise(below).alias("text"))
 
-@query(f"WITH {FLAT} SELECT k AS doc_id, 'ABC1D23' AS placa, renavam_ok AS renavam, '9BWZZZ377VT004251' AS chassi, full_name AS proprietario_nome FROM flat WHERE has_vehicle")
+
+@query(f"""WITH {FLAT} SELECT k AS doc_id, 'ABC1D' || lpad((k % 100)::varchar, 2, '0') AS placa, renavam_ok AS renavam, '9BWZZZ377VT004251' AS chassi, CASE WHEN k % 8 = 0 THEN 'VW GOL ' || k ELSE 'FIAT UNO' END AS marca_modelo, CASE WHEN k % 8 = 0 THEN 'PARTICULAR' ELSE 'ALUGUEL' END AS categoria,
+  CASE WHEN k % 8 = 0 THEN 'FLEX' ELSE 'GASOLINA' END AS combustivel, CASE WHEN k % 8 = 0 THEN 'PRATA' WHEN k % 16 = 4 THEN 'AZUL' END AS cor, full_name || CASE WHEN k % 8 = 0 THEN ' 529.982.247-25' ELSE '' END AS proprietario_nome, CASE WHEN k % 8 = 0 THEN 'SC' ELSE 'PR' END AS uf_licenciamento,
+  CASE WHEN k % 8 = 0 THEN 'LAGES DATA 5/3/2024 6/4/2024' ELSE 'CURITIBA' END AS local_emissao, CASE WHEN k % 8 = 0 THEN '2009' WHEN k % 16 = 4 THEN '2015' END AS ano_fabricacao, CASE WHEN k % 8 = 0 THEN '2010' WHEN k % 16 = 4 THEN '2015' END AS ano_modelo,
+  CASE WHEN k % 8 = 0 THEN '529.982.247-25' END AS proprietario_doc, CASE WHEN k % 8 = 0 THEN '05/03/2024' WHEN k % 16 = 4 THEN '15/12/2023' END AS data_emissao FROM flat WHERE has_vehicle""")
 def x11_extract_vehicle_certificate(spark, sf_dir):
-    f = casegen.flat(spark, sf_dir).where("has_vehicle")
-    text = F.concat(F.lit("QR CODE\nPLACA\nABC1D23\nRENAVAM: "), F.col("renavam_ok"), F.lit("\nCHASSI\n9BWZZZ377VT004251\nNOME\n"), F.col("full_name"))
-    return extract.extract_vehicle_certificate(f.select(F.col("k").alias("doc_id"), text.alias("text"))).select("doc_id", "placa", "renavam", "chassi", "proprietario_nome")
+    return extract.extract_vehicle_certificate(certificate_texts(spark, sf_dir))
+
 
+def vehicle_texts(spark, sf_dir) -> DataFrame:
+    """The new layout (with and without labels), and old ones that only its readings see: spaces inside the plate, confused glyphs."""
+    f, k = casegen.flat(spark, sf_dir).where("has_vehicle"), F.col("k")
+    nn = F.lpad((k % 100).cast("string"), 2, "0")
+    new = F.concat(F.lit("1980 x\nPlaca ABC10"), nn, F.when(k % 16 == 0, F.lit(" Renavam ")).otherwise(F.lit(" ")), F.col("renavam_ok"), F.lit(" chassi 9BWZZZ377VT004251\nANO FABRICAÇÃO/MODELO: 2009/2009 NOME "), F.col("full_name"), F.lit(" CPF 1"))
+    spaced = F.concat_ws(" ", F.lit("PLACA: A B C 1 O"), F.substring(nn, 1, 1), F.substring(nn, 2, 1), F.lit("anos 2007 2008"))
+    swapped = F.concat(F.lit("Placa: XYZIB"), nn)
+    return f.select(k.alias("doc_id"), F.when(k % 8 == 0, new).when(k % 16 == 4, spaced).otherwise(swapped).alias("text"))
 
-@query(f"""WITH {FLAT} SELECT k AS doc_id, CASE WHEN k % 8 = 0 THEN 'new' ELSE 'legacy' END AS layout,
-  CASE WHEN k % 8 = 0 THEN 'ABC10' WHEN k % 16 = 4 THEN 'ABC1O' ELSE 'XYZ18' END || lpad(cast(k % 100 AS varchar), 2, '0') AS placa, CASE WHEN k % 8 = 0 OR k % 16 = 12 THEN renavam_ok END AS renavam FROM flat WHERE has_vehicle""")
+
+@query(f"""WITH {FLAT} SELECT k AS doc_id, CASE WHEN k % 8 = 0 THEN 'new' ELSE 'legacy' END AS layout, CASE WHEN k % 8 = 0 OR k % 16 = 4 THEN 'ABC10' ELSE 'XYZ18' END || lpad(cast(k % 100 AS varchar), 2, '0') AS placa, CASE WHEN k % 8 = 0 THEN renavam_ok END AS renavam,
+  CASE WHEN k % 8 = 0 THEN '9BWZZZ377VT004251' END AS chassi, CASE WHEN k % 8 = 0 THEN 2009 WHEN k % 16 = 4 THEN 2007 END::int AS ano_fabricacao, CASE WHEN k % 8 = 0 THEN 2009 WHEN k % 16 = 4 THEN 2008 END::int AS ano_modelo, CASE WHEN k % 8 = 0 THEN full_name END AS proprietario FROM flat WHERE has_vehicle""")
 def x14_route_vehicle_document(spark, sf_dir):
-    f = casegen.flat(spark, sf_dir).where("has_vehicle")
-    nn = F.lpad((F.col("k") % 100).cast("string"), 2, "0")
-    spaced = F.concat_ws(" ", F.lit("PLACA: A B C 1 O"), F.substring(nn, 1, 1), F.substring(nn, 2, 1))
-    swapped = F.concat(F.lit("Placa: XYZIB"), nn, F.lit("\nR E N A V A M "), F.col("renavam_ok"))  # glyphs confused, and a label with spaces
-    text = F.when(F.col("k") % 8 == 0, F.concat(F.lit("Placa ABC10"), nn, F.lit(" Renavam "), F.col("renavam_ok"))).when(F.col("k") % 16 == 4, spaced).otherwise(swapped)
-    return extract.route_vehicle_document(f.select(F.col("k").alias("doc_id"), text.alias("text"))).select("doc_id", "layout", "placa", "renavam")
+    return extract.route_vehicle_document(vehicle_texts(spark, sf_dir))
 
 
 @query(f"WITH {FLAT} SELECT case_id, CASE WHEN cpf_valid THEN 'ok' ELSE 'dv_mismatch' END AS cpf_reason, CASE WHEN cpf_valid THEN '' ELSE 'cpf:dv_mismatch,' END || CASE WHEN p_nome IS NULL THEN 'nome:missing,' ELSE '' END || CASE WHEN h_total IS NULL THEN 'total_vencimentos:missing,' ELSE '' END AS warnings FROM flat WHERE has_payslip")
@@ -761,11 +811,33 @@ def j1_variant_field(spark, sf_dir):
     return w.select("case_id", F.coalesce(rules.field("proposal", "absent", "nome_financiado"), F.lit("none")).alias("name"), rules.raw("registry_lookup", "restricao_administrativa_ativa", "boolean").alias("restricted"))
 
 
-@query(f"WITH {FLAT} SELECT k AS doc_id, 'licence' AS doc_type, full_name AS name FROM flat WHERE has_licence UNION ALL SELECT k, 'registry_lookup', CASE WHEN k % 25 = 0 THEN 'S*** F***' ELSE t_vendedor END FROM flat WHERE has_registry")
+#: For each type of the dispatch query: its texts, the field shown, and what it must be as SQL with its condition.
+DISPATCHED = {
+    "proposal": (proposal_texts, "nome_financiado", "p_nome", "has_proposal"), "licence": (_licence_texts, "nome", "full_name", "has_licence"), "payslip": (payslip_texts, "nome", "full_name", "has_payslip AND h_total IS NOT NULL"),
+    "payroll": (payslip_texts, "cpf", "cpf", "has_payslip AND h_total IS NOT NULL"), "residence_proof": (residence_texts, "nome_titular", "full_name", "true"), "vehicle_certificate": (certificate_texts, "renavam", "renavam_ok", "has_vehicle"),
+    "vehicle_document": (vehicle_texts, "proprietario", "CASE WHEN k % 8 = 0 THEN full_name END", "has_vehicle"), "transfer": (transfer_texts, "vendedor_nome", "t_vendedor", "has_transfer"),
+    "registry_lookup": (_registry_texts, "proprietario_nome", "CASE WHEN k % 25 = 0 THEN 'S*** F***' ELSE t_vendedor END", "has_registry"),
+}
+
+
+def mixed_texts(spark, sf_dir) -> DataFrame:
+    """Texts of all types in one written table."""
+    out = statement_texts(spark, sf_dir).select("doc_id", "text", F.lit("bank_statement").alias("doc_type"))
+    for kind, (texts, *_) in DISPATCHED.items():
+        out = out.unionByName(texts(spark, sf_dir).select(F.col("doc_id").cast(out.schema["doc_id"].dataType).alias("doc_id"), "text", F.lit(kind).alias("doc_type")))
+    path = _folder(spark)
+    out.write.parquet(path)
+    return spark.read.schema(out.schema).parquet(path)
+
+
+@query(f"WITH {FLAT}, t AS ({casegen.TX_SQL}) " + " UNION ALL ".join(f"SELECT k AS doc_id, '{kind}' AS doc_type, {value} AS shown, NULL::bigint AS n_tx FROM flat WHERE {when}" for kind, (_, _, value, when) in DISPATCHED.items()) + f" UNION ALL SELECT doc_id, 'bank_statement', {KIND}, count(*) FROM t GROUP BY doc_id")
 def f1_extract_all(spark, sf_dir):
-    texts = _licence_texts(spark, sf_dir).withColumn("doc_type", F.lit("licence")).unionByName(_registry_texts(spark, sf_dir).withColumn("doc_type", F.lit("registry_lookup")))
-    got = extract.extract_all(texts)
-    return got.select("doc_id", "doc_type", F.coalesce(F.try_variant_get("data", "$.nome", "string"), F.try_variant_get("data", "$.proprietario_nome", "string")).alias("name"))
+    """Every document type, bank statements among them, from one scan."""
+    shown = F.try_variant_get("data", "$.estrategia", "string")
+    for kind, (_, field, _, _) in DISPATCHED.items():
+        shown = F.when(F.col("doc_type") == kind, F.try_variant_get("data", f"$.{field}", "string")).otherwise(shown)
+    n = F.size(F.try_variant_get("data", "$.lancamentos", "array<variant>"))
+    return extract.extract_all(mixed_texts(spark, sf_dir)).select("doc_id", "doc_type", shown.alias("shown"), F.when(F.col("doc_type") == "bank_statement", n).cast("long").alias("n_tx"))
 
 
 # Sources and sinks, over files that are written from the tables to the shared folder
