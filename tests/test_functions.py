@@ -216,14 +216,6 @@ def test_strategies_are_extended_and_share_one_pass(spark):
     assert plan.count("Exchange hashpartitioning") == 1
 
 
-def test_one_batch_with_a_document_twice(spark, tmp_path):
-    rows = [{"case_id": "c", "doc_type": "cnh", "file_name": "a.json", "raw": "{}"}] * 3
-    (tmp_path / "in").mkdir()
-    (tmp_path / "in" / "1.json").write_text("\n".join(map(json.dumps, rows)))
-    stream_intake(spark, str(tmp_path / "in"), "case_id string, doc_type string, file_name string, raw string", str(tmp_path / "store"), str(tmp_path / "reports"), lambda s: s.groupBy("case_id").agg(F.count("*").alias("n")), str(tmp_path / "ck"), 4).awaitTermination()
-    assert spark.read.parquet(str(tmp_path / "store")).count() == 1
-
-
 def test_payslips(spark):
     rows = [(1, ""), (2, "NOME\nJOAO DA SILVA\nCPF 123.456.789-00\n"), (3, "NOME\nMARIA DE SOUZA\nCPF 111.444.777-35\nAdmissao 1/2/2020"), (4, None)]
     got = {r.doc_id: r for r in extract.extract_payslip(spark.createDataFrame(rows, "doc_id int, text string")).collect()}

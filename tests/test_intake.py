@@ -111,3 +111,9 @@ def test_generations(spark, tmp_path):
     assert G.publish(rows(a=3), path, "q-2") and get()["a"] == 3
     assert {r.case_id: r.v for r in old.collect()} == {"a": 1, "b": 1, "c": 1}  # a reader from before
     assert G.vacuum(spark, path) == 2 and get() == {"a": 3, "b": 2, "c": 1, "d": 2} and len(os.listdir(f"{path}/data")) == 2
+
+
+def test_one_batch_with_a_document_twice(spark, intake):
+    intake.arrive(1, [doc("c", "cnh", {})] * 3)
+    intake.run()
+    assert spark.read.parquet(f"{intake.path}/store").count() == 1 and intake.reports()["c"][2] == {"licence": 1}

@@ -77,7 +77,7 @@ def latest_date(c: Column | str) -> Column:
 
 def year_pair(c: Column | str) -> tuple[Column, Column]:
     """The first two distinct years; one year stands for both."""
-    years = F.array_distinct(F.regexp_extract_all(text(c), F.lit(r"(?<!\d)((?:19|20)\d{2})(?!\d)"), 1))
+    years = F.array_distinct(F.regexp_extract_all(text(c), F.lit(r"\b((?:19|20)\d{2})\b"), 1))
     a, b = F.get(years, F.lit(0)).try_cast("int"), F.get(years, F.lit(1)).try_cast("int")
     return a, F.coalesce(b, a)
 

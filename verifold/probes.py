@@ -125,7 +125,7 @@ Y = "cast(1960 + k % 40 as string)"
 YS = "(1960 + k % 40)"
 probe("d7_anchored_year_pair", lambda c: F.concat_ws(",", *(x.cast("string") for x in dates.anchored_year_pair(c))),
       (f"'1901 ANO FABRICACAO/MODELO: ' || {Y} || '/2010'", f"{YS} || ',2010'"), (f"'1901 ' || repeat('X', 50) || ' ANO DE FAB. E ANO DO MOD. ' || {Y} || ' E 2012 1902'", f"{YS} || ',2012'"),
-      (f"'1901 ' || repeat('X', 50) || ' ANO DE FAB. E DO MODELO: ' || {Y}", f"{YS} || ',' || {YS}"), (f"'1901 ANO DA FABRICACAO E DO MODELO' || repeat('X', 90) || {Y}", "'1901,1901'"), (f"'ANO FAB MOD ' || repeat('X', 90) || ' ' || {Y}", "''"),
+      (f"'1901 ' || repeat('X', 50) || ' ANO DE FAB. E DO MODELO: ' || {Y}", f"{YS} || ',' || {YS}"), (f"'1901 ANO DA FABRICACAO E DO MODELO ' || repeat('X', 90) || {Y}", "'1901,1901'"), (f"'ANO FAB MOD ' || repeat('X', 90) || ' ' || {Y}", "''"),
       (f"'1901 FAB/MOD ' || {Y} || '/2013'", f"{YS} || ',2013'"), (f"'1901 E ' || {Y}", f"'1901,' || {YS}"), ("full_name", "''"))
 probe("d8_expiry_sanity", joined(two(lambda expiry, birth: dates.expiry_sanity(dates.parse_date(expiry), dates.parse_date(birth), F.lit(TODAY).cast("date")))),
       ("'01/02/2026|' || p_nasc", "'expiry_soon'"), ("'01/01/2087|' || p_nasc", "'expiry_far'"), ("'01/01/2030|01/01/2027'", "'birth_in_future'"), ("'01/01/2030|' || p_nasc", "''"))
@@ -149,4 +149,4 @@ probe("x12_vehicle_fields", lambda c: F.concat_ws("|", *(extract.vehicle_fields(
 probe("x13_legacy_fields", lambda c: F.concat_ws("|", *(extract.legacy_fields(c)[k].cast("string") for k in ("placa", "renavam", "chassi", "ano_fabricacao", "ano_modelo"))),
       (f"'Placa AYH03' || {NN} || ' Renavam ' || renavam_ok || ' chassi 9BWZZZ377VT004251 2007'", f"'AYH03' || {NN} || '|' || renavam_ok || '|9BWZZZ377VT004251|2007|2007'"),
       (f"'a.Y.H.O.3.' || substr({NN}, 1, 1) || '.' || substr({NN}, 2, 1) || ' X ' || renavam_ok || ' 2007 2008 9BWZZZ377VT004251'", f"'AYH03' || {NN} || '|' || renavam_ok || '|9BWZZZ377VT004251|2007|2008'"),
-      (f"'ABC-1D' || {NN} || ' fim'", f"'ABC1D' || {NN}"), (f"'Placa: ABC-1D' || {NN}", f"'ABC1D' || {NN}"), ("full_name", "''"))
+      (f"'ABC-1D' || {NN} || ' fim'", f"'ABC1D' || {NN}"), (f"'Placa: ABC-1D' || {NN}", f"'ABC1D' || {NN}"), ("'nada aqui'", "''"))

@@ -613,8 +613,8 @@ def vehicle_texts(spark, sf_dir) -> DataFrame:
     return f.select(k.alias("doc_id"), F.when(k % 8 == 0, new).when(k % 16 == 4, spaced).otherwise(swapped).alias("text"))
 
 
-@query(f"""WITH {FLAT} SELECT k AS doc_id, CASE WHEN k % 8 = 0 THEN 'new' ELSE 'legacy' END AS layout, CASE WHEN k % 8 = 0 OR k % 16 = 4 THEN 'ABC10' ELSE 'XYZ18' END || lpad(cast(k % 100 AS varchar), 2, '0') AS placa, CASE WHEN k % 8 = 0 THEN renavam_ok END AS renavam,
-  CASE WHEN k % 8 = 0 THEN '9BWZZZ377VT004251' END AS chassi, CASE WHEN k % 8 = 0 THEN 2009 WHEN k % 16 = 4 THEN 2007 END::int AS ano_fabricacao, CASE WHEN k % 8 = 0 THEN 2009 WHEN k % 16 = 4 THEN 2008 END::int AS ano_modelo, CASE WHEN k % 8 = 0 THEN full_name END AS proprietario FROM flat WHERE has_vehicle""")
+@query(f"""WITH {FLAT} SELECT k AS doc_id, CASE WHEN k % 8 = 0 THEN 'new' ELSE 'legacy' END AS layout, CASE WHEN k % 8 = 0 OR k % 16 = 4 THEN 'ABC10' ELSE 'XYZ18' END || lpad(cast(k % 100 AS varchar), 2, '0') AS placa, CASE WHEN k % 8 = 0 THEN renavam_ok WHEN k % 16 = 4 THEN '1' || lpad(cast(k % 100 AS varchar), 2, '0') || '20072008' END AS renavam,
+  CASE WHEN k % 8 = 0 THEN '9BWZZZ377VT004251' WHEN k % 16 = 4 THEN 'PLACAABC1O' || lpad(cast(k % 100 AS varchar), 2, '0') || 'ANOS2' END AS chassi, CASE WHEN k % 8 = 0 THEN 2009 WHEN k % 16 = 4 THEN 2007 END::int AS ano_fabricacao, CASE WHEN k % 8 = 0 THEN 2009 WHEN k % 16 = 4 THEN 2008 END::int AS ano_modelo, CASE WHEN k % 8 = 0 THEN full_name END AS proprietario FROM flat WHERE has_vehicle""")
 def x14_route_vehicle_document(spark, sf_dir):
     return extract.route_vehicle_document(vehicle_texts(spark, sf_dir))
 
