@@ -949,6 +949,33 @@ def a6_report_generations(spark, sf_dir):
     return current(spark, path).drop("generation")
 
 
+def _raising():
+    """A family that raises for some cases."""
+    fails = F.substring("case_id", 2, 9).cast("long") % 700 == 7
+    return F.when(fails, F.raise_error(F.lit("unreadable")).cast(rules.CHECK)).otherwise(F.array().cast(rules.CHECK))
+
+
+@query(f"SELECT case_id, CASE WHEN substr(case_id, 2)::bigint % 700 = 7 THEN 'WARN' ELSE overall_status END AS overall_status, CASE WHEN substr(case_id, 2)::bigint % 700 = 7 THEN 1 ELSE n_ok + n_warn + n_missing + n_fail END AS n_checks, substr(case_id, 2)::bigint % 700 = 7 AS failed FROM ({SQL['v13_master_report']})")
+def v14_isolated_report(spark, sf_dir):
+    """One family raises for a few cases: these get the minimal report, all others their own."""
+    r = report.isolated_report(store(spark, sf_dir), F.lit(TODAY), _folder(spark), [*rules.FAMILIES, _raising])
+    return r.select("case_id", "overall_status", F.size("checks").cast("long").alias("n_checks"), F.exists("checks", lambda c: c["check_id"] == report.FAULT).alias("failed"))
+
+
+def _raising_strategy(lines):
+    """The layout of lines that end with their value, raising for some documents."""
+    rows, own = statements.line_end_value(lines)
+    return rows.withColumn("line", F.when(F.col("doc_id") % 300 == 6, F.raise_error(F.lit("unreadable")).cast("string")).otherwise(F.col("line"))), own
+
+
+@query(SQL["x9_extract_statement"].replace("CASE doc_id % 6 WHEN 0 THEN 'line_end_value'", "CASE doc_id % 6 WHEN 0 THEN CASE WHEN doc_id % 300 = 6 THEN 'date_last_value' ELSE 'line_end_value' END").replace("WHEN doc_id % 6 = 0 THEN -cents", "WHEN doc_id % 6 = 0 AND doc_id % 300 <> 6 THEN -cents"))
+def f2_isolated_strategies(spark, sf_dir):
+    """The first strategy raises for a few documents: there another one that reads them wins, without the sign it knows of."""
+    chosen = [("line_end_value", _raising_strategy), *statements.STRATEGIES[1:]]
+    got = statements.extract_statement_isolated(statement_texts(spark, sf_dir), _folder(spark), chosen)
+    return got.select("doc_id", "strategy", "data", F.round(F.col("valor") * 100).cast("bigint").alias("cents"))
+
+
 def queries() -> dict:
     return {**QUERIES, **probes.QUERIES}
 
