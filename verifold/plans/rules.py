@@ -85,6 +85,39 @@ def planned(wide: DataFrame, build: Callable[[], Column]) -> tuple[DataFrame, Co
     return wide, made
 
 
+def asked_fields(build: Callable[[], Column]) -> dict[str, set[str]]:
+    """Names that rules read, by the type or alias they read them from."""
+    token = _ASKED.set({})
+    try:
+        build()
+        asked = _ASKED.get()
+    finally:
+        _ASKED.reset(token)
+    out: dict[str, set[str]] = {}
+    for key in asked.get(0, {}):
+        _, t, name, _ = key.split("__")
+        out.setdefault(t, set()).add(name.split(".")[0])
+    return out
+
+
+def only_asked(store: DataFrame, build: Callable[[], Column]) -> DataFrame:
+    """A store whose data holds just the fields that rules read: from shredded VARIANT only these columns are scanned, and less is shuffled.
+
+    For rules that read through ``field`` and its kin.
+    """
+    asked = asked_fields(build)
+    mine = {t: set(asked.get(t, ())) for t in TYPES}
+    for alias, types in (("vehicle_data", VEHICLE), ("registry_any_data", REGISTRY)):
+        for t in types:
+            mine[t] |= asked.get(alias, set())
+    kind, data = public_type(F.col("doc_type")), F.lit(None).cast("variant")
+    for t, names in mine.items():
+        if names:
+            kept = F.to_variant_object(F.struct(*(F.try_variant_get("data", f"$.{n}", "variant").alias(n) for n in sorted(names))))
+            data = F.when(kind == t, kept).otherwise(data)
+    return store.withColumn("data", F.when(F.col("data").isNotNull(), data))
+
+
 def raw(t: str, name: str, as_type: str = "string") -> Column:
     """One field of a document, as it is."""
     return let(f"v__{t}__{name}__{as_type}", F.try_variant_get(F.col(t), f"$.{name}", as_type), 0)

@@ -14,7 +14,7 @@ from verifold.operators import cases as C
 from verifold.operators import lines as L
 from verifold.operators import tables as N
 from verifold.plans import extract, report, rules, statements
-from verifold.sources.store import append_documents, classify_read, document_envelope, file_inventory, load_report_inputs, parse_outcome, scan_document_store, scan_texts, shared_folder, write_reports
+from verifold.sources.store import append_documents, append_variants, classify_read, document_envelope, file_inventory, list_documents, load_report_inputs, newest_documents, parse_outcome, read_listed, scan_document_store, scan_texts, shared_folder, write_reports
 from verifold.sources.generations import compact, current, publish, vacuum
 from verifold.streaming.intake import stream_intake
 
@@ -949,6 +949,31 @@ def a6_report_generations(spark, sf_dir):
     return current(spark, path).drop("generation")
 
 
+@query(SQL["v13_master_report"])
+def a3_variant_store(spark, sf_dir):
+    """Documents as shredded VARIANT at rest; reports from just the fields that rules read."""
+    path = f"{_folder(spark)}/store"
+    append_variants(store(spark, sf_dir).drop("raw"), path)
+    return _shown(report.master_report(spark.read.parquet(path), F.lit(TODAY), only_asked=True))
+
+
+@query("SELECT 'n' || s_nationkey AS case_id, arg_max(s_name, s_suppkey) AS nome, count(*) AS n_docs FROM supplier GROUP BY 1")
+def a1_ingest_newest(spark, sf_dir):
+    """Three files a supplier's nation and more: only the newest of each case is opened."""
+    s = read(spark, sf_dir, "supplier")
+    root = _folder(spark)
+    names = F.concat(F.lpad(F.col("s_suppkey").cast("string"), 9, "0"), F.lit(".d"))
+    rows = s.select(F.concat(F.lit("n"), F.col("s_nationkey").cast("string")).alias("case_id"), names.alias("doc_type"), F.to_json(F.struct(F.struct(F.col("s_name").alias("nome")).alias("data"))).alias("value"))
+    rows.repartition("doc_type").write.partitionBy("case_id", "doc_type").text(root)
+    listed = list_documents(spark, root, pattern="*.txt")
+    # The folder is the supplier here, so it stands for the file's name.
+    value = lambda c: F.regexp_replace(c, "^[^=]*=", "")
+    newest = newest_documents(listed.select(value("case_id").alias("case_id"), F.lit("x").alias("doc_type"), value("doc_type").alias("file_name"), "path", "n_bytes"))
+    parts = F.split("path", "/")
+    files = newest.withColumns({"own": F.col("case_id"), "case_id": F.element_at(parts, -3), "doc_type": F.element_at(parts, -2), "file_name": F.element_at(parts, -1)})
+    return classify_read(read_listed(files)).select(F.col("own").alias("case_id"), F.try_variant_get("data", "$.nome", "string").alias("nome"), "n_docs")
+
+
 def _raising():
     """A family that raises for some cases."""
     fails = F.substring("case_id", 2, 9).cast("long") % 700 == 7

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -92,6 +93,74 @@ def append_documents(df: DataFrame, path: str, by: str = "doc_type") -> None:
     df.write.mode("append").partitionBy(by).parquet(path)
 
 
+#: Session settings while a VARIANT store is written: frequent fields become Parquet columns of their own.
+SHREDDING = {"spark.sql.variant.writeShredding.enabled": "true", "spark.sql.variant.inferShreddingSchema": "true"}
+
+
+def append_variants(df: DataFrame, path: str, mode: str = "append") -> None:
+    """Append classified documents (``data`` is VARIANT) to a Parquet store, by type and with their fields shredded: readers of single fields skip the rest."""
+    conf = df.sparkSession.conf
+    before = {k: conf.get(k, None) for k in SHREDDING}
+    for k, v in SHREDDING.items():
+        conf.set(k, v)
+    try:
+        df.write.mode(mode).partitionBy("doc_type").parquet(path)
+    finally:
+        for k, v in before.items():
+            conf.unset(k) if v is None else conf.set(k, v)
+
+
+# A tree of single files: listed first, and only what is needed is opened
+
+
+def list_documents(spark: SparkSession, root: str, doc_type: str | None = None, pattern: str = "*.json") -> DataFrame:
+    """case_id, doc_type, file_name, path, n_bytes of the files below <case>/<type>/; of one type, only its folders are listed. No file is opened."""
+    # The column content is not asked for, so this source reads metadata alone.
+    files = spark.read.format("binaryFile").load(f"{root}/*/{doc_type or '*'}/{pattern}").select("path", "length")
+    part = lambda i: F.regexp_extract("path", r"([^/]+)/([^/]+)/([^/]+)$", i)
+    return files.select(part(1).alias("case_id"), part(2).alias("doc_type"), part(3).alias("file_name"), "path", F.col("length").alias("n_bytes"))
+
+
+def newest_documents(listed: DataFrame) -> DataFrame:
+    """The file with the greatest name of each case and type, and n_docs, how many there are."""
+    best = listed.groupBy("case_id", "doc_type").agg(F.max_by(F.struct("file_name", "path", "n_bytes"), "file_name").alias("x"), F.count("*").alias("n_docs"))
+    return best.select("case_id", "doc_type", "x.*", "n_docs")
+
+
+def read_listed(listed: DataFrame) -> DataFrame:
+    """Adds raw, the contents of listed files; no other file is opened. Their paths come to the driver, so give a bounded number."""
+    spark = listed.sparkSession
+    kept = listed.toArrow()
+    rows = spark.createDataFrame(kept, listed.schema)
+    paths = [re.sub(r"([\\*?\[\]{}])", r"\\\1", p) for p in kept.column("path").to_pylist()]
+    if not paths:
+        return rows.withColumn("raw", F.lit(None).cast("string"))
+    texts = spark.read.text(paths, wholetext=True).select("_metadata.file_path", F.col("value").alias("raw"))
+    name = F.regexp_extract(F.url_decode(F.regexp_replace("file_path", r"\+", "%2B")), r"([^/]+/[^/]+/[^/]+)$", 1)
+    own = F.concat_ws("/", "case_id", "doc_type", "file_name")
+    return texts.join(F.broadcast(rows), name == own).select(*rows.columns, "raw")
+
+
+def ingest_newest(spark: SparkSession, root: str, path: str, doc_type: str | None = None, pattern: str = "*.json", batch_files: int = 10_000) -> DataFrame:
+    """Read the newest file of each case and type below ``root`` into a VARIANT store at ``path``; older files are counted, not opened.
+
+    The listing is written first, and files are read in batches of about ``batch_files``, each into a folder of its
+    own, so that a job that is run again goes on with the same files and writes over what was not complete.
+    """
+    listing = f"{path}/_listing"
+    p = spark._jvm.org.apache.hadoop.fs.Path(f"{listing}/_SUCCESS")
+    if not p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p):
+        newest_documents(list_documents(spark, root, doc_type, pattern)).write.mode("overwrite").parquet(listing)
+    listed = spark.read.parquet(listing)
+    batches = max(1, -(-listed.count() // batch_files))
+    for b in range(batches):
+        done = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/batch={b}/_SUCCESS")
+        if not done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done):
+            rows = read_listed(listed.where(F.pmod(F.xxhash64("path"), F.lit(batches)) == b))
+            append_variants(classify_read(rows).drop("raw"), f"{path}/batch={b}", "overwrite")
+    return spark.read.parquet(path).drop("batch")
+
+
 def bucket_of(buckets: int) -> Column:
     return F.pmod(F.xxhash64("case_id"), F.lit(buckets)).cast("int")
 
