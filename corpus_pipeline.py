@@ -44,12 +44,12 @@ def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     import public_tokenizers
 
     path = f"{shared_folder(spark)}/verifold/{uuid.uuid4().hex}/tokens"
+    number = F.regexp_extract("_metadata.file_name", r"part-(\d+)", 1).try_cast("long")
     try:
-        number = F.regexp_extract("_metadata.file_name", r"part-(\d+)", 1).try_cast("long")
         placed = docs.select("doc_id", "text", number.alias("file_number"), F.col("_metadata.file_name").alias("file_of_row"), F.col("_metadata.row_index").alias("row_of_file"))
-        order = (F.col("file_number"), F.col("file_of_row"), F.col("row_of_file"))
-    except AnalysisException:  # not read from files: no row order
-        placed, order = docs, ()
+    except AnalysisException as e:
+        raise ValueError("row order is that of files: give documents read from the table that the mix was written to") from e
+    order = (F.col("file_number"), F.col("file_of_row"), F.col("row_of_file"))
     with write_settings(spark):
         token_files.write_ids(placed, path, public_tokenizers.path(TOKENIZER), order)
     return token_files.read_ids(spark, path)
