@@ -408,7 +408,19 @@ def test_urls_sql(spark, sf_dir):
         con.execute(f"CREATE VIEW pages AS SELECT * FROM '{base}/pages.parquet'")
         want = con.execute(f"SELECT {', '.join(got.columns)} FROM ({urls.oracle_sql()})").fetchall()
         assert rounded(got.collect()) == rounded(want)
-    assert got.where("rule is null and verdict = 'block'").count() > 0
+    # Here labels are of one kind on each host, and most pages beside them have none: they condemn nobody.
+    assert got.where("rule is null and verdict = 'block'").count() == 0
+
+
+def test_urls_one_sided_labels(spark):
+    """Pages that no rule meets are blocked where nearly all pages of their template are, and not where many are not."""
+    rules = tuple(("block", "x.example", f"/{a}/") for a in "abcd") + tuple(("block", "y.example", f"/{a}/") for a in "ab")
+    urls_ = [f"http://x.example/{a}/{i}" for a in "abcd" for i in range(20)] + ["http://x.example/e/1", "http://x.example/f/2"]
+    urls_ += [f"http://y.example/{a}/{i}" for a in "abcdefg" for i in range(20)]
+    df = spark.createDataFrame([*enumerate(urls_)], "page_id long, url string")
+    got = urls.filter_urls(df, rules=rules).where("rule is null")
+    assert {r.host: r.verdict for r in got.collect()} == {"x.example": "block", "y.example": "allow"}
+    assert {r.verdict for r in urls.filter_urls(df, rules=rules, unlabelled=0.0).collect()} == {"block"}
     plan = got._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
 

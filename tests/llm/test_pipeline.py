@@ -128,7 +128,8 @@ def test_sql_of_registered_queries(spark, sf_dir):
     from verifold.llm import queries
 
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf_dir}/documents.parquet'; CREATE VIEW pages AS SELECT * FROM '{sf_dir}/pages.parquet'")
+    for t in ("documents", "pages", "benchmark", "embeddings"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
     for name, sql in queries.oracle_sql().items():
         df = queries.queries()[name](spark, sf_dir)
         cols = sorted(df.columns)

@@ -98,9 +98,9 @@ def _parts(rows: DataFrame, level: int, z: float) -> DataFrame:
 
 
 def templates(pages: DataFrame, least: int = 5, z: float = 3.0) -> DataFrame:
-    """host, segments, template, n_labelled, n_bad for each distinct host and typed path.
+    """host, segments, template, n_pages, n_labelled, n_bad for each distinct host and typed path.
 
-    pages: host, segments, bad (true, false or null for unlabelled). n_labelled and n_bad are the
+    pages: host, segments, bad (true, false or null for unlabelled). The numbers are the
     template's. The tree goes as deep as templates with ``least`` labelled pages do; below, no
     template can be rejected, and the segments left are appended as they are.
     """
@@ -120,17 +120,19 @@ def templates(pages: DataFrame, least: int = 5, z: float = 3.0) -> DataFrame:
         kept.append(done.where("not open").drop("open"))
         rows, level = done.where("open").drop("open"), level + 1
     paths = reduce(DataFrame.unionByName, kept, rows)
-    sums = paths.groupBy("host", "template").agg(F.sum("n_labelled").alias("n_labelled"), F.sum("n_bad").alias("n_bad"))
+    sums = paths.groupBy("host", "template").agg(F.sum("n_pages").alias("n_pages"), F.sum("n_labelled").alias("n_labelled"), F.sum("n_bad").alias("n_bad"))
     return paths.select("host", "segments", "template").join(sums, ["host", "template"])
 
 
-def filter_urls(pages: DataFrame, rules=RULES, label: Column | None = None, least: int = 5, smoothing: float = 2.0, reject: float = 0.8, z: float = 3.0) -> DataFrame:
+def filter_urls(pages: DataFrame, rules=RULES, label: Column | None = None, least: int = 5, smoothing: float = 2.0, reject: float = 0.8, z: float = 3.0, unlabelled: float | None = None) -> DataFrame:
     """page_id, host, path, rule, verdict, template, purity for each row.
 
     Needs columns page_id and url; ``label`` (true: bad) may use others, and by default the rules'
     verdicts are the labels. verdict is the rule's; else block if the page's template has ``least``
-    labelled pages and (bad + smoothing / 2) / (labelled + smoothing) reaches ``reject``, else
-    allow. Null urls and urls without '://' have empty host and path. Repeated rows count and come
+    labelled pages and its purity reaches ``reject``, else allow. The purity is (bad + smoothing / 2) /
+    (labelled + unlabelled * other pages + smoothing). ``unlabelled`` is 1 by default where the rules are the
+    labels: a page that no rule meets speaks against a template of blocked ones, and labels of one kind
+    alone don't condemn it. With labels of a sample of pages it is 0: the others say nothing. Null urls and urls without '://' have empty host and path. Repeated rows count and come
     back as often.
     """
     host, path = split_url(F.col("url"))
@@ -141,7 +143,8 @@ def filter_urls(pages: DataFrame, rules=RULES, label: Column | None = None, leas
         "page_id", F.col("url_host").alias("host"), F.col("url_path").alias("path"), F.col("url_rule").alias("rule"), "rule_verdict",
         typed_segments(F.col("url_path")).alias("segments"), bad.alias("bad"))
     tree = templates(marked, least, z)
-    purity = (F.col("n_bad") + smoothing / 2) / (F.col("n_labelled") + smoothing)
+    share = (1.0 if label is None else 0.0) if unlabelled is None else unlabelled
+    purity = (F.col("n_bad") + smoothing / 2) / (F.col("n_labelled") + share * (F.col("n_pages") - F.col("n_labelled")) + smoothing)
     own = F.when((F.col("n_labelled") >= least) & (purity >= reject), F.lit("block")).otherwise(F.lit("allow"))
     return marked.join(tree, ["host", "segments"]).select(
         "page_id", "host", "path", "rule", F.coalesce("rule_verdict", own).alias("verdict"), "template", F.round(purity, 6).alias("purity"))
@@ -180,8 +183,8 @@ def oracle_sql(rules=RULES, least: int = 5, smoothing: float = 2.0, reject: floa
             f"""p{k + 1} AS (SELECT h.host, h.segments, n, labelled, bad, h.template || CASE WHEN NOT open THEN '' WHEN live THEN coalesce('/' || part, '') ELSE array_to_string(list_transform(segments[{k + 1}:], lambda x: '/' || x), '') END AS template,
             live AND h.segment IS NOT NULL AS open FROM h{k} h LEFT JOIN s{k} s ON live AND h.host = s.host AND h.template = s.template AND h.segment = s.segment)""",
         ]
-    purity = f"((n_bad + {smoothing / 2}) / (n_labelled + {smoothing}))"
-    sql.append(f"tree AS (SELECT host, segments, template, sum(labelled) OVER w AS n_labelled, sum(bad) OVER w AS n_bad FROM p{levels} WINDOW w AS (PARTITION BY host, template))")
+    purity = f"((n_bad + {smoothing / 2}) / (n_pages + {smoothing}))"
+    sql.append(f"tree AS (SELECT host, segments, template, sum(n) OVER w AS n_pages, sum(labelled) OVER w AS n_labelled, sum(bad) OVER w AS n_bad FROM p{levels} WINDOW w AS (PARTITION BY host, template))")
     return ",\n".join(sql) + f"""
     SELECT page_id, m.host, path, rule, coalesce(rule_verdict, CASE WHEN n_labelled >= {least} AND {purity} >= {reject} THEN 'block' ELSE 'allow' END) AS verdict,
     template, round({purity}, 6) AS purity FROM marked m JOIN tree t ON m.host = t.host AND m.segments = t.segments"""
