@@ -167,6 +167,28 @@ def test_links_of_random_fingerprints(spark, distance, segment, groups, monkeypa
     assert [find(i) for i in range(len(fps))] == brute_components(range(len(fps)), fps, distance)
 
 
+def test_links_in_one_large_cell(spark, monkeypatch):
+    """Fingerprints that share their upper 32 bits and their counts in all segments: several steps of equal bits, all links."""
+    monkeypatch.setattr(simhash, "CELL_ROWS", 20)
+    rng = np.random.default_rng(6)
+    fps = sorted({(0x5A5A5A5A << 32) | sum(int(b) << (2 * i) for i, b in enumerate(rng.integers(1, 3, 16))) for _ in range(600)})
+    steps, split = [], simhash._by_equal_bits
+    monkeypatch.setattr(simhash, "_by_equal_bits", lambda large, distance, equal: steps.append(equal) or split(large, distance, equal))
+    got = simhash.links(spark.createDataFrame([(int(np.uint64(x).view(np.int64)),) for x in fps], "fp long"), 4).collect()
+    roots = brute_components(range(len(fps)), fps, 4)
+    place = {x: i for i, x in enumerate(fps)}
+    at = list(range(len(fps)))
+    for _ in fps:
+        before = list(at)
+        for r in got:
+            a, b = (place[int(np.int64(v).view(np.uint64))] for v in r)
+            assert (fps[a] ^ fps[b]).bit_count() <= 4
+            at[a] = at[b] = min(at[a], at[b])
+        if at == before:
+            break
+    assert at == roots and len(steps) > 1
+
+
 def test_simhash_empty(spark):
     assert simhash.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 

@@ -14,6 +14,9 @@ its links, never all its pairs.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -27,8 +30,10 @@ from verifold.llm.storage import save
 from verifold.llm.words import split_words, tidy
 
 SEED = 42
-#: Cells with more members than this are split by equal bits.
-CELL_ROWS = 8192
+#: Cells with more members than this are split by equal bits, in these steps: how many stretches of bits are equal.
+CELL_ROWS, STEPS = 8192, (1, 2, 4, 8)
+#: A step deals a member to this many smaller cells at most; for links of more than four bits some steps are left out.
+MOST_WAYS = 500
 #: Fingerprints with more than one in HOT rows are joined by broadcast; there are HOT at most.
 HOT = 1000
 _RUN = 4096
@@ -147,8 +152,8 @@ def forest(fps: np.ndarray, distance: int) -> list[tuple[np.ndarray, np.ndarray]
     return links
 
 
-def _cell_links(batches: Iterator[pa.RecordBatch], distance: int) -> Iterator[pa.RecordBatch]:
-    """Links inside each cell; rows come sorted by cell. Members beyond CELL_ROWS are handed on as rows with a cell."""
+def _cell_links(batches: Iterator[pa.RecordBatch], distance: int, most: float) -> Iterator[pa.RecordBatch]:
+    """Links inside each cell; rows come sorted by cell. Members of cells above ``most`` are handed on as rows with a cell."""
     key, held, over = None, [], False
 
     def close(out: list) -> None:
@@ -177,7 +182,7 @@ def _cell_links(batches: Iterator[pa.RecordBatch], distance: int) -> Iterator[pa
                 beyond.append((keys[a:b], fps[a:b]))
                 continue
             held.append(fps[a:b])
-            if sum(map(len, held)) > CELL_ROWS:
+            if sum(map(len, held)) > most:
                 mine = np.concatenate(held)
                 beyond.append((np.full(len(mine), key), mine))
                 held, over = [], True
@@ -222,22 +227,32 @@ def links(distinct: DataFrame, distance: int = 4, segment: int = 2, groups: int
                 yield pa.RecordBatch.from_pydict({"cell": pa.array(keys.view(np.int64)), "fp": pa.array(fps[rows].view(np.int64))})
 
     placed = distinct.select("fp").mapInArrow(spread, "cell long, fp long")
-    found = save(placed.repartition("cell").sortWithinPartitions("cell", "fp").mapInArrow(lambda it: _cell_links(it, distance), LINK_SCHEMA), "links").df
-    small = found.where("cell is null").select("a", "b")
-    large = found.where("cell is not null").select("cell", F.col("a").alias("fp"))
-    # Of distance + 1 stretches of bits one is equal in both ends of a link: members of a large cell
-    # meet again where a stretch is equal, so that no two blocks of a cell have to be crossed.
-    cuts = [round(i * 64 / (distance + 1)) for i in range(distance + 2)]
-    stretch = lambda lo, hi: F.shiftrightunsigned("fp", lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1 if hi - lo < 64 else -1).cast("long"))
-    parts = F.array(*(F.struct(F.lit(i).alias("i"), stretch(lo, hi).alias("bits")) for i, (lo, hi) in enumerate(zip(cuts[:-1], cuts[1:], strict=True))))
-    dealt = large.select("cell", "fp", F.explode(parts).alias("part")).select("cell", "fp", "part.i", "part.bits")
-
-    def block(table: pa.Table) -> pa.Table:
-        fps = np.unique(table.column("fp").to_numpy().view(np.uint64))
-        return pa.Table.from_batches([_link_batch(forest(fps, distance), [])])
-
-    more = dealt.groupBy("cell", "i", "bits").applyInArrow(block, LINK_SCHEMA).select("a", "b")
-    return small.unionByName(more).distinct()
+    found = [save(_linked(placed, distance, CELL_ROWS), "links").df]
+    steps = [e for e in STEPS if e == 1 or comb(distance + e, e) <= MOST_WAYS]
+    for equal in steps:
+        large = found[-1].where("cell is not null").select(F.col("a").alias("fp")).distinct()
+        if large.isEmpty():
+            break
+        found.append(save(_linked(_by_equal_bits(large, distance, equal), distance, CELL_ROWS if equal < steps[-1] else float("inf")), "links").df)
+    return reduce(DataFrame.unionByName, (x.where("cell is null").select("a", "b") for x in found)).distinct()
+
+
+def _linked(placed: DataFrame, distance: int, most: float) -> DataFrame:
+    return placed.repartition("cell").sortWithinPartitions("cell", "fp").mapInArrow(lambda it: _cell_links(it, distance, most), LINK_SCHEMA)
+
+
+def _by_equal_bits(large: DataFrame, distance: int, equal: int) -> DataFrame:
+    """Members of large cells in smaller ones: cell, fp. A member of several large cells is dealt once.
+
+    Of ``distance + equal`` stretches of bits ``equal`` are the same in both ends of a link, so its ends
+    meet again where these are, and no two blocks of a cell have to be crossed. For links of four bits the last
+    step has eight of twelve stretches equal, of five bits or more, so at least 40 bits are the same, and a cell holds 2 ** 24 members at most.
+    """
+    n = min(distance + equal, 64)
+    cuts = [round(i * 64 / n) for i in range(n + 1)]
+    bits = [F.shiftrightunsigned("fp", lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1 if hi - lo < 64 else -1).cast("long")) for lo, hi in zip(cuts[:-1], cuts[1:], strict=True)]
+    keys = (F.xxhash64(F.lit(i), *(bits[j] for j in chosen)) for i, chosen in enumerate(combinations(range(n), n - distance)))
+    return large.select(F.explode(F.array(*keys)).alias("cell"), "fp")
 
 
 def grouped_fingerprints(marked: DataFrame, distance: int = 4, segment: int = 2, groups: int = 2) -> DataFrame:
