@@ -89,6 +89,23 @@ def test_large_group_of_near_copies(spark, monkeypatch):
     assert sum(compared) < 400 * 399 / 2 / 20
 
 
+@pytest.mark.parametrize("few", [2, 256])
+def test_common_shingles_in_parts(spark, monkeypatch, few):
+    """Texts of one common passage that are not alike, and some that are: buckets in many parts, by order and by parts."""
+    monkeypatch.setattr(jaccard, "SAMPLE", 1)
+    monkeypatch.setattr(jaccard, "PART_LEVEL", 1)
+    monkeypatch.setattr(jaccard, "FEW", few)
+    rng = np.random.default_rng(9)
+    common = [f"c{i}" for i in range(60)]
+    rows = []
+    for i in range(120):
+        rows.append((i, " ".join(common + [f"w{rng.integers(0, 10_000)}" for _ in range(16 if i % 3 else 3)])))
+    turns, pivots = [], jaccard._pivots
+    monkeypatch.setattr(jaccard, "_pivots", lambda live, turn: turns.append(live.agg(F.max("spread")).first()[0]) or pivots(live, turn))
+    assert kept(spark, rows) == brute_first(rows)
+    assert turns and max(turns) > 2
+
+
 def test_stage_documents(spark, sf_dir):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
     assert kept(spark, rows) == brute_first(rows)

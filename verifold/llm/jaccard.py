@@ -10,6 +10,9 @@ Members of a bucket are compared with its first ones, those with fewest rare shi
 next ones, four times as many in each round, until all that are left in it are of one component: no
 pair is skipped unless links join it already.
 
+A common shingle's bucket is dealt in parts of about a thousand members, by the level of the shingle;
+what is compared with it goes to all its parts, so that no bucket is one task's.
+
 Any order gives the same result. Which shingles are common is counted on one distinct set in SAMPLE,
 so that the large groups go to the end of the order.
 """
@@ -34,6 +37,10 @@ from verifold.llm.words import hashes_of, split_words, tidy, window_hashes
 SEED = 42
 #: One distinct set in SAMPLE is counted for the order; bounds of the bits of a shingle that the table of levels knows.
 SAMPLE, LEAST_BITS, MOST_BITS = 16, 16, 24
+#: Buckets of shingles above this level (about 2 ** level * SAMPLE sets hold one) are dealt in parts; below FEW compared members a bucket takes them in order, then by parts.
+PART_LEVEL, FEW = 6, 256
+#: The part of its bucket that a member is in; spread is the binary logarithm of how many there are.
+PART = "pmod(xxhash64(fp), shiftleft(1L, cast(spread as int)))"
 SET_SCHEMA = "doc_id long, key_a long, key_b long, fp long, sim long, n int, sampled array<long>"
 
 
@@ -109,25 +116,30 @@ def _levels(distinct: DataFrame) -> tuple[np.ndarray, int]:
 
 
 def prefixes(docs: DataFrame, shingle: int, similarity: float, levels: np.ndarray, bits: int) -> DataFrame:
-    """fp, n, pos and bucket: the first shingles of each set in the order of (level, hash), once a task for equal sets."""
+    """fp, n, pos, bucket and spread: the first shingles of each set in the order of (level, hash), once a task for equal sets."""
+    whole = PART_LEVEL
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in tidy(batches):
             for at in range(0, batch.num_rows, 500):
-                fps, sizes, first = [], [], []
+                fps, sizes, first, spread = [], [], [], []
                 for s in shingle_sets(batch.column("text").slice(at, 500), shingle):
                     x = _name(s)
                     if len(s) and x not in seen:
                         seen.add(x)
-                        order = np.lexsort((s, levels[(s >> np.uint64(64 - bits)).astype(np.int64)]))
+                        level = levels[(s >> np.uint64(64 - bits)).astype(np.int64)]
+                        order = np.lexsort((s, level))[: len(s) - math.ceil(similarity * len(s) - 1e-9) + 1]
                         fps.append(x)
                         sizes.append(len(s))
-                        first.append(s[order[: len(s) - math.ceil(similarity * len(s) - 1e-9) + 1]].view(np.int64))
-                yield pa.RecordBatch.from_pydict({"fp": _signed(fps), "n": pa.array(sizes, pa.int32()), "first": pa.array(first, pa.list_(pa.int64()))})
+                        first.append(s[order].view(np.int64))
+                        over = np.maximum(level[order].astype(np.int8) - whole, 0)
+                        spread.append(over if over.any() else None)
+                yield pa.RecordBatch.from_pydict({"fp": _signed(fps), "n": pa.array(sizes, pa.int32()), "first": pa.array(first, pa.list_(pa.int64())), "spread": pa.array(spread, pa.list_(pa.int8()))})
 
-    rows = docs.select(F.col("text").cast("string")).mapInArrow(run, "fp long, n int, first array<long>")
-    return rows.select("fp", "n", F.posexplode("first").alias("pos", "bucket"))
+    rows = docs.select(F.col("text").cast("string")).mapInArrow(run, "fp long, n int, first array<long>, spread array<byte>")
+    placed = rows.select("fp", "n", F.posexplode("first").alias("pos", "bucket"), F.col("spread").alias("spreads"))
+    return placed.select("fp", "n", "pos", "bucket", F.coalesce(F.get("spreads", "pos"), F.lit(0).cast("byte")).alias("spread"))
 
 
 def _sets_of(docs: DataFrame, distinct: DataFrame, needed: DataFrame, shingle: int) -> Table:
@@ -184,11 +196,28 @@ def _simhash_pairs(distinct: DataFrame, distance: int) -> DataFrame:
 def _open(members: DataFrame, similarity: float) -> DataFrame:
     """Members of buckets with two components or more, without those that no partner in it can suit."""
     share = similarity / (1 + similarity)
-    least = members.groupBy("bucket").agg(F.min("n").alias("least_n"))
+    members = members.withColumn("part", F.expr(PART))
+    least = members.groupBy("bucket").agg(F.min("n").alias("least_n"), F.max("spread").alias("spread"))
     suits = (F.col("n") - F.col("pos")) / share - F.col("n") >= F.col("least_n") - 1e-9
-    left = members.join(least, "bucket").where(suits).drop("least_n")
-    mixed = left.groupBy("bucket").agg((F.min("root") != F.max("root")).alias("mixed")).where("mixed").select("bucket")
-    return left.join(mixed, "bucket", "left_semi").select("fp", "n", "pos", "bucket", "root")
+    left = members.join(_to_parts(least).drop("spread"), ["bucket", "part"]).where(suits).drop("least_n")
+    mixed = left.groupBy("bucket").agg((F.min("root") != F.max("root")).alias("mixed"), F.max("spread").alias("spread")).where("mixed")
+    return left.join(_to_parts(mixed).select("bucket", "part"), ["bucket", "part"], "left_semi").select("fp", "n", "pos", "bucket", "spread", "root")
+
+
+def _to_parts(rows: DataFrame) -> DataFrame:
+    """Rows of buckets, once for each part of theirs."""
+    return rows.withColumn("part", F.explode(F.expr("sequence(0L, shiftleft(1L, cast(spread as int)) - 1)")))
+
+
+def _pivots(live: DataFrame, turn: int) -> DataFrame:
+    """The members of each bucket that all others in it are compared with: the first ``turn``, or some parts of a bucket that has parts."""
+    ranked = live.withColumn("part", F.expr(PART)).withColumn("inside", F.row_number().over(Window.partitionBy("bucket", "part").orderBy("pos", "fp"))).where(
+        (F.col("inside") <= turn) | (F.col("spread") > 0) & F.lit(turn >= FEW))
+    if turn < FEW:
+        first = ranked.withColumn("rank", F.row_number().over(Window.partitionBy("bucket").orderBy("pos", "fp"))).where(F.col("rank") <= turn)
+    else:
+        first = ranked.where((F.col("spread") == 0) | (F.col("part") < turn // FEW))
+    return first.select("fp", "n", "pos", "bucket", "spread", "root")
 
 
 def roots_of(docs: DataFrame, marked: DataFrame, similarity: float, shingle: int, distance: int = 4) -> DataFrame:
@@ -205,27 +234,28 @@ def roots_of(docs: DataFrame, marked: DataFrame, similarity: float, shingle: int
     roots = save(components.connected(links.df), "roots").df
     free(spark, sets, links)
 
-    firsts = prefixes(docs, shingle, similarity, *_levels(distinct.df)).repartition("bucket").groupBy("bucket", "fp").agg(F.first("n").alias("n"), F.first("pos").alias("pos"))
+    firsts = prefixes(docs, shingle, similarity, *_levels(distinct.df)).withColumn("part", F.expr(PART)).repartition("bucket", "part")
+    firsts = firsts.groupBy("bucket", "part", "fp").agg(*(F.first(c).alias(c) for c in ("n", "pos", "spread")))
     # Most buckets have one member: they go before anything is written.
-    placed = save(firsts.withColumn("m", F.count("*").over(Window.partitionBy("bucket"))).where("m > 1").drop("m"), "buckets")
+    placed = save(firsts.withColumn("m", F.count("*").over(Window.partitionBy("bucket", "part"))).where("m > 1 or spread > 0").drop("m", "part"), "buckets")
     live = save(_open(rooted(placed.df, roots), similarity), "live")
     free(spark, placed)
     sets = _sets_of(docs, distinct.df, live.df.select("fp").distinct(), shingle)
     free(spark, distinct)
     turn, share = 1, similarity / (1 + similarity)
     while not live.df.isEmpty():
-        ranked = live.df.withColumn("rank", F.row_number().over(Window.partitionBy("bucket").orderBy("pos", "fp")))
-        first = ranked.where(F.col("rank") <= turn).select("bucket", *(F.col(c).alias(f"c_{c}") for c in ("fp", "n", "pos", "root")))
+        pivots = save(_pivots(live.df, turn), "pivots")
+        first = _to_parts(pivots.df).select("bucket", "part", *(F.col(c).alias(f"c_{c}") for c in ("fp", "n", "pos", "root")))
         near = (F.col("root") != F.col("c_root")) & (F.least(F.col("n") - F.col("pos"), F.col("c_n") - F.col("c_pos")) >= share * (F.col("n") + F.col("c_n")) - 1e-9)
-        pairs = live.df.join(first, "bucket").where(near).select(F.least("fp", "c_fp").alias("a"), F.greatest("fp", "c_fp").alias("b")).distinct()
+        pairs = live.df.withColumn("part", F.expr(PART)).join(first, ["bucket", "part"]).where(near).select(F.least("fp", "c_fp").alias("a"), F.greatest("fp", "c_fp").alias("b")).distinct()
         pairs = save(pairs.join(union(tried), ["a", "b"], "left_anti"), "pairs").df
         tried.append(pairs)
         links = save(_similar(pairs, sets.df, similarity), "links")
         roots = save(components.connected(roots.toDF("a", "b").unionByName(links.df)), "roots").df
         free(spark, links)
-        rest = ranked.where(F.col("rank") > turn).select("bucket", "fp", "n", "pos")
+        rest = live.df.join(pivots.df.select("bucket", "fp"), ["bucket", "fp"], "left_anti").drop("root")
         now = save(_open(rooted(rest, roots), similarity), "live")
-        free(spark, live)
+        free(spark, live, pivots)
         live, turn = now, turn * 4
     free(spark, live, sets)
     return roots
