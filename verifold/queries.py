@@ -218,12 +218,13 @@ def v13_report_json(spark, sf_dir):
     return r.select("case_id", F.get_json_object("report", "$.overall_status").alias("overall_status"), F.json_array_length(F.get_json_object("report", "$.checks")).cast("long").alias("n_checks"), seen.alias("proposal"))
 
 
-@query(f"WITH {FLAT} SELECT case_id, f.field, CASE WHEN NOT (has_proposal AND has_licence) OR a IS NULL OR b IS NULL THEN 'missing' WHEN a = b THEN 'equal' ELSE 'different' END AS status FROM flat, LATERAL (SELECT unnest(['nome', 'cpf', 'data_nascimento']) AS field, unnest([p_nome, cpf, p_nasc]) AS a, unnest([l_nome, cpf, p_nasc]) AS b) f WHERE has_proposal OR has_licence")
+@query(f"WITH {FLAT} SELECT case_id, f.field, CASE WHEN NOT (has_proposal AND has_licence) OR a IS NULL OR b IS NULL THEN 'missing' WHEN d IS NULL THEN 'not_comparable' WHEN c = d THEN 'equal' ELSE 'different' END AS status, CASE WHEN has_proposal THEN a END AS left_raw, CASE WHEN has_proposal THEN c END AS left_normalized, CASE WHEN has_licence THEN b END AS right_raw, CASE WHEN has_licence THEN d END AS right_normalized FROM flat, LATERAL (SELECT unnest(['nome', 'cpf', 'data_nascimento']) AS field, unnest([p_nome, p_cpf, p_nasc]) AS a, unnest([l_nome, cpf, CASE WHEN k % 13 = 0 THEN 'ilegível' ELSE l_nasc END]) AS b, unnest([strip_accents(upper(p_nome)), cpf, p_nasc]) AS c, unnest([strip_accents(upper(l_nome)), cpf, CASE WHEN k % 13 > 0 THEN p_nasc END]) AS d) f WHERE has_proposal OR has_licence")
 def v5_field_comparison(spark, sf_dir):
+    """All columns; some dates of the licence can't be read."""
     f = casegen.flat(spark, sf_dir)
     left = f.where("has_proposal").select("case_id", F.col("p_nome").alias("nome"), F.col("p_cpf").alias("cpf"), F.col("p_nasc").alias("data_nascimento"))
-    right = f.where("has_licence").select("case_id", F.col("l_nome").alias("nome"), "cpf", F.col("l_nasc").alias("data_nascimento"))
-    return C.compare_fields(left, right, {"nome": "name", "cpf": "id", "data_nascimento": "date"}).select("case_id", "field", "status")
+    right = f.where("has_licence").select("case_id", F.col("l_nome").alias("nome"), "cpf", F.when(F.col("k") % 13 == 0, F.lit("ilegível")).otherwise(F.col("l_nasc")).alias("data_nascimento"))
+    return C.compare_fields(left, right, {"nome": "name", "cpf": "id", "data_nascimento": "date"})
 
 
 @query(f"WITH {FLAT}, d AS (SELECT case_id, l_validade, CASE WHEN l_validade LIKE '____-__-__' THEN try_strptime(l_validade, '%Y-%m-%d') ELSE try_strptime(l_validade, '%d/%m/%Y') END::DATE AS v FROM flat WHERE has_licence) SELECT case_id, CASE WHEN l_validade IS NULL THEN 'missing' WHEN v IS NULL THEN 'unparseable' WHEN v >= DATE '{TODAY}' THEN 'valid' ELSE 'expired' END AS status, cast(v - DATE '{TODAY}' AS int) AS days_to_expire FROM d")
@@ -255,12 +256,17 @@ def g6_group_checks(spark, sf_dir):
     return g.select("case_id", "status", F.array_join(F.array_sort("check_ids"), ",").alias("check_ids"))
 
 
-@query(f"WITH {FLAT}, p AS (SELECT case_id, unnest([CASE WHEN has_licence THEN 'licence' END, CASE WHEN has_licence_registry THEN 'licence_registry' END, CASE WHEN has_proposal THEN 'proposal' END]) AS t, unnest([cpf, s_cpf, cpf]) AS n FROM flat) SELECT a.case_id, a.t AS doc_type_a, b.t AS doc_type_b, a.n = b.n AS same_id FROM p a JOIN p b ON a.case_id = b.case_id AND a.t < b.t")
+TOKENS = lambda c: f"regexp_extract_all(strip_accents(upper(coalesce({c}, ''))), '[A-Z]{{2,}}')"
+JACCARD = lambda a, b: f"len(list_distinct(list_intersect({TOKENS(a)}, {TOKENS(b)}))) / nullif(len(list_distinct({TOKENS(a)} || {TOKENS(b)})), 0)"
+
+
+@query(f"WITH {FLAT}, p AS (SELECT case_id, unnest([CASE WHEN has_licence THEN 'licence' END, CASE WHEN has_licence_registry THEN 'licence_registry' END, CASE WHEN has_proposal THEN 'proposal' END]) AS t, unnest([cpf, s_cpf, cpf]) AS n, unnest([l_nome, s_nome, p_nome]) AS nome, unnest([k, k, k - k % 10]) AS born FROM flat) SELECT a.case_id, a.t AS doc_type_a, b.t AS doc_type_b, a.n = b.n AS same_id, a.born = b.born AS same_birth, round({JACCARD('a.nome', 'b.nome')}, 6) AS similarity, {JACCARD('a.nome', 'b.nome')} < 0.6 AS names_differ FROM p a JOIN p b ON a.case_id = b.case_id AND a.t < b.t")
 def k7_cross_compare_pairs(spark, sf_dir):
-    f = casegen.flat(spark, sf_dir)
+    """All columns. Of the proposal's birth dates only those of every tenth case are the licence's."""
+    f = casegen.flat(spark, sf_dir).withColumn("other", F.when(F.col("k") % 10 == 0, F.col("p_nasc")).otherwise(F.lit("01/02/1900")))
     one = lambda flag, t, name, number, birth: f.where(flag).select("case_id", F.lit(t).alias("doc_type"), F.col(name).alias("name"), F.col(number).alias("doc_number"), F.expr(birth).alias("birth"))
-    parties = one("has_proposal", "proposal", "p_nome", "p_cpf", "p_nasc").unionByName(one("has_licence", "licence", "l_nome", "cpf", "l_nasc")).unionByName(one("has_licence_registry", "licence_registry", "s_nome", "s_cpf", "p_nasc"))
-    return C.cross_compare_pairs(parties).select("case_id", "doc_type_a", "doc_type_b", "same_id")
+    parties = one("has_proposal", "proposal", "p_nome", "p_cpf", "other").unionByName(one("has_licence", "licence", "l_nome", "cpf", "l_nasc")).unionByName(one("has_licence_registry", "licence_registry", "s_nome", "s_cpf", "p_nasc"))
+    return C.cross_compare_pairs(parties).withColumn("similarity", F.round("similarity", 6))
 
 
 @query(f"WITH {FLAT} SELECT case_id, CASE WHEN p_compra IS NULL THEN 'missing_required:valor_venda,' ELSE '' END || CASE WHEN t_renavam IS NULL THEN 'missing_required:renavam,' ELSE '' END || CASE WHEN t_comprador_doc IS NULL THEN 'missing_required:comprador_cpf_cnpj,' ELSE '' END || CASE WHEN t_comprador IS NULL THEN 'missing_required:comprador_nome,' ELSE '' END || CASE WHEN t_renavam IS NOT NULL AND NOT {REN_OK('t_renavam')} THEN 'invalid:renavam_checkdigit,' ELSE '' END || CASE WHEN t_comprador_doc IS NOT NULL AND NOT {CPF_OK('t_comprador_doc')} THEN 'invalid:comprador_cpf,' ELSE '' END || CASE WHEN k % 6 = 0 THEN 'invalid:placa_format,' ELSE '' END AS errors FROM flat WHERE has_transfer")
@@ -285,10 +291,20 @@ def n1_normalize_parties(spark, sf_dir):
     return N.normalize_parties(p).select("case_id", "name_normalized", "doc_normalized", F.size("name_tokens").cast("bigint").alias("n_tokens"))
 
 
-@query(f"WITH {FLAT} SELECT count(*) AS n, count(*) FILTER (WHERE has_proposal) AS n_present, count(*) FILTER (WHERE has_proposal AND cpf_valid) AS n_valid, count(*) FILTER (WHERE has_proposal AND NOT cpf_valid) AS n_dv_mismatch FROM flat")
+@query(f"""WITH {FLAT}, i AS (SELECT k, CASE WHEN has_proposal THEN CASE WHEN k % 29 = 0 THEN 'all_equal' WHEN k % 31 = 0 THEN 'bad_length' WHEN cpf_valid THEN 'ok' ELSE 'dv_mismatch' END END AS c, CASE WHEN has_vehicle THEN {REN_OK('v_renavam')} END AS r FROM flat)
+  SELECT 'cpf' AS kind, count(*) AS n, count(c) AS n_present, count(*) FILTER (WHERE c = 'ok') AS n_valid, count(*) FILTER (WHERE c = 'bad_length') AS n_bad_length, count(*) FILTER (WHERE c = 'all_equal') AS n_all_equal, count(*) FILTER (WHERE c = 'dv_mismatch') AS n_dv_mismatch FROM i
+  UNION ALL SELECT 'cnpj', count(*), count(*) FILTER (WHERE k % 5 > 0), count(*) FILTER (WHERE k % 5 > 1), 0, 0, 0 FROM i
+  UNION ALL SELECT 'renavam', count(*), count(r), count(*) FILTER (WHERE r), 0, 0, 0 FROM i
+  UNION ALL SELECT 'plate', count(*), count(*), count(*) FILTER (WHERE k % 6 > 0), 0, 0, 0 FROM i
+  UNION ALL SELECT 'vin', count(*), count(*), count(*) FILTER (WHERE k % 4 > 0), 0, 0, 0 FROM i""")
 def n2_audit_ids(spark, sf_dir):
-    f = casegen.flat(spark, sf_dir).select(F.lit("proposal").alias("doc_type"), F.when(F.col("has_proposal"), F.col("p_cpf")).alias("cpf"), *(F.lit(None).cast("string").alias(c) for c in ("cnpj", "renavam", "plate", "vin")))
-    return N.audit_ids(f).where("kind = 'cpf'").select("n", "n_present", "n_valid", "n_dv_mismatch")
+    """All five kinds, and each reason why a CPF is refused."""
+    k = F.col("k")
+    cpf = F.when(k % 29 == 0, F.lit("11111111111")).when(k % 31 == 0, F.lit("529.982")).otherwise(F.col("p_cpf"))
+    f = casegen.flat(spark, sf_dir).select(
+        F.lit("proposal").alias("doc_type"), F.when(F.col("has_proposal"), cpf).alias("cpf"), F.when(k % 5 > 1, F.lit("11.222.333/0001-81")).when(k % 5 == 1, F.lit("11222333000182")).alias("cnpj"),
+        F.when(F.col("has_vehicle"), F.col("v_renavam")).alias("renavam"), F.when(k % 6 == 0, F.lit("PLACA")).otherwise(F.lit("abc-1d23")).alias("plate"), F.when(k % 4 == 0, F.lit("9BWZZZ377VTOO4251")).otherwise(F.lit("9BWZZZ377VT004251")).alias("vin"))
+    return N.audit_ids(f).drop("doc_type")
 
 
 @query(f"WITH {FLAT} SELECT case_id, {MONEY('p_salario')} AS amount_any, {MONEY('p_salario')} AS amount_br, {MONEY('p_salario')} AS amount_reais, {MONEY('p_salario')} AS amount_signed, cast(replace(replace(p_salario, '.', ''), ',', '') AS bigint) AS amount_cents FROM flat")
@@ -303,10 +319,13 @@ def n4_normalize_dates(spark, sf_dir):
     return N.normalize_dates(d, F.lit(TODAY).cast("date")).groupBy("expiry_bucket").agg(F.count("*").alias("n"))
 
 
-@query(f"WITH {FLAT} SELECT case_id, p_nome = s_nome AS exact, CASE WHEN p_nome IS NOT NULL THEN s_nome NOT LIKE 'OTHER%' END AS tolerant, coalesce(s_nome NOT LIKE 'OTHER%' AND p_nome IS NOT NULL, false) AS two_tokens FROM flat")
+INITIALS = lambda c: f"list_transform(list_filter(string_split(upper(coalesce({c}, '')), ' '), lambda x: len(x) > 1 AND x <> 'DA'), lambda x: x[1])"
+
+
+@query(f"WITH {FLAT}, i AS (SELECT *, {INITIALS('p_nome')} AS x, {INITIALS('s_nome')} AS y FROM flat) SELECT case_id, p_nome = s_nome AS exact, CASE WHEN p_nome IS NOT NULL THEN s_nome NOT LIKE 'OTHER%' END AS tolerant, coalesce(s_nome NOT LIKE 'OTHER%' AND p_nome IS NOT NULL, false) AS two_tokens, round({JACCARD('p_nome', 's_nome')}, 6) AS jaccard, least(len(x), len(y)) >= 2 AND x[1:least(len(x), len(y))] = y[1:least(len(x), len(y))] AS initials FROM i")
 def n5_match_names(spark, sf_dir):
     p = casegen.flat(spark, sf_dir).select("case_id", F.col("p_nome").alias("name_a"), F.col("s_nome").alias("name_b"))
-    return N.match_names(p).select("case_id", "exact", "tolerant", "two_tokens")
+    return N.match_names(p).drop("name_a", "name_b")
 
 
 @query(f"WITH {FLAT} SELECT case_id, substr(cpf, 1, 3) || '.***.***-' || substr(cpf, 10, 2) AS p_cpf, substr(renavam_ok, 1, 3) || '*****' || substr(renavam_ok, 9, 3) AS renavam_ok, '***.' || substr(cpf, 8, 4) AS cpf FROM flat")
@@ -442,17 +461,18 @@ def x6_extract_licence_registry(spark, sf_dir):
 
 
 def payslip_texts(spark, sf_dir) -> DataFrame:
-    """Values on their labels' lines, below them, and without any label."""
-    f = casegen.flat(spark, sf_dir).where("has_payslip and h_total is not null")
+    """Values on their labels' lines, below them, and without any label; some have no total."""
+    f = casegen.flat(spark, sf_dir).where("has_payslip")
+    total = lambda before, after: F.coalesce(F.concat(F.lit(before), F.col("h_total"), F.lit(after)), F.lit(""))
     k, acme = F.col("k"), F.concat(F.lit("ACME "), F.col("k").cast("string"), F.lit(" LTDA"))
-    same = F.concat(F.lit("DEMONSTRATIVO DE PAGAMENTO\nEmpresa: "), acme, F.lit("\nFuncionário: "), F.col("full_name"), F.lit("\nCPF "), F.col("p_cpf"), F.lit("\nAdmissão: "), F.col("p_nasc"), F.lit("\nTotal de Vencimentos "), F.col("h_total"), F.lit(" 12,00"))
-    below = F.concat(F.lit("RECIBO\nRAZAO SOCIAL\n"), acme, F.lit("\nNOME\n"), F.col("full_name"), F.lit("\nCPF\n"), F.col("p_cpf"), F.lit("\nDT ADMISSAO\n"), F.col("p_nasc"), F.lit("\nTOTAL PROVENTOS\n"), F.col("h_total"), F.lit("\n1,00"))
-    bare = F.concat(acme, F.lit("  "), F.lit("\n"), F.col("full_name"), F.lit("\n"), F.col("p_cpf"), F.lit("\n"), F.col("p_nasc"), F.lit("\n5,00 "), F.col("h_total"))
+    same = F.concat(F.lit("DEMONSTRATIVO DE PAGAMENTO\nEmpresa: "), acme, F.lit("\nFuncionário: "), F.col("full_name"), F.lit("\nCPF "), F.col("p_cpf"), F.lit("\nAdmissão: "), F.col("p_nasc"), total("\nTotal de Vencimentos ", " 12,00"))
+    below = F.concat(F.lit("RECIBO\nRAZAO SOCIAL\n"), acme, F.lit("\nNOME\n"), F.col("full_name"), F.lit("\nCPF\n"), F.col("p_cpf"), F.lit("\nDT ADMISSAO\n"), F.col("p_nasc"), total("\nTOTAL PROVENTOS\n", "\n1,00"))
+    bare = F.concat(acme, F.lit("  "), F.lit("\n"), F.col("full_name"), F.lit("\n"), F.col("p_cpf"), F.lit("\n"), F.col("p_nasc"), total("\n5,00 ", ""))
     text = F.when(k % 3 == 0, same).when((k % 3 == 1) | (F.length(acme) < 12), below).otherwise(bare)
     return f.select(k.alias("doc_id"), text.alias("text"))
 
 
-@query(f"WITH {FLAT} SELECT k AS doc_id, full_name AS nome, cpf, 'ACME ' || k || ' LTDA' AS empregador, p_nasc AS data_admissao, h_total AS total_vencimentos FROM flat WHERE has_payslip AND h_total IS NOT NULL")
+@query(f"WITH {FLAT} SELECT k AS doc_id, full_name AS nome, cpf, 'ACME ' || k || ' LTDA' AS empregador, p_nasc AS data_admissao, h_total AS total_vencimentos FROM flat WHERE has_payslip")
 def x7_extract_payslip(spark, sf_dir):
     return extract.extract_payslip(payslip_texts(spark, sf_dir))
 
@@ -813,8 +833,8 @@ def j1_variant_field(spark, sf_dir):
 
 #: For each type of the dispatch query: its texts, the field shown, and what it must be as SQL with its condition.
 DISPATCHED = {
-    "proposal": (proposal_texts, "nome_financiado", "p_nome", "has_proposal"), "licence": (_licence_texts, "nome", "full_name", "has_licence"), "payslip": (payslip_texts, "nome", "full_name", "has_payslip AND h_total IS NOT NULL"),
-    "payroll": (payslip_texts, "cpf", "cpf", "has_payslip AND h_total IS NOT NULL"), "residence_proof": (residence_texts, "nome_titular", "full_name", "true"), "vehicle_certificate": (certificate_texts, "renavam", "renavam_ok", "has_vehicle"),
+    "proposal": (proposal_texts, "nome_financiado", "p_nome", "has_proposal"), "licence": (_licence_texts, "nome", "full_name", "has_licence"), "payslip": (payslip_texts, "nome", "full_name", "has_payslip"),
+    "payroll": (payslip_texts, "cpf", "cpf", "has_payslip"), "residence_proof": (residence_texts, "nome_titular", "full_name", "true"), "vehicle_certificate": (certificate_texts, "renavam", "renavam_ok", "has_vehicle"),
     "vehicle_document": (vehicle_texts, "proprietario", "CASE WHEN k % 8 = 0 THEN full_name END", "has_vehicle"), "transfer": (transfer_texts, "vendedor_nome", "t_vendedor", "has_transfer"),
     "registry_lookup": (_registry_texts, "proprietario_nome", "CASE WHEN k % 25 = 0 THEN 'S*** F***' ELSE t_vendedor END", "has_registry"),
 }
