@@ -28,19 +28,39 @@ from verifold.llm.words import tidy
 
 CHUNK_IDS = 1 << 20
 BLOCK_IDS = 1 << 16
-#: Bounds of the dictionary of encoded pieces that a task keeps.
+#: How many encoded parts of texts a Python worker keeps, and how long they may be.
 PIECES, PIECE_CHARS = 1_000_000, 48
 #: Marks that are never in one token with a letter or digit before them.
 MARKS = ".,;:!?"
 CHUNK_SCHEMA = "shard int, chunk int, shard_start long, n_ids long, doc_ids array<long>, lengths array<long>, block_ids int, mode string, n_planes int, planes array<binary>"
 
 
+def gather(flat: np.ndarray, sizes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The runs ``at`` of ``flat``, which is cut into runs of ``sizes``, one after the other, and the length of each."""
+    begins = np.cumsum(sizes) - sizes
+    length = sizes[at]
+    ends = np.cumsum(length)
+    return flat[np.repeat(begins[at] - ends + length, length) + np.arange(ends[-1] if len(at) else 0)], length
+
+
+def _mask(flags: pa.Array) -> np.ndarray:
+    return flags.to_numpy(zero_copy_only=False)
+
+
+def _last(texts: pa.Array) -> pa.Array:
+    return pc.utf8_slice_codeunits(texts, -1)
+
+
+def _after(mark: str, texts: pa.Array) -> pa.Array:
+    return pc.binary_join_element_wise(pa.scalar("", texts.type), texts, pa.scalar(mark, texts.type))
+
+
 class Encoder:
     """Ids of whole texts by the tokenizers library as it reads the file: a special string gives its id.
 
     A byte-level tokenizer with the usual pattern starts a new piece at a space that a character
-    other than white space follows. So texts are cut there, each distinct piece is encoded once, and
-    its ids are kept for the next texts. Texts where more white space follows a space, texts that
+    other than white space follows. So texts are cut there and their distinct pieces into parts; each
+    part is encoded once, and its ids are kept for the next texts. Texts where more white space follows a space, texts that
     hold a special string, and tokenizers of another kind, are encoded whole.
     """
 
@@ -52,65 +72,113 @@ class Encoder:
         self.special = sorted({t.content for t in self.tok.get_added_tokens_decoder().values()})
         kind = re.sub(r"\s", "", str(self.tok.pre_tokenizer))
         self.by_piece = self.tok.normalizer is None and kind.startswith("ByteLevel(") and "add_prefix_space=False" in kind and "use_regex=True" in kind
-        self.known: dict[str, bytes] = {}
-        self.before: dict[str, bytes] = {}
-        self.tails: dict[str, bytes] = {}
+        #: Known parts, their ids one after the other, how many each has, and the turn of its last use.
+        self.known = pa.array([], pa.large_string())
+        self.flat, self.sizes = np.zeros(0, dtype="<u4"), np.zeros(0, dtype=np.int64)
+        self.used, self.turn = np.zeros(0, dtype=np.int64), 0
         vocabulary = self.tok.get_vocab(with_added_tokens=True)
-        #: Whether an id starts with the space that opens a piece.
+        #: Whether an id starts with a space or line feed, as the first id of a part does.
         self.opens = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
-        self.opens[[i for w, i in vocabulary.items() if w.startswith("\u0120")]] = True
-
-    def _whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tok.encode_batch(texts, add_special_tokens=False)]
-
-    def _learn(self, pieces: list[str]) -> None:
-        """Encode pieces, each after a space, some hundred in one text; the ids that open a piece tell them apart."""
-        groups = [pieces[i : i + 500] for i in range(0, len(pieces), 500)]
-        for group, raw in zip(groups, self._whole(["".join(" " + p for p in g) for g in groups]), strict=True):
-            ids = np.frombuffer(raw, dtype="<u4")
+        self.opens[[i for w, i in vocabulary.items() if w.startswith(("Ġ", "Ċ"))]] = True
+
+    def _whole(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, dtype="<u4") for e in self.tok.encode_batch(texts, add_special_tokens=False)]
+
+    @staticmethod
+    def _cut(pieces: pa.Array) -> tuple[pa.Array, np.ndarray]:
+        """Parts that recur more often than whole pieces, and the piece of each.
+
+        A piece is cut before its first line feed, unless white space stands before that, and before a
+        mark at an end after a letter or digit: the tokenizer's pattern cuts there as well.
+        """
+        owner, place = np.arange(len(pieces)), np.zeros(len(pieces), dtype=np.int64)
+        rows = np.flatnonzero(pc.find_substring(pieces, "\n").to_numpy() > 0)
+        halves = pc.split_pattern(pieces.take(pa.array(rows)), "\n", max_splits=1).flatten()
+        left, right = (halves.take(pa.array(np.arange(i, len(halves), 2))) for i in (0, 1))
+        good = ~_mask(pc.utf8_is_space(_last(left)))
+        rows, left, right = rows[good], left.filter(pa.array(good)), right.filter(pa.array(good))
+        keep = np.ones(len(pieces), dtype=bool)
+        keep[rows] = False
+        parts = pa.concat_arrays([pieces.filter(pa.array(keep)), left, _after("\n", right)])
+        owner, place = np.concatenate([owner[keep], rows, rows]), np.concatenate([place[keep], place[rows], place[rows] + 2])
+
+        last = _last(parts)
+        rows = np.flatnonzero(_mask(pc.is_in(last, value_set=pa.array(list(MARKS), last.type))))
+        heads = pc.utf8_slice_codeunits(parts.take(pa.array(rows)), 0, -1)
+        good = _mask(pc.utf8_is_alnum(_last(heads)))
+        rows, heads = rows[good], heads.filter(pa.array(good))
+        keep = np.ones(len(parts), dtype=bool)
+        keep[rows] = False
+        parts = pa.concat_arrays([parts.filter(pa.array(keep)), heads, last.take(pa.array(rows))])
+        owner, place = np.concatenate([owner[keep], owner[rows], owner[rows]]), np.concatenate([place[keep], place[rows], place[rows] + 1])
+        order = np.argsort(4 * owner + place, kind="stable")
+        return parts.take(pa.array(order)), owner[order]
+
+    def _learn(self, new: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+        """The new parts in another order, their ids, and how many each has.
+
+        Parts that open with their only space or line feed are encoded some hundred in one text; the
+        ids that open a part tell them apart.
+        """
+        opening = pc.or_(pc.starts_with(new, " "), pc.starts_with(new, "\n"))
+        single = pc.equal(pc.add(pc.count_substring(new, " "), pc.count_substring(new, "\n")), 1)
+        plain = pc.and_(pc.and_(opening, single), pc.invert(pc.utf8_is_space(_last(new))))
+        many, others = new.filter(plain), new.filter(pc.invert(plain))
+        bounds = np.append(np.arange(0, len(many), 500), len(many))
+        texts = pc.binary_join(pa.LargeListArray.from_arrays(pa.array(bounds), many), pa.scalar("", many.type)).to_pylist()
+        flat, sizes = [np.zeros(0, dtype="<u4")], []
+        for a, b, ids in zip(bounds[:-1].tolist(), bounds[1:].tolist(), self._whole(texts), strict=True):
             cuts = np.flatnonzero(self.opens[ids])
-            if len(cuts) == len(group) and cuts[0] == 0:
-                ends = (4 * np.append(cuts, len(ids))).tolist()
-                self.known.update(zip(group, map(raw.__getitem__, map(slice, ends[:-1], ends[1:])), strict=True))
+            if len(cuts) == b - a and cuts[0] == 0:
+                flat.append(ids)
+                sizes.extend(np.diff(cuts, append=len(ids)).tolist())
             else:
-                self.known.update(zip(group, self._whole([" " + p for p in group]), strict=True))
-
-    def _ids_of(self, pieces: list[str]) -> list[bytes]:
-        """Ids of pieces after a space: a piece is looked up without the marks at its end."""
-        heads = [p if p[-1].isalnum() else h if (h := p.rstrip(MARKS)) and h[-1].isalnum() else p for p in pieces]
-        absent = set(heads).difference(self.known)
-        again = absent.intersection(self.before)
-        self.known.update((h, self.before[h]) for h in again)
-        new = list(absent - again)
-        if len(self.known) + len(new) > PIECES // 2:
-            # The pieces not used since the last turn go: rare ones, of which there is no end.
-            keep = set(heads).intersection(self.known)
-            self.before, self.known = self.known, {h: self.known[h] for h in keep}
-        self._learn(new)
-        for t in {p[len(h) :] for p, h in zip(pieces, heads, strict=True) if h is not p}.difference(self.tails):
-            self.tails[t] = self._whole([t])[0]
-        known, tails = self.known, self.tails
-        out = [known[p] if h is p else known[h] + tails[p[len(h) :]] for p, h in zip(pieces, heads, strict=True)]
-        for h in new:
-            if len(h) > PIECE_CHARS:
-                del self.known[h]
-        if len(self.tails) > 10_000:
-            self.tails.clear()
-        return out
+                each = self._whole(many[a:b].to_pylist())
+                flat.extend(each)
+                sizes.extend(map(len, each))
+        each = self._whole(others.to_pylist())
+        return pa.concat_arrays([many, others]), np.concatenate(flat + each), np.array(sizes + list(map(len, each)), dtype=np.int64)
+
+    def _ids_of(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all pieces one after the other, and how many each has."""
+        parts, owner = self._cut(pieces)
+        at = pc.index_in(parts, value_set=self.known)
+        absent = _mask(at.is_null())
+        at = at.fill_null(-1).to_numpy().astype(np.int64)
+        unknown = parts.filter(pa.array(absent))
+        new, flat, sizes = self._learn(pc.unique(unknown))
+        at[absent] = len(self.known) + pc.index_in(unknown, value_set=new).to_numpy().astype(np.int64)
+        words, flat, sizes = pa.concat_arrays([self.known, new]), np.concatenate([self.flat, flat]), np.concatenate([self.sizes, sizes])
+        self.turn += 1
+        used = np.append(self.used, np.zeros(len(new), dtype=np.int64))
+        used[at] = self.turn
+        out, length = gather(flat, sizes, at)
+
+        keep = np.ones(len(words), dtype=bool)
+        keep[len(self.known) :] = pc.utf8_length(new).to_numpy() <= PIECE_CHARS
+        if keep.sum() > PIECES:
+            # The parts not used for the longest time go: rare ones, of which there is no end.
+            keep[np.argsort(-used, kind="stable")[PIECES // 2 :]] = False
+        if not keep.all():
+            flat, _ = gather(flat, sizes, np.flatnonzero(keep))
+            words, sizes, used = words.filter(pa.array(keep)), sizes[keep], used[keep]
+        self.known, self.flat, self.sizes, self.used = words, flat, sizes, used
+        return out, np.bincount(owner, weights=length, minlength=len(pieces)).astype(np.int64)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after the other, and how many each text has. No text is null."""
         n = len(texts)
         if not self.by_piece:
             done = self._whole(texts.to_pylist())
-            return np.frombuffer(b"".join(done), dtype="<u4"), np.array([len(x) // 4 for x in done], dtype=np.int64)
-        lists = pc.split_pattern(texts, " ")
+            return np.concatenate([np.zeros(0, dtype="<u4"), *done]), np.array(list(map(len, done)), dtype=np.int64)
+        lists = pc.split_pattern(texts.cast(pa.large_string()), " ")
         starts = lists.offsets.to_numpy().astype(np.int64)
         starts -= starts[0]
-        coded = lists.flatten().dictionary_encode()
-        at, pieces = coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_pylist()
-        head = pc.utf8_slice_codeunits(coded.dictionary, 0, 1)
-        odd = pc.or_(pc.equal(head, ""), pc.utf8_is_space(head)).to_numpy(zero_copy_only=False)
+        pieces = lists.flatten()
+        coded = pieces.dictionary_encode()
+        at, distinct = coded.indices.to_numpy().astype(np.int64), coded.dictionary
+        head = pc.utf8_slice_codeunits(distinct, 0, 1)
+        odd = _mask(pc.or_(pc.equal(head, ""), pc.utf8_is_space(head)))
         first = starts[:-1]
         rest = np.ones(len(at), dtype=bool)
         rest[first] = False
@@ -118,24 +186,20 @@ class Encoder:
         whole = np.zeros(n, dtype=bool)
         whole[owner[rest & odd[at]]] = True
         for mark in self.special:
-            whole |= pc.match_substring(texts, mark).to_numpy(zero_copy_only=False)
+            whole |= _mask(pc.match_substring(texts, mark))
         rest &= ~whole[owner]
-        used = np.zeros(len(pieces), dtype=bool)
+        used = np.zeros(len(distinct), dtype=bool)
         used[at[rest]] = True
-        heads = self._whole([t if w else p for t, w, p in zip(texts.to_pylist(), whole.tolist(), (pieces[i] for i in at[first].tolist()), strict=True)])
-        # Ids of the used pieces, then of the heads: gathered for each place in the texts.
-        found = iter(self._ids_of([p for p, u in zip(pieces, used.tolist(), strict=True) if u]))
-        pool = [next(found) if u else b"" for u in used.tolist()] + heads
-        sizes = np.fromiter(map(len, pool), dtype=np.int64, count=len(pool)) // 4
-        begins = np.cumsum(sizes) - sizes
-        at[first] = len(pieces) + np.arange(n)
+        # Ids of the used pieces, of those at the starts of texts, and of whole texts: gathered for each place in the texts.
+        heads = pieces.take(pa.array(first[~whole])).dictionary_encode()
+        flat, sizes = self._ids_of(pa.concat_arrays([_after(" ", distinct.filter(pa.array(used))), heads.dictionary]))
+        done = self._whole(texts.filter(pa.array(whole)).to_pylist())
+        at = (np.cumsum(used) - 1)[at]
+        at[first[~whole]] = used.sum() + heads.indices.to_numpy()
+        at[first[whole]] = len(sizes) + np.arange(len(done))
         rest[first] = True
-        at, owner = at[rest], owner[rest]
-        length = sizes[at]
-        ends = np.cumsum(length)
-        flat = np.frombuffer(b"".join(pool), dtype="<u4")
-        ids = flat[np.repeat(begins[at] - ends + length, length) + np.arange(ends[-1] if n else 0)]
-        return ids, np.bincount(owner, weights=length, minlength=n).astype(np.int64)
+        ids, length = gather(np.concatenate([flat, *done]), np.concatenate([sizes, np.array(list(map(len, done)), dtype=np.int64)]), at[rest])
+        return ids, np.bincount(owner[rest], weights=length, minlength=n).astype(np.int64)
 
 
 _ENCODERS: dict[str, Encoder] = {}
