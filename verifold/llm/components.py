@@ -11,18 +11,20 @@ from verifold.llm.storage import Table, free, save
 def connected(edges: DataFrame, most: int = 50) -> DataFrame:
     """node and root for each node of ``edges`` (columns a, b); root is the smallest node of the component.
 
-    Each step is one grouped minimum and one join; a step's edges are written to the shared folder
-    and replace the last ones. Nodes are never gathered: a star's centre is one row of the minimum.
+    Each half of a step is one grouped minimum and one join; its edges are written to the shared folder
+    and replace the last ones. Both halves in one plan would read the first one's plan four times over,
+    and the driver keeps plans and their metrics. Nodes are never gathered: a star's centre is one row of the minimum.
     """
     spark = edges.sparkSession
     now = save(edges.where("a <> b").select("a", "b").distinct(), "edges")
     held = _sums(now.df)
     for _ in range(most):
-        large = _large_star(now.df)
-        table = save(_small_star(large), "edges")
+        large = save(_large_star(now.df), "large")
+        free(spark, now)
+        table = save(_small_star(large.df), "edges")
+        free(spark, large)
         sums = _sums(table.df)
         changed, held = sums != held, sums
-        free(spark, now)
         now = table
         if not changed:
             break
