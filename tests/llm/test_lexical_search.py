@@ -6,10 +6,13 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
 from verifold.llm import lexical_search as X
+from verifold.llm.storage import save
 
 TERM = re.compile("[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 
@@ -100,6 +103,16 @@ def test_long_text(spark):
     assert ranked(spark, docs, items) == brute(docs, items)
 
 
+def test_large_rows(spark):
+    """Rows as large as a shard's: row groups keep their size, though a file has few rows."""
+    rows = spark.range(0, 20, 1, 1).mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"id": [i], "x": [np.random.default_rng(i).bytes(1 << 20)]}) for b in batches for i in b.column(0).to_pylist()), "id long, x binary")
+    table = save(rows, "large", row_group_bytes=4 << 20)
+    files = [pq.ParquetFile(f.removeprefix("file://")).metadata for f in table.df.inputFiles()]
+    sizes = [m.row_group(g).total_byte_size for m in files for g in range(m.num_row_groups)]
+    assert sum(sizes) > 20 << 20 and max(sizes) < 6 << 20
+    assert sorted((r["id"], bytes(r["x"])) for r in table.df.collect()) == [(i, np.random.default_rng(i).bytes(1 << 20)) for i in range(20)]
+
+
 def test_query_and_sql(spark, sf_dir):
     from verifold.llm import queries
 
