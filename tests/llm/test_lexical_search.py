@@ -92,6 +92,38 @@ def test_blocks():
     assert visited < 0.5 * listed
 
 
+def test_long_documents():
+    """Long documents that share most terms of long items: a shard's summaries stay small, and the result is exact."""
+    rnd = np.random.default_rng(5)
+    rows = [np.flatnonzero(rnd.random(3000) < np.minimum(1, 1500 / np.arange(1, 3001))) for _ in range(150)]
+    owner, flat, weights = np.repeat(np.arange(len(rows)), list(map(len, rows))), np.concatenate(rows), rnd.integers(1, 9000, 3000)
+    s = X.build_shard(np.arange(len(rows)), owner, flat, rnd.integers(1, 1_000_000, len(flat)), rnd.normal(size=(3000, X.DIMS)).astype(np.float32))
+    assert s.summary.size <= 16 << 20
+    items = X.Items([0, 1], [np.unique(rnd.integers(0, 3000, 400)), np.array([2999])], weights)
+    best = X.Best(2, 10)
+    X.search_shard(X.opened(X.stored(s)), items, best)
+    for i, t in enumerate(items.terms):
+        scores = s.dense[:, np.searchsorted(s.columns, t)].astype(np.int64) @ weights[t]
+        assert list(zip((-best.scores[i]).tolist(), best.ids[i].tolist())) == sorted((-x, d) for d, x in enumerate(scores.tolist()) if x)[:10]
+
+
+@pytest.mark.parametrize("cells", [0, 4000, 8000])
+def test_few_summaries(monkeypatch, cells):
+    """Whatever number of lists has summaries, the result is exact and the summaries keep to their cells."""
+    rnd = np.random.default_rng(6)
+    monkeypatch.setattr(X, "SUMMARY_CELLS", cells)
+    rows = [np.flatnonzero(rnd.random(40) < np.minimum(1, 8 / np.arange(1, 41))) for _ in range(300)]
+    owner, flat, weights = np.repeat(np.arange(len(rows)), list(map(len, rows))), np.concatenate(rows), rnd.integers(1, 9000, 40)
+    s = X.build_shard(np.arange(len(rows)), owner, flat, rnd.integers(1, 1_000_000, len(flat)), rnd.normal(size=(40, X.DIMS)).astype(np.float32))
+    assert s.summary.size <= cells and (s.summary.size > 0) == (cells > 0)
+    items = X.Items([0, 1, 2], [np.arange(3), np.array([0, 20, 39]), np.arange(40)], weights)
+    best = X.Best(3, 10)
+    X.search_shard(X.opened(X.stored(s)), items, best)
+    for i, t in enumerate(items.terms):
+        scores = s.dense[:, t].astype(np.int64) @ weights[t]
+        assert list(zip((-best.scores[i]).tolist(), best.ids[i].tolist())) == sorted((-x, d) for d, x in enumerate(scores.tolist()) if x)[:10]
+
+
 def test_empty(spark):
     assert ranked(spark, [], [(1, "a")]) == [] and ranked(spark, [(1, "a")], []) == [] and ranked(spark, [(1, None)], [(1, None)]) == []
 

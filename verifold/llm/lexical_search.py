@@ -36,6 +36,8 @@ from verifold.llm.words import split_words, tidy
 CELLS, LEAST_DOCS, MOST_DOCS = 4 << 20, 64, 4096
 #: Documents of a block, and the longest list that has no summaries: its documents are scored at once.
 BLOCK_DOCS, SHORT_LIST = 64, 16
+#: Cells of a shard's summaries at most, so that its row stays small: where the longest lists fill them, all others count as short.
+SUMMARY_CELLS = 16 << 20
 #: Dimensions of the projection that tells similar documents.
 DIMS = 16
 #: Bounds of one pass over the documents.
@@ -150,6 +152,13 @@ def cluster(near: np.ndarray, size: int = BLOCK_DOCS) -> tuple[np.ndarray, np.nd
     return order, ends
 
 
+def short_below(sizes: np.ndarray) -> int:
+    """Documents of the longest list that gets no summaries; sizes: documents of each list."""
+    falling = np.sort(sizes)[::-1]
+    cells = np.cumsum(2 * -(-falling // BLOCK_DOCS)) * len(sizes)  # clusters are cut, so a list has twice as many blocks at most
+    return max([SHORT_LIST, *falling[np.searchsorted(cells, SUMMARY_CELLS, "right") :][:1].tolist()])
+
+
 def build_shard(doc_ids: np.ndarray, owner: np.ndarray, terms: np.ndarray, impacts: np.ndarray, projection: np.ndarray) -> Shard:
     """owner: the document of each posting. projection: a row a term of the vocabulary."""
     columns, local = np.unique(terms, return_inverse=True)
@@ -160,17 +169,18 @@ def build_shard(doc_ids: np.ndarray, owner: np.ndarray, terms: np.ndarray, impac
     near /= np.linalg.norm(near, axis=1, keepdims=True) + 1e-30
     by_term = np.argsort(local, kind="stable")
     cuts = np.searchsorted(local[by_term], np.arange(len(columns) + 1))
+    short_list = short_below(np.diff(cuts))
     postings, block_ends, list_ends, short, summary, before = [], [], [], [], [], 0
     for c in range(len(columns)):
         docs = owner[by_term[cuts[c] : cuts[c + 1]]]
-        if len(docs) <= SHORT_LIST:
+        if len(docs) <= short_list:
             ends = np.array([len(docs)])
         else:
             order, ends = cluster(near[docs])
             docs = docs[order]
             greatest = np.maximum.reduceat(dense[docs], ends - np.diff(ends, prepend=0), axis=0)
             summary.append((-(-greatest // steps)).astype(np.uint8))
-        short += [len(docs) <= SHORT_LIST] * len(ends)
+        short += [len(docs) <= short_list] * len(ends)
         postings.append(docs)
         block_ends.append(before + ends)
         before += len(docs)
