@@ -32,11 +32,11 @@ def public_type(c: Column) -> Column:
     return out
 
 
-def wide_cases(store: DataFrame) -> DataFrame:
+def wide_cases(store: DataFrame, cases: DataFrame | None = None) -> DataFrame:
     """One row a case with the latest data of every type, the types present, and path and number of documents of each type.
 
     vehicle and registry are the first present of their types. Needs case_id, doc_type, file_name, path and data;
-    a row with n_docs stands for so many documents.
+    a row with n_docs stands for so many documents. cases: case_id of all cases that get a row, those without any document too.
     """
     number = F.sum("n_docs") if "n_docs" in store.columns else F.count("*")
     latest = store.withColumn("doc_type", public_type(F.col("doc_type"))).groupBy("case_id", "doc_type").agg(
@@ -45,6 +45,9 @@ def wide_cases(store: DataFrame) -> DataFrame:
     # Documents of one case and type are reduced before anything moves; what meets by case is a row a type.
     wide = latest.groupBy("case_id").agg(*(F.first(F.when(F.col("doc_type") == t, F.col("x.data")), ignorenulls=True).alias(t) for t in TYPES),
                                            F.collect_set("doc_type").alias("present"), listed(T.sanitize_path("x.path")).alias("inputs"), listed(F.col("n")).alias("counts"))
+    if cases is not None:
+        empty = {"present": F.array().cast("array<string>"), "inputs": F.create_map().cast("map<string,string>"), "counts": F.create_map().cast("map<string,bigint>")}
+        wide = cases.select("case_id").distinct().join(wide, "case_id", "left").withColumns({c: F.coalesce(c, none) for c, none in empty.items()})
     for name, types in (("vehicle", VEHICLE), ("registry_any", REGISTRY)):
         kind, data = F.lit(None).cast("string"), F.lit(None).cast("variant")
         for t in reversed(types):

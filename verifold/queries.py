@@ -174,15 +174,16 @@ def rules_sql(*prefixes: str) -> str:
     return f"{FLAT}, {INCOME}, checks AS ({' UNION ALL '.join(parts)})"
 
 
-def _family(name: str, families: list, *prefixes: str) -> None:
+def _family(name: str, families: list, *prefixes: str, every_case: bool = False) -> None:
     def run(spark, sf_dir):
-        return rules.checks_of(wide(spark, sf_dir), families).select("case_id", "check_id", "status")
+        rows = rules.wide_cases(store(spark, sf_dir), casegen.flat(spark, sf_dir)) if every_case else wide(spark, sf_dir)
+        return rules.checks_of(rows, families).select("case_id", "check_id", "status")
 
     run.__name__ = name
     query(f"WITH {rules_sql(*prefixes)} SELECT * FROM checks")(run)
 
 
-_family("v8_identity_check", [rules.identity_check], "identity.proposta_vs_cnh")
+_family("v8_identity_check", [rules.identity_check], "identity.proposta_vs_cnh", every_case=True)
 SQL["v8_identity_check"] = SQL["v8_identity_check"].replace("SELECT * FROM checks", "SELECT * FROM checks WHERE check_id = 'identity.proposta_vs_cnh'")
 _family("v9_income_checks", [rules.income_checks], "income.")
 _family("v10_licence_registry_checks", [rules.licence_registry_checks], "identity.proposta_vs_cnh_senatran", "identity.cnh_senatran")
