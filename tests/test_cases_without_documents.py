@@ -17,7 +17,7 @@ def few(tmp_path_factory, sf_dir):
     return str(path)
 
 
-@pytest.mark.parametrize("name", ["v8_identity_check"])
+@pytest.mark.parametrize("name", ["v8_identity_check", "v9_income_checks"])
 def test_all_cases_are_checked(spark, few, name):
     got = sorted(map(tuple, queries.QUERIES[name](spark, few).select("case_id", "check_id", "status").collect()))
     con = duckdb.connect()

@@ -185,7 +185,7 @@ def _family(name: str, families: list, *prefixes: str, every_case: bool = False)
 
 _family("v8_identity_check", [rules.identity_check], "identity.proposta_vs_cnh", every_case=True)
 SQL["v8_identity_check"] = SQL["v8_identity_check"].replace("SELECT * FROM checks", "SELECT * FROM checks WHERE check_id = 'identity.proposta_vs_cnh'")
-_family("v9_income_checks", [rules.income_checks], "income.")
+_family("v9_income_checks", [rules.income_checks], "income.", every_case=True)
 _family("v10_licence_registry_checks", [rules.licence_registry_checks], "identity.proposta_vs_cnh_senatran", "identity.cnh_senatran")
 _family("v11_transfer_checks", [rules.transfer_checks], "vehicle.atpv", "followup")
 _family("v12_registry_checks", [rules.registry_checks], "vehicle.detran")
